@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality_rules, shard, simhash
+from . import bpe, decontam, quality_rules, secrets, shard, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *secrets.digest(F.col("spans")))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -42,6 +47,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    if path is None or pattern is None:
+        import public_tokenizers
+
+        path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, digest=True).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "kept", "fail_bits")
@@ -67,8 +80,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_secrets": op3_secrets,
     "op5_winnowing": op5_winnowing,
     "op8_sharding": op8_sharding,
+    "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op5_winnowing": OP5_SQL, "op10_quality_rules": OP10_SQL}
