@@ -103,7 +103,8 @@ def digest(spans: Column) -> list[Column]:
     """n_assign, n_access, n_hex, base_sha256 and spans (string) of a column of scan()."""
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     line = lambda x: F.array_join(F.transform(x, one), ",")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return [*counts, F.sha2(line(F.filter(spans, lambda s: s["kind"] != "novel")).cast("binary"), 256).alias("base_sha256"), line(spans).alias("spans")]
 
 
