@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality_rules, secrets, shard, simhash
+from . import bpe, decontam, html_extract, quality_cnn, quality_rules, secrets, shard, simhash, toxicity, warc
+from .common import shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,38 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _held_out(divisor: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scores(docs, _table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    return rows.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", *secrets.digest(F.col("spans")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    # Parsed once: responses and revisits are both read from the narrow rows.
+    rows = written(warc.reassembled(warc.read_records(spark, path)).drop("payload", "target"), "warc-records")
+    return warc.resolved(rows).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
+"""
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -42,6 +72,17 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality_cnn.scores(docs, _table(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    return rows.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard.shards(_table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,10 +121,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_warc": op4_warc,
     "op5_winnowing": op5_winnowing,
+    "op6_html": op6_html,
+    "op7_quality_cnn": op7_quality_cnn,
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op5_winnowing": OP5_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_winnowing": OP5_SQL, "op10_quality_rules": OP10_SQL}
