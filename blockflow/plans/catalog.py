@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from blockflow.operators import blockmath, control
+from blockflow.operators import bits, blockmath, control
 
-CATALOG = {**blockmath.CATALOG, **control.CATALOG}
+CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG}
 QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql}
