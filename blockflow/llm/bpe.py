@@ -7,8 +7,8 @@ ids to pieces and pieces back to bytes. The model (about 1 MB, bounded by the
 vocabulary) is broadcast, so executors need no tokenizer file.
 
 Defined results: a null text is encoded as the empty text (no ids); texts of any length
-are encoded whole; equal rows give equal results; other columns pass through; an
-empty table gives an empty result.
+are encoded whole; equal rows give equal results; other columns pass through (one
+named like a result is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,4 +130,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
                 rows.append((len(ids), sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), sha256(data).hexdigest()) if digest else (ids, data))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])
 
-    return docs.withColumn("_bpe", run(F.col(text))).select("*", "_bpe.*").drop("_bpe")
+    names = [x.split()[0] for x in kind.split(", ")]
+    kept = docs.drop(*(n for n in names if n != text))
+    return kept.withColumn("_bpe", run(F.col(text))).select(*kept.columns, "_bpe.*")

@@ -78,11 +78,22 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-def _blocks(mask: int, n: int) -> list[int]:
-    """The set bits of mask, divided into n masks of near-equal size."""
-    at = [b for b in range(63, -1, -1) if mask >> b & 1]
-    cuts = [len(at) * k // n for k in range(n + 1)]
-    return [sum(1 << b for b in at[x:y]) for x, y in zip(cuts, cuts[1:]) if y > x]
+def _top_masks(n: int) -> list[int]:
+    """All 64 bits, divided into n masks of near-equal size."""
+    cuts = [64 * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:])]
+
+
+def _blocks(mask: Column, n: int) -> Column:
+    """The set bits of a mask column, divided into n masks of near-equal size."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(mask, b) == 1)
+    one = F.lit(1).cast("long")
+
+    def block(k: Column) -> Column:
+        lo, hi = F.floor(F.size(at) * k / n).cast("int"), F.floor(F.size(at) * (k + 1) / n).cast("int")
+        return F.aggregate(F.slice(at, lo + 1, hi - lo), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", one, b)))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), block), lambda m: m != 0)
 
 
 def _signed(x: int) -> int:
@@ -195,26 +206,22 @@ def _node_edges(bits: int):
 
 def links(codes: DataFrame, bits: int = 4) -> DataFrame:
     """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its id)."""
-    level = codes.select("fp", "rep", F.lit(0).cast("long").alias("up"), F.lit(_signed((1 << 64) - 1)).alias("free"))
-    out, depth = [], 0
-    full = (1 << 64) - 1
-    masks = {full}
+    level = codes.select("fp", "rep", F.lit(0).cast("long").alias("up"), F.lit(-1).cast("long").alias("free"))
+    out = []
     while True:
         # Children: one row for each mask that divides what is still free of the node above.
-        child = lambda free: F.array(*[F.lit(_signed(m)) for m in _blocks(free, bits + 1)])
-        which = F.coalesce(*[F.when(F.col("free") == F.lit(_signed(m)), child(m)) for m in sorted(masks)])
-        rows = level.select("fp", "rep", "up", "free", F.explode(which).alias("mask"))
+        masks = _blocks(F.col("free"), bits + 1) if out else F.array(*[F.lit(_signed(m)) for m in _top_masks(bits + 1)])
+        rows = level.select("fp", "rep", "up", "free", F.explode(masks).alias("mask"))
         rows = rows.select("fp", "rep", F.xxhash64("up", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"))
-        masks = {m & ~b for m in masks for b in _blocks(m, bits + 1)} - {0}
+        # More than NODE distinct codes under one node differ in more than log2(NODE) free bits, so the descent ends.
         hot = written(rows.groupBy("node").count().where(F.col("count") > NODE).select("node"), "hot-nodes")
-        more = bool(masks) and not hot.isEmpty()
+        more = not hot.isEmpty()
         cold = rows.join(hot, "node", "left_anti") if more else rows
         sorted_rows = cold.select("node", "fp", "rep").repartition("node").sortWithinPartitions("node", gray_rank(F.col("fp")))
         out.append(sorted_rows.mapInArrow(_node_edges(bits), "u long, v long"))
         if not more:
             break
         level = written(rows.join(hot, "node", "left_semi").select("fp", "rep", F.col("node").alias("up"), "free"), "hot-rows")
-        depth += 1
     edges = out[0]
     for e in out[1:]:
         edges = edges.union(e)
