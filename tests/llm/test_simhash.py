@@ -105,3 +105,30 @@ def test_empty_nulls_and_clashes(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "a b", "z", 1), (3, "a b", "z", 2), (3, "a b", "z", 3)], "doc_id long, text string, fp string, node int")
     assert sorted(str(r.component_id) for r in S.near_duplicates(df).collect()) == ["3", "3", "3"]
+
+
+def test_near_copies_by_checked_links(spark):
+    r = random.Random(2)
+    texts, group = [], []
+    for g in range(6):
+        words = prose(100 + g, 260).split()
+        for _ in range(5):
+            w = list(words)
+            for _ in range(3):  # three edits: similarity about 0.89
+                w[r.randrange(len(w))] = f"edit{r.randrange(999)}"
+            texts.append(" ".join(w))
+            group.append(g)
+    texts += [prose(200 + k, 200) for k in range(12)] + [None, "", "short one", texts[0]]
+    group += list(range(10, 22)) + [30, 30, 31, 0]
+    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert len(out) == len(texts)
+    assert [out[i] for i in range(len(texts))] == [group.index(g) for g in group]
+
+
+def test_sketch_estimates_similarity():
+    a = prose(7, 400).split()
+    b = a[:200] + prose(8, 400).split()[200:]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    true = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    s = [np.frombuffer(S.sketch_of(" ".join(x)), np.uint8)[None] for x in (a, b)]
+    assert abs(S.similarity(*s)[0] - true) < 0.2
