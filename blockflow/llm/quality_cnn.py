@@ -97,7 +97,9 @@ def _gradients(net: Net, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tup
     q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     dz = ((q - y) / n).astype(np.float32)
     dh = dz[:, None] * p["v"]
-    dg = (dh[:, N_CHUNK:] / per[:, None])[owner] + np.where(g == top[owner], dh[:, :N_CHUNK][owner], 0)
+    largest = g == top[owner]  # chunks of equal maxima share the gradient
+    shared = dh[:, :N_CHUNK] / np.add.reduceat(largest, starts, axis=0, dtype=np.float32)
+    dg = (dh[:, N_CHUNK:] / per[:, None])[owner] + np.where(largest, shared[owner], 0)
     da = np.repeat(dg[:, None, FILTERS : 2 * FILTERS] / t, t, axis=1)
     at = a.argmax(axis=1)
     rows, cols = np.indices(at.shape)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the sample that the classifier is fitted on, and of the words a worker remembers.
-FIT_ROWS, CACHE = 8_000, 300_000
+FIT_ROWS, CACHE = 5_000, 300_000
 #: Characters of the language model: 0 is any other, then a-z, then the letters from U+00DF to U+00FF.
 ALPHABET = 64
 #: What each sign may stand for in leetspeak.
