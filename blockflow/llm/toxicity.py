@@ -90,21 +90,27 @@ class Channel:
     def decode(self, token: str) -> str:
         """The likeliest plain word: Viterbi over states of the last two letters."""
         code = lambda x: int(_codes(x)[0])
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A state's way is a chain of links (letter, chain before), so a token of any length costs time in proportion.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for ch in token:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, way) in states.items():
                 for letter, channel in self._arcs(ch, before):
                     if letter:
                         z = code(letter)
-                        key, value = (b, z), (cost + channel + self.cost[a][b][z], out + letter)
+                        key, value = (b, z), cost + channel + self.cost[a][b][z]
                     else:
-                        key, value = (a, b), (cost + channel, out)
-                    if key not in after or value < after[key]:
-                        after[key] = value
+                        key, value = (a, b), cost + channel
+                    if key not in after or value < after[key][0]:
+                        after[key] = (value, (letter, way) if letter else way)
             states, before = after, ch
-        return min((cost + self.cost[a][b][0], out) for (a, b), (cost, out) in states.items())[1]
+        way = min(((cost + self.cost[a][b][0], (a, b), way) for (a, b), (cost, way) in states.items()), key=lambda x: x[:2])[2]
+        out = []
+        while way:
+            letter, way = way
+            out.append(letter)
+        return "".join(reversed(out))
 
     def _plain(self, m: re.Match) -> str:
         seen = m[0]

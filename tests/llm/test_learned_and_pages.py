@@ -165,3 +165,18 @@ def test_tree_matching_is_largest():
     a, b = H.parse("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), H.parse("<div><ul><li>y<li>z</ul><p>3</p></div>")
     pairs = []
     assert H.match(a, b, pairs) == len(pairs) == 5
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 3_000 + "core" + "</div>" * 3_000 + "tail"
+    wide = "<table>" + "".join(f"<tr><td>{k}<td>x" for k in range(1_500)) + "</table>"
+    assert H.extract(deep) == "core tail" and H.extract(wide).startswith("0 x 1 x")
+    for t in (deep, wide):
+        r = H.Reference(t)
+        assert H.match(H.parse(t), r.root) > 1_000
+    assert r.constants(wide)
+
+
+def test_long_tokens_decode_in_time():
+    counts = np.ones(X.ALPHABET**3, np.int64)
+    assert len(X.Channel(counts).decode("a1b" * 20_000)) >= 40_000
