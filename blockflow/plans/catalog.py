@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from blockflow.operators import bits, blockmath, control, frames
+from blockflow.operators import bits, blockmath, control, filters, frames
 
-CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG}
+CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG}
 QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql}
