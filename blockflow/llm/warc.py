@@ -5,7 +5,8 @@ framing. Of records with equal payloads of at least `least` bytes, the one with
 carries it, the rest are revisit records that refer to it. A block longer than `segment`
 bytes is cut: the first part keeps the record type, continuation records name its id as origin.
 Records are rows of Spark's text writer with the record separator as line separator, so
-any store that Spark writes to will do, and lost tasks are written again.
+any store that Spark writes to will do, and lost tasks are written again. Files are
+compressed as a whole (gzip).
 
 Reading: whole files (small, see RECORDS_PER_FILE) are parsed by Content-Length;
 continuation records are grouped by origin id, ordered by segment number and checked
@@ -20,6 +21,7 @@ payload; other columns are not archived; an empty table gives an empty archive,
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -109,7 +111,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, page_id: str = "page_i
     refers = F.when(~F.col("id").eqNullSafe(F.col("carrier")), F.col("carrier"))
     # Ids as text: a nullable long would reach pandas as a float.
     lines = placed.select(F.explode(records(F.col("id").cast("string"), F.col("target"), F.col("body"), F.col("sha1"), refers.cast("string"))).alias("r"))
-    lines.select(F.col("r").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.select(F.col("r").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -140,8 +142,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for part in parts:
             for data in part["content"]:
-                out = pd.DataFrame(list(parse(data)), columns=names, dtype=object)
-                yield out
+                yield pd.DataFrame(list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)), columns=names, dtype=object)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(run, RECORD)
