@@ -69,3 +69,19 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.stream_id, r.seq)
     assert sorted(spark.table("decided").collect(), key=key) == sorted(C.decisions(df, C.SMALL).collect(), key=key)
+
+
+def test_newest_feedback_of_each_interval(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from blockflow.streaming import newest_feedback
+
+    t0 = datetime(2024, 1, 1)
+    data = [(i % 2, i, float(i), t0 + timedelta(milliseconds=250 * i)) for i in range(40)]
+    schema = "stream_id long, seq int, rtt_ms double, ts timestamp"
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = newest_feedback(stream).writeStream.outputMode("complete").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.stream_id, r.seq): r.dropped for r in spark.table("newest").collect()}
+    assert got == {(s, 4 * k + 2 + s): 1 for s in (0, 1) for k in range(10)}
