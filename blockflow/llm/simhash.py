@@ -16,8 +16,8 @@ compared code by code. A node gives the forest of its links, not its pairs.
 Optionally links are checked before they count: a sketch of one-permutation minima over shingles
 estimates the similarity of two texts, and within a node only links between parts that
 are not yet joined are compared. Documents that share a fingerprint are first compared with
-the one of smallest id. That lets short features (single words), which edits move little, find
-candidates, and long shingles decide.
+the one of smallest id. That lets short features, which edits move little, find candidates, and long
+shingles decide.
 
 Components: alternating large-star and small-star rounds on the forests; each
 round's edges are written to the shared folder. Nothing of document size reaches the driver.
@@ -250,17 +250,21 @@ def _node_edges(bits: int, least: float | None):
     return edges
 
 
-def links(codes: DataFrame, bits: int = 4, least: float | None = None) -> DataFrame:
+def links(codes: DataFrame, bits: int = 4, least: float | None = None, blocks: int | None = None) -> DataFrame:
     """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its id);
-    with `least` also sketch, and links need that estimated similarity."""
+    with `least` also sketch, and links need that estimated similarity. With fewer `blocks` than bits + 1
+    only codes that agree on a whole block are compared, so some links may be missed."""
+    blocks = blocks or bits + 1
     more_columns = ["sketch"] if least is not None else []
     level = codes.select("fp", "rep", *more_columns, F.lit(0).cast("long").alias("up"), F.lit(-1).cast("long").alias("free"))
     out = []
     while True:
         # Children: one row for each mask that divides what is still free of the node above.
-        masks = _blocks(F.col("free"), bits + 1) if out else F.array(*[F.lit(_signed(m)) for m in _top_masks(bits + 1)])
+        masks = _blocks(F.col("free"), blocks) if out else F.array(*[F.lit(_signed(m)) for m in _top_masks(blocks)])
         rows = level.select("fp", "rep", *more_columns, "up", "free", F.explode(masks).alias("mask"))
         rows = rows.select("fp", "rep", *more_columns, F.xxhash64("up", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"))
+        if out:
+            rows = written(rows, "node-rows")  # read three times below
         # More than NODE distinct codes under one node differ in more than log2(NODE) free bits, so the descent ends.
         # Of rows with nothing free (equal codes that a check told apart) none is split further.
         hot = written(rows.where("free <> 0").groupBy("node").count().where(F.col("count") > NODE).select("node"), "hot-nodes")
@@ -312,11 +316,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     return fps.join(named, "fp").select(doc_id, "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, features: int = 1, bits: int = 5, words: int = 5, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, features: int = 2, bits: int = 13, blocks: int = 6, words: int = 5, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, component_id (the smallest id reachable).
 
-    Fingerprints of `features`-word features at `bits` differing bits find candidates, sketches of
-    `words`-word shingles decide. A pair of true similarity 0.8 has an estimate of deviation 0.05, so
+    Fingerprints of `features`-word features that agree on one of `blocks` blocks and differ in at most `bits`
+    bits are candidates, sketches of `words`-word shingles decide. (Single words would differ less, but
+    common words make the fingerprints of all texts of a language alike, and nodes grow hot.) A pair of true similarity 0.8 has an estimate of deviation 0.05, so
     0.7 keeps about 98 of 100 such pairs, and texts that share few shingles are far below it.
     """
 
@@ -339,7 +344,7 @@ def near_copies(docs: DataFrame, features: int = 1, bits: int = 5, words: int =
     told = written(codes.join(first, F.col("fp") == F.col("f_fp")).withColumn("same", (F.col("rep") == F.col("f_rep")) | agrees("sketch", "f_sketch")), "told")
     joined = told.where("same AND rep <> f_rep").select(F.col("rep").alias("u"), F.col("f_rep").alias("v"))
     entering = told.where("NOT same OR rep = f_rep").select("fp", "rep", "sketch")
-    groups = components(links(entering, bits, least).union(joined).distinct())
+    groups = components(links(entering, bits, least, blocks).union(joined).distinct())
     named = codes.join(groups, codes["rep"] == groups["node"], "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
     out = fps.join(named, ["fp", "sketch"], "left")
     return out.select(F.col("id").alias(doc_id), F.coalesce("component_id", "id").alias("component_id"))
