@@ -13,11 +13,10 @@ share, and runs of groups form larger ones; a pair of groups is dropped as soon
 the differences accumulated on their common masks exceed `bits`, and only the rest is
 compared code by code. A node gives the forest of its links, not its pairs.
 
-Optionally links are checked before they count: a sketch of one-permutation minima over shingles
-estimates the similarity of two texts, and within a node only links between parts that
-are not yet joined are compared. Documents that share a fingerprint are first compared with
-the one of smallest id. That lets short features, which edits move little, find candidates, and long
-shingles decide.
+Near copies (near_copies) have an index of their own: nodes are the values of BANDS bands of ROWS
+minima over shingles, each by a permutation of its own. First every text of a node is compared with the node's
+smallest id; then, in nodes whose texts are not all joined, each pair from different parts. A node
+of more than NODE texts is compared as pairs of blocks, so no pair is left out at any size.
 
 Components: alternating large-star and small-star rounds on the forests; each
 round's edges are written to the shared folder. Nothing of document size reaches the driver.
@@ -43,8 +42,10 @@ from pyspark.sql import functions as F
 from .common import UPPER, LOWER, remove, written
 
 NODE, LEAF, FAN = 4096, 16, 16
-#: Bins of a sketch, one byte each; pairs compared at a time.
-BINS, PAIRS = 64, 16_384
+#: Pairs compared at a time; bands of an index of minima and minima of a band: texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS.
+PAIRS, BANDS, ROWS = 16_384, 24, 4
+BINS = BANDS * ROWS
+_MOVE = np.random.default_rng(42).integers(0, 2**64, (2, BINS), np.uint64) | np.array([[1], [0]], np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -68,23 +69,38 @@ def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def sketch_of(text: str | None, words: int = 5) -> bytes:
-    """For each bin, the smallest shingle hash that falls into it, as a byte from 1; 0 where there is none."""
+def shingles_of(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of one whole text; a text of fewer words is one shingle."""
     tokens = _WORD.findall((text or "").encode().translate(_LOW))
-    line = b" ".join(tokens)
-    out = np.full(BINS, 256, np.int64)
-    if tokens:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        k = min(words, len(tokens))
-        starts = np.concatenate([[0], ends[:-k] + 1])
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, len(starts))
-        h = np.sort(h)  # by bin, then by value
-        at = (h >> np.uint64(58)).astype(np.int64)
-        first = _firsts(at)
-        # Of the minimum's bits below the bin, a byte that does not depend on its being small.
-        out[at[first]] = ((h[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % 255 + 1
-    return np.where(out == 256, 0, out).astype(np.uint8).tobytes()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    line, k = b" ".join(tokens), min(words, len(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-k] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def minima_of(shingles: np.ndarray) -> np.ndarray:
+    """The smallest hash under each of BINS permutations; zeros where there is no shingle."""
+    out = np.full(BINS, 2**64 - 1 if len(shingles) else 0, np.uint64)
+    for at in range(0, len(shingles), 4096):  # bounded memory for any length
+        out = np.minimum(out, (shingles[at : at + 4096, None] * _MOVE[0] + _MOVE[1]).min(axis=0))
+    return out
+
+
+def _code(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), 42))
+
+
+def _bytes_of(minima: np.ndarray) -> bytes:
+    # Bits that do not depend on a minimum's being small.
+    return np.where(minima == 0, 0, (minima * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def sketch_of(text: str | None, words: int = 5) -> bytes:
+    """A byte from 1 for each minimum; 0 where there is none."""
+    return _bytes_of(minima_of(shingles_of(text, words)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,17 +211,12 @@ def linked(node: np.ndarray, code: np.ndarray, bits: int) -> Iterator[tuple[np.n
             yield i[close], j[close]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], agree=None) -> np.ndarray:
-    """The smallest index linked with each index. agree(i, j): which pairs count; asked only for pairs not yet joined."""
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index linked with each index."""
     root = np.arange(n)
     for i_all, j_all in pairs:
         for at in range(0, len(i_all), PAIRS):
             i, j = i_all[at : at + PAIRS], j_all[at : at + PAIRS]
-            if agree is not None:
-                open_ = root[i] != root[j]
-                i, j = i[open_], j[open_]
-                good = agree(i, j)
-                i, j = i[good], j[good]
             while len(i):
                 ri, rj = root[i], root[j]
                 differ = ri != rj
@@ -216,65 +227,64 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], agree=None) -
     return root
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
-
+def _by_node(of, names: tuple[str, ...], out: list[str]):
+    """of(columns of whole nodes) for batches sorted by node: the last node waits for the next batch."""
 
-def _node_edges(bits: int, least: float | None):
-    """Edges (u, v) of the forests of whole nodes, from batches sorted by node: the last node waits for the next batch."""
-    names = ("node", "fp", "rep") + (("sketch",) if least is not None else ())
+    def rows_of(column: pa.Array, name: str) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS) if name == "sketch" else column.to_numpy()
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = tuple(np.empty((0, BINS), np.uint8) if n == "sketch" else np.empty(0, np.int64) for n in names)
-
-        def of(node, code, rep, sketch=None):
-            if len(node) < 2:
-                return
-            agree = None if sketch is None else lambda i, j: similarity(sketch[i], sketch[j]) >= least
-            root = forest(len(node), linked(node, code.view(np.uint64), bits), agree)
-            at = np.flatnonzero(root != np.arange(len(node)))
-            at = at[rep[at] != rep[root[at]]]
-            if len(at):
-                x, y = rep[at], rep[root[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.concatenate([r, _rows(batch.column(n)) if n == "sketch" else batch.column(n).to_numpy()]) for r, n in zip(rest, names)]
+            now = [np.concatenate([r, rows_of(batch.column(n), n)]) for r, n in zip(rest, names)]
             cut = _firsts(now[0])[-1]
-            yield from of(*(x[:cut] for x in now))
-            rest = tuple(x[cut:] for x in now)
-        yield from of(*rest)
+            for x, y in of(*(c[:cut] for c in now)):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], out)
+            rest = tuple(c[cut:] for c in now)
+        for x, y in of(*rest):
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], out)
+
+    return results
+
+
+def _node_edges(bits: int):
+    """Edges (u, v) of the forests of whole nodes."""
 
-    return edges
+    def of(node, code, rep):
+        if len(node) < 2:
+            return
+        root = forest(len(node), linked(node, code.view(np.uint64), bits))
+        at = np.flatnonzero(root != np.arange(len(node)))
+        at = at[rep[at] != rep[root[at]]]
+        if len(at):
+            x, y = rep[at], rep[root[at]]
+            yield np.maximum(x, y), np.minimum(x, y)
 
+    return _by_node(of, ("node", "fp", "rep"), ["u", "v"])
 
-def links(codes: DataFrame, bits: int = 4, least: float | None = None, blocks: int | None = None) -> DataFrame:
-    """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its id);
-    with `least` also sketch, and links need that estimated similarity. With fewer `blocks` than bits + 1
-    only codes that agree on a whole block are compared, so some links may be missed."""
-    blocks = blocks or bits + 1
-    more_columns = ["sketch"] if least is not None else []
-    level = codes.select("fp", "rep", *more_columns, F.lit(0).cast("long").alias("up"), F.lit(-1).cast("long").alias("free"))
+
+def links(codes: DataFrame, bits: int = 4) -> DataFrame:
+    """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its id)."""
+    level = codes.select("fp", "rep", F.lit(0).cast("long").alias("up"), F.lit(-1).cast("long").alias("free"))
     out = []
     while True:
         # Children: one row for each mask that divides what is still free of the node above.
-        masks = _blocks(F.col("free"), blocks) if out else F.array(*[F.lit(_signed(m)) for m in _top_masks(blocks)])
-        rows = level.select("fp", "rep", *more_columns, "up", "free", F.explode(masks).alias("mask"))
-        rows = rows.select("fp", "rep", *more_columns, F.xxhash64("up", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"))
+        masks = _blocks(F.col("free"), bits + 1) if out else F.array(*[F.lit(_signed(m)) for m in _top_masks(bits + 1)])
+        rows = level.select("fp", "rep", "up", "free", F.explode(masks).alias("mask"))
+        rows = rows.select("fp", "rep", F.xxhash64("up", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"))
         if out:
             rows = written(rows, "node-rows")  # read three times below
         # More than NODE distinct codes under one node differ in more than log2(NODE) free bits, so the descent ends.
-        # Of rows with nothing free (equal codes that a check told apart) none is split further.
         hot = written(rows.where("free <> 0").groupBy("node").count().where(F.col("count") > NODE).select("node"), "hot-nodes")
         more = not hot.isEmpty()
         cold = rows.join(hot, "node", "left_anti") if more else rows
-        sorted_rows = cold.select("node", "fp", "rep", *more_columns).repartition("node").sortWithinPartitions("node", gray_rank(F.col("fp")))
-        out.append(sorted_rows.mapInArrow(_node_edges(bits, least), "u long, v long"))
+        sorted_rows = cold.select("node", "fp", "rep").repartition("node").sortWithinPartitions("node", gray_rank(F.col("fp")))
+        out.append(sorted_rows.mapInArrow(_node_edges(bits), "u long, v long"))
         if not more:
             break
-        level = written(rows.join(hot, "node", "left_semi").select("fp", "rep", *more_columns, F.col("node").alias("up"), "free"), "hot-rows")
+        level = written(rows.join(hot, "node", "left_semi").select("fp", "rep", F.col("node").alias("up"), "free"), "hot-rows")
     edges = out[0]
     for e in out[1:]:
         edges = edges.union(e)
@@ -316,35 +326,76 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     return fps.join(named, "fp").select(doc_id, "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, features: int = 2, bits: int = 13, blocks: int = 6, words: int = 5, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _open_pairs(least: float):
+    """Pairs (a, b) of codes of one node that are in different parts and whose sketches agree so far.
+    Of a node that is divided (other = 1), only pairs of its two blocks count."""
+
+    def of(node, part, code, block, other, sketch):
+        first = _firsts(node) if len(node) else []
+        for lo, hi in zip(first, np.append(first, len(node))[1:]):
+            p, c, k, o, s = (x[lo:hi] for x in (part, code, block, other, sketch))  # sorted by part
+            x, y = [], []
+            for i, at in enumerate(np.searchsorted(p, p, "right")):
+                if at < len(p):
+                    j = at + np.flatnonzero((s[at:] == s[i]).sum(axis=1) >= least * BINS)
+                    j = j[(k[j] != k[i]) | (o[j] == 0)]
+                    x.append(np.full(len(j), c[i]))
+                    y.append(c[j])
+            if x:
+                x, y = np.concatenate(x), np.concatenate(y)
+                yield np.minimum(x, y), np.maximum(x, y)
+
+    return _by_node(of, ("node", "part", "code", "block", "other", "sketch"), ["a", "b"])
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, component_id (the smallest id reachable).
 
-    Fingerprints of `features`-word features that agree on one of `blocks` blocks and differ in at most `bits`
-    bits are candidates, sketches of `words`-word shingles decide. (Single words would differ less, but
-    common words make the fingerprints of all texts of a language alike, and nodes grow hot.) A pair of true similarity 0.8 has an estimate of deviation 0.05, so
-    0.7 keeps about 98 of 100 such pairs, and texts that share few shingles are far below it.
+    Texts that share a node are candidates: of pairs of similarity 0.8, three in a million share none (24 bands of
+    4 minima). Sketches of all minima decide.
     """
 
-    @F.pandas_udf("fp long, sketch binary")
-    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("code long, nodes array<long>, sketch binary")
+    def index(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"fp": np.array([fingerprint_of(t, features) for t in part], np.uint64).view(np.int64), "sketch": [sketch_of(t, words) for t in part]})
-
-    fps = written(docs.select(F.col(doc_id).alias("id"), both(F.col(text)).alias("b")).select("id", "b.*"), "sketches")
-    codes = written(fps.where("id is not null").groupBy("fp", "sketch").agg(F.min("id").alias("rep")), "codes")
-    # Of the texts with one fingerprint, those that agree with the first are its group; only the others enter as codes too.
-    first = codes.groupBy("fp").agg(F.min(F.struct("rep", "sketch")).alias("f"))
-    first = first.select(F.col("fp").alias("f_fp"), F.col("f.rep").alias("f_rep"), F.col("f.sketch").alias("f_sketch"))
+            out = []
+            for t in part:
+                h = shingles_of(t, words)
+                m = minima_of(h)
+                bands = [xxhash.xxh64_intdigest(m[at : at + ROWS].tobytes(), at) for at in range(0, BINS, ROWS)]
+                out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m)))
+            yield pd.DataFrame(out, columns=["code", "nodes", "sketch"])
+
+    rows = written(docs.select(F.col(doc_id).alias("id"), index(F.col(text)).alias("b")).select("id", "b.*"), "sketches")
+    # Texts with the same shingles are one code.
+    codes = written(rows.where("id is not null").groupBy("code").agg(F.min("id").alias("rep"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")), "codes")
+    members = codes.select("code", "rep", F.explode("nodes").alias("node"))
+    hubs = members.groupBy("node").agg(F.min(F.struct("rep", "code")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.col("hub.code").alias("hub"), "n")
+    members = written(members.join(hubs, "node"), "members")
 
     @F.pandas_udf("boolean")
     def agrees(a: pd.Series, b: pd.Series) -> pd.Series:
         rows = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, BINS)
         return pd.Series(similarity(rows(a), rows(b)) >= least)
 
-    told = written(codes.join(first, F.col("fp") == F.col("f_fp")).withColumn("same", (F.col("rep") == F.col("f_rep")) | agrees("sketch", "f_sketch")), "told")
-    joined = told.where("same AND rep <> f_rep").select(F.col("rep").alias("u"), F.col("f_rep").alias("v"))
-    entering = told.where("NOT same OR rep = f_rep").select("fp", "rep", "sketch")
-    groups = components(links(entering, bits, least, blocks).union(joined).distinct())
-    named = codes.join(groups, codes["rep"] == groups["node"], "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
-    out = fps.join(named, ["fp", "sketch"], "left")
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The edges of the pairs of codes that are near copies."""
+        a, b = (codes.select(F.col("code").alias(x), F.col("rep").alias(f"r{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        good = pairs.join(a, "a").join(b, "b").where(agrees("sa", "sb")).where("ra <> rb")
+        return good.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct()
+    pairs = members.where("code <> hub").select(F.least("code", "hub").alias("a"), F.greatest("code", "hub").alias("b")).distinct()
+    edges = written(similar(pairs), "hub-links")
+    # What is still apart within a node: its pairs from different parts. Large nodes as pairs of blocks.
+    groups = written(components(edges), "hub-groups")
+    parts = members.join(groups, members["rep"] == groups["node"], "left").select(members["node"], "code", "n", F.coalesce("root", "rep").alias("part"))
+    torn = parts.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("node")
+    apart = parts.join(torn, "node").join(codes.select("code", "sketch"), "code")
+    block, n = F.expr(f"pmod(code, ceil(n / {NODE}))").cast("long"), F.ceil(F.col("n") / NODE).cast("long")
+    apart = apart.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    apart = apart.select(F.when(F.col("n") <= NODE, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).alias("node"), "part", "code", "block", F.when(F.col("with") == F.col("block"), 0).otherwise(1).cast("long").alias("other"), "sketch")
+    rest = apart.repartition("node").sortWithinPartitions("node", "part").mapInArrow(_open_pairs(least), "a long, b long").distinct()
+    more = written(similar(written(rest, "open-pairs")), "open-links")
+    groups = components(edges.union(more).distinct())
+    named = codes.join(groups, codes["rep"] == groups["node"], "left").select("code", F.coalesce("root", "rep").alias("component_id"))
+    out = rows.join(named, "code", "left")
     return out.select(F.col("id").alias(doc_id), F.coalesce("component_id", "id").alias("component_id"))

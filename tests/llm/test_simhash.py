@@ -132,3 +132,22 @@ def test_sketch_estimates_similarity():
     true = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
     s = [np.frombuffer(S.sketch_of(" ".join(x)), np.uint8)[None] for x in (a, b)]
     assert abs(S.similarity(*s)[0] - true) < 0.2
+
+
+def grams(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_find_replaced_and_appended_passages(spark, monkeypatch):
+    monkeypatch.setattr(S, "NODE", 16)  # nodes of some texts are divided
+    texts, want = [], []
+    for g in range(150):
+        w = prose(1000 + 3 * g, 400).split()
+        other = prose(1001 + 3 * g, 400).split()
+        new = w + other[:90] if g % 2 else w[:150] + other[:36] + w[186:]
+        assert len(grams(" ".join(w)) & grams(" ".join(new))) / len(grams(" ".join(w)) | grams(" ".join(new))) >= 0.8
+        texts += [" ".join(w), " ".join(new)]
+        want += [2 * g, 2 * g]
+    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert [out[i] for i in range(len(texts))] == want
