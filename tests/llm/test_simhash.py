@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline as C
 from blockflow.llm import simhash as S
 from tests.llm.cases import SCHEMA, edge_texts, prose, rows
 
@@ -151,3 +152,33 @@ def test_near_copies_find_replaced_and_appended_passages(spark, monkeypatch):
         want += [2 * g, 2 * g]
     out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
     assert [out[i] for i in range(len(texts))] == want
+
+
+def test_stage_keeps_texts_below_the_bound(spark):
+    texts = []
+    for g in range(60):
+        w = prose(5000 + 2 * g, 300).split()
+        new = w[:100] + prose(5001 + 2 * g, 300).split()[: 48] + w[148:]  # similarity 0.7 to 0.75
+        assert 0.65 <= len(grams(" ".join(w)) & grams(" ".join(new))) / len(grams(" ".join(w)) | grams(" ".join(new))) < 0.8
+        texts += [" ".join(w), " ".join(new)]
+    kept = C.near_duplicates(spark, spark.createDataFrame(rows(texts), SCHEMA), "")
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
+
+
+def test_divided_nodes_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "NODE", 8)
+    base = prose(77, 300).split()
+    texts = []
+    for k in range(40):  # a chain: neighbours are near copies, the ends share little
+        w = list(base)
+        for at in range(0, 300, 60):
+            w[at : at + k] = [f"x{at + i}" for i in range(k)]
+        texts.append(" ".join(w))
+    root = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if len(grams(texts[i]) & grams(texts[j])) / len(grams(texts[i]) | grams(texts[j])) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r == max(a, b) else r for r in root]
+    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA), least=0.8).collect()}
+    assert [out[i] for i in range(40)] == root
