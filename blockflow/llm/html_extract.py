@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEAST, SHARE = 8, 0.9
-#: Elements nested deeper stay beside each other at this depth, as browsers do; rows of children whose
-#: lengths multiply to more are paired in order while their tags agree, instead of by the full matching.
+#: Elements nested deeper stay beside each other at this depth, as browsers do; for rows of children whose
+#: lengths multiply to more, only some rows of the table are kept and the others computed again.
 DEPTH, WIDE = 200, 20_000
 BROADCAST_BYTES, BROADCAST_ROWS = 8_000_000, 50_000
 #: Element kinds of HTML.
@@ -145,8 +145,13 @@ def match(a: Node, b: Node, pairs: list | None = None) -> int:
         while todo:
             p, q = todo.pop()
             pairs.append((p, q))
+            if (id(p), id(q)) not in kept:  # left out by _wide
+                _weigh(p, q, kept)
             x, y, head, best = kept.get((id(p), id(q)), ((), (), 0, None))
             todo += zip(x[:head], y[:head])
+            if isinstance(best, tuple):
+                todo += best
+                continue
             i, j = len(x), len(y)
             while best and i > head and j > head:
                 here = best[i - head][j - head]
@@ -167,13 +172,18 @@ def _weigh(a: Node, b: Node, kept: dict) -> int:
     head, n, extra = 0, min(len(x), len(y)), 0
     leaves = not any(n.blocks() for n in x) and not any(n.blocks() for n in y)
     # Equal tags at the start of two rows of leaves are in some largest matching.
-    if leaves or len(x) * len(y) > WIDE:
+    if leaves:
         while head < n and x[head].tag == y[head].tag:
             extra += _weigh(x[head], y[head], kept) - 1
             head += 1
     if (len(x) - head) * (len(y) - head) > WIDE:
-        kept[id(a), id(b)] = (x[:head], y[:head], head, [[0]])
-        return 1 + head + extra
+        tail = 0
+        while leaves and tail < n - head and x[-1 - tail].tag == y[-1 - tail].tag:
+            tail += 1
+        wide, found = _wide(x[head : len(x) - tail], y[head : len(y) - tail])
+        ends = zip(x[len(x) - tail :], y[len(y) - tail :])
+        kept[id(a), id(b)] = (x, y, head, (*found, *ends))
+        return 1 + head + extra + wide + tail
     best = [[0] * (len(y) - head + 1)]
     for p in x[head:]:
         row, above = [0], best[-1]
@@ -185,6 +195,48 @@ def _weigh(a: Node, b: Node, kept: dict) -> int:
     return 1 + head + extra + best[-1][-1]
 
 
+def _wide(x: list[Node], y: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size and pairs of the largest matching of two rows; of its table each k-th row stays, k near the root of the length."""
+    k = max(1, round(len(x) ** 0.5))
+
+    def below(above: list[int], p: Node, n: int) -> list[int]:
+        row, flat, left = [0], not p.blocks(), 0
+        for c in range(n):
+            q, best = y[c], above[c + 1]
+            if left > best:
+                best = left
+            if p.tag == q.tag:
+                w = above[c] + (1 if flat or not q.blocks() else _weigh(p, q, {}))
+                if w > best:
+                    best = w
+            row.append(best)
+            left = best
+        return row
+
+    row = [0] * (len(y) + 1)
+    marks = [row]
+    for i, p in enumerate(x, 1):
+        row = below(row, p, len(y))
+        if i % k == 0:
+            marks.append(row)
+    found, i, j = [], len(x), len(y)
+    while i and j:
+        base = (i - 1) // k * k
+        rows = [marks[base // k]]
+        for p in x[base:i]:
+            rows.append(below(rows[-1], p, j))
+        while i > base and j:
+            here = rows[i - base][j]
+            if here == rows[i - base - 1][j]:
+                i -= 1
+            elif here == rows[i - base][j - 1]:
+                j -= 1
+            else:
+                found.append((x[i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
+    return row[-1], found
+
+
 def _blocks(root: Node) -> list[Node]:
     """Nodes in page order."""
     out, todo = [], [root]

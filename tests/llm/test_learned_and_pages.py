@@ -180,3 +180,19 @@ def test_deep_and_wide_pages():
 def test_long_tokens_decode_in_time():
     counts = np.ones(X.ALPHABET**3, np.int64)
     assert len(X.Channel(counts).decode("a1b" * 20_000)) >= 40_000
+
+
+def test_long_rows_are_matched_in_full(monkeypatch):
+    def page(seed, n):
+        r = random.Random(seed)
+        return f"<body><h1>{seed}</h1>" + "".join(f"<{t}>{t}{seed}-{k}</{t}>" for k in range(n) for t in [r.choice(["p", "h2", "pre"])]) + "<div><p>all pages say this</p></div>"
+
+    a, b = page(1, 170), page(2, 150)
+    ref = H.Reference(b)
+    assert [n for n in ref.constants(a)] and "all pages say this" in ref.text.values()
+    size = H.match(H.parse(a), H.parse(b))
+    monkeypatch.setattr(H, "WIDE", 10**9)
+    assert size == H.match(H.parse(a), H.parse(b))
+    monkeypatch.setattr(H, "WIDE", 2)  # nested rows too
+    pairs = []
+    assert H.match(H.parse(a), H.parse(b), pairs) == size == len(pairs)
