@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,22 +16,39 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where a local session (one machine) names none, the warehouse folder takes its place; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="blockflow-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/blockflow-shared"
     return path.rstrip("/")
 
 
+def unused(name: str, *taken: list[str]) -> str:
+    """A column name like `name` that none of the lists holds, also not in other case."""
+    low = {c.lower() for names in taken for c in names}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]', '_', tag)}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to a new table in the shared folder and read it back.
 
-    The files survive the loss of any executor; remove() deletes them early.
+    The files survive the loss of any executor. remove() deletes them early, the driver's end at the latest.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]', '_', tag)}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -98,6 +98,43 @@ def test_secret_spans(spark):
     assert novel[n + 7] == 1 and novel[n + 8] == 0
 
 
+def brute_novel(t, scanner):
+    """Candidates position by position, each held against every base span."""
+    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    out, end = [], 0
+    for w in secrets._SENSITIVE.finditer(t):
+        at = max(end, w.end())
+        while at <= w.end() + secrets.NEAR and "\n" not in t[w.end() : at]:
+            stop = at
+            while stop < len(t) and t[stop] in token:
+                stop += 1
+            if stop - at >= 16:
+                end = stop
+                around = t[max(0, at - secrets.AROUND) : at] + t[stop : stop + secrets.AROUND]
+                if scanner.marginal(around, t[at:stop]) >= secrets.RATIO:
+                    out.append((at, stop))
+            at = max(stop, at + 1)
+    return [x for x in out if not any(a < x[1] and x[0] < b for _, a, b in brute_spans(t))]
+
+
+def test_novel_spans_at_every_distance():
+    scanner, key = secrets.Scanner(), "Zx9Kq27LmPw81RtYv04Bn3Hd6"
+    for gap in range(52):
+        t = f"The bearer{'.' * gap}{key} here, secret line\nQm4Tz7Wc1Xv9Ks2Jd5Fg8 and auth Hn3Bp6Rl0Yq4Ue7/Ia1Os5, token= Vb9Nm2Cx6Zl3Kj7Hg"
+        found = [(a, b) for k, a, b in scanner.spans(t) if k == "novel"]
+        assert found == brute_novel(t, scanner), gap
+        assert ((10 + gap, 10 + gap + len(key)) in found) == (gap <= secrets.NEAR), gap
+    long = " ".join(f"token=abcdef{k} and secret is {key[k % 9:]}x{k}" for k in range(20_000))
+    assert len(scanner.spans(long)) >= 20_000
+
+
+def test_scan_of_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "password=abcdef1", "a"), (1, "password=abcdef1", "a"), (None, None, None)], "doc_id long, text string, spans string")
+    out = secrets.scan(df).collect()
+    assert len(out) == 3 and sorted(len(r.spans) for r in out) == [0, 1, 1]
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     out = secrets.redact(spark.createDataFrame(rows(SECRETS + [None]), SCHEMA)).orderBy("doc_id").collect()
     assert out[1].text == "[REDACTED]' x" and out[-1].text is None and "Zx9Kq27LmPw81RtYv04Bn" not in out[7].text
@@ -123,6 +160,32 @@ def test_bpe_equals_reference_library(spark, tokenizer):
     assert bpe.encode(docs.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_memory_turns_over(tokenizer, monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = tokenizer
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    codec = bpe.Codec(bpe.model_of(bpe.load_ranks(path)), pattern)
+    texts = [prose(k % 7, 60) for k in range(30)]
+    for group in ([t] for t in texts):
+        assert codec.lines(group) == [",".join(map(str, enc.encode_ordinary(t))) for t in group]
+    assert len(codec.old) <= 200
+
+
+def test_two_vocabularies_in_one_session(spark, tokenizer):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = tokenizer
+    other = path.replace("byte_bpe_multi_50k", "byte_bpe_50k")
+    texts = edge_texts() + ["Çà et là, naïve 日本"]
+    docs = spark.createDataFrame(rows(texts) + [(None, "null id", None, None, None), (1, "", None, None, None)], SCHEMA).coalesce(1)
+    one, two = bpe.encode(docs, path, pattern), bpe.encode(docs, other, pattern)
+    for df, p in ((one, path), (two, other), (one, path)):
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(p), special_tokens={})
+        got = df.collect()
+        assert len(got) == len(texts) + 2
+        assert all(list(r.ids) == enc.encode_ordinary(r.text or "") for r in got)
+
+
 def test_vocabulary_with_gaps_is_refused():
     with pytest.raises(ValueError, match="gaps"):
         bpe.model_of({b"a": 0, b"b": 2})
