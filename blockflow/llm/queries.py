@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html_extract, quality_cnn, quality_rules, secrets, shard, simhash, toxicity, warc
-from .common import shared_dir, written
+from .common import new_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,19 +34,20 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
     # Parsed once: responses and revisits are both read from the narrow rows.
     rows = written(warc.reassembled(warc.read_records(spark, path)).drop("payload", "target"), "warc-records")
-    return warc.resolved(rows).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("complete"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record is incomplete")).cast("long"))
+    return warc.resolved(rows).select("page_id", whole.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 g AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS top FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM g
 """
 
 

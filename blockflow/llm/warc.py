@@ -1,21 +1,23 @@
 """WARC archives: writing with revisits and segments, reading with reassembly.
 
-Writing: each page becomes a record whose block is an HTTP response in chunked transfer
+Writing: each row becomes a record whose block is an HTTP response in chunked transfer
 framing. Of records with equal payloads of at least `least` bytes, the one with the largest id
 carries it, the rest are revisit records that refer to it. A block longer than `segment`
-bytes is cut: the first part keeps the record type, continuation records name its id as origin.
+bytes is cut: the first part keeps the record type, continuation records name its record id as
+origin. A record id is made of the page id, the payload's digest and the row's place in the table, so each row has its own.
 Records are rows of Spark's text writer with the record separator as line separator, so
 any store that Spark writes to will do, and lost tasks are written again. Files are
 compressed as a whole (gzip).
 
 Reading: whole files (small, see RECORDS_PER_FILE) are parsed by Content-Length;
 continuation records are grouped by origin id, ordered by segment number and checked
-against the total length; then chunk framing is removed. A group is the segments of one page.
+against the total length; then chunk framing is removed. A group is the segments of one row.
 
 Defined results: a null payload is empty; a null url gives no target; a null id is written as
-none and read as null; rows equal in id and payload are one record; a block with a missing segment
+none, read as null, and carries a payload only where all that have it have no id; rows that repeat an id are records
+of their own, and where several have the largest id each is a response (revisits refer to one of them); a block with a missing segment
 or wrong length, or whose framing or digest is wrong, comes back with complete = false and no
-payload; other columns are not archived; an empty table gives an empty archive, read as no rows.
+payload; other columns, whatever their names, are not archived; payloads of any length are kept whole; an empty table gives an empty archive, read as no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENT, CHUNK, RECORDS_PER_FILE = 16_384, 4_096, 1_000
+#: A file holds at most SEGMENT * RECORDS_PER_FILE bytes of blocks, some 64 MB.
+SEGMENT, CHUNK, RECORDS_PER_FILE = 16_384, 4_096, 4_000
 END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,8 +42,8 @@ DATE = "2020-01-01T00:00:00Z"
 RECORD = "kind string, record_id string, origin string, segment int, total long, page_id long, target string, digest string, refers string, block binary"
 
 
-def record_id(page: object, part: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{part}')}>"
+def record_id(row: str, part: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}:{part}')}>"
 
 
 def chunked(data: bytes, size: int = CHUNK) -> bytes:
@@ -73,24 +76,24 @@ def _record(kind: str, own: str, fields: dict[str, object], block: bytes) -> byt
     return "\r\n".join(lines).encode() + END + block
 
 
-def records_of(page: int | None, target: str | None, payload: bytes, sha1: str, refers: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page, without the separators behind them."""
+def records_of(row: str, page: int | None, target: str | None, payload: bytes, sha1: str, refers: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one row, without the separators behind them. row, refers: keys of this row and of the one it revisits."""
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
     target = None if target is None else re.sub(r"[\x00-\x20\x7f]", "%20", target)
     fields = {"WARC-Target-URI": target, "WARC-Page-ID": page, "WARC-Payload-Digest": digest}
+    own = record_id(row)
     if refers is not None:
         more = {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(refers), "Content-Type": "application/http; msgtype=response"}
-        return [_record("revisit", record_id(f"{page}:{refers}"), fields | more, HTTP)]
+        return [_record("revisit", own, fields | more, HTTP)]
     block = HTTP + chunked(payload)
     kind = {"Content-Type": "application/http; msgtype=response"}
-    own = record_id(page)
     if len(block) <= segment:
         return [_record("response", own, fields | kind, block)]
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
     out = [_record("response", own, fields | kind | {"WARC-Segment-Number": 1}, parts[0])]
     for n, part in enumerate(parts[1:], 2):
         last = {"WARC-Segment-Total-Length": len(block)} if n == len(parts) else {}
-        out.append(_record("continuation", record_id(page, n), {"WARC-Segment-Origin-ID": own, "WARC-Segment-Number": n, **last}, part))
+        out.append(_record("continuation", record_id(row, n), {"WARC-Segment-Origin-ID": own, "WARC-Segment-Number": n, **last}, part))
     return out
 
 
@@ -98,19 +101,27 @@ def write(pages: DataFrame, path: str, least: int = 1000, page_id: str = "page_i
     """Archive the pages under path."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("target"), body.alias("body")).withColumn("sha1", F.sha1("body"))
-    long = rows.where(F.octet_length("body") >= least).groupBy(F.col("sha1").alias("same"), F.octet_length("body").alias("size"))
-    carriers = long.agg(F.max("id").alias("carrier"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    long = rows.where((F.octet_length("body") >= least) & F.col("id").isNotNull()).groupBy(F.col("sha1").alias("same"), F.octet_length("body").alias("size"))
+    # The largest and the smallest place of the rows of largest id: one and the same unless rows repeat.
+    carriers = long.agg(F.max(F.struct("id", "place")).alias("top"), (-F.max(F.struct("id", (-F.col("place")).alias("place")))["place"]).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     placed = rows.join(carriers, (F.col("sha1") == F.col("same")) & (F.octet_length("body") == F.col("size")), "left")
 
     @F.pandas_udf("array<binary>")
     def records(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         whole = lambda x: None if x is None or pd.isna(x) else int(x)
+        text = lambda x: None if x is None or pd.isna(x) else x
         for part in parts:
-            yield pd.Series([records_of(whole(i), t, b, s, whole(r), segment) for i, t, b, s, r in zip(*part)], dtype=object)
-
-    refers = F.when(~F.col("id").eqNullSafe(F.col("carrier")), F.col("carrier"))
+            yield pd.Series([records_of(k, whole(i), text(t), b, s, text(r), segment) for k, i, t, b, s, r in zip(*part)], dtype=object)
+
+    # A carrier of its own is named by the payload alone, so no name depends on the order of a scan; a place tells other rows apart.
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    carrier, alone = F.concat_ws(":", F.lit("carrier"), "same", "size"), F.col("top.place") == F.col("low")
+    is_top = F.col("id").eqNullSafe(F.col("top.id")) & F.col("top").isNotNull()
+    own = F.when(is_top & alone, carrier).otherwise(F.concat_ws(":", text("place"), text("id"), "sha1"))
+    refers = F.when(F.col("top").isNotNull() & ~is_top, F.when(alone, carrier).otherwise(F.concat_ws(":", text("top.place"), text("top.id"), "sha1")))
     # Ids as text: a nullable long would reach pandas as a float.
-    lines = placed.select(F.explode(records(F.col("id").cast("string"), F.col("target"), F.col("body"), F.col("sha1"), refers.cast("string"))).alias("r"))
+    lines = placed.select(F.explode(records(own, F.col("id").cast("string"), F.col("target"), F.col("body"), F.col("sha1"), refers)).alias("r"))
     lines.select(F.col("r").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
@@ -183,8 +194,9 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, complete: revisits looked up by the record id they refer to."""
-    narrow = rows.select("record_id", "kind", "page_id", "digest", "refers", "payload_bytes", "complete").distinct()
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, complete: a row for each response and each
+    revisit, whose payload is looked up by the record id that it refers to. Archives hold a record id once."""
+    narrow = rows.select("record_id", "kind", "page_id", "digest", "refers", "payload_bytes", "complete")
     of = narrow.where("kind = 'response'").select(F.col("record_id").alias("r_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("r_bytes"), F.col("complete").alias("r_ok"))
     out = narrow.where("kind = 'revisit'").join(of, F.col("refers") == F.col("r_id"), "left")
     out = out.select("page_id", F.col("r_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", F.coalesce("r_ok", F.lit(False)).alias("complete"))

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import uuid
 
 import numpy as np
 import pytest
@@ -12,7 +11,7 @@ from blockflow.llm import html_extract as H
 from blockflow.llm import quality_cnn as Q
 from blockflow.llm import toxicity as X
 from blockflow.llm import warc as W
-from blockflow.llm.common import shared_dir
+from blockflow.llm.common import new_folder
 from tests.llm.cases import SCHEMA, prose, rows
 
 BAD = ("stupid", "worthless", "pathetic")
@@ -103,7 +102,7 @@ def pages(spark):
 
 def test_archive_round_trip(spark):
     html, df = pages(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     W.write(df, path, segment=2_048)
     records = W.read_records(spark, path)
     assert records.where("kind = 'continuation'").count() > 5
@@ -121,16 +120,32 @@ def test_archive_round_trip(spark):
 
 def test_archive_with_a_lost_segment(spark):
     _, df = pages(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     W.write(df, path, segment=2_048)
     lost = W.read_records(spark, path).where("NOT (kind = 'continuation' AND segment = 3 AND page_id IS NULL)")
     bad = W.reassembled(lost).where("NOT complete").collect()
     assert bad and all(r.payload is None for r in bad)
 
 
+def test_archive_keeps_every_row(spark):
+    long, other = "<p>" + prose(9, 6_000) + "</p>", "<p>" + prose(10, 5_000) + "</p>"
+    data = [(1, "u", long), (1, "u", long), (1, "u", other), (None, "u", long), (None, None, long + "x"), (None, None, None), (None, None, None), (2, "u", "a"), (2, "u", "a"), (3, "u", other), (3, "u", other), (0, "v", other)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in data], "page_id long, url string, html string, key int, place int").repartition(3)
+    path = new_folder(spark, "warc")
+    W.write(df, path, segment=2_048)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.complete) for r in W.resolved(W.reassembled(W.read_records(spark, path))).collect()]
+    want = []
+    for i, _, h in data:
+        b = (h or "").encode()
+        top = max((j for j, _, x in data if x == h and j is not None), default=None)
+        again = len(b) >= 1000 and i != top
+        want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top if again else None, True))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_archive_of_no_pages(spark):
     _, df = pages(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     W.write(df.limit(0), path)
     assert W.read_records(spark, path).count() == 0
 
