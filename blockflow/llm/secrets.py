@@ -1,22 +1,25 @@
 """Secret scan: fixed patterns, and novelty under a dictionary-primed zstandard model.
 
 The base kinds (assign, access, hex) are patterns. The method adds kind `novel`: a
-candidate is a run of 16 or more token characters on a line where a sensitive word
-stands in the characters before it; its marginal bytes are what the compressed context
+candidate is a run of 16 or more token characters that begins at most NEAR characters behind a sensitive
+word, on its line; its marginal bytes are what the compressed context
 grows by when the candidate is appended, with a dictionary of common identifiers primed. A
 string of words or of repeated text compresses against context and dictionary; a random
 key does not, and is reported where the marginal bytes reach RATIO of its length.
 
 Defined results: a null text is scanned as the empty text; positions are code points,
 end exclusive; overlaps between base kinds stay, novel spans overlap no base span; equal rows
-give equal spans; other columns pass through; an empty table gives an empty result.
+give equal spans; ids are not read, so they may be null or repeat; other columns pass through (one
+named `spans` is replaced); a text of any length is scanned whole, in time in proportion; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -30,8 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access key", "private_key", "private key", "credential", "bearer", "auth")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters before a candidate in which a sensitive word must stand; those around it that prime the model.
+#: Characters of a candidate at least.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Characters that may stand between a sensitive word and a candidate; those around it that prime the model.
 NEAR, AROUND = 48, 400
 RATIO = 0.7
 #: Identifiers that code and prose around secrets commonly use.
@@ -66,17 +71,20 @@ class Scanner:
         if any(w in low for w in SENSITIVE):
             found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
             taken = sorted(x[1:] for x in found)
-            found += [("novel", a, b) for a, b in self._novel(text) if not any(x < b and a < y for x, y in taken)]
+            starts, reach = [x for x, _ in taken], [0, *accumulate((y for _, y in taken), max)]
+            # The spans that begin before b end at reach[...] at the latest.
+            found += [("novel", a, b) for a, b in self._novel(text) if reach[bisect_left(starts, b)] <= a]
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
     def _novel(self, text: str) -> Iterator[tuple[int, int]]:
         end = 0
         for s in _SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(end, s.end()), min(len(text), s.end() + NEAR)):
-                if m.end() == min(len(text), s.end() + NEAR):
-                    m = CANDIDATE.match(text, m.start())  # whole, also beyond the window
+            stop = s.end() + NEAR + LEAST  # the first LEAST characters of what begins in reach
+            for m in CANDIDATE.finditer(text, max(end, s.end()), stop):
                 if "\n" in text[s.end() : m.start()]:
                     break
+                if m.end() == stop:
+                    m = CANDIDATE.match(text, m.start())  # whole, also beyond the window
                 end = m.end()
                 around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
                 if self.marginal(around, m[0]) >= self.ratio:
