@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words, as a Java and Python class body.
 SPACE = r"\x20\x09-\x0D"
+#: What a broadcast may hold.
+BROADCAST_BYTES = 20_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,6 +64,17 @@ def remove(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast where its rows, counted as text, have at most BROADCAST_BYTES; else as it is. Costs a pass over df."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def text_key(text: Column) -> Column:
+    """The name of a text: its MD5; a null text is the empty one."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() does the same, faster, where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -2,22 +2,23 @@
 
 Each text keeps, of every `window` consecutive hashes of `k` words, the smallest value.
 Two texts that share k + window - 1 = span words in a row keep a common hash, so no
-shared span is missed. Kept hashes of documents and items are joined, which leaves the
-documents with a hit. In those, hits are extended: all their k-word hashes are laid on
-diagonals (document, item, shift) and a run of span - k + 1 or more consecutive equal
-hashes is a shared span. A chance hit of one hash gives no run.
-
-An item of fewer words than `span` is one window as a whole; hashes of just that
-many words are compared for the lengths that occur.
-
-The item side is broadcast only when its counted rows are at most BROADCAST_ROWS, and the
-ids of documents with a hit likewise; beyond that the joins shuffle. Hits are aggregated
-by document before the shuffle. No group is gathered but the hit intervals of
-one document, which its length bounds.
-
-Defined results: a null or empty text has no words and no hits; null ids are matched like
-values; rows with the same item_id are one item with several texts; documents with the
-same id share the union of their hits; other columns pass by; an empty table of items
+shared span is missed. An item of fewer words than `span` is one window as a whole and keeps the hash of
+all its words; documents keep the hashes of runs of just as many words, for the lengths that occur.
+One pass over the documents joins the kept hashes, which leaves the texts with a hit. In those, hits
+are extended: all their k-word hashes are laid on diagonals (text, item text, shift) and a run of span - k + 1 or more
+consecutive equal hashes is a shared span. A chance hit of one hash gives no run.
+
+Hits belong to texts, named by their MD5, not to ids: documents of equal text share one row of work and
+get the same hits, and rows that repeat an id stay apart. Item texts are classes likewise: items of
+the same words are compared once.
+
+The item side and the texts with a hit are broadcast only where their counted bytes are at most BROADCAST_BYTES;
+beyond that the joins shuffle. Kept hashes are aggregated by document before the shuffle. No group is gathered
+but the hit intervals of one text, which its length bounds.
+
+Defined results: a null or empty text has no words and no hits; null ids are ids like others; rows with the same
+item_id are one item with several texts, and no run crosses from one to another; each row of docs gets a row of its
+own, repeated ones too; very long texts are compared whole; other columns, whatever their names, are ignored; an empty table of items
 gives no hits, an empty table of documents no rows.
 """
 
@@ -28,78 +29,81 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words_of, written
+from .common import ascii_lower, small, text_key, words_of, written
 
 #: Fixed value: the characters that are no part of a word, as a class body.
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-#: At most 40 bytes a row: no more than 20 MB are broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def item_words(text: Column) -> Column:
     return words_of(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
-def _grams(words: Column, k: int) -> Column:
-    """Hashes of all runs of k words, by position; none for fewer words."""
-    gram = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)).otherwise(F.array().cast("array<bigint>"))
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _grams(hashes: Column, k: int) -> Column:
+    """Hashes of all runs of k word hashes, by position; none for fewer words."""
+    gram = lambda i: F.xxhash64(F.slice(hashes, i, k))
+    return F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), gram)).otherwise(_none())
 
 
 def _kept(grams: Column, window: int) -> Column:
     """Winnowing: the smallest hash of each full window, each value once."""
     starts = F.sequence(F.lit(1), F.size(grams) - window + 1)
     lowest = F.transform(starts, lambda i: F.array_min(F.slice(grams, i, window)))
-    return F.when(F.size(grams) >= window, F.array_distinct(lowest)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.when(F.size(grams) >= window, F.array_distinct(lowest)).otherwise(_none())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 6, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(counts, hits). counts: doc, n_words, a row for each distinct doc id. hits: doc, item, start, stop,
-    the longest runs of shared words on each diagonal (word positions, stop exclusive)."""
+    """(rows, hits). rows: doc, key, n_words, a row for each of docs. hits: key, item, start, stop,
+    the longest runs of shared words on each diagonal (word positions, stop exclusive) of each text."""
     if not 1 <= k <= span:
         raise ValueError("k must be between 1 and span")
     window = span - k + 1
-    it = items.select(F.col(item_id).alias("item"), item_words(F.col(text)).alias("iw")).where(F.size("iw") > 0)
-    it = written(it, "items")
-    full = it.where(F.size("iw") >= span).withColumn("g", _grams(F.col("iw"), k))
-    prints = _small(written(full.select(F.explode(_kept(F.col("g"), window)).alias("h")).distinct().withColumn("hit", F.lit(True)), "item-prints"))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    it = items.select(F.col(item_id).alias("item"), hashed(item_words(F.col(text))).alias("iw")).where(F.size("iw") > 0).distinct()
+    it = written(it.withColumn("class", F.sha2(F.array_join(F.transform("iw", lambda h: h.cast("string")), ",").cast("binary"), 256)), "items")
+    classes = it.groupBy("class").agg(F.first("iw").alias("iw"))
+    full = classes.where(F.size("iw") >= span).withColumn("g", _grams(F.col("iw"), k))
+    lengths = sorted(r[0] for r in it.where(F.size("iw") < span).select(F.size("iw").alias("n")).distinct().collect())  # at most span - 1 numbers
+    whole = lambda n: classes.where(F.size("iw") == n).select("class", F.get(_grams(F.col("iw"), n), F.lit(0)).alias("h"))
+    prints = reduce(DataFrame.union, [full.select(F.explode(_kept(F.col("g"), window)).alias("h")), *(whole(n).select("h") for n in lengths)])
+    prints = small(written(prints.distinct().withColumn("hit", F.lit(True)), "item-prints"))
 
-    words = docs.select(F.col(doc_id).alias("doc"), item_words(F.col(text)).alias("dw"))
+    words = docs.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("key"), item_words(F.col(text)).alias("w"))
+    words = words.withColumn("dw", hashed(F.col("w"))).drop("w")
     # A column of its own at each step: an expression inside a lambda runs once an element.
-    kept = words.withColumn("g", _grams(F.col("dw"), k)).withColumn("m", _kept(F.col("g"), window))
-    kept = kept.select("doc", F.size("dw").cast("long").alias("n_words"), F.explode_outer("m").alias("h"))
-    seen = written(kept.join(prints, "h", "left").groupBy("doc").agg(F.max("n_words").alias("n_words"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit")), "doc-hits")
-
-    near = _small(seen.where("hit").select(F.col("doc").alias("near")))
-    again = words.join(near, F.col("doc").eqNullSafe(F.col("near")), "left_semi")
-    item_grams = _small(full.select("item", F.posexplode("g").alias("j", "h")))
-    at = again.select("doc", F.posexplode(_grams(F.col("dw"), k)).alias("i", "h"))
-    met = at.join(item_grams, "h").select("doc", "item", (F.col("i") - F.col("j")).alias("diagonal"), "i").distinct()
-    diagonal = Window.partitionBy("doc", "item", "diagonal").orderBy("i")
-    runs = met.withColumn("run", F.col("i") - F.row_number().over(diagonal)).groupBy("doc", "item", "diagonal", "run").agg(F.min("i").alias("start"), (F.max("i") + k).alias("stop"))
-    found = [runs.where(F.col("stop") - F.col("start") >= span).select("doc", "item", "start", "stop")]
-
-    lengths = sorted(r[0] for r in it.where(F.size("iw") < span).select(F.size("iw").alias("n")).distinct().collect())  # at most span - 1 numbers
+    kept = words.withColumn("row", F.monotonically_increasing_id()).withColumn("g", _grams(F.col("dw"), k)).withColumn("m", F.concat(_kept(F.col("g"), window), *(_grams(F.col("dw"), n) for n in lengths)))
+    kept = kept.select("row", "doc", "key", F.size("dw").cast("long").alias("n_words"), F.explode_outer("m").alias("h"))
+    # A row's hashes are all made by one task, so its number need not outlast the scan.
+    seen = kept.join(prints, "h", "left").groupBy("row").agg(F.first("doc").alias("doc"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
+    seen = written(seen.drop("row"), "doc-hits")
+
+    near = small(seen.where("hit").groupBy(F.col("key").alias("near")).agg(F.min("doc").alias("one")))
+    again = words.join(near, (F.col("key") == F.col("near")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi").select("key", "dw")
+    at = again.select("key", F.posexplode(_grams(F.col("dw"), k)).alias("i", "h"))
+    met = at.join(small(full.select("class", F.posexplode("g").alias("j", "h"))), "h").select("key", "class", (F.col("i") - F.col("j")).alias("diagonal"), "i").distinct()
+    diagonal = Window.partitionBy("key", "class", "diagonal").orderBy("i")
+    runs = met.withColumn("run", F.col("i") - F.row_number().over(diagonal)).groupBy("key", "class", "diagonal", "run").agg(F.min("i").alias("start"), (F.max("i") + k).alias("stop"))
+    found = [runs.where(F.col("stop") - F.col("start") >= span).select("key", "class", "start", "stop")]
     for n in lengths:
-        whole = _small(it.where(F.size("iw") == n).select("item", F.get(_grams(F.col("iw"), n), F.lit(0)).alias("h")))
-        each = words.select("doc", F.posexplode(_grams(F.col("dw"), n)).alias("start", "h"))
-        found.append(each.join(whole, "h").select("doc", "item", "start", (F.col("start") + n).alias("stop")))
-    return seen.select("doc", "n_words"), reduce(DataFrame.union, found).distinct()
+        each = again.select("key", F.posexplode(_grams(F.col("dw"), n)).alias("start", "h"))
+        found.append(each.join(small(whole(n)), "h").select("key", "class", "start", (F.col("start") + n).alias("stop")))
+    hits = written(reduce(DataFrame.union, found).distinct(), "class-hits")
+    return seen.drop("hit"), hits.join(small(it.select("class", "item")), "class").select("key", "item", "start", "stop")
 
 
 def digest(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated for every row of docs."""
-    counts, hits = decontaminate(docs, items, doc_id=doc_id, **options)
+    rows, hits = decontaminate(docs, items, doc_id=doc_id, **options)
     spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
-    per = hits.groupBy("doc").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
+    per = hits.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("item_ids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, s: F.struct(F.greatest(a["end"], s["stop"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["end"], s["start"]))).alias("n"))
-    per = per.select(F.col("doc").alias("per_doc"), F.aggregate("spans", zero, step)["n"].cast("long").alias("n_hit"), "item_ids")
-    out = counts.join(per, F.col("doc").eqNullSafe(F.col("per_doc")), "left")
+    per = written(per.select("key", F.aggregate("spans", zero, step)["n"].cast("long").alias("n_hit"), "item_ids"), "text-hits")
+    out = rows.join(small(per), "key", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(F.col("doc").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))

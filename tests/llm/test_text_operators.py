@@ -43,6 +43,19 @@ def test_decontamination(spark):
         assert out[i].contaminated == (out[i].n_hit > 0)
 
 
+def test_texts_of_an_item_and_rows_of_a_document_stay_apart(spark):
+    w, v = prose(50, 40).split(), prose(51, 40).split()
+    items = [(1, " ".join(w)), (1, " ".join(v)), (None, " ".join(w[:12])), (2, "two words"), (2, "and three words"), (2, "two words")]
+    crossing = " ".join(w[10:18] + v[18:20])  # 8 words of the first text, 2 of the second, on one diagonal
+    data = [(7, crossing), (7, " ".join(w[:11])), (7, " ".join(w[:11])), (None, "has Two words here"), (None, None), (8, " ".join(v)), (9, " ".join(v)), (10, prose(2, 15_000) + " " + " ".join(v))]
+    docs = spark.createDataFrame([(*r, 1, True) for r in data], "doc_id long, text string, key int, hit boolean").repartition(3)
+    out = decontam.digest(docs, spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, class string"))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in out.collect()), key=str)
+    named = [("" if i is None else i, t) for i, t in items]
+    want = sorted(((i, *(lambda b: (b[0], b[1], len(b[2])))(brute_hits(t, named))) for i, t in data), key=str)
+    assert got == want and (7, 10, 0, 0) in got
+
+
 def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame(rows(edge_texts()[:8]), SCHEMA)
