@@ -15,16 +15,18 @@ compared code by code. A node gives the forest of its links, not its pairs.
 
 Near copies (near_copies) have an index of their own: nodes are the values of BANDS bands of ROWS
 minima over shingles, each by a permutation of its own. First every text of a node is compared with the node's
-smallest id; then, in nodes whose texts are not all joined, each pair from different parts. A node
-of more than NODE texts is compared as pairs of blocks, so no pair is left out at any size.
+smallest id. In nodes whose texts are not all joined by that, sketches mark the texts that may have a partner in
+another part; only those get their whole sets of shingles, and the node decides every pair of parts by them, exactly.
+What leaves a node is marks, then the forest of its links, never its pairs. A node of more than NODE texts, or WEIGHT shingles,
+is compared as pairs of blocks, so no pair is left out at any size.
 
 Components: alternating large-star and small-star rounds on the forests; each
 round's edges are written to the shared folder. Nothing of document size reaches the driver.
 
-Defined results: null and empty texts and texts of white space have fingerprint 0, linked
+Defined results: null and empty texts and texts of white space have fingerprint 0 (in near_copies: no shingles), linked
 like any other; a text of fewer words than a shingle is one shingle; equal rows are one
-group; a null id is ignored when the smallest id of a group is taken; other columns
-pass by; an empty table gives an empty result.
+group; a null id is ignored when the smallest id of a group is taken; texts of any length count whole; other columns
+pass by, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,12 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, remove, written
+from .common import LOWER, UPPER, remove, text_key, written
 
 NODE, LEAF, FAN = 4096, 16, 16
 #: Pairs compared at a time; bands of an index of minima and minima of a band: texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS.
 PAIRS, BANDS, ROWS = 16_384, 24, 4
 BINS = BANDS * ROWS
+#: Shingles that the blocks of a divided node hold on average at most.
+WEIGHT = 2_000_000
 _MOVE = np.random.default_rng(42).integers(0, 2**64, (2, BINS), np.uint64) | np.array([[1], [0]], np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -237,10 +241,14 @@ def _by_node(of, names: tuple[str, ...], out: list[str]):
     """of(columns of whole nodes) for batches sorted by node: the last node waits for the next batch."""
 
     def rows_of(column: pa.Array, name: str) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS) if name == "sketch" else column.to_numpy()
+        if name == "sketch":
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+        return column.to_numpy(zero_copy_only=name != "shingles")
+
+    empty = {"sketch": np.empty((0, BINS), np.uint8), "shingles": np.empty(0, object)}
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = tuple(np.empty((0, BINS), np.uint8) if n == "sketch" else np.empty(0, np.int64) for n in names)
+        rest = tuple(empty.get(n, np.empty(0, np.int64)) for n in names)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -332,37 +340,75 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     return fps.join(named, "fp").select(doc_id, "fp", "component_id")
 
 
-def _open_pairs(least: float):
-    """Pairs (a, b) of codes of one node that are in different parts and whose sketches agree so far.
-    Of a node that is divided (other = 1), only pairs of its two blocks count."""
+def _runs(node: np.ndarray) -> Iterator[tuple[int, int]]:
+    first = _firsts(node) if len(node) else []
+    return zip(first, np.append(first, len(node))[1:])
+
+
+def _open_texts(least: float):
+    """Marks (node, code) of texts with a partner in another part whose sketch agrees so far.
+    Of a pair of blocks (other = 1) only pairs from both count."""
 
     def of(node, part, code, block, other, sketch):
-        first = _firsts(node) if len(node) else []
-        for lo, hi in zip(first, np.append(first, len(node))[1:]):
-            p, c, k, o, s = (x[lo:hi] for x in (part, code, block, other, sketch))  # sorted by part
-            x, y = [], []
+        for lo, hi in _runs(node):
+            p, k, o, s = (x[lo:hi] for x in (part, block, other, sketch))  # sorted by part
+            has = np.zeros(hi - lo, bool)
             for i, at in enumerate(np.searchsorted(p, p, "right")):
                 if at < len(p):
                     j = at + np.flatnonzero((s[at:] == s[i]).sum(axis=1) >= least * BINS)
                     j = j[(k[j] != k[i]) | (o[j] == 0)]
-                    x.append(np.full(len(j), c[i]))
-                    y.append(c[j])
-            if x:
-                x, y = np.concatenate(x), np.concatenate(y)
-                yield np.minimum(x, y), np.maximum(x, y)
-
-    return _by_node(of, ("node", "part", "code", "block", "other", "sketch"), ["a", "b"])
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, component_id (the smallest id reachable).
+                    has[j] = True
+                    has[i] |= len(j) > 0
+            if has.any():
+                yield node[lo:hi][has], code[lo:hi][has]
+
+    return _by_node(of, ("node", "part", "code", "block", "other", "sketch"), ["node", "code"])
+
+
+def _exact_links(least: float):
+    """Edges (u, v) of the forests of whole nodes: pairs of different parts, and of both blocks, of similarity `least` or more."""
+
+    def of(node, part, code, block, other, shingles):
+        for lo, hi in _runs(node):
+            p, c, k, o = (x[lo:hi] for x in (part, code, block, other))  # sorted by part
+            sets = [np.frombuffer(x, np.uint64) for x in shingles[lo:hi]]
+            size = np.array([len(x) for x in sets])
+            # An empty set stands for one shingle of its own, so runs have a start each and two empty sets are equal.
+            flat = np.unique(np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in sets]), return_inverse=True)[1]
+            held = np.maximum(size, 1)
+            start = np.concatenate([[0], np.cumsum(held)])
+
+            def found():
+                mark = np.zeros(flat.max() + 1, np.int64)
+                for i, at in enumerate(np.searchsorted(p, p, "right")):
+                    if at < len(p):
+                        own = flat[start[i] : start[i + 1]]
+                        mark[own] = 1
+                        both = np.add.reduceat(mark[flat[start[at] :]], start[at:-1] - start[at])
+                        mark[own] = 0
+                        j = at + np.flatnonzero(both / (held[i] + held[at:] - both) >= least)
+                        j = j[((k[j] != k[i]) | (o[j] == 0)) & ((size[j] == 0) == (size[i] == 0))]
+                        yield np.full(len(j), i), j
+
+            root = forest(len(p), found())
+            at = np.flatnonzero(root != np.arange(len(p)))
+            if len(at):
+                x, y = c[at], c[root[at]]
+                yield np.maximum(x, y), np.minimum(x, y)
+
+    return _by_node(of, ("node", "part", "code", "block", "other", "shingles"), ["u", "v"])
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, text_key (MD5 of the text), component_id (the smallest id reachable, null where no row
+    of the group has one), stays (whether the row is the one of its group that has the smallest id, then the smallest key).
 
     Texts that share a node are candidates: of pairs of similarity 0.8, three in a million share none (24 bands of
     4 minima). Sketches drop pairs over 0.18 below `least` (a pair at 0.8 deviates by 0.04), and the exact Jaccard
-    similarity of all `words`-word shingles decides.
+    similarity of all `words`-word shingles decides. Rows that repeat id and text stay or go together.
     """
 
-    @F.pandas_udf("code long, nodes array<long>, sketch binary")
+    @F.pandas_udf("code long, nodes array<long>, sketch binary, size int")
     def index(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
@@ -370,17 +416,18 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.7, doc_id: str
                 h = shingles_of(t, words)
                 m = minima_of(h)
                 bands = [xxhash.xxh64_intdigest(m[at : at + ROWS].tobytes(), at) for at in range(0, BINS, ROWS)]
-                out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m)))
-            yield pd.DataFrame(out, columns=["code", "nodes", "sketch"])
-
-    rows = written(docs.select(F.col(doc_id).alias("id"), index(F.col(text)).alias("b")).select("id", "b.*"), "sketches")
-    # Texts with the same shingles are one code.
-    codes = written(rows.where("id is not null").groupBy("code").agg(F.min("id").alias("rep"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")), "codes")
-    members = codes.select("code", "rep", F.explode("nodes").alias("node"))
-    hubs = members.groupBy("node").agg(F.min(F.struct("rep", "code")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.col("hub.code").alias("hub"), "n")
-    members = written(members.join(hubs, "node"), "members")
+                out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m), len(h)))
+            yield pd.DataFrame(out, columns=["code", "nodes", "sketch", "size"])
+
+    rows = written(docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), index(F.col(text)).alias("b")).select("id", "key", "b.*"), "sketches")
+    # Texts with the same shingles are one code; its first row has the smallest id, null ids last.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    codes = written(rows.groupBy("code").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "codes")
+    members = codes.select("code", "first", "size", F.explode("nodes").alias("node"))
+    hubs = members.groupBy("node").agg(F.min(F.struct("first", "code"))["code"].alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    members = written(members.drop("first", "size").join(hubs, "node"), "members")
     # Whole sets of shingles, only of codes that share a node with another.
-    reps = codes.join(members.select("code").distinct(), "code").select("code", "rep")
+    wanted = codes.join(members.select("code").distinct(), "code").select(F.col("code").alias("want"), F.col("first.id").alias("want_id"), F.col("first.key").alias("want_key"))
 
     @F.pandas_udf("code long, shingles binary")
     def set_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -388,31 +435,35 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.7, doc_id: str
             found = [shingles_of(t, words) for t in part]
             yield pd.DataFrame({"code": [_code(h) for h in found], "shingles": [h.tobytes() for h in found]})
 
-    known = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("t")).join(reps, "rep").select(F.col("code").alias("want"), "rep", set_of("t").alias("s"))
-    sets = written(known.where("want = s.code").groupBy("want").agg(F.first("rep").alias("rep"), F.first("s.shingles").alias("shingles")), "sets").withColumnRenamed("want", "code")
+    texts = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
+    known = texts.join(wanted, (F.col("key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id"))).select("want", set_of("t").alias("s"))
+    sets = written(known.where("want = s.code").groupBy(F.col("want").alias("code")).agg(F.first("s.shingles").alias("shingles")), "sets")
 
     @F.pandas_udf("boolean")
     def agrees(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], dtype=bool)
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The edges of the pairs of codes that are near copies."""
-        a, b = (sets.select(F.col("code").alias(x), F.col("rep").alias(f"r{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        good = pairs.join(a, "a").join(b, "b").where(agrees("sa", "sb")).where("ra <> rb")
-        return good.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct()
-    pairs = members.where("code <> hub").select(F.least("code", "hub").alias("a"), F.greatest("code", "hub").alias("b")).distinct()
-    edges = written(similar(pairs), "hub-links")
-    # What is still apart within a node: its pairs from different parts. Large nodes as pairs of blocks.
-    groups = written(components(edges), "hub-groups")
-    parts = members.join(groups, members["rep"] == groups["node"], "left").select(members["node"], "code", "n", F.coalesce("root", "rep").alias("part"))
+    # At most one pair a member: that with its hub.
+    pairs = members.where("code <> hub").select(F.least("code", "hub").alias("v"), F.greatest("code", "hub").alias("u")).distinct()
+    a, b = (sets.select(F.col("code").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    edges = written(pairs.join(a, "u").join(b, "v").where(agrees("su", "sv")).select("u", "v"), "hub-links")
+    # What is still apart within a node. Large nodes as pairs of blocks.
+    groups = written(components(edges), "hub-groups").withColumnRenamed("node", "code")
+    parts = members.join(groups, "code", "left").select("node", "code", "n", "weight", F.coalesce("root", "code").alias("part"))
     torn = parts.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("node")
-    apart = parts.join(torn, "node").join(codes.select("code", "sketch"), "code")
-    block, n = F.expr(f"pmod(code, ceil(n / {NODE}))").cast("long"), F.ceil(F.col("n") / NODE).cast("long")
-    apart = apart.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    apart = apart.select(F.when(F.col("n") <= NODE, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))).alias("node"), "part", "code", "block", F.when(F.col("with") == F.col("block"), 0).otherwise(1).cast("long").alias("other"), "sketch")
-    rest = apart.repartition("node").sortWithinPartitions("node", "part").mapInArrow(_open_pairs(least - 0.18), "a long, b long").distinct()
-    more = written(similar(written(rest, "open-pairs")), "open-links")
-    groups = components(edges.union(more).distinct())
-    named = codes.join(groups, codes["rep"] == groups["node"], "left").select("code", F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(named, "code", "left")
-    return out.select(F.col("id").alias(doc_id), F.coalesce("component_id", "id").alias("component_id"))
+    cuts = F.greatest(F.ceil(F.col("n") / NODE), F.ceil(F.col("weight") / WEIGHT)).cast("long")
+    apart = parts.join(torn, "node").withColumn("cuts", cuts).withColumn("block", F.expr("pmod(xxhash64(code), cuts)"))
+    apart = apart.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    unit = F.when(F.col("cuts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with")))
+    apart = apart.select(unit.alias("node"), "part", "code", "block", (F.col("with") != F.col("block")).cast("long").alias("other"))
+    apart = written(apart, "apart")
+    marks = apart.join(codes.select("code", "sketch"), "code").repartition("node").sortWithinPartitions("node", "part").mapInArrow(_open_texts(least - 0.18), "node long, code long")
+    left = apart.join(written(marks, "open-texts"), ["node", "code"]).join(sets, "code")
+    more = left.repartition("node").sortWithinPartitions("node", "part").mapInArrow(_exact_links(least), "u long, v long")
+    edges = edges.union(written(more.distinct(), "open-links")).distinct()
+    named = codes.select("code", "first").join(components(edges).withColumnRenamed("node", "code"), "code", "left").select("code", "first", F.coalesce("root", "code").alias("root"))
+    named = written(named, "named")
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    of = named.select("code", "root").join(heads, "root").select("code", "head")
+    stays = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
+    return rows.select("id", "key", "code").join(of, "code").select(F.col("id").alias(doc_id), F.col("key").alias("text_key"), F.col("head.id").alias("component_id"), stays.alias("stays"))

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 from blockflow.llm import quality_rules as Q
@@ -15,12 +16,23 @@ def brute(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat))
 
 
+def verdict(text):
+    """fail_bits by brute force."""
+    text = text or ""
+    words, chars, symbols, dup, repeat = brute(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    fails = [words < 50, 100 * repeat > 50 * words, 100 * symbols > 20 * words, 100 * upper > 40 * chars, 100 * dup > 50 * lines, chars < 2 * words, chars > 14 * words]
+    return sum(1 << k for k, f in enumerate(fails) if f)
+
+
 def test_measures_match_brute_force(spark):
     texts = edge_texts() + [prose(k, 200, 8) for k in range(6)]
     out = Q.ledger(spark.createDataFrame(rows(texts), SCHEMA)).collect()
     assert len(out) == len(texts)
     for r in out:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id]), r.doc_id
+        assert r.fail_bits == verdict(texts[r.doc_id])
         base = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
         assert bool(r.fail_bits & Q.mask("base")) == base
 

@@ -121,7 +121,7 @@ def test_near_copies_by_checked_links(spark):
             group.append(g)
     texts += [prose(200 + k, 200) for k in range(12)] + [None, "", "short one", texts[0]]
     group += list(range(10, 22)) + [30, 30, 31, 0]
-    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA), least=0.7).collect()}
     assert len(out) == len(texts)
     assert [out[i] for i in range(len(texts))] == [group.index(g) for g in group]
 
@@ -182,3 +182,40 @@ def test_divided_nodes_compare_all_pairs(spark, monkeypatch):
                 root = [min(a, b) if r == max(a, b) else r for r in root]
     out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA), least=0.8).collect()}
     assert [out[i] for i in range(40)] == root
+
+
+def test_families_that_the_hub_does_not_join(spark, monkeypatch):
+    """Copies at every distance from one text: the node decides the pairs that the hub leaves open."""
+    base = prose(78, 200).split()
+    r = random.Random(5)
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            w[r.randrange(200)] = f"y{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["", None, " "]
+    sets = [grams(t or "") for t in texts]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a or b else True
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert len(set(root)) > 5
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    for node, weight in ((4096, 2_000_000), (16, 2_000_000), (4096, 500)):
+        monkeypatch.setattr(S, "NODE", node)
+        monkeypatch.setattr(S, "WEIGHT", weight)
+        out = {x.doc_id: x.component_id for x in S.near_copies(df).collect()}
+        assert [out[i] for i in range(len(texts))] == root
+
+
+def test_stage_on_repeated_rows_and_ids(spark):
+    a, b = prose(300, 80), prose(301, 80)
+    data = [(1, a), (1, a), (1, b), (2, b), (2, prose(302, 90)), (None, a), (None, prose(303, 70)), (None, prose(303, 70)), (3, None), (4, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "g", 1) for i, t in data], "doc_id long, text string, its_id string, _gone int").repartition(3)
+    out = C.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (2, prose(302, 90)), (None, prose(303, 70)), (3, None)], key=str)
