@@ -14,8 +14,8 @@ the differences accumulated on their common masks exceed `bits`, and only the re
 compared code by code. A node gives the forest of its links, not its pairs.
 
 Near copies (near_copies) have an index of their own: nodes are the values of BANDS bands of ROWS
-minima over shingles, each by a permutation of its own. First every text of a node is compared with the node's
-smallest id. In nodes whose texts are not all joined by that, sketches mark the texts that may have a partner in
+minima over shingles, each by a permutation of its own. First every text of a node is compared with one of them,
+the node's hub. In nodes whose texts are not all joined by that, sketches mark the texts that may have a partner in
 another part; only those get their whole sets of shingles, and the node decides every pair of parts by them, exactly.
 What leaves a node is marks, then the forest of its links, never its pairs. A node of more than NODE texts, or WEIGHT shingles,
 is compared as pairs of blocks, so no pair is left out at any size.
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, remove, text_key, written
+from .common import LOWER, UPPER, remove, small, text_key, written
 
 NODE, LEAF, FAN = 4096, 16, 16
 #: Pairs compared at a time; bands of an index of minima and minima of a band: texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS.
@@ -423,21 +423,21 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
     # Texts with the same shingles are one code; its first row has the smallest id, null ids last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     codes = written(rows.groupBy("code").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "codes")
-    members = codes.select("code", "first", "size", F.explode("nodes").alias("node"))
-    hubs = members.groupBy("node").agg(F.min(F.struct("first", "code"))["code"].alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
-    members = written(members.drop("first", "size").join(hubs, "node"), "members")
+    members = codes.select("code", "size", F.explode("nodes").alias("node"))
+    hubs = members.groupBy("node").agg(F.min("code").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    members = written(members.drop("size").join(hubs, "node"), "members")
     # Whole sets of shingles, only of codes that share a node with another.
-    wanted = codes.join(members.select("code").distinct(), "code").select(F.col("code").alias("want"), F.col("first.id").alias("want_id"), F.col("first.key").alias("want_key"))
+    wanted = codes.join(members.select("code").distinct(), "code").select("code", F.col("first.id").alias("want_id"), F.col("first.key").alias("want_key"))
 
-    @F.pandas_udf("code long, shingles binary")
-    def set_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def set_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            found = [shingles_of(t, words) for t in part]
-            yield pd.DataFrame({"code": [_code(h) for h in found], "shingles": [h.tobytes() for h in found]})
+            yield pd.Series([shingles_of(t, words).tobytes() for t in part], dtype=object)
 
     texts = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
-    known = texts.join(wanted, (F.col("key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id"))).select("want", set_of("t").alias("s"))
-    sets = written(known.where("want = s.code").groupBy(F.col("want").alias("code")).agg(F.first("s.shingles").alias("shingles")), "sets")
+    # A text of that key has that code, and rows that repeat id and text are one.
+    known = texts.join(small(written(wanted, "wanted")), (F.col("key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
+    sets = written(known.select("code", set_of("t").alias("shingles")).groupBy("code").agg(F.first("shingles").alias("shingles")), "sets")
 
     @F.pandas_udf("boolean")
     def agrees(a: pd.Series, b: pd.Series) -> pd.Series:
