@@ -140,3 +140,9 @@ def se(v: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def emulation_prevention(data: Column) -> Column:
+    """A binary with a 3 put before each byte of at most 3 that follows two zeros. Bytes stand as the characters of ISO 8859-1."""
+    text = F.decode(data, "ISO-8859-1")
+    return F.encode(F.regexp_replace(text, "\\x00\\x00(?=[\\x00-\\x03])", "\x00\x00\x03"), "ISO-8859-1")

@@ -88,14 +88,6 @@ HEADER_SQL = f"""SELECT mb_id, mb_type, rpad(c, CAST(ceil(length(c) / 8.0) * 8 A
   SELECT mb_id, 1 + (ref + qp) % 4 + 4 * (cbp % 3) + 12 * (cbp % 2) + CASE WHEN intra THEN 5 ELSE 0 END AS mb_type FROM ({S.FIELD_SQL})))"""
 
 
-def coefficient_context(spark, d):
-    """Context of the coefficient count: mean of the left and upper counts, rounded up, or the one that is there."""
-    n = B.split4(F.col("px"), 8)
-    r = A.blocks(spark, d).select("vec_id", F.transform(n, lambda b: F.size(F.filter(b, lambda v: v > 200))).alias("n"))
-    at = lambda k: F.get("n", F.lit(k))
-    return r.select("vec_id", F.array(F.lit(0), at(0), at(0), F.shiftright(at(1) + at(2) + 1, 1)).alias("nc"))
-
-
 def capture_formats(spark, d):
     """Formats of each size that can be decoded, largest rate of each, by area. Event types stand for formats, users for devices."""
     e = A.table(spark, d, "events").where(F.col("event_type").isin(*PREFERENCE))
@@ -156,7 +148,6 @@ CATALOG = {
     "q_chroma_dc_quant": (chroma_dc_levels, CHROMA_LEVEL_SQL),
     "q_mode_signal": (mode_signal, MODE_SQL),
     "q_mb_header": (mb_header, HEADER_SQL),
-    "q_coefficient_context": (coefficient_context, f"SELECT vec_id, [0, n[1], n[1], CAST((n[2] + n[3] + 1)::BIGINT >> 1 AS INT)] AS nc FROM (SELECT vec_id, list_transform(range(4), lambda k: CAST(len(list_filter(range(16), lambda i: px[((k // 2) * 4 + i // 4) * 8 + (k % 2) * 4 + i % 4 + 1] > 200)) AS INT)) AS n FROM ({A.BLOCKS_SQL}))"),
     "q_capture_formats": (capture_formats, FORMATS_SQL),
     "q_capture_choice": (capture_choice, CHOICE_SQL),
     "q_refresh_wave": (refresh_wave, WAVE_SQL),
