@@ -32,3 +32,13 @@ HADAMARD = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, -1, 1), (1, -1, 1, -1))
 def two_sided(rows: tuple[tuple[int, ...], ...]) -> list[list[int]]:
     """The 16x16 matrix that applies `rows` to the columns and the rows of a 4x4 block in raster order."""
     return [[rows[u][i] * rows[v][j] for i in range(4) for j in range(4)] for u in range(4) for v in range(4)]
+
+
+# The Lagrange factor for absolute differences by QP: 1 to 18, 3 to 24, 2 to 30, 6 to 36, 8 to 42, then 10.
+LAMBDA_SAD = (*[1] * 19, *[3] * 6, *[2] * 6, *[6] * 6, *[8] * 6, *[10] * 9)
+#: The factor for transformed differences, by its formula.
+LAMBDA_SATD = tuple(max(1, int(0.85 * 2 ** ((q - 12) / 3) + 0.5)) for q in range(52))
+# Base functions (lines) at the four samples, times 4, of the encoder's own inverse transform.
+_BASE = ((4, 4, 4, 4), (4, 2, -2, -4), (4, -4, -4, 4), (4, -2, 2, -4))
+#: That transform as a 16x16 matrix, times 16: rows are samples, columns coefficients.
+INVERSE = [[_BASE[v][y] * _BASE[u][x] for v in range(4) for u in range(4)] for y in range(4) for x in range(4)]

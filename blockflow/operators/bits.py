@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from blockflow.functions import blocks as B
 from blockflow.functions import tables as T
 from blockflow.operators import blockmath as M
-from blockflow.operators.control import SMALL  # noqa: F401  the small configuration also serves tests here
 from blockflow.sources import adapters as A
 
 UE = "repeat('0', CAST(length(bin({n} + 1)) - 1 AS INT)) || bin({n} + 1)"
@@ -43,40 +42,42 @@ SELECT b.vec_id, b.blk, coalesce(levels, CAST([] AS INT[])) AS levels, coalesce(
   CAST(least(3, coalesce(big - 1, n, 0)) AS INT) AS trailing_ones FROM (SELECT DISTINCT vec_id, blk FROM z) b LEFT JOIN g ON g.vec_id = b.vec_id AND g.blk = b.blk LEFT JOIN t ON t.vec_id = b.vec_id AND t.blk = b.blk"""
 
 
-def _bytes(spark, d):
-    chars = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))).bitwiseAND(F.lit(3)))
-    return A.table(spark, d, "documents").where(F.char_length("text") >= 64).select("doc_id", chars.alias("raw"))
+_DIGITS = "translate(regexp_replace(hex(encode(coalesce(text, ''){u})), '.(.)', '{one}'{g}), '0123456789ABCDEF', '0123012301230123')"
+DIGITS_SQL = f"SELECT doc_id, {_DIGITS.format(u='', one=chr(92) + '1', g=", 'g'")} AS s FROM documents"
 
 
-def ebsp(spark, d):
-    """Emulation prevention: after two zeros a byte of at most 3 gets a 3 before it. Out: the bytes as hex and their number."""
-    zero = F.expr("named_struct('z', 0, 'out', cast(array() AS array<int>))")
+def _digits(spark, d):
+    """Every document's whole text as the last two bits of each UTF-8 byte: a byte stream of 0 to 3 that is rich in zeros."""
+    return A.table(spark, d, "documents").select("doc_id", F.expr(_DIGITS.format(u=", 'utf-8'", one="$1", g="")).alias("s"))
 
-    def add(a, v):
-        stuff = (a["z"] == 2) & (v <= 3)
-        run = F.when(v == 0, F.when(stuff, 1).otherwise(a["z"] + 1)).otherwise(0)
-        return F.struct(run.alias("z"), F.concat(a["out"], F.when(stuff, F.array(F.lit(3), v)).otherwise(F.array(v))).alias("out"))
 
-    r = _bytes(spark, d).select("doc_id", F.aggregate("raw", zero, add)["out"].alias("out"))
-    return r.select("doc_id", F.size("out").alias("n"), F.array_join(F.transform("out", lambda v: v.cast("string")), "").alias("digits"))
+def ebsp(spark, d):
+    """Emulation prevention: after two zeros a byte of at most 3 gets a 3 before it. Out: length, digest, and the room that the buffer is given."""
+    r = _digits(spark, d).withColumn("out", F.regexp_replace("s", "00(?=.)", "003"))
+    n = F.length("s")
+    return r.select("doc_id", F.length("out").alias("n"), F.md5(F.col("out").cast("binary")).alias("digest"), (n + F.greatest(F.lit(1), F.expr("length(s) div 3")) + 8).cast("int").alias("room"))
 
 
-EBSP_SQL = """WITH RECURSIVE b AS (SELECT doc_id, list_transform(range(1, 65), lambda i: CAST(ascii(substring(text, i, 1)) & 3 AS INT)) AS raw FROM documents WHERE length(text) >= 64),
-r(doc_id, i, z, digits) AS (SELECT doc_id, 0, 0, '' FROM b UNION ALL
-  SELECT r.doc_id, i + 1, CASE WHEN raw[i + 1] <> 0 THEN 0 WHEN z = 2 THEN 1 ELSE z + 1 END, digits || CASE WHEN z = 2 AND raw[i + 1] <= 3 THEN '3' ELSE '' END || CAST(raw[i + 1] AS VARCHAR) FROM r JOIN b ON b.doc_id = r.doc_id WHERE i < 64)
-SELECT doc_id, CAST(length(digits) AS INT) AS n, digits FROM r WHERE i = 64"""
+# Replaced from left to right, too; a pair of zeros at the very end gets none.
+EBSP_SQL = f"""SELECT doc_id, CAST(length(out) AS INT) AS n, md5(out) AS digest, CAST(length(s) + greatest(1, length(s) // 3) + 8 AS INT) AS room FROM (
+  SELECT doc_id, s, CASE WHEN r LIKE '%003' THEN left(r, length(r) - 1) ELSE r END AS out FROM (SELECT doc_id, s, replace(s, '00', '003') AS r FROM ({DIGITS_SQL})))"""
 
 
 def nal_split(spark, d):
-    """Units between start codes of a digit stream (001 marks one; a zero before it belongs to the code)."""
-    r = _bytes(spark, d).select("doc_id", F.array_join(F.transform("raw", lambda v: v.cast("string")), "").alias("s"))
-    parts = F.split("s", "0{2,}1")
-    r = r.select("doc_id", F.posexplode(F.when(F.size(parts) > 1, F.slice(parts, 2, F.size(parts))).otherwise(F.array().cast("array<string>"))).alias("nal_idx", "unit"))
-    return r.select("doc_id", "nal_idx", F.length("unit").alias("length"), F.when(F.length("unit") > 0, F.substring("unit", 1, 1).cast("int").bitwiseAND(F.lit(31))).alias("nal_type"))
+    """Units between start codes of a digit stream (001 marks one; zeros before it belong to the code): offset, length, type."""
+    r = _digits(spark, d).withColumn("codes", F.regexp_extract_all("s", F.lit("(0{2,}1)"), F.lit(1)))
+    r = r.withColumn("u", F.split("s", "0{2,}1")).withColumn("u", F.when(F.size("codes") > 0, F.col("u")).otherwise(F.array(F.lit(""))))
+    # What stands before a unit: the text before the first code, then pairs of code and unit.
+    r = r.select("doc_id", F.length(F.element_at("u", 1)).alias("head"), F.posexplode(F.arrays_zip("codes", F.slice("u", 2, F.size("codes")).alias("unit"))).alias("nal_idx", "z"))
+    w = Window.partitionBy("doc_id").orderBy("nal_idx")
+    r = r.select("doc_id", "nal_idx", "head", F.length("z.codes").alias("n_code"), F.col("z.unit").alias("unit"))
+    end = F.col("head") + F.sum(F.col("n_code") + F.length("unit")).over(w)
+    return r.select("doc_id", "nal_idx", (end - F.length("unit")).cast("int").alias("start"), F.length("unit").alias("length"), F.when(F.length("unit") > 0, F.substring("unit", 1, 1).cast("int").bitwiseAND(F.lit(31))).alias("nal_type"))
 
 
-NAL_SQL = """SELECT doc_id, CAST(k - 2 AS INT) AS nal_idx, CAST(length(u) AS INT) AS length, CASE WHEN length(u) > 0 THEN CAST(u[1] AS INT) & 31 END AS nal_type FROM (
-  SELECT doc_id, unnest(p) AS u, unnest(range(1, CAST(len(p) + 1 AS BIGINT))) AS k FROM (SELECT doc_id, string_split_regex(array_to_string(list_transform(range(1, 65), lambda i: CAST(ascii(substring(text, i, 1)) & 3 AS VARCHAR)), ''), '0{2,}1') AS p FROM documents WHERE length(text) >= 64)) WHERE k > 1"""
+# The first number of a unit is the length of all that stands before it: what a split of the text so far would leave.
+NAL_SQL = f"""SELECT doc_id, CAST(k - 2 AS INT) AS nal_idx, CAST(sum(length(u) + c) OVER (PARTITION BY doc_id ORDER BY k) - length(u) AS INT) AS start, CAST(length(u) AS INT) AS length, CASE WHEN length(u) > 0 THEN CAST(u[1] AS INT) & 31 END AS nal_type FROM (
+  SELECT doc_id, unnest(p) AS u, unnest(range(1, CAST(len(p) + 1 AS BIGINT))) AS k, unnest(list_concat([0], list_transform(regexp_extract_all(s, '0{{2,}}1'), lambda x: length(x)))) AS c FROM (SELECT doc_id, s, string_split_regex(s, '0{{2,}}1') AS p FROM ({DIGITS_SQL}))) QUALIFY k > 1"""
 
 
 def _field(spark, d):
@@ -148,16 +149,23 @@ def scene_change(spark, d):
     return f.select("frame_idx", "n_intra", (F.col("n_intra") * 2 > F.col("n")).alias("scene_change"))
 
 
+#: Frames that are carried through together; only the last known value of each such segment passes on.
+SEGMENT = 4096
+
+
 def motion_complexity(spark, d):
-    """Mean integer motion of the inter macroblocks over 16, in [0, 1]; carried where a frame has none. The window runs over frames of a segment of 64."""
+    """Mean integer motion of the inter macroblocks over 16, in [0, 1]; carried on where a frame has none, however long that lasts."""
     m = F.when(~F.col("intra"), F.shiftright(F.greatest(F.abs("mvx"), F.abs("mvy")), 2))
-    f = _field(spark, d).groupBy("frame_idx").agg(F.avg(m).alias("m"))
-    w = Window.partitionBy(F.expr("frame_idx div 64")).orderBy("frame_idx")
-    c = F.least(F.lit(1.0), F.col("m") / 16)
-    return f.select("frame_idx", F.round(F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0)), 9).alias("motion"))
+    f = _field(spark, d).groupBy("frame_idx").agg(F.least(F.lit(1.0), F.avg(m) / 16).alias("c")).withColumn("segment", F.expr(f"frame_idx div {SEGMENT}"))
+    last = f.where("c IS NOT NULL").groupBy("segment").agg(F.max_by("c", "frame_idx").alias("c"))
+    # One row a segment: what the segments before leave behind.
+    last = f.select("segment").distinct().join(last, "segment", "left").withColumn("before", F.last("c", ignorenulls=True).over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.last("c", ignorenulls=True).over(Window.partitionBy("segment").orderBy("frame_idx"))
+    f = f.withColumn("own", own).join(last.select("segment", "before"), "segment")
+    return f.select("frame_idx", F.round(F.coalesce("own", "before", F.lit(0.0)), 9).alias("motion"))
 
 
-MOTION_SQL = f"""SELECT frame_idx, round(coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY frame_idx // 64 ORDER BY frame_idx), 0.0), 9) AS motion FROM (
+MOTION_SQL = f"""SELECT frame_idx, round(coalesce(last_value(c IGNORE NULLS) OVER (ORDER BY frame_idx), 0.0), 9) AS motion FROM (
   SELECT frame_idx, least(1.0, avg(greatest(abs(mvx), abs(mvy)) >> 2) FILTER (WHERE NOT intra) / 16) AS c FROM ({FIELD_SQL}) GROUP BY frame_idx)"""
 
 
@@ -167,20 +175,6 @@ def row_stats(spark, d):
     return f.groupBy("frame_idx", "row").agg(n(F.col("intra")).alias("n_intra"), n(~F.col("intra") & F.col("skip")).alias("n_skip"), n(~F.col("intra") & ~F.col("skip")).alias("n_inter"))
 
 
-def boundary_strength(spark, d):
-    """Left-edge strength: 4 beside intra on a macroblock edge, 2 with coefficients, 1 where reference or motion differ, else 0."""
-    w = Window.partitionBy("frame_idx", "row").orderBy("col")
-    f = _field(spark, d)
-    left = lambda c: F.lag(c).over(w)
-    f = f.select("*", left("intra").alias("li"), left("cbp").alias("lc"), left("ref").alias("lr"), left("mvx").alias("lx"), left("mvy").alias("ly")).where("col > 0")
-    bs = F.expr("CASE WHEN intra OR li THEN 4 WHEN cbp <> 0 OR lc <> 0 THEN 2 WHEN ref <> lr OR abs(mvx - lx) >= 4 OR abs(mvy - ly) >= 4 THEN 1 ELSE 0 END")
-    return f.select("mb_id", bs.alias("bs"), F.expr("(qp + 1) div 1").cast("int").alias("qp1"))
-
-
-BS_SQL = f"""SELECT m.mb_id, CASE WHEN m.intra OR l.intra THEN 4 WHEN m.cbp <> 0 OR l.cbp <> 0 THEN 2 WHEN m.ref <> l.ref OR abs(m.mvx - l.mvx) >= 4 OR abs(m.mvy - l.mvy) >= 4 THEN 1 ELSE 0 END AS bs, m.qp + 1 AS qp1
-  FROM ({FIELD_SQL}) m JOIN ({FIELD_SQL}) l ON l.frame_idx = m.frame_idx AND l.row = m.row AND l.col = m.col - 1"""
-
-
 def _samples(spark, d):
     order = Window.partitionBy("stream_id").orderBy("seq")
     return A.feedback(spark, d).select("stream_id", "seq", F.floor(F.col("rtt_ms") * 90).cast("long").alias("step"), (F.col("pli") | F.col("fir") | (F.col("seq") == 0)).alias("idr")).withColumn("ticks", F.sum("step").over(order))
@@ -294,7 +288,6 @@ CATALOG = {
     "q_scene_change": (scene_change, f"SELECT frame_idx, count(*) FILTER (WHERE intra) AS n_intra, count(*) FILTER (WHERE intra) * 2 > count(*) AS scene_change FROM ({FIELD_SQL}) GROUP BY frame_idx"),
     "q_motion_complexity": (motion_complexity, MOTION_SQL),
     "q_row_stats": (row_stats, f"SELECT frame_idx, row, count(*) FILTER (WHERE intra) AS n_intra, count(*) FILTER (WHERE NOT intra AND skip) AS n_skip, count(*) FILTER (WHERE NOT intra AND NOT skip) AS n_inter FROM ({FIELD_SQL}) GROUP BY frame_idx, row"),
-    "q_boundary_strength": (boundary_strength, BS_SQL),
     "q_mp4_durations": (mp4_durations, f"SELECT stream_id, seq, duration FROM ({DURATIONS_SQL})"),
     "q_stts_rle": (stts_rle, STTS_SQL),
     "q_sync_samples": (sync_samples, f"SELECT stream_id, seq + 1 AS sample_number FROM ({SAMPLES_SQL}) WHERE idr"),

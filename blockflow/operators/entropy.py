@@ -227,8 +227,7 @@ def p_headers(spark, d):
     """Headers of inter macroblocks of every shape, with one to three references."""
     r = A.macroblocks(spark, d).select("mb_id", *[F.get("parts", F.lit(k)).alias(f"px{k}") for k in range(4)], (F.col("mb_id") % 4).cast("int").alias("shape"), (F.col("mb_id") % 3 + 1).cast("int").alias("refs"))
     r = r.selectExpr("mb_id", "shape", "refs", *_FIELD_COLUMNS.format(o=0).replace("[0 + ", "[").split(", "))
-    r.createOrReplaceTempView("p_header_fields")
-    return spark.sql(_P_SQL.format(source="SELECT * FROM p_header_fields"))
+    return spark.sql(_P_SQL.format(source="SELECT * FROM {rows}"), rows=r)
 
 
 _P_FIELDS_SQL = f"SELECT mb_id, shape, refs, {_FIELD_COLUMNS.format(o=1)} FROM (SELECT mb_id, CAST(mb_id % 4 AS INT) AS shape, CAST(mb_id % 3 + 1 AS INT) AS refs, px[1:64] AS px0, px[65:128] AS px1, px[129:192] AS px2, px[193:256] AS px3 FROM ({A.MACROBLOCKS_SQL}))"
@@ -247,8 +246,7 @@ def slice_header(spark, d):
     """Headers of two slices a picture: I in an IDR, else P with one or two references; filter control 0, 1 and 2."""
     g = S.gop(spark, d).withColumn("idr", F.col("n_refs") == 0).withColumn("first_mb", F.explode(F.array(F.lit(0), F.lit(300))))
     g = g.withColumn("qp_delta", (F.col("seq") % 21 - 10).cast("int")).withColumn("filter_idc", (F.col("seq") % 3).cast("int"))
-    g.createOrReplaceTempView("slice_header_fields")
-    return spark.sql(_SLICE_SQL.format(source="SELECT * FROM slice_header_fields"))
+    return spark.sql(_SLICE_SQL.format(source="SELECT * FROM {rows}"), rows=g)
 
 
 _SLICE_FIELDS_SQL = f"SELECT *, n_refs = 0 AS idr, unnest([0, 300]) AS first_mb, CAST(seq % 21 - 10 AS INT) AS qp_delta, CAST(seq % 3 AS INT) AS filter_idc FROM ({S.GOP_SQL})"
@@ -286,8 +284,7 @@ def units(rows):
 def parameter_sets(spark, d):
     """Sequence and picture parameter sets and recovery points as units of the byte stream. Parts stand for configurations."""
     p = A.table(spark, d, "part").selectExpr("p_partkey AS id", "cast(p_partkey % 40 + 1 as int) * 16 AS w", "cast(p_partkey % 30 + 1 as int) * 16 AS h", "cast(p_partkey % 8 as int) * 2 AS cut", "cast(31 + p_partkey % 2 as int) AS level", "cast(p_partkey % 2 + 1 as int) AS refs", "cast(p_partkey % 52 as int) AS qp", "p_partkey % 3 = 0 AS constrained", "cast(p_partkey % 600 as int) AS recovery")
-    p.selectExpr("*", "w - cut AS dw", "h - cut AS dh").createOrReplaceTempView("parameter_set_fields")
-    return units(spark.sql(_units_sql("SELECT * FROM parameter_set_fields", "div"))).select("id", "kind", "unit")
+    return units(spark.sql(_units_sql("SELECT * FROM {rows}", "div"), rows=p.selectExpr("*", "w - cut AS dw", "h - cut AS dh"))).select("id", "kind", "unit")
 
 
 _PARTS_SQL = "SELECT *, w - cut AS dw, h - cut AS dh FROM (SELECT p_partkey AS id, CAST(p_partkey % 40 + 1 AS INT) * 16 AS w, CAST(p_partkey % 30 + 1 AS INT) * 16 AS h, CAST(p_partkey % 8 AS INT) * 2 AS cut, CAST(31 + p_partkey % 2 AS INT) AS level, CAST(p_partkey % 2 + 1 AS INT) AS refs, CAST(p_partkey % 52 AS INT) AS qp, p_partkey % 3 = 0 AS constrained, CAST(p_partkey % 600 AS INT) AS recovery FROM part)"

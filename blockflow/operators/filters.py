@@ -119,12 +119,6 @@ RANKING_SQL = f"""SELECT CASE WHEN margin = 0 THEN 0 WHEN margin < 8 THEN 1 WHEN
     SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sad, mode) AS rs, row_number() OVER (PARTITION BY vec_id ORDER BY satd, mode) AS rt FROM ({P.INTRA_SQL})) GROUP BY vec_id) GROUP BY margin_bucket"""
 
 
-def skip_gate(spark, d):
-    """A block pair is skipped when its SAD is small and its squared error is under a QP-scaled gate in [768, 8192]."""
-    r = A.pairs(spark, d).select("vec_id", B.sad(F.col("a"), F.col("b")).alias("sad"), B.ssd(F.col("a"), F.col("b")).alias("sse"), (F.col("vec_id") % 52).cast("int").alias("qp"))
-    return r.select("vec_id", ((F.col("sad") <= 1536) & (F.col("sse") <= B.clamp(F.col("qp") * F.col("qp") * 4, 768, 8192))).alias("skipped"))
-
-
 def search_range(spark, d):
     """Motion range from macroblock variance: below 64 gives 8, below 512 gives 16, else 32."""
     return M.mb_variance(spark, d).select("mb_id", F.when(F.col("variance") < 64, 8).when(F.col("variance") < 512, 16).otherwise(32).alias("range"))
@@ -136,6 +130,5 @@ CATALOG = {
     "q_presets": (presets, PRESETS_SQL),
     "q_perf_gate": (perf_gate, PERF_SQL),
     "q_ranking_agreement": (ranking_agreement, RANKING_SQL),
-    "q_skip_gate": (skip_gate, f"SELECT vec_id, sad <= 1536 AND sse <= greatest(768, least(8192, qp * qp * 4)) AS skipped FROM (SELECT vec_id, CAST(vec_id % 52 AS INT) AS qp, list_sum(list_transform(range(64), lambda i: abs(a[i + 1] - b[i + 1]))) AS sad, list_sum(list_transform(range(64), lambda i: (a[i + 1] - b[i + 1]) ** 2)) AS sse FROM ({A.PAIRS_SQL}))"),
     "q_search_range": (search_range, f"SELECT mb_id, CASE WHEN variance < 64 THEN 8 WHEN variance < 512 THEN 16 ELSE 32 END AS range FROM ({M.MB_VARIANCE_SQL})"),
 }
