@@ -1,18 +1,27 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model over all texts of the table is counted on the executors (at most
-64^3 numbers reach the driver). Words that look disguised, by digits or signs inside them
-(leetspeak), by letters set apart, or by letters repeated, become lattices: each position
-offers the letters that the channel could have turned into the character seen, at a cost. A
-Viterbi decode over the lattice finds the likeliest plain word under channel and language model.
+64^3 numbers reach the driver). A text's characters form lattices: a sign offers the letters that it may stand for
+(leetspeak), a letter that repeats the one before may be left out (repetition), and a space or separator may be kept, as a
+boundary between words, or left out (spacing), each at a cost. A Viterbi decode finds the likeliest text under channel and
+language model:
+
+* a word whose lattice has more than one path, that is with a sign, a separator or a doubled letter, is decoded by itself,
+  every other word has only itself; lattices of letters alone have few paths, which are weighed many words at a time;
+* three or more single characters in a row are decoded as one lattice, whose spaces are kept or left out, so words apart
+  letter by letter come back as words;
+* any other space is weighed by what its two ways cost under the model (split words); where leaving it out is likelier,
+  the joined word is added, and decoded like any word.
+
 The restored text is then scored by logistic regression over its words and word beginnings.
 
 The classifier is fitted on at most `fit_rows` labelled rows, those of smallest hashed
-id; the language model and the scoring cover every text whole.
+id, and at most FIT_BYTES of their words; the language model and the scoring cover every text whole.
 
 Defined results: null and empty texts get the score of a text without features; an
 unlabelled table gives score 0 everywhere; repeated rows get equal scores; a label row
-occurring twice counts once; null labels are left out; other columns pass by; an empty table
+occurring twice counts once, as does a document whose id repeats; null labels and labels of null ids are left out; a document
+with a null id is scored like any other; other columns pass through (one named `score` is replaced); an empty table
 gives an empty result.
 """
 
@@ -22,31 +31,48 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import product
+from math import prod
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the sample that the classifier is fitted on, and of the words a worker remembers.
-FIT_ROWS, CACHE = 5_000, 300_000
+from .common import unused, written
+
+#: Bounds of the sample that the classifier is fitted on, and of the words that one generation of a worker's memory holds.
+FIT_ROWS, FIT_BYTES, CACHE = 5_000, 64_000_000, 300_000
 #: Characters of the language model: 0 is any other, then a-z, then the letters from U+00DF to U+00FF.
 ALPHABET = 64
 #: What each sign may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Channel costs in nats: a sign for a letter, a dropped separator, a dropped repetition.
-SWAP, DROP, REPEAT = 1.0, 0.5, 2.0
+#: Channel costs in nats: a sign for a letter, a dropped separator, a kept one, a dropped repetition, a dropped space between words.
+SWAP, DROP, KEEP, REPEAT, JOIN = 1.0, 0.5, 3.0, 2.0, 4.0
 _SIGNS = re.escape("".join(LEET))
 _L = "a-zß-ÿ"
-_DISGUISED = re.compile(rf"(?<!\S)(?=\S*[{_L}])[{_L}{_SIGNS}*._-]*(?:[{_L}][{_SIGNS}*._-]+(?=[{_L}])|(?<!\S)[{_SIGNS}]+(?=[{_L}])|([{_L}])\1\1)[{_L}{_SIGNS}*._-]*[.,!?]*(?!\S)")
-_APART = re.compile(rf"(?<!\S)[{_L}{_SIGNS}](?:[ ._*-][{_L}{_SIGNS}]){{3,}}[.,!?]?(?!\S)")
+_MARKS = "._*-"
+#: A word whose lattice has more than one path, and which has a letter.
+_DISGUISED = re.compile(rf"(?=.*[{_L}])(?:.*[{_SIGNS}{re.escape(_MARKS)}]|.*(.)\1)", re.DOTALL)
+_SIGNED = re.compile(rf"[{_SIGNS}{re.escape(_MARKS)}]")
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_APART = re.compile(rf"(?<!\S)[{_L}{_SIGNS}](?:[ {re.escape(_MARKS)}][{_L}{_SIGNS}]){{2,}}[.,!?]*(?!\S)")
+_SPLIT = re.compile(rf"[{re.escape(_MARKS)}]+")
+#: Paths of a lattice of letters that are listed; one of more is decoded step by step. Characters taken at a time.
+PATHS, TAKE = 16, 500_000
+_END = ".,!?;:"
 _TRIM = ".,;:!?\"'()[]{}<>*#%&$|-_"
 
 
+_CODE = np.zeros(0x110000, np.int16)
+_CODE[0x61:0x7B] = np.arange(1, 27)
+_CODE[0xDF:0x100] = np.arange(27, 60)
+
+
 def _codes(text: str) -> np.ndarray:
-    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((u >= 97) & (u <= 122), u - 96, np.where((u >= 0xDF) & (u <= 0xFF), u - 0xDF + 27, 0))
+    return _CODE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,38 +93,40 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Channel:
-    """Restores disguised words. logp: negative log-probabilities of the third character of each trigram."""
+    """Restores disguised words. cost: negative log-probabilities of the third character of each trigram."""
 
     def __init__(self, counts: np.ndarray):
         c = counts.reshape(ALPHABET, ALPHABET, ALPHABET).astype(np.float64) + 0.01
-        self.cost = (-np.log(c / c.sum(axis=2, keepdims=True))).tolist()
-        self.known: dict[str, str] = {}
+        table = -np.log(c / c.sum(axis=2, keepdims=True))
+        self.cost, self.flat = table.tolist(), table.reshape(-1).astype(np.float32)
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def _arcs(self, c: str, before: str) -> list[tuple[str, float]]:
-        """What a character may stand for: (letter or nothing, channel cost)."""
+        """What a character may stand for: (letter, space or nothing, channel cost)."""
         arcs = [(x, SWAP) for x in LEET.get(c, "")]
+        if c == " ":
+            return [("", DROP), (" ", 0.0)]
+        if c in _MARKS:
+            return [("", DROP), (" ", KEEP)]
         if c.isalpha():
             arcs.append((c, 0.0))
-            if c == before:
-                arcs.append(("", REPEAT))
-        elif c in " ._*-":
-            arcs.append(("", DROP))
-        elif c == before:
+        if c == before:
             arcs.append(("", REPEAT))
         return arcs or [("", DROP)]
 
     def decode(self, token: str) -> str:
-        """The likeliest plain word: Viterbi over states of the last two letters."""
+        """The likeliest plain text: Viterbi over states of the last two characters, a space among them."""
         code = lambda x: int(_codes(x)[0])
-        # A state's way is a chain of links (letter, chain before), so a token of any length costs time in proportion.
+        # A state's way is a chain of links (character, chain before), so a token of any length costs time in proportion.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for ch in token:
+            arcs = [(x, channel, code(x) if x else -1) for x, channel in self._arcs(ch, before)]
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, way) in states.items():
-                for letter, channel in self._arcs(ch, before):
+                for letter, channel, z in arcs:
                     if letter:
-                        z = code(letter)
                         key, value = (b, z), cost + channel + self.cost[a][b][z]
                     else:
                         key, value = (a, b), cost + channel
@@ -112,19 +140,102 @@ class Channel:
             out.append(letter)
         return "".join(reversed(out))
 
-    def _plain(self, m: re.Match) -> str:
-        seen = m[0]
-        core = seen.rstrip(".,!?")
-        if core not in self.known:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.known[core] = self.decode(core)
-        return self.known[core] + seen[len(core) :]
-
-    def restore(self, text: str) -> str:
-        """The lower-cased text with its disguised words decoded."""
-        low = text.lower()
-        return _DISGUISED.sub(self._plain, _APART.sub(self._plain, low))
+    def listed(self, words: list[str]) -> list[str]:
+        """The likeliest plain word of each lattice of letters alone: the lengths of its runs are all its choices."""
+        texts, drops, owner = [], [], []
+        for k, w in enumerate(words):
+            parts, runs, at = [], [], 0
+            for m in _RUN.finditer(w):
+                parts.append(w[at : m.start()])
+                runs.append(m[0])
+                at = m.end()
+            for cut in product(*(range(len(r)) for r in runs)):
+                texts.append("".join(x for p, r, d in zip(parts, runs, cut) for x in (p, r[d:])) + w[at:])
+                drops.append(sum(cut))
+                owner.append(k)
+        if not texts:
+            return []
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        c = _codes("  " + "  ".join(texts) + " ")
+        cost = self.flat[(c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:]].astype(np.float64)
+        # Position of each text's first letter among the trigrams' last ones, and the one behind its closing space.
+        start = np.cumsum(size + 2) - (size + 2)
+        running = np.concatenate([[0.0], np.cumsum(cost)])
+        total = running[start + size + 1] - running[start] + REPEAT * np.array(drops)
+        owner = np.array(owner)
+        order = np.lexsort((np.array(drops), np.round(total, 9), owner))
+        return [texts[i] for i in order[np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))]]
+
+    def _learn(self, words: set[str]) -> None:
+        """Afterwards each of the words is in the young generation, with its decoded form (of one with signs or separators, its pieces too)."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > CACHE:
+            self.old, self.young, new = self.young, {}, words
+        met = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in met)
+        few: list[str] = []
+        for w in new.difference(met):
+            core = w.strip(_END + _MARKS)
+            if not _DISGUISED.match(core):
+                self.young[w] = w
+            elif _SIGNED.search(core) or prod(len(m[0]) for m in _RUN.finditer(core)) > PATHS:
+                self.young[w] = " ".join(dict.fromkeys([self.decode(core), *_SPLIT.split(core)]))
+            else:
+                few.append(w)
+        self.young.update(zip(few, self.listed([w.strip(_END + _MARKS) for w in few])))
+
+    def joined(self, text: str) -> list[str]:
+        """Words that were split by a space which is likelier left out. text is lower-case, with one space between words."""
+        c = _codes(f"  {text}  ")
+        at = np.flatnonzero((c[2:-2] == 0) & (c[1:-3] > 0) & (c[3:-1] > 0)) + 2
+        if not len(at):
+            return []
+        a, b, x, y = c[at - 2], c[at - 1], c[at + 1], c[at + 2]
+        end, start = (a * ALPHABET + b) * ALPHABET, x * ALPHABET + y
+        # Costs of what ends a word and of what begins one, and of the join of both.
+        kept = self.flat[end] + self.flat[b * ALPHABET**2 + x] + self.flat[start]
+        left_out = self.flat[end + x] + self.flat[b * ALPHABET**2 + start]
+        out, last = [], -1
+        for g in (at[left_out + JOIN < kept] - 2).tolist():
+            if text[g] != " ":  # some other character that is no letter
+                continue
+            stop = text.find(" ", g + 1)
+            stop = len(text) if stop < 0 else stop
+            if last == g:  # the word before was joined to the left, too
+                out[-1] += text[g + 1 : stop]
+            else:
+                out.append(text[text.rfind(" ", 0, g) + 1 : g] + text[g + 1 : stop])
+            last = stop
+        return out
+
+    def seen(self, text: str) -> set[str]:
+        """The words of a text, those joined, and those apart letter by letter."""
+        low = " ".join(text.lower().split())
+        found = set(low.split(" "))
+        found.update(self.joined(low))
+        for m in _APART.finditer(low):
+            run = m[0].rstrip(_END)
+            found.update(self.decode(run).split())
+            found.add(_SPLIT.sub("", run.replace(" ", "")))
+        return found
+
+    def restored(self, texts: list[str]) -> Iterator[set[str]]:
+        """The words of each restored text."""
+        group, size = [], 0
+        for k, t in enumerate(texts):
+            group.append(self.seen(t))
+            size += len(t)
+            if size >= TAKE or k == len(texts) - 1:
+                self._learn(set().union(*group))
+                for found in group:
+                    out = set(map(self.young.__getitem__, found))
+                    apart = [w for w in out if " " in w]
+                    out.update(x for w in apart for x in w.split())
+                    yield out.difference(apart)
+                group, size = [], 0
+
+    def words(self, text: str) -> set[str]:
+        return next(self.restored([text]))
 
 
 def features_of(word: str) -> list[str]:
@@ -137,26 +248,24 @@ class Model:
     """Logistic regression over the presence of features."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+        self.weights, self.bias = weights, bias
+        # A feature is the beginning of a word, or the whole of a short one.
+        self.starts = {f.rstrip("~")[:k] for f in weights for k in (3, 4)}
 
-    def score(self, text: str) -> float:
+    def score(self, words: set[str]) -> float:
         found: set[str] = set()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(text.split()):
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = tuple(f for f in features_of(w) if f in self.weights)
-            if hit:
-                found.update(hit)
+        for w in words:
+            if w[:4] in self.starts:
+                found.update(f for f in features_of(w) if f in self.weights)
+            elif w[:1] in _TRIM:
+                found.update(f for f in features_of(w) if f in self.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(map(self.weights.__getitem__, sorted(found)))))))
 
 
-def fit(rows: list[tuple[str, int]], least: int = 4, steps: int = 600) -> Model:
-    """Fit on (restored text, label) pairs. Equal texts count once; a feature needs `least` texts of label 1."""
-    rows = sorted(set(rows))
-    sets = [({f for w in set(t.split()) for f in features_of(w)}, y) for t, y in rows]
+def fit(rows: list[tuple[frozenset[str], int]], least: int = 4, steps: int = 600) -> Model:
+    """Fit on (restored words, label) pairs. Equal ones count once; a feature needs `least` texts of label 1."""
+    rows = sorted(set(rows), key=lambda r: (sorted(r[0]), r[1]))
+    sets = [({f for w in words for f in features_of(w)}, y) for words, y in rows]
     n1 = sum(y for _, y in sets)
     if not 0 < n1 < len(sets):
         return Model({}, 30.0 if n1 else -30.0)
@@ -184,30 +293,46 @@ def fit(rows: list[tuple[str, int]], least: int = 4, steps: int = 600) -> Model:
     return Model({f: float(v) for f, v in zip(names, w) if v > 0.05}, b)
 
 
+_channels: dict[str, Channel] = {}
+
+
+def channel_of(key: str, shared) -> Channel:
+    """The worker's channel for those counts (by their digest); it outlives tasks, and only the last one stays."""
+    if key not in _channels:
+        _channels.clear()
+        _channels[key] = Channel(shared.value)
+    return _channels[key]
+
+
 def scores(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs with `score`. labels (doc_id, label) count only where `train`, a column over its doc_id, holds."""
     spark = docs.sparkSession
     counts = np.zeros(ALPHABET**3, np.int64)
     for code, n in trigram_counts(docs, text).collect():  # at most ALPHABET^3 rows
         counts[code] = n
-    shared = spark.sparkContext.broadcast(counts)
-
-    sample = labels.where(train & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_y")).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
+    shared, key = spark.sparkContext.broadcast(counts), sha256(counts.tobytes()).hexdigest()
+    low = lambda n: unused(n, docs.columns, labels.columns)
+    y, w = low("label_"), low("words_")
+    sample = labels.where(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias(y)).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
     picked = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # fit_rows rows are broadcast
 
     @F.pandas_udf("string")
     def restored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        channel = Channel(shared.value)
+        channel = channel_of(key, shared)
         for part in parts:
-            yield pd.Series([" ".join(sorted(set(channel.restore(t or "").split()))) for t in part], dtype=object)
+            yield pd.Series([" ".join(sorted(w)) for w in channel.restored([t or "" for t in part])], dtype=object)
 
-    model = fit([(t, int(y)) for t, y in picked.select(restored(F.col(text)), "_y").toLocalIterator()])
+    # One row an id, then as many of the smallest hashes as the bytes allow: a window over fit_rows rows at most.
+    picked = written(picked.select(doc_id, y, restored(F.col(text)).alias(w)).groupBy(doc_id).agg(F.max(y).alias(y), F.min(w).alias(w)), "fit-rows")
+    so_far = F.sum(F.octet_length(w)).over(Window.orderBy(F.xxhash64(doc_id), doc_id))
+    picked = picked.withColumn(low("bytes_"), so_far).where(F.col(low("bytes_")) <= FIT_BYTES)
+    model = fit([(frozenset(t.split()), int(v)) for t, v in picked.select(w, y).toLocalIterator()])
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        channel, own = Channel(shared.value), Model(weights, bias)
+        channel, own = channel_of(key, shared), Model(weights, bias)
         for part in parts:
-            yield pd.Series([own.score(channel.restore(t or "")) for t in part], dtype=float)
+            yield pd.Series([own.score(w) for w in channel.restored([t or "" for t in part])], dtype=float)
 
     return docs.withColumn("score", score(F.col(text)))

@@ -1,7 +1,9 @@
 """Classifiers on held-out rows, archives by round trip, page text by construction."""
 
 import hashlib
+import itertools
 import random
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -49,6 +51,70 @@ def test_toxicity_edge_tables(spark, toxic):
     assert X.scores(docs.limit(3), labels.limit(0), F.lit(True)).where("score > 0.5").count() == 0
 
 
+ENGLISH = ("you are a stupid man and the people say that you are worthless or pathetic but the good book is still in the room all day "
+           "stupid idiot loser trash moron scum clown disgusting you are an idiot the man is a loser what a pathetic clown ") * 30
+
+
+@pytest.fixture(scope="module")
+def channel():
+    total = np.zeros(X.ALPHABET**3, np.int64)
+    c = X._codes(f"  {ENGLISH} ")
+    np.add.at(total, (c[:-2] * X.ALPHABET + c[1:-1]) * X.ALPHABET + c[2:], 1)
+    return X.Channel(total)
+
+
+def brute_decode(channel, token):
+    """The likeliest of all paths, each listed."""
+    choices = [channel._arcs(c, b) for b, c in zip(" " + token, token)]
+    choices[0] = channel._arcs(token[0], "")
+    best = None
+    for path in itertools.product(*choices):
+        text = "".join(x for x, _ in path)
+        c = X._codes(f"  {text} ")
+        cost = sum(v for _, v in path) + sum(channel.cost[p][q][r] for p, q, r in zip(c, c[1:], c[2:]))
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, text)
+    return best
+
+
+@pytest.mark.parametrize("token", ["stuupid", "st1pid", "$tupid", "s t u p i d", "m0r0n", "id-iot", "looser", "sccuumm", "a r e y o u", "b00k", "tra$$h", "p.a.t.h"])
+def test_viterbi_equals_enumeration(channel, token):
+    cost, text = brute_decode(channel, token)
+    got = channel.decode(token)
+    again = channel.listed([token])[0] if token.isalpha() else got
+    assert got == text and again == text
+
+
+def test_disguises_are_undone(channel):
+    for seen, word in {
+        "y o u a r e s t u p i d": "stupid", "s t u p i d m a n": "stupid", "stu pid": "stupid", "stuupid": "stupid", "stuuuuupid!": "stupid", "p.a.t.h.e.t.i.c": "pathetic", "w0rthle$s": "worthless",
+        "stupid-idiot": "idiot", "m0r0n!!": "moron", "i d i o t": "idiot", "id iot": "idiot", "You ARE St Upid": "stupid",
+    }.items():
+        want = channel.words(word)
+        assert want <= channel.words(f"and {seen} man"), seen
+    plain = "the good book is still in the room all day"
+    assert set(plain.split()) <= channel.words(plain)
+
+
+def test_memory_turns_over(channel, monkeypatch):
+    texts = ["stuupid m0r0n", "the man", "stuupid idiiot", ""] * 5
+    want = [channel.words(t) for t in texts]
+    monkeypatch.setattr(X, "CACHE", 3)
+    monkeypatch.setattr(X, "TAKE", 10)
+    assert list(channel.restored(texts)) == want
+
+
+def test_toxicity_of_repeated_and_null_rows(spark, toxic):
+    docs, labels, _ = toxic
+    more = spark.createDataFrame([(3, "stupid " + prose(1003, 60), "a"), (None, "you are s t u p i d", "b"), (None, None, "c"), (5, "word " * 30_000 + "stupid", "d"), (5, "word " * 30_000 + "stupid", "d")], "doc_id long, text string, label_ string")
+    both = docs.select("doc_id", "text").withColumn("label_", F.lit("z")).unionByName(more)
+    out = X.scores(both, labels.union(labels).union(spark.createDataFrame([(None, 1), (2, None)], labels.schema)), F.coalesce(F.col("doc_id") < 200, F.lit(True)))
+    got = out.collect()
+    assert len(got) == 247 and out.columns == ["doc_id", "text", "label_", "score"] and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.text and r.text.startswith("word word")}) == 1
+    assert all(r.score < 0.7 for r in got if not r.text)
+
+
 def test_trigrams_count_every_text(spark):
     docs = spark.createDataFrame(rows(["ab", "ab", None, "é"]), SCHEMA)
     n = {r.code: r.n for r in X.trigram_counts(docs).collect()}
@@ -177,7 +243,7 @@ def test_main_text_and_template(spark):
 
 
 def test_tree_matching_is_largest():
-    a, b = H.parse("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), H.parse("<div><ul><li>y<li>z</ul><p>3</p></div>")
+    a, b = measured("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), measured("<div><ul><li>y<li>z</ul><p>3</p></div>")
     pairs = []
     assert H.match(a, b, pairs) == len(pairs) == 5
 
@@ -188,8 +254,8 @@ def test_deep_and_wide_pages():
     assert H.extract(deep) == "core tail" and H.extract(wide).startswith("0 x 1 x")
     for t in (deep, wide):
         r = H.Reference(t)
-        assert H.match(H.parse(t), r.root) > 1_000
-    assert r.constants(wide)
+        v = r.votes(t)
+        assert len(v) == len([n for n in r.nodes if n.tag not in H.INLINE]) and v[:, 1].sum() == len(r.text)
 
 
 def test_long_tokens_decode_in_time():
@@ -197,6 +263,42 @@ def test_long_tokens_decode_in_time():
     assert len(X.Channel(counts).decode("a1b" * 20_000)) >= 40_000
 
 
+def measured(page):
+    root = H.parse(page)
+    H.measured(root)
+    return root
+
+
+def brute_match(a, b):
+    """Size of the largest matching of two trees with equal roots, by the definition."""
+    x, y = a.blocks(), b.blocks()
+
+    @lru_cache(None)
+    def best(i, j):
+        if i == len(x) or j == len(y):
+            return 0
+        w = brute_match(x[i], y[j]) + best(i + 1, j + 1) if x[i].tag == y[j].tag else 0
+        return max(w, best(i + 1, j), best(i, j + 1))
+
+    return 1 + best(0, 0)
+
+
+def random_tree(r, depth):
+    tag = r.choice(["div", "ul", "section"])
+    return f"<{tag}>" + "".join(random_tree(r, depth - 1) for _ in range(r.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("wide", [20_000, 2])
+def test_matching_equals_brute_force(monkeypatch, wide):
+    monkeypatch.setattr(H, "WIDE", wide)
+    r = random.Random(11)
+    for _ in range(120):
+        a, b = (measured("".join(random_tree(r, 3) for _ in range(r.randint(1, 3)))) for _ in range(2))
+        pairs = []
+        assert H.match(a, b, pairs) == brute_match(a, b) == len(pairs)
+        assert all(p.tag == q.tag for p, q in pairs)
+
+
 def test_long_rows_are_matched_in_full(monkeypatch):
     def page(seed, n):
         r = random.Random(seed)
@@ -204,10 +306,59 @@ def test_long_rows_are_matched_in_full(monkeypatch):
 
     a, b = page(1, 170), page(2, 150)
     ref = H.Reference(b)
-    assert [n for n in ref.constants(a)] and "all pages say this" in ref.text.values()
-    size = H.match(H.parse(a), H.parse(b))
+    assert ref.votes(a)[:, 1].any() and "all pages say this" in ref.text.values()
+    size = H.match(measured(a), measured(b))
     monkeypatch.setattr(H, "WIDE", 10**9)
-    assert size == H.match(H.parse(a), H.parse(b))
+    assert size == H.match(measured(a), measured(b))
     monkeypatch.setattr(H, "WIDE", 2)  # nested rows too
     pairs = []
-    assert H.match(H.parse(a), H.parse(b), pairs) == size == len(pairs)
+    assert H.match(measured(a), measured(b), pairs) == size == len(pairs)
+
+
+def bare(k, r, tag="div", names=False):
+    """A page without any telling tag or name (unless asked), and its article."""
+    paragraphs = [prose(50 * k + j, r.randint(5, 60)).replace("\n", " ") for j in range(r.randint(1, 6))]
+    title = prose(7_000 + k, 6).replace("\n", " ")
+    links = "".join(f"<li><a href='/{j}'>{prose(9_000 + 10 * k + j, 2)}</a></li>" for j in range(r.randint(3, 7)))
+    comments = f"<div class='comments'><p>{prose(8_000 + k, 40)}</p></div>" if names else ""
+    html = (
+        f"<html><body><div><div>The Daily Site</div><ul>{links}</ul></div><div>{prose(6_000 + k, 9)}</div>"
+        f"<{tag}><h1>{title}</h1><div><p>Our readers like this page</p>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"<ul>{links}</ul></div></{tag}>{comments}<div>&copy; {prose(5_000 + k, 5)}</div></body></html>"
+    )
+    return html, " ".join([title, *paragraphs])
+
+
+def test_template_decides_without_tags_or_names(spark):
+    r = random.Random(3)
+    data, want = [], {}
+    for k in range(40):
+        html, text = bare(k, r, names=k % 2 == 0)
+        data.append((k, f"https://plain.host/{k}", html))
+        want[k] = text
+    for k in range(40, 45):  # another layout on the same host, and a small host
+        html, text = bare(k, r, "section")
+        data.append((k, "https://plain.host/x" if k < 42 else "http://small.host", f"<div>{html}</div>"))
+        want[k] = text
+    data += [(100 + k, "https://plain.host/copy", data[0][2]) for k in range(60)]  # copies share a vote
+    data += [(None, "https://plain.host/none", None), (None, "https://plain.host/e", "")]
+    df = spark.createDataFrame([(*x, "a", "b", "c", "d") for x in data], "page_id long, url string, html string, host string, ref string, _template string, main_text string").repartition(3)
+    out = H.extracted(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = out.collect()
+    assert len(got) == len(data) and all((x.host, x.ref, x._template) == ("a", "b", "c") for x in got)
+    text = {x.page_id: x.main_text for x in got if x.page_id is not None}
+    assert [k for k in range(40) if text[k] != want[k]] == [] and all(text[100 + k] == want[0] for k in range(60))
+    assert sum(text[k] == want[k] for k in range(40, 45)) >= 3
+    assert [x.main_text for x in got if x.page_id is None] == ["", ""]
+
+
+def test_names_count_as_whole_words():
+    keep = ["article-header", "share-price", "post header-image-caption", "broadside", "main-content", "adventure"]
+    drop = ["ad", "ad-slot", "site-header", "cookie-banner", "post-comments", "Side_Bar", "related-posts", "share-buttons"]
+    assert not any(map(H.no_content, keep)) and all(map(H.no_content, drop))
+
+
+def test_forms_and_headers():
+    body = "<p>" + prose(1, 200).replace("\n", " ") + "</p>"
+    assert H.extract(f"<form id='aspnet'><input name=q><article><header><h1>T</h1></header>{body}</article></form>") == "T " + prose(1, 200).replace("\n", " ")
+    assert H.extract(f"<article>{body}<form>Name <input> Mail <input><button>Send</button></form></article>") == prose(1, 200).replace("\n", " ")
