@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words, as a Java and Python class body.
@@ -55,6 +57,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Arrow batches of at most so many rows for what is computed inside: whole texts and their shingles take memory by the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files that written() made for df."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -75,6 +90,20 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, train: Column, value: Column, doc_id: str, label: str, rows: int, size: int) -> Iterator[tuple[str | None, int]]:
+    """(value, label) of at most `rows` labelled documents, those of smallest hashed id, as far as `size` bytes of values reach.
+
+    train: a column over labels. A label or a document that repeats counts once, null labels and null ids not at all.
+    """
+    y, v, n = (unused(c, docs.columns, labels.columns) for c in ("label_", "value_", "bytes_"))
+    sample = labels.where(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias(y)).orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
+    picked = docs.join(F.broadcast(sample), doc_id).select(doc_id, y, value.alias(v))  # `rows` rows are broadcast
+    picked = written(picked.groupBy(doc_id).agg(F.max(y).alias(y), F.min(v).alias(v)), "fit-rows")
+    so_far = F.sum(F.coalesce(F.octet_length(v), F.lit(0))).over(Window.orderBy(F.xxhash64(doc_id), doc_id))  # over `rows` rows at most
+    for t, k in picked.withColumn(n, so_far).where(F.col(n) <= size).select(v, y).toLocalIterator():
+        yield t, int(k)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() does the same, faster, where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

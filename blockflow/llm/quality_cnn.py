@@ -1,18 +1,18 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters
-(byte embedding, then a convolution with ReLU) run over each chunk; beside them fixed
-filters compare the chunk with itself at small shifts. Filters are max-pooled and
+(byte embedding, then a convolution with ReLU) run over each chunk; they are max-pooled and
 averaged in a chunk, chunks are max-pooled and averaged in a document, and one linear
 layer combines the result into one probability.
 
 The network is fitted on the driver on at most `fit_rows` labelled rows, those of smallest
-hashed id, each whole, by Adam over mini-batches of chunks; scoring covers every text whole, one
+hashed id, each whole, as far as FIT_BYTES reach, by Adam over mini-batches of chunks; scoring covers every text whole, one
 chunk block at a time, so memory does not grow with a text.
 
 Defined results: null and empty texts get the score of one chunk of padding; repeated rows get
-equal scores; a table without labels gives score 0.5; a label row occurring twice counts
-once; null labels are left out; an empty table gives an empty result; other columns pass through.
+equal scores; a table without labels gives a score of untrained weights; a label row occurring twice counts
+once, as does a document whose id repeats; null labels and labels of null ids are left out; a document with a null id is
+scored like any other; an empty table gives an empty result; other columns pass through (one named `score` is replaced).
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the sample that the network is fitted on.
-FIT_ROWS = 2_000
+from .common import labelled
+
+#: Bounds of the sample that the network is fitted on.
+FIT_ROWS, FIT_BYTES = 2_000, 64_000_000
 CHUNK, STEP = 1_024, 768
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 6, 16
-LAGS = tuple(range(2, 26))
 BLOCK = 64
-#: Features of a chunk: maxima and means of the learned filters, largest and mean agreement over shifts.
-N_CHUNK = 2 * FILTERS + 2
+#: Features of a chunk: maxima and means of the learned filters.
+N_CHUNK = 2 * FILTERS
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -43,13 +44,6 @@ def chunks_of(text: str | None) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
-def _agreement(x: np.ndarray) -> np.ndarray:
-    """Share of bytes equal to those a shift before: the largest over the shifts, and the mean."""
-    real = np.maximum((x != 0).sum(axis=1), 32).astype(np.float32)
-    share = np.stack([((x[:, d:] == x[:, :-d]) & (x[:, d:] != 0)).sum(axis=1) for d in LAGS], axis=1) / real[:, None]
-    return np.stack([share.max(axis=1), share.mean(axis=1)], axis=1).astype(np.float32)
-
-
 class Net:
     """Parameters and the forward pass."""
 
@@ -68,7 +62,7 @@ class Net:
 
     def chunk_features(self, x: np.ndarray) -> np.ndarray:
         _, _, a = self.conv(x)
-        return np.concatenate([a.max(axis=1), a.mean(axis=1), _agreement(x)], axis=1)
+        return np.concatenate([a.max(axis=1), a.mean(axis=1)], axis=1)
 
     def document(self, text: str | None) -> np.ndarray:
         x = chunks_of(text)
@@ -88,7 +82,7 @@ def _gradients(net: Net, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tup
     p, n = net.p, len(y)
     idx, emb, a = net.conv(x)
     t = a.shape[1]
-    g = np.concatenate([a.max(axis=1), a.mean(axis=1), _agreement(x)], axis=1)
+    g = np.concatenate([a.max(axis=1), a.mean(axis=1)], axis=1)
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     per = np.diff(np.append(starts, len(owner)))
     top, mean = np.maximum.reduceat(g, starts, axis=0), np.add.reduceat(g, starts, axis=0) / per[:, None]
@@ -112,7 +106,7 @@ def _gradients(net: Net, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tup
     return loss, {"E": dE.astype(np.float32), "W": emb.reshape(-1, WIDTH * EMBED).T @ flat, "c": flat.sum(axis=0), "v": h.T @ dz + 1e-5 * p["v"], "b": np.array([dz.sum()], np.float32)}
 
 
-def fit(rows: list[tuple[str, int]], bytes_seen: int = 24_000_000, batch: int = 24, seed: int = 7, rate: float = 0.01) -> Net:
+def fit(rows: list[tuple[str, int]], bytes_seen: int = 48_000_000, batch: int = 24, seed: int = 7, rate: float = 0.01) -> Net:
     """Fit on (text, label) pairs, equal ones once, by Adam. Passes end after so many bytes of chunks."""
     net = Net(seed)
     rows = sorted(set(rows))
@@ -147,9 +141,7 @@ def fit(rows: list[tuple[str, int]], bytes_seen: int = 24_000_000, batch: int =
 
 def scores(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs with `score`. labels (doc_id, label) count only where `train`, a column over its doc_id, holds."""
-    sample = labels.where(train & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_y")).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
-    picked = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # fit_rows rows are broadcast
-    net = fit([(t or "", int(y)) for t, y in picked.select(text, "_y").toLocalIterator()])
+    net = fit([(t or "", y) for t, y in labelled(docs, labels, train, F.col(text), doc_id, label, fit_rows, FIT_BYTES)])
     params = net.p
 
     @F.pandas_udf("double")

@@ -38,10 +38,10 @@ from math import prod
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import labelled
 
 #: Bounds of the sample that the classifier is fitted on, and of the words that one generation of a worker's memory holds.
 FIT_ROWS, FIT_BYTES, CACHE = 5_000, 64_000_000, 300_000
@@ -311,22 +311,13 @@ def scores(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc
     for code, n in trigram_counts(docs, text).collect():  # at most ALPHABET^3 rows
         counts[code] = n
     shared, key = spark.sparkContext.broadcast(counts), sha256(counts.tobytes()).hexdigest()
-    low = lambda n: unused(n, docs.columns, labels.columns)
-    y, w = low("label_"), low("words_")
-    sample = labels.where(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias(y)).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
-    picked = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # fit_rows rows are broadcast
-
     @F.pandas_udf("string")
     def restored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         channel = channel_of(key, shared)
         for part in parts:
             yield pd.Series([" ".join(sorted(w)) for w in channel.restored([t or "" for t in part])], dtype=object)
 
-    # One row an id, then as many of the smallest hashes as the bytes allow: a window over fit_rows rows at most.
-    picked = written(picked.select(doc_id, y, restored(F.col(text)).alias(w)).groupBy(doc_id).agg(F.max(y).alias(y), F.min(w).alias(w)), "fit-rows")
-    so_far = F.sum(F.octet_length(w)).over(Window.orderBy(F.xxhash64(doc_id), doc_id))
-    picked = picked.withColumn(low("bytes_"), so_far).where(F.col(low("bytes_")) <= FIT_BYTES)
-    model = fit([(frozenset(t.split()), int(v)) for t, v in picked.select(w, y).toLocalIterator()])
+    model = fit([(frozenset((t or "").split()), y) for t, y in labelled(docs, labels, train, restored(F.col(text)), doc_id, label, fit_rows, FIT_BYTES)])
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")

@@ -143,6 +143,38 @@ def test_chunks_cover_the_text():
         assert whole.rstrip(b"\0") == t.encode()
 
 
+def test_network_equals_loops():
+    """Embedding, convolution, pooling and the last layer, one number at a time."""
+    net = Q.Net(5)
+    for text in (prose(3, 700), "é" * 900 + "x", "", None):
+        b = (text or "").encode()
+        pieces = [b[:Q.CHUNK]]
+        at = Q.STEP
+        while at + Q.CHUNK - Q.STEP < len(b):
+            pieces.append(b[at : at + Q.CHUNK])
+            at += Q.STEP
+        chunks = []
+        for piece in pieces:
+            x = piece + bytes(Q.CHUNK - len(piece))
+            windows = []
+            for s in range(0, Q.CHUNK - Q.WIDTH + 1, Q.STRIDE):
+                flat = [float(v) for c in x[s : s + Q.WIDTH] for v in net.p["E"][c]]
+                windows.append([max(0.0, sum(f * float(w) for f, w in zip(flat, net.p["W"][:, k])) + float(net.p["c"][k])) for k in range(Q.FILTERS)])
+            chunks.append([max(w[k] for w in windows) for k in range(Q.FILTERS)] + [sum(w[k] for w in windows) / len(windows) for k in range(Q.FILTERS)])
+        doc = [max(c[k] for c in chunks) for k in range(Q.N_CHUNK)] + [sum(c[k] for c in chunks) / len(chunks) for k in range(Q.N_CHUNK)]
+        z = sum(a * float(v) for a, v in zip(doc, net.p["v"])) + float(net.p["b"][0])
+        assert abs(net.score(text) - 1 / (1 + np.exp(-z))) < 1e-3
+
+
+def test_network_on_repeated_null_and_long_rows(spark):
+    long = prose(77, 40_000)
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, long, "y"), (None, None, "z"), (2, long, "w")], "doc_id long, text string, label_ string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    out = Q.scores(docs, labels, F.lit(True)).collect()
+    assert len(out) == 5 and len({r.score for r in out if r.text == "a b"}) == 1 and len({r.score for r in out if r.text == long}) == 1
+    assert Q.scores(docs.limit(0), labels, F.lit(True)).count() == 0 and Q.scores(docs, labels.limit(0), F.lit(True)).count() == 5
+
+
 def test_gradients_match_differences():
     net = Q.Net(1)
     x = np.concatenate([Q.chunks_of(prose(3, 500)), Q.chunks_of("zzz ** yy")])
