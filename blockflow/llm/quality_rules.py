@@ -1,14 +1,14 @@
 """Quality rules as a bitmask ledger (built-in functions only, no shuffle).
 
-``ledger`` evaluates every rule once a document and stores one failure bit a rule
-beside the measurements; ``apply_policy`` is then a bitwise AND against the mask of a
+``ledger`` evaluates every rule once a document: the measurements and one failure bit a rule.
+``stored`` writes it without the texts. ``apply_policy`` is then a bitwise AND against the mask of a
 named policy version, and ``ablation`` counts by bitwise aggregation what each rule
-adds. A change of policy re-reads the ledger, never the texts.
+adds. A change of policy re-reads the stored ledger, never the texts.
 
 Defined results: a null text counts as a text without words; an empty text has 0 in
-every measurement and fails the rule on few words; repeated rows are judged
-independently; other columns pass through (a column named like a measurement is
-replaced); an empty table gives an empty ledger.
+every measurement and fails the rule on few words; texts of any length are measured whole; repeated rows are judged
+independently and ids are not read; other columns pass through, whatever their names (those named like a measurement or
+fail_bits are replaced); an empty table gives an empty ledger.
 
 3-word windows are compared by a 64-bit hash within one text; for a text of 100,000
 words the chance of any false repetition is below 3e-10.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE, unused, words_of, written
 
 SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
@@ -35,15 +35,19 @@ def _rules() -> dict[str, Column]:
         "repeated_lines": 100 * c("n_dup_lines") > 50 * c("n_lines"),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 14 * c("n_words"),
+        "repeated_in_long": (c("n_words") >= 50) & (100 * c("n_repeat_words") > 50 * c("n_words")),
+        "no_words": c("n_words") == 0,
     }
 
 
 #: Bit k of a ledger is rule k. Names are only ever appended, so old ledgers stay valid.
-RULES = ("few_words", "repeated_words", "symbols", "upper_case", "repeated_lines", "short_words", "long_words")
+RULES = ("few_words", "repeated_words", "symbols", "upper_case", "repeated_lines", "short_words", "long_words", "repeated_in_long", "no_words")
+#: v3 does not hold it against a text that it is short, only that it is empty.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "repeated_lines"),
-    "v2": RULES,
+    "v2": ("few_words", "repeated_words", "symbols", "upper_case", "repeated_lines", "short_words", "long_words"),
+    "v3": ("symbols", "upper_case", "repeated_in_long", "short_words", "long_words", "no_words"),
 }
 
 
@@ -52,27 +56,31 @@ def mask(policy: str) -> int:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add MEASURES to every row; the text column itself stays."""
+    """docs with MEASURES."""
+    if text in MEASURES:
+        raise ValueError(f"the text column may not be named {text}")
+    kept = [c for c in docs.columns if c.lower() not in MEASURES]
+    w, h, s, p, ln = (unused(n, docs.columns, MEASURES) for n in ("words_", "hashes_", "sorted_", "places_", "lines_"))
     t = F.coalesce(F.col(text), F.lit(""))
     i64 = lambda x: x.cast("long")
-    out = docs.withColumn("_w", words_of(F.col(text)))
-    out = out.withColumn("n_words", i64(F.size("_w")))
-    gram = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    at = F.sequence(F.lit(0), F.size("_w") - 3)
-    out = out.withColumn("_h", F.when(F.size("_w") > 2, F.transform(at, gram)))
+    out = docs.select(*kept).withColumn(w, words_of(F.col(text)))
+    out = out.withColumn("n_words", i64(F.size(w)))
+    gram = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    at = F.sequence(F.lit(0), F.size(w) - 3)
+    out = out.withColumn(h, F.when(F.size(w) > 2, F.transform(at, gram)))
     # Most texts repeat no window: the sort is for those that do.
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, k: F.coalesce(F.get("_s", k)["h"] == x["h"], F.lit(False))
-    twice = F.transform("_s", lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["i"]))
-    out = out.withColumn("_p", F.array_sort(F.filter(twice, lambda i: i.isNotNull())))
-    reach = F.transform("_p", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_p", k + 1) - i, F.lit(3))))
+    out = out.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    twice = F.transform(s, lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["i"]))
+    out = out.withColumn(p, F.array_sort(F.filter(twice, lambda i: i.isNotNull())))
+    reach = F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3))))
     out = out.withColumn("n_repeat_words", i64(F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0))))
-    out = out.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]"))))
-    out = out.withColumn("n_lines", i64(F.size("_l"))).withColumn("n_dup_lines", i64(F.size("_l") - F.size(F.array_distinct("_l"))))
+    out = out.withColumn(ln, F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]"))))
+    out = out.withColumn("n_lines", i64(F.size(ln))).withColumn("n_dup_lines", i64(F.size(ln) - F.size(F.array_distinct(ln))))
     gone = lambda pattern: i64(F.char_length(t) - F.char_length(F.regexp_replace(t, pattern, "")))
-    out = out.withColumn("word_chars", i64(F.char_length(F.array_join("_w", ""))))
+    out = out.withColumn("word_chars", i64(F.char_length(F.array_join(w, ""))))
     out = out.withColumn("n_symbols", gone(SYMBOLS)).withColumn("n_upper", gone(r"\p{Lu}+"))
-    return out.drop("_w", "_h", "_s", "_p", "_l")
+    return out.select(*kept, *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,7 +90,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     # Always 0, but not deterministic to the optimizer: a filter on fail_bits stays above this projection, else
     # it would be pushed down with the measurements copied into it, into lambdas too.
     barrier = F.shiftright(F.monotonically_increasing_id(), 63)
-    return measure(docs, text).withColumn("fail_bits", bits.cast("long").bitwiseOR(barrier))
+    return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", bits.cast("long").bitwiseOR(barrier))
+
+
+def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table of its own: doc_id, MEASURES and fail_bits of every row, without the texts."""
+    return written(ledger(docs.select(doc_id, text), text).drop(text), "ledger")
 
 
 def failed(policy: str) -> Column:

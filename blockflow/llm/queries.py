@@ -88,6 +88,26 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _crc_table() -> list[int]:
+    """The 256 steps of CRC-32 by its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, list_transform(range(0, CAST(octet_length(encode(t)) AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)) AS bytes FROM t),
+s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(bytes, lambda a, y: xor(a >> 8, {_crc_table()}[(xor(a, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b),
+o AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) AS run, row_number() OVER w AS nth, CAST(sum(size) OVER () AS BIGINT) AS total FROM s WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, CAST((2 * run - size) * 16 // (2 * total) AS INT) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     if path is None or pattern is None:
         import public_tokenizers
@@ -97,8 +117,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "kept", "fail_bits")
+    """Policies are applied to the stored ledger."""
+    rows = quality_rules.stored(_table(spark, sf_dir, "documents"))
+    versions = [(~quality_rules.failed(v)).alias(f"kept_{v}") for v in ("v1", "v3")]
+    return quality_rules.apply_policy(rows, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "kept", *versions, "fail_bits")
+
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 adds, from the stored ledger."""
+    return quality_rules.ablation(quality_rules.stored(_table(spark, sf_dir, "documents")), "v2")
 
 
 OP10_SQL = r"""
@@ -115,9 +142,11 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
   + (CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_upper > 40 * word_chars THEN 8 ELSE 0 END)
   + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END)
-  + (CASE WHEN word_chars > 14 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+  + (CASE WHEN word_chars > 14 * n_words THEN 64 ELSE 0 END) + (CASE WHEN n_words >= 50 AND 100 * n_repeat_words > 50 * n_words THEN 128 ELSE 0 END) + (CASE WHEN n_words = 0 THEN 256 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, fail_bits & 23 = 0 AS kept_v1, fail_bits & 492 = 0 AS kept_v3, fail_bits FROM f
 """
+ABLATION_SQL = f"""SELECT r.rule, n_rows, any_bits, count(*) FILTER (WHERE fail_bits & 127 & b <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & 127 = b) AS n_only
+FROM ({OP10_SQL}) o, (SELECT count(*) AS n_rows, bit_or(fail_bits & 127) AS any_bits FROM ({OP10_SQL})), (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('upper_case', 8), ('repeated_lines', 16), ('short_words', 32), ('long_words', 64)) r(rule, b) GROUP BY ALL"""
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -130,5 +159,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "rules_ablation": rules_ablation,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_winnowing": OP5_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_winnowing": OP5_SQL, "op8_sharding": OP8_SQL, "op10_quality_rules": OP10_SQL, "rules_ablation": ABLATION_SQL}

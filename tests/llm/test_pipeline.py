@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline as C
-from blockflow.llm import bpe, secrets
+from blockflow.llm import bpe, quality_rules, secrets
 from tests.llm.cases import SCHEMA, edge_texts, prose, rows
 from tests.llm.test_quality_rules import verdict
 from tests.llm.test_text_operators import brute_hits
@@ -24,7 +24,7 @@ def brute(docs, items):
     import tiktoken
 
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    docs = sorted({d for d in docs if verdict(d[1]) == 0}, key=lambda d: (d[0] is None, d[0] or 0))
+    docs = sorted({d for d in docs if not verdict(d[1]) & quality_rules.mask("v3")}, key=lambda d: (d[0] is None, d[0] or 0))
     root = list(range(len(docs)))
     sets = [shingles(t) for _, t in docs]
     for i in range(len(docs)):

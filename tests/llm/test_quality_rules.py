@@ -22,7 +22,7 @@ def verdict(text):
     words, chars, symbols, dup, repeat = brute(text)
     lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
     upper = sum(unicodedata.category(c) == "Lu" for c in text)
-    fails = [words < 50, 100 * repeat > 50 * words, 100 * symbols > 20 * words, 100 * upper > 40 * chars, 100 * dup > 50 * lines, chars < 2 * words, chars > 14 * words]
+    fails = [words < 50, 100 * repeat > 50 * words, 100 * symbols > 20 * words, 100 * upper > 40 * chars, 100 * dup > 50 * lines, chars < 2 * words, chars > 14 * words, words >= 50 and 100 * repeat > 50 * words, words == 0]
     return sum(1 << k for k, f in enumerate(fails) if f)
 
 
@@ -44,9 +44,24 @@ def test_policies_and_ablation(spark):
     assert kept == {i for i, b in bits.items() if not b & Q.mask("v2")}
     assert {6, 7, 9, 10} <= kept and not {0, 1, 11, 12, 13, 14} & kept
     table = {r.rule: r for r in Q.ablation(led, "v2").collect()}
-    for k, name in enumerate(Q.RULES):
+    assert set(table) == set(Q.POLICIES["v2"])
+    for name in table:
+        k = Q.RULES.index(name)
         assert table[name].n_failed == sum(b >> k & 1 for b in bits.values())
-        assert table[name].n_only == sum(b == 1 << k for b in bits.values())
+        assert table[name].n_only == sum(b & Q.mask("v2") == 1 << k for b in bits.values())
+
+
+def test_policies_read_the_stored_ledger_alone(spark):
+    docs = spark.createDataFrame(rows(edge_texts()), SCHEMA)
+    led = Q.stored(docs)
+    assert "text" not in led.columns and led.count() == len(edge_texts())
+    plan = Q.apply_policy(led, "v1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "xxhash64" not in plan
+    for v in Q.POLICIES:
+        kept = {r.doc_id for r in Q.apply_policy(led, v).where("kept").collect()}
+        assert kept == {i for i, t in enumerate(edge_texts()) if not verdict(t) & Q.mask(v)}
+    assert {0, 1, 2}.isdisjoint({r.doc_id for r in Q.apply_policy(led, "v3").where("kept").collect()})
+    assert {3, 4} <= {r.doc_id for r in Q.apply_policy(led, "v3").where("kept").collect()}  # short ones stay
 
 
 def test_filter_stays_above_the_measures(spark):
@@ -57,5 +72,6 @@ def test_filter_stays_above_the_measures(spark):
 
 def test_empty_and_clashing_columns(spark):
     assert Q.ledger(spark.createDataFrame([], SCHEMA)).count() == 0
-    df = spark.createDataFrame([(1, "a b c", 7, "x")], "doc_id long, text string, n_words long, _w string")
-    assert Q.ledger(df).first().n_words == 3
+    df = spark.createDataFrame([(1, "a b c", 7, "x", "y", 1), (1, "a b c", 7, "x", "y", 1), (None, None, 7, "x", "y", 1)], "doc_id long, text string, n_words long, _w string, words_ string, fail_bits int")
+    out = Q.ledger(df).collect()
+    assert sorted(r.n_words for r in out) == [0, 3, 3] and all((r._w, r.words_) == ("x", "y") for r in out) and {r.fail_bits for r in out} == {33, 257}
