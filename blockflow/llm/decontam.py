@@ -83,6 +83,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 6,
 
     near = small(seen.where("hit").groupBy(F.col("key").alias("near")).agg(F.min("doc").alias("one")))
     again = words.join(near, (F.col("key") == F.col("near")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi").select("key", "dw")
+    again = written(again.groupBy("key").agg(F.first("dw").alias("dw")), "texts-with-hits")  # a text once
     at = again.select("key", F.posexplode(_grams(F.col("dw"), k)).alias("i", "h"))
     met = at.join(small(full.select("class", F.posexplode("g").alias("j", "h"))), "h").select("key", "class", (F.col("i") - F.col("j")).alias("diagonal"), "i").distinct()
     diagonal = Window.partitionBy("key", "class", "diagonal").orderBy("i")
