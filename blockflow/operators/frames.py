@@ -1,7 +1,6 @@
-"""Plane and search operators: padding, cropping, colour conversion, interpolation, motion search, intra prediction.
+"""Plane operators: padding, cropping, colour conversion, interpolation, intra 4x4 prediction.
 
-Stencils are equi-joins on (frame, y, x); candidates are a table of constant size (81 offsets) joined
-to blocks, so a search grows with blocks times candidates, and argmins are min_by over a total order.
+Stencils are equi-joins on (frame, y, x) or windows along a line; argmins are min_by over a total order.
 """
 
 from __future__ import annotations
@@ -12,59 +11,60 @@ from pyspark.sql import functions as F
 from blockflow.functions import blocks as B
 from blockflow.sources import adapters as A
 
-FRAMES, W, H = 3, 48, 32
-RANGE, LAMBDA = 4, 4 * 256
+W, H = A.PLANE_WIDTH, A.PLANE_HEIGHT
 
 
-def _grid(spark, frames, w, h, x0=0, y0=0):
-    n = w * h
-    return spark.range(frames * n).select(F.expr(f"cast(id div {n} as int)").alias("frame_idx"), F.expr(f"cast(id % {n} div {w} as int) + {y0}").alias("y"), F.expr(f"cast(id % {w} as int) + {x0}").alias("x"))
+def _grid(p, w, h, x0=0, y0=0):
+    """Places of each frame of p in a rectangle."""
+    f = p.select("frame_idx").distinct()
+    return f.select("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("i")).selectExpr("frame_idx", f"cast(i div {w} as int) + {y0} AS y", f"cast(i % {w} as int) + {x0} AS x")
 
 
-def _grid_sql(frames, w, h, x0=0, y0=0):
-    return f"(SELECT CAST(unnest(range({frames})) AS INT) AS frame_idx), (SELECT CAST(unnest(range({y0}, {y0 + h})) AS INT) AS y), (SELECT CAST(unnest(range({x0}, {x0 + w})) AS INT) AS x)"
+def _grid_sql(w, h, x0=0, y0=0):
+    return f"(SELECT DISTINCT vec_id // 24 AS frame_idx FROM embeddings), (SELECT CAST(unnest(range({y0}, {y0 + h})) AS INT) AS y), (SELECT CAST(unnest(range({x0}, {x0 + w})) AS INT) AS x)"
 
 
-def _looked_up(spark, grid, w, h):
-    src = A.planes(spark, FRAMES, w, h).select("frame_idx", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    at = grid.withColumn("sx", B.clamp(F.col("x"), 0, w - 1)).withColumn("sy", B.clamp(F.col("y"), 0, h - 1))
+def _looked_up(spark, d, w, h, *grid):
+    p = A.planes(spark, d, w, h)
+    src = p.select("frame_idx", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    at = _grid(p, *grid).withColumn("sx", B.clamp(F.col("x"), 0, w - 1)).withColumn("sy", B.clamp(F.col("y"), 0, h - 1))
     return at.join(src, ["frame_idx", "sy", "sx"]).select("frame_idx", "y", "x", "v")
 
 
 def pad_extend(spark, d):
     """20x12 planes to the next multiples of 16: last column and last row repeated."""
-    return _looked_up(spark, _grid(spark, FRAMES, 32, 16), 20, 12)
+    return _looked_up(spark, d, 20, 12, 32, 16)
 
 
 def halo(spark, d):
     """A border of 8 on all sides, clamped to the edge."""
-    return _looked_up(spark, _grid(spark, FRAMES, 20 + 16, 12 + 16, -8, -8), 20, 12)
+    return _looked_up(spark, d, 20, 12, 20 + 16, 12 + 16, -8, -8)
 
 
 def _pad_sql(w, h, grid):
-    return f"SELECT g.frame_idx, g.y, g.x, s.v FROM (SELECT * FROM {grid}) g JOIN ({A.planes_sql(FRAMES, w, h)}) s ON s.frame_idx = g.frame_idx AND s.x = greatest(0, least({w - 1}, g.x)) AND s.y = greatest(0, least({h - 1}, g.y))"
+    return f"SELECT g.frame_idx, g.y, g.x, s.v FROM (SELECT * FROM {grid}) g JOIN ({A.planes_sql(w, h)}) s ON s.frame_idx = g.frame_idx AND s.x = greatest(0, least({w - 1}, g.x)) AND s.y = greatest(0, least({h - 1}, g.y))"
 
 
 def crop_flip(spark, d):
     """Display crop of 48x32 to 40x30, rows turned bottom up."""
-    return A.planes(spark, FRAMES, W, H).where("x < 40 AND y < 30").select("frame_idx", (29 - F.col("y")).alias("y"), "x", "v")
+    return A.planes(spark, d).where("x < 40 AND y < 30").select("frame_idx", (29 - F.col("y")).alias("y"), "x", "v")
 
 
-def _rgb(spark):
-    return A.planes(spark, FRAMES, W, H).select("frame_idx", "y", "x", F.col("v").alias("r"), ((F.col("v") * 3).bitwiseAND(255)).alias("g"), ((F.col("v") + F.col("x")).bitwiseAND(255)).alias("b"))
+def _rgb(spark, d):
+    return A.planes(spark, d).select("frame_idx", "y", "x", F.col("v").alias("r"), ((F.col("v") * 3).bitwiseAND(255)).alias("g"), ((F.col("v") + F.col("x")).bitwiseAND(255)).alias("b"))
 
 
 def rgb_to_luma(spark, d):
-    return _rgb(spark).select("frame_idx", "y", "x", F.expr("16 + shiftright(66 * r + 129 * g + 25 * b + 128, 8)").alias("luma"))
+    return _rgb(spark, d).select("frame_idx", "y", "x", F.expr("16 + shiftright(66 * r + 129 * g + 25 * b + 128, 8)").alias("luma"))
 
 
 def rgb_to_chroma(spark, d):
     """2x2 integer means, then studio-swing fixed point."""
-    m = _rgb(spark).groupBy("frame_idx", F.expr("y div 2").alias("cy"), F.expr("x div 2").alias("cx")).agg(*[F.expr(f"cast(sum({c}) div 4 as int)").alias(c) for c in "rgb"])
+    m = _rgb(spark, d).groupBy("frame_idx", F.expr("y div 2").alias("cy"), F.expr("x div 2").alias("cx")).agg(*[F.expr(f"cast(sum({c}) div 4 as int)").alias(c) for c in "rgb"])
     return m.select("frame_idx", "cy", "cx", F.expr("128 + shiftright(-38 * r - 74 * g + 112 * b + 128, 8)").alias("u"), F.expr("128 + shiftright(112 * r - 94 * g - 18 * b + 128, 8)").alias("v"))
 
 
-_RGB_SQL = f"SELECT frame_idx, y, x, v AS r, (v * 3) & 255 AS g, (v + x) & 255 AS b FROM ({A.planes_sql(FRAMES, W, H)})"
+_RGB_SQL = f"SELECT frame_idx, y, x, v AS r, (v * 3) & 255 AS g, (v + x) & 255 AS b FROM ({A.planes_sql()})"
 CHROMA_SQL = f"SELECT frame_idx, cy, cx, 128 + ((-38 * r - 74 * g + 112 * b + 128) >> 8) AS u, 128 + ((112 * r - 94 * g - 18 * b + 128) >> 8) AS v FROM (SELECT frame_idx, y // 2 AS cy, x // 2 AS cx, CAST(sum(r) // 4 AS INT) AS r, CAST(sum(g) // 4 AS INT) AS g, CAST(sum(b) // 4 AS INT) AS b FROM ({_RGB_SQL}) GROUP BY ALL)"
 
 
@@ -93,27 +93,27 @@ def half_pel(spark, d):
     """Six-tap horizontal half samples; the window is one line of a plane."""
     w = Window.partitionBy("frame_idx", "y").orderBy("x")
     edge = lambda k: F.coalesce(F.lead("v", k).over(w) if k > 0 else F.lag("v", -k).over(w), F.last("v").over(w.rowsBetween(0, Window.unboundedFollowing)) if k > 0 else F.first("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = A.planes(spark, FRAMES, W, H)
+    p = A.planes(spark, d)
     raw = edge(-2) - 5 * edge(-1) + 20 * F.col("v") + 20 * edge(1) - 5 * edge(2) + edge(3)
     return p.select("frame_idx", "y", "x", B.clamp(F.shiftright(raw + 16, 5), 0, 255).alias("half"))
 
 
-HALF_SQL = f"""SELECT p.frame_idx, p.y, p.x, CAST(greatest(0, least(255, (sum(t.c * s.v)::BIGINT + 16) >> 5)) AS INT) AS half FROM ({A.planes_sql(FRAMES, W, H)}) p, (VALUES (-2, 1), (-1, -5), (0, 20), (1, 20), (2, -5), (3, 1)) t(o, c)
-  JOIN ({A.planes_sql(FRAMES, W, H)}) s ON s.frame_idx = p.frame_idx AND s.y = p.y AND s.x = greatest(0, least({W - 1}, p.x + t.o)) GROUP BY p.frame_idx, p.y, p.x"""
+HALF_SQL = f"""SELECT p.frame_idx, p.y, p.x, CAST(greatest(0, least(255, (sum(t.c * s.v)::BIGINT + 16) >> 5)) AS INT) AS half FROM ({A.planes_sql()}) p, (VALUES (-2, 1), (-1, -5), (0, 20), (1, 20), (2, -5), (3, 1)) t(o, c)
+  JOIN ({A.planes_sql()}) s ON s.frame_idx = p.frame_idx AND s.y = p.y AND s.x = greatest(0, least({W - 1}, p.x + t.o)) GROUP BY p.frame_idx, p.y, p.x"""
 
 
 def chroma_interp(spark, d):
-    """Eighth-sample bilinear interpolation at the fraction (2f + 1, 3f) of each frame, clamped at the edge."""
-    p = A.planes(spark, FRAMES, W, H)
+    """Eighth-sample bilinear interpolation at the fraction (2f + 1, 3f), modulo 8, of each frame, clamped at the edge."""
+    p = A.planes(spark, d)
     at = lambda dx, dy, n: p.select("frame_idx", F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("v").alias(n))
     out = p
     for dx, dy, n in ((1, 0, "b"), (0, 1, "c"), (1, 1, "e")):
         out = out.withColumn("qx", F.least(F.col("x") + dx, F.lit(W - 1))).withColumn("qy", F.least(F.col("y") + dy, F.lit(H - 1))).join(at(dx, dy, n), ["frame_idx", "qy", "qx"]).drop("qx", "qy")
-    fx, fy = "(2 * frame_idx + 1)", "(3 * frame_idx)"
+    fx, fy = "cast((2 * frame_idx + 1) % 8 as int)", "cast((3 * frame_idx) % 8 as int)"
     return out.select("frame_idx", "y", "x", F.expr(f"shiftright((8 - {fx}) * (8 - {fy}) * v + {fx} * (8 - {fy}) * b + (8 - {fx}) * {fy} * c + {fx} * {fy} * e + 32, 6)").alias("s"))
 
 
-CHROMA_INTERP_SQL = f"""WITH p AS ({A.planes_sql(FRAMES, W, H)}) SELECT p.frame_idx, p.y, p.x, CAST((sum(q.v * (CASE WHEN t.dx = 1 THEN 2 * p.frame_idx + 1 ELSE 7 - 2 * p.frame_idx END) * (CASE WHEN t.dy = 1 THEN 3 * p.frame_idx ELSE 8 - 3 * p.frame_idx END))::BIGINT + 32) >> 6 AS INT) AS s
+CHROMA_INTERP_SQL = f"""WITH p AS ({A.planes_sql()}) SELECT p.frame_idx, p.y, p.x, CAST((sum(q.v * (CASE WHEN t.dx = 1 THEN (2 * p.frame_idx + 1) % 8 ELSE 8 - (2 * p.frame_idx + 1) % 8 END) * (CASE WHEN t.dy = 1 THEN 3 * p.frame_idx % 8 ELSE 8 - 3 * p.frame_idx % 8 END))::BIGINT + 32) >> 6 AS INT) AS s
   FROM p, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) t(dx, dy) JOIN p q ON q.frame_idx = p.frame_idx AND q.x = least({W - 1}, p.x + t.dx) AND q.y = least({H - 1}, p.y + t.dy) GROUP BY p.frame_idx, p.y, p.x"""
 
 
@@ -122,48 +122,6 @@ def mv_cost_table(spark, d):
     return spark.range(128).select(F.col("id").cast("int").alias("i"), F.rint(256 * F.log2(F.col("id") + 1.0)).cast("int").alias("cost"))
 
 
-def _cost(x: str) -> str:
-    return f"cast(rint(256 * log2(abs({x}) + 1.0D)) as int)"
-
-
-def _motion(spark, size: int):
-    """SAD of every block of `size` against every offset in the frame before (clamped at the edge)."""
-    cur = A.planes(spark, FRAMES, W, H).where("frame_idx > 0")
-    cand = spark.range((2 * RANGE + 1) ** 2).select(F.expr(f"cast(id % {2 * RANGE + 1} as int) - {RANGE}").alias("dx"), F.expr(f"cast(id div {2 * RANGE + 1} as int) - {RANGE}").alias("dy"))
-    ref = A.planes(spark, FRAMES, W, H).select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").alias("rv"))
-    moved = cur.crossJoin(F.broadcast(cand))  # a constant table of 81 rows
-    moved = moved.withColumn("rx", B.clamp(F.col("x") + F.col("dx"), 0, W - 1)).withColumn("ry", B.clamp(F.col("y") + F.col("dy"), 0, H - 1)).join(ref, ["frame_idx", "ry", "rx"])
-    return moved.groupBy("frame_idx", F.expr(f"y div {size}").alias("br"), F.expr(f"x div {size}").alias("bc"), "dx", "dy").agg(F.sum(F.abs(F.col("v") - F.col("rv"))).alias("sad"))
-
-
-def motion_full(spark, d):
-    """Full search: smallest score (SAD and vector cost), then SAD, then |x| + |y|, x, y."""
-    s = _motion(spark, 16).withColumn("score", F.expr(f"sad + shiftright({LAMBDA} * ({_cost('dx')} + {_cost('dy')}), 16)"))
-    g = s.groupBy("frame_idx", "br", "bc").agg(F.min(F.struct("score", "sad", (F.abs("dx") + F.abs("dy")).alias("l1"), "dx", "dy")).alias("m"))
-    return g.select("frame_idx", "br", "bc", "m.dx", "m.dy", "m.sad", "m.score")
-
-
-_MOTION = f"""SELECT c.frame_idx, c.y // {{n}} AS br, c.x // {{n}} AS bc, dx, dy, CAST(sum(abs(c.v - r.v)) AS BIGINT) AS sad FROM ({A.planes_sql(FRAMES, W, H)}) c,
-  (SELECT unnest(range(-{RANGE}, {RANGE + 1})) AS dx), (SELECT unnest(range(-{RANGE}, {RANGE + 1})) AS dy) JOIN ({A.planes_sql(FRAMES, W, H)}) r ON r.frame_idx = c.frame_idx - 1 AND r.x = greatest(0, least({W - 1}, c.x + dx)) AND r.y = greatest(0, least({H - 1}, c.y + dy)) GROUP BY ALL"""
-MOTION_SQL = f"""SELECT frame_idx, br, bc, dx, dy, sad, score FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, br, bc ORDER BY score, sad, abs(dx) + abs(dy), dx, dy) AS k FROM (
-  SELECT *, sad + CAST(({LAMBDA} * (CAST(round_even(256 * log2(abs(dx) + 1.0::DOUBLE), 0) AS BIGINT) + CAST(round_even(256 * log2(abs(dy) + 1.0::DOUBLE), 0) AS BIGINT))) >> 16 AS BIGINT) AS score FROM ({_MOTION.format(n=16)}))) WHERE k = 1"""
-
-
-def motion_partitions(spark, d):
-    """Atoms of 8x8 summed into the shapes 16x16, 16x8, 8x16 and 8x8; the lowest total wins, ties to the first shape."""
-    atoms = _motion(spark, 8).select("frame_idx", F.expr("br div 2").alias("my"), F.expr("bc div 2").alias("mx"), F.expr("cast(br % 2 * 2 + bc % 2 as int)").alias("q"), "dx", "dy", "sad")
-    shapes = F.array(*[F.struct(F.lit(p).alias("part"), F.get(F.array(*map(F.lit, g)), F.col("q")).alias("region")) for p, g in enumerate(((0, 0, 0, 0), (0, 0, 1, 1), (0, 1, 0, 1), (0, 1, 2, 3)))])
-    best = atoms.select("*", F.inline(shapes)).groupBy("frame_idx", "my", "mx", "part", "region", "dx", "dy").agg(F.sum("sad").alias("sad")).groupBy("frame_idx", "my", "mx", "part", "region").agg(F.min("sad").alias("sad"))
-    total = best.groupBy("frame_idx", "my", "mx", "part").agg(F.sum("sad").alias("total")).groupBy("frame_idx", "my", "mx").agg(F.min(F.struct("total", "part")).alias("m"))
-    return total.select("frame_idx", "my", "mx", "m.part", F.col("m.total").alias("total"))
-
-
-PARTITIONS_SQL = f"""WITH a AS (SELECT frame_idx, br // 2 AS my, bc // 2 AS mx, CAST(br % 2 * 2 + bc % 2 AS INT) AS q, dx, dy, sad FROM ({_MOTION.format(n=8)})),
-r AS (SELECT frame_idx, my, mx, part, region, min(sad) AS sad FROM (SELECT frame_idx, my, mx, part, region, dx, dy, sum(sad) AS sad FROM a JOIN (VALUES (0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 0, 0), (2, 1, 1), (2, 2, 0), (2, 3, 1), (3, 0, 0), (3, 1, 1), (3, 2, 2), (3, 3, 3)) t(part, k, region) ON k = q GROUP BY ALL) GROUP BY ALL),
-s AS (SELECT frame_idx, my, mx, part, CAST(sum(sad) AS BIGINT) AS total FROM r GROUP BY ALL)
-SELECT frame_idx, my, mx, CAST(min_by(part, total * 4 + part) AS INT) AS part, min(total) AS total FROM s GROUP BY frame_idx, my, mx"""
-
-
 # Intra 4x4 prediction as taps: sample name -> weight, a rounding shift after the sum. T0-T7 above, L0-L3 left, Q the corner.
 def _taps(mode: int, x: int, y: int) -> tuple[dict[str, int], int]:
     edge = {**{k: f"T{k}" for k in range(8)}, -1: "Q", **{-2 - k: f"L{k}" for k in range(4)}}  # one line: left column up, corner, top row
@@ -252,9 +210,9 @@ def _intra_sql() -> str:
 
 INTRA_SQL = _intra_sql()
 CATALOG = {
-    "q_pad_extend": (pad_extend, _pad_sql(20, 12, _grid_sql(FRAMES, 32, 16))),
-    "q_halo": (halo, _pad_sql(20, 12, _grid_sql(FRAMES, 36, 28, -8, -8))),
-    "q_crop_flip": (crop_flip, f"SELECT frame_idx, 29 - y AS y, x, v FROM ({A.planes_sql(FRAMES, W, H)}) WHERE x < 40 AND y < 30"),
+    "q_pad_extend": (pad_extend, _pad_sql(20, 12, _grid_sql(32, 16))),
+    "q_halo": (halo, _pad_sql(20, 12, _grid_sql(36, 28, -8, -8))),
+    "q_crop_flip": (crop_flip, f"SELECT frame_idx, 29 - y AS y, x, v FROM ({A.planes_sql()}) WHERE x < 40 AND y < 30"),
     "q_rgb_to_luma": (rgb_to_luma, f"SELECT frame_idx, y, x, 16 + ((66 * r + 129 * g + 25 * b + 128) >> 8) AS luma FROM ({_RGB_SQL})"),
     "q_rgb_to_chroma": (rgb_to_chroma, CHROMA_SQL),
     "q_yuyv_repack": (yuyv_repack, YUYV_SQL),
@@ -262,8 +220,6 @@ CATALOG = {
     "q_half_pel": (half_pel, HALF_SQL),
     "q_chroma_interp": (chroma_interp, CHROMA_INTERP_SQL),
     "q_mv_cost": (mv_cost_table, "SELECT CAST(i AS INT) AS i, CAST(round_even(256 * log2(i + 1.0::DOUBLE), 0) AS INT) AS cost FROM range(128) t(i)"),
-    "q_motion_full": (motion_full, MOTION_SQL),
-    "q_motion_partitions": (motion_partitions, PARTITIONS_SQL),
     "q_intra4_modes": (intra4_modes, INTRA_SQL),
     "q_intra4_pick": (intra4_pick, f"SELECT vec_id, CAST(min_by(mode, j * 16 - mode) AS INT) AS mode, min(j) AS cost FROM (SELECT *, satd + CASE WHEN mode = 2 THEN 4 ELSE 16 END AS j FROM ({INTRA_SQL})) GROUP BY vec_id"),
     "q_mode_topk": (top_k_modes, f"SELECT * FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY sad, mode) AS rank, mode, sad FROM ({INTRA_SQL})) WHERE rank <= 3"),

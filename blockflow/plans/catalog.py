@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from blockflow.operators import bits, blockmath, chains, control, decisions, entropy, filters, frames
+from blockflow.operators import bits, blockmath, chains, control, decisions, entropy, filters, frames, motion
 
-CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG, **chains.CATALOG, **entropy.CATALOG, **decisions.CATALOG}
+CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG, **chains.CATALOG, **entropy.CATALOG, **decisions.CATALOG, **motion.CATALOG}
 QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql}

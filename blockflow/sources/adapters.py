@@ -81,12 +81,22 @@ FEEDBACK_SQL = """SELECT user_id AS stream_id, row_number() OVER (PARTITION BY u
 LUMA = "(((x + 3 * f) * 7 + (y + f) * 13 + ((((x + 3 * f) {div} 5) * ((y + f) {div} 3)) % 47) * 3) & 255)"
 
 
-def planes(spark: SparkSession, frames: int, width: int, height: int) -> DataFrame:
-    """frame_idx, y, x, v: generated frames whose content moves by (3, 1) a frame; one row a sample, bounded by the arguments."""
-    n = width * height
-    rows = spark.range(frames * n).select(F.expr(f"cast(id div {n} as int)").alias("f"), F.expr(f"cast(id % {n} div {width} as int)").alias("y"), F.expr(f"cast(id % {width} as int)").alias("x"))
+PLANE_WIDTH, PLANE_HEIGHT = 48, 32
+
+
+def frames(spark: SparkSession, sf_dir: str, width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> DataFrame:
+    """frame_idx, px: a generated plane (bytes in raster order) for every 24 vectors, whose content moves by (3, 1) a frame."""
+    f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 24").alias("f")).distinct()
+    px = F.expr(f"transform(sequence(0, {width * height - 1}), i -> char(cast({LUMA.format(div='div').replace('x', f'(i % {width})').replace('y', f'(i div {width})')} as int)))")
+    return f.select(F.col("f").alias("frame_idx"), F.encode(F.array_join(px, ""), "ISO-8859-1").alias("px"))
+
+
+def planes(spark: SparkSession, sf_dir: str, width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> DataFrame:
+    """The same as a row a sample: frame_idx, y, x, v."""
+    f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 24").alias("f")).distinct()
+    rows = f.select("f", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i")).selectExpr("f", f"cast(i div {width} as int) AS y", f"cast(i % {width} as int) AS x")
     return rows.select(F.col("f").alias("frame_idx"), "y", "x", F.expr(f"cast({LUMA.format(div='div')} as int)").alias("v"))
 
 
-def planes_sql(frames: int, width: int, height: int) -> str:
-    return f"SELECT f AS frame_idx, y, x, CAST({LUMA.format(div='//')} AS INT) AS v FROM (SELECT CAST(unnest(range({frames})) AS INT) AS f), (SELECT CAST(unnest(range({height})) AS INT) AS y), (SELECT CAST(unnest(range({width})) AS INT) AS x)"
+def planes_sql(width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> str:
+    return f"SELECT f AS frame_idx, y, x, CAST({LUMA.format(div='//')} AS INT) AS v FROM (SELECT DISTINCT vec_id // 24 AS f FROM embeddings), (SELECT CAST(unnest(range({height})) AS INT) AS y), (SELECT CAST(unnest(range({width})) AS INT) AS x)"
