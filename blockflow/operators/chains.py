@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockflow.functions import blocks as B
+from blockflow.functions.folds import folded
 from blockflow.functions import tables as T
 from blockflow.operators import bits as S
 from blockflow.operators import blockmath as M
@@ -116,24 +116,21 @@ BAND = -(-MB_W // PERIOD)
 def refresh_wave(spark, d):
     """Columns refreshed in each frame: a request starts a wave of bands when none runs; an IDR cancels both."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        col, pending, out = -1, False, []
-        for i, q, idr, ask in rows.sort_values("seq")[["stream_id", "seq", "idr", "ask"]].itertuples(index=False):
-            start = end = -1
-            if idr:
-                col, pending = -1, False
-            else:
-                pending = pending or ask
-                if col < 0 and pending:
-                    col, pending = 0, False
-                if col >= 0:
-                    start, end = col, min(col + BAND, MB_W)
-                    col = -1 if end >= MB_W else end
-            out.append((i, q, start, end))
-        return pd.DataFrame(out, columns=["stream_id", "seq", "band_start", "band_end"])
+    def one(s: dict, idr: bool, ask: bool) -> tuple:
+        start = end = -1
+        if idr:
+            s["col"], s["pending"] = -1, False
+        else:
+            s["pending"] = s["pending"] or ask
+            if s["col"] < 0 and s["pending"]:
+                s["col"], s["pending"] = 0, False
+            if s["col"] >= 0:
+                start, end = s["col"], min(s["col"] + BAND, MB_W)
+                s["col"] = -1 if end >= MB_W else end
+        return start, end
 
     f = A.feedback(spark, d).select("stream_id", "seq", (F.col("fir") | (F.col("seq") == 0)).alias("idr"), F.col("pli").alias("ask"))
-    return f.groupBy("stream_id").applyInPandas(fold, "stream_id long, seq int, band_start int, band_end int")
+    return folded(f, ["idr", "ask"], "band_start int, band_end int", lambda: {"col": -1, "pending": False}, one, arranged=True)
 
 
 WAVE_SQL = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT stream_id, seq, fir OR seq = 0 AS idr, pli AS ask FROM ({A.FEEDBACK_SQL})),

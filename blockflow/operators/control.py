@@ -1,21 +1,23 @@
 """Rate control, recovery and adaptation: ordered folds over feedback streams.
 
 `step` is one pure function (state, feedback) -> decision. The batch query folds each stream
-by it in a grouped kernel; the streaming job keeps the same state in the state store. A
-stream's rows are folded in order, as the semantics ask; streams are independent, so the
+by it in one Arrow pass that carries the state of one stream; the streaming job keeps the same state in the state store.
+A stream's rows are folded in order, as the semantics ask; streams are independent, so the
 work is spread by stream.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockflow.functions import tables as T
+from blockflow.functions.folds import folded
 from blockflow.sources import adapters as A
 
 
@@ -62,7 +64,7 @@ class State:
     speed: int = 1
     fps: int = 60
     rung: int = 0
-    extra: dict = field(default_factory=dict)
+    seq: int = -1
 
 
 def drift(base: float, sample: float) -> float:
@@ -162,59 +164,77 @@ def adaptation_step(s: State, f: dict, c: Config, encode_ms: float = 5.0) -> dic
 
 
 def step(s: State, f: dict, c: Config) -> dict:
-    """The composite decision: rate, recovery once, then the adaptation overlay."""
-    fps, speed = s.fps, s.speed
+    """The composite decision: rate, recovery once, then the adaptation overlay, whose outcome is what the next step starts from."""
+    fps, speed, encode_ms = s.fps, s.speed, f.get("encode_ms", 5.0)
     out = rate_step(s, f, c)
-    backpressure = f.get("encode_ms", 5.0) > 1000.0 / fps * 0.75
-    if backpressure:
+    if encode_ms > 1000.0 / fps * 0.75:
         s.speed = min(3, speed + 1)
         out["base_qp"] = min(c.max_qp, out["base_qp"] + 2)
     out["max_frame_bytes"] = max(100, int(s.bps / 8.0 / fps * c.burst))
     if f.get("last_bytes", 0) > out["max_frame_bytes"]:
         s.overshoots += 1
-    return out | recovery_step(s, f, c) | adaptation_step(s, f, c, f.get("encode_ms", 5.0))
-
-
-DECISION = (
-    "stream_id long, seq int, congestion boolean, jitter_spike boolean, target_bps long, stable int, base_qp int, max_frame_bytes int, force_idr boolean, intra_refresh boolean, "
-    "recovery_reason string, idr_count int, pli_count int, fir_count int, width int, height int, fps int, speed int, adaptation_reason string"
-)
-INPUTS = ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "nacks", "pli", "fir", "estimate_bps", "decode_ms", "scene_change")
-
+    out["overshoots"] = s.overshoots
+    return out | recovery_step(s, f, c) | adaptation_step(s, f, c, encode_ms)
+
+
+#: Columns of a decision by the part that makes them, and what each part reads.
+RATE = "congestion boolean, jitter_spike boolean, target_bps long, stable int, base_qp int"
+RECOVERY = "force_idr boolean, intra_refresh boolean, recovery_reason string, idr_count int, pli_count int, fir_count int"
+ADAPTATION = "width int, height int, fps int, speed int, adaptation_reason string"
+COMPOSITE = f"{RATE}, max_frame_bytes int, overshoots int, {RECOVERY}, {ADAPTATION}"
+INPUTS = ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "nacks", "pli", "fir", "estimate_bps", "decode_ms", "scene_change", "encode_ms", "last_bytes")
+PARTS = {
+    RATE: (lambda s, f, c: rate_step(s, f, c), ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "nacks", "estimate_bps")),
+    RECOVERY: (lambda s, f, c: recovery_step(s, f, c), ("pli", "fir", "scene_change")),
+    ADAPTATION: (lambda s, f, c: adaptation_step(s, f, c, f.get("encode_ms", 5.0)), ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "decode_ms", "encode_ms")),
+    COMPOSITE: (lambda s, f, c: step(s, f, c), INPUTS),
+}
 
-def fold_rows(rows: pd.DataFrame, s: State, c: Config) -> list[dict]:
-    names = [n for n in INPUTS if n in rows.columns]
-    return [{"stream_id": i, "seq": q} | step(s, dict(zip(names, v)), c) for i, q, *v in rows[["stream_id", "seq", *names]].itertuples(index=False)]
 
+def decisions(feedback: DataFrame, config: Config = Config(), part: str = COMPOSITE, arranged: bool = False) -> DataFrame:
+    """stream_id, seq and the columns of that part for each feedback row, by stream in order of seq."""
+    fold, reads = PARTS[part]
+    names = [n for n in reads if n in feedback.columns]
+    out = [x.split()[0] for x in part.split(", ")]
 
-def decisions(feedback: DataFrame, config: Config = Config()) -> DataFrame:
-    """DECISION for each feedback row, by stream in order of seq."""
-    columns = [x.split()[0] for x in DECISION.split(", ")]
+    def one(state: State, *values) -> tuple:
+        made = fold(state, dict(zip(names, values)), config)
+        return tuple(made[n] for n in out)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        s = State(bps=config.initial_bps)
-        return pd.DataFrame(fold_rows(rows.sort_values("seq"), s, config), columns=columns)
+    return folded(feedback, names, part, lambda: State(bps=config.initial_bps), one, arranged)
 
-    return feedback.groupBy("stream_id").applyInPandas(fold, DECISION)
 
+def stream_decisions(feedback: DataFrame, config: Config = Config(), idle_ms: int | None = None) -> DataFrame:
+    """The same over a streaming feedback table (columns of adapters.feedback): state by stream, rows of a batch by seq.
 
-def stream_decisions(feedback: DataFrame, config: Config = Config()) -> DataFrame:
-    """The same over a streaming feedback table (columns of adapters.feedback): state by stream, rows of a batch by seq."""
+    A row that arrives behind a later one of its stream (in another batch) is ignored: decisions once made stand. With
+    idle_ms a stream that is silent for so long is forgotten and starts anew, so a job that runs on holds only streams that live; a job
+    that ends with its input (trigger availableNow) must leave it out, since time-outs keep a query going.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    columns = [x.split()[0] for x in DECISION.split(", ")]
+    columns = ["stream_id", "seq", *(x.split()[0] for x in COMPOSITE.split(", "))]
     kinds = {float: "double", int: "long"}
-    names = [(k, type(v)) for k, v in asdict(State()).items() if k != "extra"]
+    fields = [(k, type(v)) for k, v in asdict(State()).items()]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = State(**dict(zip([k for k, _ in names], state.get))) if state.exists else State(bps=config.initial_bps)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = State(**dict(zip([k for k, _ in fields], state.get))) if state.exists else State(bps=config.initial_bps)
         rows = pd.concat(list(parts)).sort_values("seq")  # one micro-batch of one stream
-        out = pd.DataFrame(fold_rows(rows, s, config), columns=columns)
-        state.update(tuple(t(getattr(s, k)) for k, t in names))
-        yield out
+        rows = rows[rows["seq"] > s.seq]
+        names = [n for n in INPUTS if n in rows.columns]
+        made = [{"stream_id": i, "seq": q} | step(s, dict(zip(names, v)), config) for i, q, *v in rows[["stream_id", "seq", *names]].itertuples(index=False)]
+        if len(rows):
+            s.seq = int(rows["seq"].iloc[-1])
+        state.update(tuple(t(getattr(s, k)) for k, t in fields))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(made, columns=columns)
 
-    schema = ", ".join(f"{k} {kinds[t]}" for k, t in names)
-    return feedback.groupBy("stream_id").applyInPandasWithState(fold, DECISION, schema, "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"{k} {kinds[t]}" for k, t in fields)
+    return feedback.groupBy("stream_id").applyInPandasWithState(fold, f"stream_id long, seq int, {COMPOSITE}", schema, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 SMALL = Config(stability_window=5, idr_cooldown=6, adaptation_cooldown=3)
@@ -222,10 +242,10 @@ SMALL = Config(stability_window=5, idr_cooldown=6, adaptation_cooldown=3)
 
 def _calm(spark, d):
     """A calmer mapping of the same events, which reaches upshifts and recovery."""
-    return A.feedback(spark, d).withColumns({"loss": F.col("loss") / 5, "queue_bytes": F.expr("queue_bytes div 5").cast("int"), "nacks": F.expr("queue_bytes div 30000").cast("int")})
+    return A.feedback(spark, d).withColumns({"loss": F.col("loss") / 5, "queue_bytes": F.expr("queue_bytes div 5").cast("int"), "nacks": F.expr("queue_bytes div 30000").cast("int"), "encode_ms": F.col("encode_ms") / 3})
 
 
-CALM_SQL = f"SELECT * REPLACE (loss / 5 AS loss, queue_bytes // 5 AS queue_bytes, queue_bytes // 30000 AS nacks) FROM ({A.FEEDBACK_SQL})"
+CALM_SQL = f"SELECT * REPLACE (loss / 5 AS loss, queue_bytes // 5 AS queue_bytes, queue_bytes // 30000 AS nacks, encode_ms / 3 AS encode_ms) FROM ({A.FEEDBACK_SQL})"
 
 
 def _drift_sql(base: str, sample: str) -> str:
@@ -253,7 +273,7 @@ SELECT stream_id, CAST(seq AS INT) AS seq, congestion, shaky AS jitter_spike, bp
 
 def qp_sql(source: str, c: Config) -> str:
     """QP of a target: halvings are counted by a range join, so no loop is shared with step()."""
-    return f"""SELECT stream_id, seq, target_bps, CAST(greatest({c.min_qp}, least({c.max_qp}, {c.base_qp} + 6 * h + CASE WHEN 2 * {c.initial_bps} >= 3 * t THEN 3 WHEN 5 * {c.initial_bps} >= 6 * t THEN 1 ELSE 0 END
+    return f"""SELECT stream_id, seq, target_bps, congestion, jitter_spike, stable, CAST(greatest({c.min_qp}, least({c.max_qp}, {c.base_qp} + 6 * h + CASE WHEN 2 * {c.initial_bps} >= 3 * t THEN 3 WHEN 5 * {c.initial_bps} >= 6 * t THEN 1 ELSE 0 END
   + CASE WHEN loss > 0.05 THEN 2 ELSE 0 END)) AS INT) AS base_qp, CAST(greatest(100, trunc(target_bps / 8.0::DOUBLE / 60 * {c.burst})) AS INT) AS max_frame_bytes FROM (SELECT *, greatest(1, target_bps) * (1::BIGINT << h) AS t FROM (
   SELECT *, (SELECT count(*) FROM range(8) k(i) WHERE {c.initial_bps} >= (2::BIGINT << k.i) * greatest(1, target_bps)) AS h FROM ({source})))"""
 
@@ -272,17 +292,21 @@ r(stream_id, seq, wait, idr, pli, fir, force, refresh, reason) AS (
 SELECT stream_id, CAST(seq AS INT) AS seq, force AS force_idr, refresh AS intra_refresh, reason AS recovery_reason, idr AS idr_count, pli AS pli_count, fir AS fir_count FROM r WHERE seq >= 0"""
 
 
-def adaptation_sql(source: str, c: Config, encode_ms: float = 5.0) -> str:
+def adaptation_sql(source: str, c: Config, pressed: bool = False) -> str:
+    """The cascade as a recursive CTE. pressed: a slow encode raises the speed first, as the composite decision does; then also how."""
+    encode_ms = "encode_ms"
     gap = "(1000.0::DOUBLE / CASE fps_at WHEN 0 THEN 60 WHEN 1 THEN 30 ELSE 15 END)"
     calm = f"{encode_ms} < 1000.0::DOUBLE / 60 * 0.5"
+    slow = "f.encode_ms > 1000.0::DOUBLE / CASE p.fps_at WHEN 0 THEN 60 WHEN 1 THEN 30 ELSE 15 END * 0.75"
     return f"""WITH RECURSIVE f AS MATERIALIZED ({source}),
-r(stream_id, seq, rtt, jitter, wait, speed, fps_at, rung, reason) AS (
-  SELECT DISTINCT stream_id, CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0, 1, 0, 0, '' FROM f
+r(stream_id, seq, rtt, jitter, wait, speed, fps_at, rung, reason, slow, fps_used) AS (
+  SELECT DISTINCT stream_id, CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0, 1, 0, 0, '', false, 60 FROM f
   UNION ALL
   SELECT stream_id, seq, rtt, jitter, CASE WHEN wait > 0 THEN wait - 1 WHEN move <> '' THEN {c.adaptation_cooldown} ELSE 0 END,
     speed + CASE WHEN move = 'S+' THEN 1 WHEN move = 'S-' THEN -1 ELSE 0 END, fps_at + CASE WHEN move = 'F+' THEN 1 WHEN move = 'F-' THEN -1 ELSE 0 END, rung + CASE WHEN move = 'R+' THEN 1 WHEN move = 'R-' THEN -1 ELSE 0 END,
     CASE move WHEN 'S+' THEN 'speed_mode_increase_' || cause WHEN 'F+' THEN 'fps_reduction_' || cause WHEN 'R+' THEN 'resolution_reduction_' || cause
-      WHEN 'R-' THEN 'resolution_increase_stable' WHEN 'F-' THEN 'fps_increase_stable' WHEN 'S-' THEN 'speed_mode_decrease_stable' ELSE '' END
+      WHEN 'R-' THEN 'resolution_increase_stable' WHEN 'F-' THEN 'fps_increase_stable' WHEN 'S-' THEN 'speed_mode_decrease_stable' ELSE '' END,
+    slow, CASE fps_at WHEN 0 THEN 60 WHEN 1 THEN 30 ELSE 15 END
   FROM (SELECT *, CASE WHEN severe THEN 'severe_congestion' ELSE 'client_decode_delay' END AS cause,
     CASE WHEN wait > 0 THEN '' WHEN severe OR behind THEN CASE WHEN speed < 3 THEN 'S+' WHEN fps_at < 2 THEN 'F+' WHEN rung < 4 THEN 'R+' ELSE '' END
       WHEN good THEN CASE WHEN rung > 0 THEN 'R-' WHEN fps_at > 0 THEN 'F-' WHEN speed > 0 THEN 'S-' ELSE '' END ELSE '' END AS move FROM (
@@ -290,47 +314,57 @@ r(stream_id, seq, rtt, jitter, wait, speed, fps_at, rung, reason) AS (
       coalesce(decode_ms > 0 AND decode_ms > {gap} * {c.decode_budget}, false) AS behind,
       loss < 0.01 AND (rtt_ms < 40 OR (rtt > 0 AND rtt_ms < rtt * {c.settled_rtt_times})) AND NOT (jitter_ms > 0 AND jitter > 0 AND jitter_ms > jitter * {c.jitter_times} AND jitter_ms > {c.jitter_floor_ms})
         AND NOT coalesce(decode_ms > 0 AND decode_ms > {gap} * {c.decode_budget * 0.5}, false) AND queue_bytes < 20000 AND {calm} AS good FROM (
-      SELECT f.*, {_drift_sql('p.rtt', 'f.rtt_ms')} AS rtt, {_drift_sql('p.jitter', 'f.jitter_ms')} AS jitter, p.wait, p.speed, p.fps_at, p.rung
+      SELECT f.*, {_drift_sql('p.rtt', 'f.rtt_ms')} AS rtt, {_drift_sql('p.jitter', 'f.jitter_ms')} AS jitter, p.wait, {'least(3, p.speed + CASE WHEN ' + slow + ' THEN 1 ELSE 0 END)' if pressed else 'p.speed'} AS speed, {slow} AS slow, p.fps_at, p.rung
       FROM r p JOIN f ON f.stream_id = p.stream_id AND f.seq = p.seq + 1))))
-SELECT stream_id, CAST(seq AS INT) AS seq, [1920, 1600, 1280, 960, 640][rung + 1] AS width, [1080, 900, 720, 540, 360][rung + 1] AS height, [60, 30, 15][fps_at + 1] AS fps, speed, reason AS adaptation_reason FROM r WHERE seq >= 0"""
+SELECT stream_id, CAST(seq AS INT) AS seq, [1920, 1600, 1280, 960, 640][rung + 1] AS width, [1080, 900, 720, 540, 360][rung + 1] AS height, [60, 30, 15][fps_at + 1] AS fps, speed, reason AS adaptation_reason, slow, fps_used FROM r WHERE seq >= 0"""
 
 
+def composite_sql(source: str, c: Config) -> str:
+    """Rate, recovery and cascade side by side: they meet only in the speed and QP of a slow encode and in the frame rate of the byte limit."""
+    return f"""SELECT q.stream_id, q.seq, q.congestion, q.jitter_spike, q.target_bps, q.stable, least({c.max_qp}, q.base_qp + CASE WHEN a.slow THEN 2 ELSE 0 END) AS base_qp,
+  CAST(greatest(100, trunc(q.target_bps / 8.0::DOUBLE / a.fps_used * {c.burst})) AS INT) AS max_frame_bytes,
+  CAST(sum(CASE WHEN f.last_bytes > greatest(100, trunc(q.target_bps / 8.0::DOUBLE / a.fps_used * {c.burst})) THEN 1 ELSE 0 END) OVER (PARTITION BY q.stream_id ORDER BY q.seq) AS INT) AS overshoots,
+  v.force_idr, v.intra_refresh, v.recovery_reason, v.idr_count, v.pli_count, v.fir_count, a.width, a.height, a.fps, a.speed, a.adaptation_reason
+  FROM ({qp_sql(rate_sql(source, c), c)}) q JOIN ({adaptation_sql(source, c, pressed=True)}) a ON a.stream_id = q.stream_id AND a.seq = q.seq JOIN ({recovery_sql(source, c)}) v ON v.stream_id = q.stream_id AND v.seq = q.seq JOIN ({source}) f ON f.stream_id = q.stream_id AND f.seq = q.seq"""
+
+
+# The adapters number a stream's rows by a window, which leaves them arranged.
 def bitrate(spark, d):
-    return decisions(A.feedback(spark, d), SMALL).select("stream_id", "seq", "congestion", "jitter_spike", "target_bps", "stable")
+    return decisions(A.feedback(spark, d), SMALL, RATE, arranged=True).drop("base_qp")
 
 
 def bitrate_calm(spark, d):
-    return decisions(_calm(spark, d), SMALL).select("stream_id", "seq", "congestion", "jitter_spike", "target_bps", "stable")
+    return decisions(_calm(spark, d), SMALL, RATE, arranged=True).drop("base_qp")
 
 
 def rtt_baseline(spark, d):
-    """The baseline fold alone, inside the JVM: an aggregate over the ordered samples of a stream."""
-    rows = A.feedback(spark, d).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "rtt_ms"))).alias("xs"))
-    new = lambda a, x: F.when(x["rtt_ms"] <= 0, a["b"]).when((a["b"] <= 0) | (x["rtt_ms"] < a["b"]), x["rtt_ms"]).otherwise(a["b"] + (x["rtt_ms"] - a["b"]) / F.lit(256.0))
-    zero = F.expr("named_struct('b', 0.0D, 'out', cast(array() AS array<struct<seq:int,b:double>>))")
+    """The baseline fold alone."""
 
-    def add(a, x):
-        one = lambda b: F.struct(b.alias("b"), F.concat(a["out"], F.array(F.struct(x["seq"].alias("seq"), b.alias("b")))).alias("out"))
-        return F.transform(F.array(new(a, x)), one)[0]
+    def one(state: list[float], rtt: float) -> tuple:
+        state[0] = drift(state[0], rtt)
+        return (math.floor(state[0] * 1000),)
 
-    out = rows.select("stream_id", F.inline(F.aggregate("xs", zero, add)["out"]))
-    return out.select("stream_id", "seq", F.floor(F.col("b") * 1000).alias("rtt_base_us"))
+    return folded(A.feedback(spark, d), ["rtt_ms"], "rtt_base_us long", lambda: [0.0], one, arranged=True)
 
 
 def qp_decision(spark, d):
-    return decisions(_calm(spark, d), SMALL).select("stream_id", "seq", "target_bps", "base_qp")
+    return decisions(_calm(spark, d), SMALL, RATE, arranged=True).select("stream_id", "seq", "target_bps", "base_qp")
 
 
 def recovery(spark, d):
-    return decisions(A.feedback(spark, d), SMALL).select("stream_id", "seq", "force_idr", "intra_refresh", "recovery_reason", "idr_count", "pli_count", "fir_count")
+    return decisions(A.feedback(spark, d), SMALL, RECOVERY, arranged=True)
 
 
 def adaptation(spark, d):
-    return decisions(_calm(spark, d), SMALL).select("stream_id", "seq", "width", "height", "fps", "speed", "adaptation_reason")
+    return decisions(_calm(spark, d), SMALL, ADAPTATION, arranged=True)
 
 
 def composite(spark, d):
-    return decisions(_calm(spark, d), SMALL)
+    return decisions(A.feedback(spark, d), SMALL, arranged=True)
+
+
+def composite_calm(spark, d):
+    return decisions(_calm(spark, d), SMALL, arranged=True)
 
 
 _RATE = rate_sql(A.FEEDBACK_SQL, SMALL)
@@ -342,6 +376,7 @@ CATALOG = {
     "q_bitrate_calm": (bitrate_calm, f"SELECT {_COLS} FROM ({_CALM_RATE})"),
     "q_qp_decision": (qp_decision, f"SELECT stream_id, seq, target_bps, base_qp FROM ({qp_sql(_CALM_RATE, SMALL)})"),
     "q_recovery": (recovery, recovery_sql(A.FEEDBACK_SQL, SMALL)),
-    "q_adaptation_cascade": (adaptation, adaptation_sql(CALM_SQL, SMALL)),
-    "q_composite_decision": (composite, None),
+    "q_adaptation_cascade": (adaptation, f"SELECT * EXCLUDE (slow, fps_used) FROM ({adaptation_sql(CALM_SQL, SMALL)})"),
+    "q_composite_decision": (composite, composite_sql(A.FEEDBACK_SQL, SMALL)),
+    "q_composite_calm": (composite_calm, composite_sql(CALM_SQL, SMALL)),
 }

@@ -69,13 +69,14 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("event_type = 'error' AND k < 50").alias("pli"), F.expr("event_type = 'signup' AND k < 30").alias("fir"),
         F.expr("CASE WHEN event_type = 'purchase' THEN k * 100000 ELSE 0 END").alias("estimate_bps"),
         F.expr("CASE WHEN event_type = 'view' THEN value / 4 END").alias("decode_ms"), F.expr("event_type = 'click' AND k < 10").alias("scene_change"),
+        F.expr("k / 4.0D").alias("encode_ms"), (F.col("k") * 2500).alias("last_bytes"),
     )
 
 
 FEEDBACK_SQL = """SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value AS rtt_ms, value / 8 AS jitter_ms,
   k / 1000.0::double AS loss, k * 1500 AS queue_bytes, k % 8 AS nacks, event_type = 'error' AND k < 50 AS pli, event_type = 'signup' AND k < 30 AS fir,
   CASE WHEN event_type = 'purchase' THEN k * 100000 ELSE 0 END AS estimate_bps, CASE WHEN event_type = 'view' THEN value / 4 END AS decode_ms,
-  event_type = 'click' AND k < 10 AS scene_change
+  event_type = 'click' AND k < 10 AS scene_change, k / 4.0::double AS encode_ms, k * 2500 AS last_bytes
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
 
 LUMA = "(((x + 3 * f) * 7 + (y + f) * 13 + ((((x + 3 * f) {div} 5) * ((y + f) {div} 3)) % 47) * 3) & 255)"

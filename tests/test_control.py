@@ -4,7 +4,7 @@ import pytest
 
 from blockflow.operators import control as C
 
-CALM = {"rtt_ms": 20.0, "jitter_ms": 1.0, "loss": 0.0, "queue_bytes": 0, "nacks": 0, "pli": False, "fir": False, "estimate_bps": 0, "decode_ms": None, "scene_change": False}
+CALM = {"rtt_ms": 20.0, "jitter_ms": 1.0, "loss": 0.0, "queue_bytes": 0, "nacks": 0, "pli": False, "fir": False, "estimate_bps": 0, "decode_ms": None, "scene_change": False, "encode_ms": 5.0, "last_bytes": 0}
 
 
 def run(rows, config=C.Config()):
@@ -58,7 +58,7 @@ def test_qp_of_a_bitrate(bps, qp):
 
 def test_streaming_equals_batch(spark, tmp_path):
     names = ["stream_id", "seq", *C.INPUTS]
-    schema = "stream_id long, seq int, rtt_ms double, jitter_ms double, loss double, queue_bytes int, nacks int, pli boolean, fir boolean, estimate_bps int, decode_ms double, scene_change boolean"
+    schema = "stream_id long, seq int, rtt_ms double, jitter_ms double, loss double, queue_bytes int, nacks int, pli boolean, fir boolean, estimate_bps int, decode_ms double, scene_change boolean, encode_ms double, last_bytes int"
     data = [tuple((CALM | {"stream_id": i % 3, "seq": i // 3, "loss": (i * 7 % 50) / 1000, "pli": i % 11 == 0})[n] for n in names) for i in range(90)]
     df = spark.createDataFrame(data, schema)
     src = str(tmp_path / "in")
@@ -71,6 +71,37 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(spark.table("decided").collect(), key=key) == sorted(C.decisions(df, C.SMALL).collect(), key=key)
 
 
+def test_folds_carry_one_state_across_batches(spark):
+    names = ["stream_id", "seq", *C.INPUTS]
+    schema = "stream_id long, seq int, rtt_ms double, jitter_ms double, loss double, queue_bytes int, nacks int, pli boolean, fir boolean, estimate_bps int, decode_ms double, scene_change boolean, encode_ms double, last_bytes int"
+    data = [tuple((CALM | {"stream_id": i % 4 if i % 4 else None, "seq": i // 4, "loss": (i * 7 % 50) / 1000, "encode_ms": float(i % 23), "last_bytes": i * 997 % 90_000, "fir": i % 29 == 0})[n] for n in names) for i in range(400)]
+    want = {}
+    for k in (None, 1, 2, 3):
+        rows = sorted((dict(zip(names, r)) for r in data if r[0] == k), key=lambda r: r["seq"])
+        want[k] = run(rows, C.SMALL)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # streams cross batches
+    try:
+        got = C.decisions(spark.createDataFrame(data, schema).repartition(5), C.SMALL).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 400
+    for r in got:
+        assert {k: v for k, v in r.asDict().items() if k not in ("stream_id", "seq")} == {k: want[r.stream_id][r.seq][k] for k in want[r.stream_id][r.seq]}
+    assert max(r.overshoots for r in got) > 3 and {r.speed for r in got} >= {1, 2, 3}
+
+
+def test_rows_behind_the_last_one_are_ignored(spark, tmp_path):
+    names = ["stream_id", "seq", *C.INPUTS]
+    schema = "stream_id long, seq int, rtt_ms double, jitter_ms double, loss double, queue_bytes int, nacks int, pli boolean, fir boolean, estimate_bps int, decode_ms double, scene_change boolean, encode_ms double, last_bytes int"
+    data = [tuple((CALM | {"stream_id": 1, "seq": q})[n] for n in names) for q in (0, 1, 2, 5, 3, 4, 6)]
+    src = str(tmp_path / "in")
+    for k, part in enumerate((data[:4], data[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        q = C.stream_decisions(spark.readStream.schema(schema).parquet(src), C.SMALL).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 5, 6]
+
+
 def test_newest_feedback_of_each_interval(spark, tmp_path):
     from datetime import datetime, timedelta
 
@@ -85,3 +116,18 @@ def test_newest_feedback_of_each_interval(spark, tmp_path):
     q.awaitTermination()
     got = {(r.stream_id, r.seq): r.dropped for r in spark.table("newest").collect()}
     assert got == {(s, 4 * k + 2 + s): 1 for s in (0, 1) for k in range(10)}
+
+
+def test_late_feedback_is_dropped_behind_the_watermark(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from blockflow.streaming import newest_feedback
+
+    t0, schema = datetime(2024, 1, 1), "stream_id long, seq int, rtt_ms double, ts timestamp"
+    parts = [[(1, 0, 1.0, t0), (1, 1, 1.0, t0 + timedelta(seconds=60))], [(1, 2, 9.0, t0 + timedelta(milliseconds=500)), (1, 3, 1.0, t0 + timedelta(seconds=120))], [(1, 4, 1.0, t0 + timedelta(seconds=200))]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = newest_feedback(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.start, r.seq, r.dropped) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (t0, 0, 0) in got and all(seq != 2 for _, seq, _ in got)
