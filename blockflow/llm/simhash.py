@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, remove, small, text_key, written
+from .common import LOWER, UPPER, remove, small, small_batches, text_key, written
 
 NODE, LEAF, FAN = 4096, 16, 16
 #: Pairs compared at a time; bands of an index of minima and minima of a band: texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS.
@@ -419,7 +419,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
                 out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m), len(h)))
             yield pd.DataFrame(out, columns=["code", "nodes", "sketch", "size"])
 
-    rows = written(docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), index(F.col(text)).alias("b")).select("id", "key", "b.*"), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = written(docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), index(F.col(text)).alias("b")).select("id", "key", "b.*"), "sketches")
     # Texts with the same shingles are one code; its first row has the smallest id, null ids last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     codes = written(rows.groupBy("code").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "codes")
@@ -437,7 +438,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
     texts = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
     # A text of that key has that code, and rows that repeat id and text are one.
     known = texts.join(small(written(wanted, "wanted")), (F.col("key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
-    sets = written(known.select("code", set_of("t").alias("shingles")).groupBy("code").agg(F.first("shingles").alias("shingles")), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(known.select("code", set_of("t").alias("shingles")).groupBy("code").agg(F.first("shingles").alias("shingles")), "sets")
 
     @F.pandas_udf("boolean")
     def agrees(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -446,7 +448,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
     # At most one pair a member: that with its hub.
     pairs = members.where("code <> hub").select(F.least("code", "hub").alias("v"), F.greatest("code", "hub").alias("u")).distinct()
     a, b = (sets.select(F.col("code").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    edges = written(pairs.join(a, "u").join(b, "v").where(agrees("su", "sv")).select("u", "v"), "hub-links")
+    with small_batches(docs.sparkSession):
+        edges = written(pairs.join(a, "u").join(b, "v").where(agrees("su", "sv")).select("u", "v"), "hub-links")
     # What is still apart within a node. Large nodes as pairs of blocks.
     groups = written(components(edges), "hub-groups").withColumnRenamed("node", "code")
     parts = members.join(groups, "code", "left").select("node", "code", "n", "weight", F.coalesce("root", "code").alias("part"))
@@ -460,7 +463,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
     marks = apart.join(codes.select("code", "sketch"), "code").repartition("node").sortWithinPartitions("node", "part").mapInArrow(_open_texts(least - 0.18), "node long, code long")
     left = apart.join(written(marks, "open-texts"), ["node", "code"]).join(sets, "code")
     more = left.repartition("node").sortWithinPartitions("node", "part").mapInArrow(_exact_links(least), "u long, v long")
-    edges = edges.union(written(more.distinct(), "open-links")).distinct()
+    with small_batches(docs.sparkSession):
+        edges = edges.union(written(more.distinct(), "open-links")).distinct()
     named = codes.select("code", "first").join(components(edges).withColumnRenamed("node", "code"), "code", "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     named = written(named, "named")
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
