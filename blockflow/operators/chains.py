@@ -93,7 +93,8 @@ def capture_formats(spark, d):
     e = A.table(spark, d, "events").where(F.col("event_type").isin(*PREFERENCE))
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.select(F.col("user_id").alias("device"), (k % 5 * 160 + 320).alias("width"), (k % 5 * 90 + 180).alias("height"), "event_type", F.col("value").alias("fps"))
-    return e.groupBy("device", "width", "height").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("formats"), F.max("fps").alias("fps"))
+    g = e.groupBy("device", "width", "height").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("formats"), F.max("fps").alias("fps"))
+    return g.withColumn("nth", F.row_number().over(Window.partitionBy("device").orderBy(F.col("width") * F.col("height"), "width")))
 
 
 def capture_choice(spark, d, fps: float = 30.0):
@@ -106,7 +107,7 @@ def capture_choice(spark, d, fps: float = 30.0):
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
-FORMATS_SQL = f"SELECT user_id AS device, {_K} % 5 * 160 + 320 AS width, {_K} % 5 * 90 + 180 AS height, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS formats, max(value) AS fps FROM events WHERE event_type IN {PREFERENCE} GROUP BY 1, 2, 3"
+FORMATS_SQL = f"SELECT *, CAST(row_number() OVER (PARTITION BY device ORDER BY width * height, width) AS INT) AS nth FROM (SELECT user_id AS device, {_K} % 5 * 160 + 320 AS width, {_K} % 5 * 90 + 180 AS height, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS formats, max(value) AS fps FROM events WHERE event_type IN {PREFERENCE} GROUP BY 1, 2, 3)"
 CHOICE_SQL = f"SELECT device, format, event_id FROM (SELECT user_id AS device, event_type AS format, event_id, row_number() OVER (PARTITION BY user_id ORDER BY list_position({list(PREFERENCE)}, event_type), abs(value - 30.0), event_id) AS r FROM events WHERE event_type IN {PREFERENCE} AND {_K} % 5 = 2) WHERE r = 1"
 
 MB_W, PERIOD = 20, 6

@@ -71,9 +71,9 @@ def run_bits(runs: Column, zeros: Column) -> Column:
     return F.aggregate(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.struct(zeros.alias("left"), F.lit("").alias("bits")), step)["bits"]
 
 
-def residual(rows, z: str, nc: str, dc: bool = False):
-    """rows with total_coeff, trailing_ones, total_zeros, bits: a scanned block in context-adaptive codes. nc: context (chroma DC has none)."""
-    most = 4 if dc else 16
+def residual(rows, z: str, nc: str, dc: bool = False, size: int = 16):
+    """rows with total_coeff, trailing_ones, total_zeros, bits: a scanned block of `size` levels in context-adaptive codes. nc: context (chroma DC has none)."""
+    most = 4 if dc else size
     rows = rows.withColumns({c: e for c, e in zip(("_at", "_levels"), scanned(F.col(z)))})
     runs = F.reverse(F.transform("_at", lambda i, k: i - F.coalesce(F.when(k > 0, F.get("_at", k - 1)), F.lit(-1)) - 1))
     big = F.array_min(F.filter(F.transform("_levels", lambda v, k: F.when(F.abs(v) != 1, k)), lambda k: k.isNotNull()))
@@ -93,9 +93,9 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{x}'" for x in values) + "]"
 
 
-def residual_sql(source: str, dc: bool = False) -> str:
+def residual_sql(source: str, dc: bool = False, size: int = 16) -> str:
     """(all columns of source, total_coeff, trailing_ones, total_zeros, bits) of source's z and nc, as folds over lists of structs."""
-    most, lines = (4, V.TOTAL_ZEROS_DC) if dc else (16, V.TOTAL_ZEROS)
+    most, width, lines = (4, 4, V.TOTAL_ZEROS_DC) if dc else (size, 16, V.TOTAL_ZEROS)
     column = "4" if dc else "CASE WHEN nc < 2 THEN 0 WHEN nc < 4 THEN 1 WHEN nc < 8 THEN 2 ELSE 3 END"
     token = _list([x for table in V.TOKENS for x in [*_flat(table, 4), *[""] * (68 - 4 * len(table))]])
     code = "(CASE WHEN x.v > 0 THEN 2 * x.v - 2 ELSE -2 * x.v - 1 END - CASE WHEN a.first AND x.t1 < 3 THEN 2 ELSE 0 END)"
@@ -103,7 +103,7 @@ def residual_sql(source: str, dc: bool = False) -> str:
     one_level = f"""CASE {esc} WHEN 's' THEN repeat('0', 14) || '1' || lpad(bin({code} - 14), 4, '0') WHEN 'l' THEN repeat('0', 15) || '1' || lpad(bin({code} - (15 << a.sl) - CASE WHEN a.sl = 0 THEN 15 ELSE 0 END), 12, '0')
       ELSE repeat('0', {code} >> a.sl) || '1' || CASE WHEN a.sl > 0 THEN lpad(bin({code} & ((1 << a.sl) - 1)), a.sl, '0') ELSE '' END END"""
     one = "greatest(a.sl, 1)"
-    return f"""SELECT * EXCLUDE (z_at, lv, rn, lev, rb), CASE WHEN total_coeff = 0 THEN '' ELSE lev.bits || CASE WHEN total_coeff < {most} THEN {_list(_flat(lines, most))}[(total_coeff - 1) * {most} + total_zeros + 1] ELSE '' END || rb.bits END AS rest,
+    return f"""SELECT * EXCLUDE (z_at, lv, rn, lev, rb), CASE WHEN total_coeff = 0 THEN '' ELSE lev.bits || CASE WHEN total_coeff < {most} THEN {_list(_flat(lines, width))}[(total_coeff - 1) * {width} + total_zeros + 1] ELSE '' END || rb.bits END AS rest,
   {token}[({column}) * 68 + total_coeff * 4 + trailing_ones + 1] || array_to_string(list_transform(lv[1:trailing_ones], lambda v: CASE WHEN v < 0 THEN '1' ELSE '0' END), '') || rest AS bits FROM (
 SELECT *, list_reduce(list_transform(lv[trailing_ones + 1:], lambda v: {{'sl': 0, 'first': false, 'v': v, 't1': trailing_ones, 'bits': ''}}), lambda a, x: {{'sl': CAST({one} + CASE WHEN {one} < 6 AND abs(x.v) > (3 << ({one} - 1)) THEN 1 ELSE 0 END AS INT), 'first': false, 'v': x.v, 't1': x.t1, 'bits': a.bits || {one_level}}},
     {{'sl': CASE WHEN total_coeff > 10 AND trailing_ones < 3 THEN 1 ELSE 0 END, 'first': true, 'v': 0, 't1': 0, 'bits': ''}}) AS lev,
@@ -293,7 +293,40 @@ PARAMETER_SQL = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT id, kind, nal_heade
 r(id, kind, nal_header, b, i, z, out) AS (SELECT id, kind, nal_header, b, 0, 0, '' FROM u UNION ALL SELECT id, kind, nal_header, b, i + 1, CASE WHEN b[i + 1] <> 0 THEN 0 WHEN z = 2 THEN 1 ELSE z + 1 END, out || CASE WHEN z = 2 AND b[i + 1] <= 3 THEN '03' ELSE '' END || lower(lpad(hex(b[i + 1]), 2, '0')) FROM r WHERE i < len(b))
 SELECT id, kind, '00000001' || nal_header || out AS unit FROM r WHERE i = len(b)"""
 
+# Macroblocks of intra 16x16: the DC levels first, then fifteen AC levels of each block in the order of coding.
+_Z = ", ".join(str(k) for k in (0, 1, 4, 5, 2, 3, 6, 7, 8, 9, 12, 13, 10, 11, 14, 15))
+
+
+def intra16_body(spark, d):
+    """Bits of an intra 16x16 macroblock: type (mode, chroma 0, whether AC levels follow), chroma mode and QP step, DC levels, AC levels."""
+    dc = C.luma_dc_quant(spark, d).select("mb_id", "qp", B.zigzag(F.col("level")).alias("z")).withColumn("nc", F.lit(0))
+    dc = residual(dc, "z", "nc").select("mb_id", "qp", F.col("bits").alias("dc_bits"))
+    ac = contexts(spark, d).select("frame_idx", "mb_idx", "row4", "col4", F.slice("z", 2, 15).alias("z"), "nc")
+    ac = residual(ac, "z", "nc", size=15)
+    order = F.get(B.array_of([0, 1, 4, 5, 2, 3, 6, 7, 8, 9, 12, 13, 10, 11, 14, 15]), F.expr("row4 % 4 * 4 + col4 % 4"))
+    ac = ac.groupBy("frame_idx", "mb_idx").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "bits"))).alias("x"), F.max(F.col("total_coeff") > 0).alias("any"))  # sixteen blocks
+    ac = ac.select((F.col("frame_idx") * 6 + F.col("mb_idx")).alias("mb_id"), "any", F.array_join(F.transform("x", lambda b: b["bits"]), "").alias("ac_bits"))
+    m = dc.join(ac, "mb_id").withColumn("mb_type", (1 + F.col("mb_id") % 4 + F.when(F.col("any"), 12).otherwise(0)).cast("int"))
+    return m.select("mb_id", "mb_type", F.concat(B.ue(F.col("mb_type")), F.lit("1"), B.se((F.col("qp") - 26).cast("int")), "dc_bits", F.when(F.col("any"), F.col("ac_bits")).otherwise("")).alias("bits"))
+
+
+_DC_Z = f"SELECT mb_id, qp, list_transform({list(T.ZIGZAG)}, lambda i: level[i + 1]) AS z, 0 AS nc FROM ({C.DC_LEVEL_SQL})"
+_AC_Z = f"SELECT frame_idx, mb_idx, row4, col4, z[2:16] AS z, nc FROM ({CONTEXT_SQL})"
+BODY_SQL = f"""SELECT mb_id, mb_type, {_ue('mb_type')} || '1' || {_se('qp - 26')} || dc_bits || CASE WHEN mb_type > 4 THEN ac_bits ELSE '' END AS bits FROM (SELECT d.mb_id, d.qp, d.bits AS dc_bits, ac_bits, CAST(1 + d.mb_id % 4 + CASE WHEN any_ac THEN 12 ELSE 0 END AS INT) AS mb_type FROM ({residual_sql(_DC_Z)}) d
+  JOIN (SELECT frame_idx * 6 + mb_idx AS mb_id, bool_or(total_coeff > 0) AS any_ac, string_agg(bits, '' ORDER BY [{_Z}][row4 % 4 * 4 + col4 % 4 + 1]) AS ac_bits FROM ({residual_sql(_AC_Z, size=15)}) GROUP BY 1) a ON a.mb_id = d.mb_id)"""
+
+
+def zigzag_round(spark, d):
+    """Levels in scan order, and back in raster order."""
+    inverse = B.array_of([T.ZIGZAG.index(k) for k in range(16)])
+    r = M.quant(spark, d).select("vec_id", "blk", "level", B.zigzag(F.col("level")).alias("z"))
+    r = r.withColumn("back", F.transform(inverse, lambda i: F.get("z", i)))
+    return r.select("vec_id", "blk", "z", "back", (F.col("back") == F.col("level")).alias("same"))
+
+
 CATALOG = {
+    "q_intra16_body": (intra16_body, BODY_SQL),
+    "q_zigzag_round": (zigzag_round, f"SELECT vec_id, blk, list_transform({list(T.ZIGZAG)}, lambda i: level[i + 1]) AS z, level AS back, true AS same FROM ({M.QUANT_SQL})"),
     "q_coefficient_context": (coefficient_context, f"SELECT vec_id, blk, n, nc FROM ({CONTEXT_SQL})"),
     "q_cavlc": (cavlc, f"SELECT vec_id, blk, total_coeff, trailing_ones, total_zeros, bits FROM ({residual_sql(CONTEXT_SQL)})"),
     "q_cavlc_chroma_dc": (cavlc_chroma_dc, f"SELECT vec_id, bits, CAST(length(bits) AS INT) AS n_bits FROM ({residual_sql(f'SELECT vec_id, level AS z, 0 AS nc FROM ({C.CHROMA_LEVEL_SQL})', dc=True)})"),

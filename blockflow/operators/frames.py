@@ -76,6 +76,13 @@ def yuyv_repack(spark, d):
     return A.blocks(spark, d).select("vec_id", pick(px, 0, 2).alias("luma"), both(1).alias("u"), both(3).alias("v"))
 
 
+def uyvy_repack(spark, d):
+    """The same of lines packed as U Y V Y."""
+    px = F.col("px")
+    both = lambda r: F.array(*[F.shiftright(px[16 * p + 4 * k + r] + px[16 * p + 8 + 4 * k + r] + 1, 1) for p in range(4) for k in range(2)])
+    return A.blocks(spark, d).select("vec_id", F.filter("px", lambda v, i: i % 2 == 1).alias("luma"), both(0).alias("u"), both(2).alias("v"))
+
+
 def _yuyv_sql(r):
     return f"list_transform(range(8), lambda i: (px[16 * (i // 2) + 4 * (i % 2) + {r} + 1] + px[16 * (i // 2) + 8 + 4 * (i % 2) + {r} + 1] + 1) >> 1)"
 
@@ -216,6 +223,7 @@ CATALOG = {
     "q_rgb_to_luma": (rgb_to_luma, f"SELECT frame_idx, y, x, 16 + ((66 * r + 129 * g + 25 * b + 128) >> 8) AS luma FROM ({_RGB_SQL})"),
     "q_rgb_to_chroma": (rgb_to_chroma, CHROMA_SQL),
     "q_yuyv_repack": (yuyv_repack, YUYV_SQL),
+    "q_uyvy_repack": (uyvy_repack, f"SELECT vec_id, list_transform(range(32), lambda i: px[2 * i + 2]) AS luma, {_yuyv_sql(0)} AS u, {_yuyv_sql(2)} AS v FROM ({A.BLOCKS_SQL})"),
     "q_nv12_split": (nv12_split, f"SELECT vec_id, list_transform(range(32), lambda i: px[2 * i + 1]) AS u, list_transform(range(32), lambda i: px[2 * i + 2]) AS v FROM ({A.BLOCKS_SQL})"),
     "q_half_pel": (half_pel, HALF_SQL),
     "q_chroma_interp": (chroma_interp, CHROMA_INTERP_SQL),

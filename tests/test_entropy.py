@@ -91,6 +91,12 @@ def test_residual_blocks_are_read_back(spark):
         assert decode(r.bits, r.nc, 16) == list(r.z), r.id
 
 
+def test_blocks_of_fifteen_are_read_back(spark):
+    data = [(k, z[1:], k % 17) for k, z in enumerate(blocks())]
+    for r in E.residual(spark.createDataFrame(data, "id int, z array<int>, nc int"), "z", "nc", size=15).collect():
+        assert decode(r.bits, r.nc, 15) == list(r.z), r.id
+
+
 def test_chroma_dc_blocks_are_read_back(spark):
     data = [(k, z[:4]) for k, z in enumerate(blocks())]
     for r in E.residual(spark.createDataFrame(data, "id int, z array<int>"), "z", "", dc=True).collect():
