@@ -360,6 +360,26 @@ def mv_bounds(spark, d):
     return spark.sql(_BOUNDS_SPARK, rows=S._field(spark, d))
 
 
+_MAG = "(greatest(abs(tx), abs(ty)) >> 2)"
+_CLAMP = "greatest(8, least(32, {x}))"
+_RANGE = f"""SELECT mb_id, base, probed, probed AND sad_probe < sad_skip >> 1 AS explained, CAST(CASE WHEN sad_skip > 2048 AND probed AND sad_probe < sad_skip >> 1 THEN {_CLAMP.format(x=_MAG + ' + 4')} WHEN sad_skip > 2048 THEN greatest(base, CASE WHEN sad_skip > 4096 THEN 32 ELSE 24 END)
+  WHEN tx IS NOT NULL AND base < 16 THEN greatest(base, {_CLAMP.format(x=_MAG + ' + 2')}) ELSE base END AS INT) AS range FROM (
+  SELECT *, CASE WHEN variance < 64 THEN 8 WHEN variance < 512 THEN 16 ELSE 32 END AS base, sad_skip > 2048 AND tx IS NOT NULL AND (tx <> skip_x OR ty <> skip_y) AS probed FROM {{source}})"""
+
+
+def search_range(spark, d):
+    """Motion range from variance, widened where the skip prediction is poor, unless a probe at the vector of the same place in the frame
+    before explains the motion. The macroblock two further stands for the probed prediction."""
+    f = S._field(spark, d).selectExpr("mb_id + 6 AS mb_id", "mvx AS tx", "mvy AS ty")
+    m = A.macroblocks(spark, d).select("mb_id", "parts")
+    probe = m.join(m.select((F.col("mb_id") - 2).alias("mb_id"), F.col("parts").alias("pred")), "mb_id").select("mb_id", _over("parts", "pred", (0, 1, 2, 3), B.sad).alias("sad_probe"))
+    rows = M.mb_variance(spark, d).select("mb_id", "variance").join(prediction_sse(spark, d).select("mb_id", F.col("sad").alias("sad_skip")), "mb_id").join(probe, "mb_id").join(skip_mv(spark, d), "mb_id").join(f, "mb_id", "left")
+    return spark.sql(_RANGE.replace("{source}", "{rows}"), rows=rows)
+
+
+RANGE_SQL = _RANGE.replace("{source}", f"""(SELECT v.mb_id, v.variance, s.sad AS sad_skip, p.sad_probe, k.skip_x, k.skip_y, f.mvx AS tx, f.mvy AS ty FROM ({M.MB_VARIANCE_SQL}) v JOIN ({SSE_SQL}) s ON s.mb_id = v.mb_id
+  JOIN (SELECT m.mb_id, CAST(list_sum(list_transform(range(256), lambda i: abs(m.px[i + 1] - n.px[i + 1]))) AS INT) AS sad_probe FROM ({A.MACROBLOCKS_SQL}) m JOIN ({A.MACROBLOCKS_SQL}) n ON n.mb_id = m.mb_id + 2) p ON p.mb_id = v.mb_id JOIN ({SKIP_MV_SQL}) k ON k.mb_id = v.mb_id LEFT JOIN ({S.FIELD_SQL}) f ON f.mb_id = v.mb_id - 6)""")
+
 _UE_BITS = "(2 * length(bin({n} + 1)) - 1)"
 _SE_BITS = _UE_BITS.format(n="(CASE WHEN {v} <= 0 THEN -2 * ({v}) ELSE 2 * ({v}) - 1 END)")
 _INTRA_P = f"""SELECT mb_id, inter_bits, intra_bits, inter_rd, intra_rd, i4_rd, intra_rd + (intra_rd >> 2) < inter_rd AS use_i16, NOT (intra_rd + (intra_rd >> 2) < inter_rd) AND inter_satd >= 3000 AND i4_rd + (i4_rd >> 2) < inter_rd AND i4_rd < intra_rd AS use_i4 FROM (
@@ -436,6 +456,16 @@ def satd_counters(spark, d):
 
 COUNTERS_SQL = f"SELECT CAST(vec_id % 4 AS INT) AS shape, n_blocks AS depth, count(*) FILTER (WHERE exceeds) AS cut, count(*) FILTER (WHERE NOT exceeds) AS full FROM ({BOUNDED_SQL}) GROUP BY 1, 2"
 
+def observed(rows, name: str = "phases"):
+    """(rows, observation): counters that gather while rows are computed, at no pass of their own; observation.get has them after an action.
+    rows: decisions with inter_rd, intra_rd, use_i16 and use_i4."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    one = lambda c: F.count_if(c)
+    return rows.observe(seen, F.count(F.lit(1)).alias("macroblocks"), one(F.col("use_i16")).alias("intra16"), one(F.col("use_i4")).alias("intra4"), F.avg("inter_rd").alias("mean_inter_rd"), F.avg("intra_rd").alias("mean_intra_rd")), seen
+
+
 # Ladders, budgets and schedules over sessions; customers stand for sessions, feedback rows for frames.
 _LADDER = """SELECT id, bps, least(CASE WHEN bps >= 8000000 THEN 0 WHEN bps >= 5000000 THEN 1 WHEN bps >= 3000000 THEN 2 WHEN bps >= 1500000 THEN 3 ELSE 4 END, rungs - 1) AS rung, CASE WHEN bps >= 4000000 THEN 60 WHEN bps >= 2000000 THEN 30 ELSE 15 END AS fps,
   cast(max_bytes * 2.0 as int) AS idr_budget, encoded > cast(max_bytes * 2.0 as int) AS exceeded FROM {source}"""
@@ -505,6 +535,7 @@ CATALOG = {
     "q_availability": (availability, AVAILABILITY_SQL),
     "q_decodable": (decodable, DECODABLE_SQL),
     "q_skip_mv": (skip_mv, SKIP_MV_SQL),
+    "q_search_range": (search_range, RANGE_SQL),
     "q_mv_bounds": (mv_bounds, BOUNDS_SQL),
     "q_intra_in_inter": (intra_in_inter, _INTRA_P_SQL),
     "q_effort_tiers": (effort_tiers, EFFORT_SQL),

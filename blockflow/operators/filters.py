@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockflow.functions import blocks as B
-from blockflow.operators import blockmath as M
 from blockflow.operators import frames as P
 from blockflow.sources import adapters as A
 
@@ -86,22 +85,23 @@ PRESETS_SQL = "SELECT id, s.mode, coalesce(own_refs, refs) AS refs, satd, range,
 
 
 def perf_gate(spark, d, kernel: float = 3.0, end_to_end: float = 2.0, cap: float = 12.0):
-    """Current against baseline by (suite, method): a regression where the change exceeds the threshold plus the larger noise, capped. Line items stand for measurements."""
-    li = A.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
-    run = lambda odd, p: li.where(F.col("l_linenumber") % 2 == odd).groupBy(F.col("l_returnflag").alias("suite"), F.col("l_linestatus").alias("method")).agg(F.avg(F.col("l_quantity").cast("double")).alias(f"{p}_mean"), F.stddev_pop(F.col("l_quantity").cast("double")).alias(f"{p}_sd"))
-    j = run(1, "c").join(run(0, "b"), ["suite", "method"], "left")
+    """Current against baseline by (suite, method, parameters): a regression where the change exceeds the threshold plus the larger noise, capped; a run
+    without a baseline is a warning. Scalar runs and runs with a part switched off are left out. Line items stand for measurements."""
+    li = A.table(spark, d, "lineitem").where("l_partkey % 5 <> 0 AND l_suppkey % 4 <> 3").selectExpr("l_returnflag AS suite", "l_linestatus AS method", "concat('p', cast(l_suppkey % 4 as string)) AS params", "l_linenumber AS nth", "cast(l_quantity as double) AS q")
+    run = lambda odd, p: li.where(F.col("nth") % 2 == odd).groupBy("suite", "method", "params").agg(F.avg("q").alias(f"{p}_mean"), F.stddev_pop("q").alias(f"{p}_sd"))
+    j = run(1, "c").join(run(0, "b").where("NOT (suite = 'A' AND params = 'p1')"), ["suite", "method", "params"], "left")
     pad = F.least(F.lit(cap), F.greatest(F.col("b_sd") / F.col("b_mean"), F.col("c_sd") / F.col("c_mean")) * 100)
     delta = (F.col("c_mean") - F.col("b_mean")) / F.col("b_mean") * 100
     limit = F.when(F.col("suite") == "R", F.lit(end_to_end)).otherwise(F.lit(kernel)) + pad
-    return j.select("suite", "method", F.when(F.col("b_mean").isNull(), "warn").when(delta > limit, "fail").otherwise("pass").alias("verdict"), F.round(delta, 4).alias("delta_pct"), F.round(limit, 4).alias("limit_pct"))
+    return j.select("suite", "method", "params", F.when(F.col("b_mean").isNull(), "warn").when(delta > limit, "fail").otherwise("pass").alias("verdict"), F.round(delta, 4).alias("delta_pct"), F.round(F.when(F.col("b_mean").isNotNull(), limit), 4).alias("limit_pct"))
 
 
 def _run_sql(odd: int) -> str:
-    return f"SELECT l_returnflag AS suite, l_linestatus AS method, avg(CAST(l_quantity AS DOUBLE)) AS m, stddev_pop(CAST(l_quantity AS DOUBLE)) AS sd FROM lineitem WHERE l_linenumber % 2 = {odd} GROUP BY ALL"
+    return f"SELECT l_returnflag AS suite, l_linestatus AS method, 'p' || CAST(l_suppkey % 4 AS VARCHAR) AS params, avg(CAST(l_quantity AS DOUBLE)) AS m, stddev_pop(CAST(l_quantity AS DOUBLE)) AS sd FROM lineitem WHERE l_linenumber % 2 = {odd} AND l_partkey % 5 <> 0 AND l_suppkey % 4 <> 3 GROUP BY ALL"
 
 
-PERF_SQL = f"""SELECT suite, method, CASE WHEN bm IS NULL THEN 'warn' WHEN delta > lim THEN 'fail' ELSE 'pass' END AS verdict, round(delta, 4) AS delta_pct, round(lim, 4) AS limit_pct FROM (
-  SELECT c.suite, c.method, b.m AS bm, (c.m - b.m) / b.m * 100 AS delta, CASE WHEN c.suite = 'R' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END + least(12.0::DOUBLE, greatest(b.sd / b.m, c.sd / c.m) * 100) AS lim FROM ({_run_sql(1)}) c LEFT JOIN ({_run_sql(0)}) b ON b.suite = c.suite AND b.method = c.method)"""
+PERF_SQL = f"""SELECT suite, method, params, CASE WHEN bm IS NULL THEN 'warn' WHEN delta > lim THEN 'fail' ELSE 'pass' END AS verdict, round(delta, 4) AS delta_pct, CASE WHEN bm IS NOT NULL THEN round(lim, 4) END AS limit_pct FROM (
+  SELECT c.suite, c.method, c.params, b.m AS bm, (c.m - b.m) / b.m * 100 AS delta, CASE WHEN c.suite = 'R' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END + least(12.0::DOUBLE, greatest(b.sd / b.m, c.sd / c.m) * 100) AS lim FROM ({_run_sql(1)}) c LEFT JOIN (SELECT * FROM ({_run_sql(0)}) WHERE NOT (suite = 'A' AND params = 'p1')) b ON b.suite = c.suite AND b.method = c.method AND b.params = c.params)"""
 
 
 def ranking_agreement(spark, d):
@@ -119,16 +119,10 @@ RANKING_SQL = f"""SELECT CASE WHEN margin = 0 THEN 0 WHEN margin < 8 THEN 1 WHEN
     SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sad, mode) AS rs, row_number() OVER (PARTITION BY vec_id ORDER BY satd, mode) AS rt FROM ({P.INTRA_SQL})) GROUP BY vec_id) GROUP BY margin_bucket"""
 
 
-def search_range(spark, d):
-    """Motion range from macroblock variance: below 64 gives 8, below 512 gives 16, else 32."""
-    return M.mb_variance(spark, d).select("mb_id", F.when(F.col("variance") < 64, 8).when(F.col("variance") < 512, 16).otherwise(32).alias("range"))
-
-
 CATALOG = {
     "q_luma_edge_filter": (luma_edge, LUMA_EDGE_SQL),
     "q_chroma_edge_filter": (chroma_edge, CHROMA_EDGE_SQL),
     "q_presets": (presets, PRESETS_SQL),
     "q_perf_gate": (perf_gate, PERF_SQL),
     "q_ranking_agreement": (ranking_agreement, RANKING_SQL),
-    "q_search_range": (search_range, f"SELECT mb_id, CASE WHEN variance < 64 THEN 8 WHEN variance < 512 THEN 16 ELSE 32 END AS range FROM ({M.MB_VARIANCE_SQL})"),
 }

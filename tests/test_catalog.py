@@ -41,6 +41,14 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, got.fetchall())
 
 
+def test_counters_gather_beside_an_action(spark):
+    from blockflow.operators import decisions as D
+
+    rows, seen = D.observed(D.intra_in_inter(spark, DATA))
+    got = rows.collect()
+    assert seen.get["macroblocks"] == len(got) and seen.get["intra16"] == sum(r.use_i16 for r in got) and seen.get["intra4"] == sum(r.use_i4 for r in got)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
