@@ -246,10 +246,10 @@ def ladders(spark, d):
 
 
 def levels(spark, d):
-    """Lowest level for a frame size in macroblocks, not below 31 when chosen automatically. A range join against 16 rows."""
-    table = spark.createDataFrame(T.LEVELS, "level int, max_fs int")
+    """Lowest level for a frame size in macroblocks, not below 31 when chosen automatically: a look-up in a constant array."""
+    table = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(most).alias("most")) for level, most in T.LEVELS])
     sizes = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37) % 40000 + 1).alias("mbs"))
-    j = sizes.join(F.broadcast(table), F.col("max_fs") >= F.col("mbs"), "left").groupBy("id", "mbs").agg(F.min("level").alias("level"))
+    j = sizes.withColumn("level", F.array_min(F.transform(F.filter(table, lambda x: x["most"] >= F.col("mbs")), lambda x: x["level"])))
     return j.select("id", "mbs", "level", F.greatest("level", F.when(F.col("level").isNotNull(), F.lit(31))).alias("auto_level"))
 
 

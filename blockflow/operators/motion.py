@@ -32,7 +32,7 @@ def pairs(spark, d) -> DataFrame:
 
 def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[str], schema: str) -> DataFrame:
     """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of W x H."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
     out = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from blockflow.operators import bits, blockmath, chains, container, control, decisions, entropy, filters, frames, intra4, motion, rate
+from blockflow.operators import bits, blockmath, chains, container, control, decisions, entropy, filters, frames, intra4, motion, rate, session
 
-CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG, **chains.CATALOG, **entropy.CATALOG, **decisions.CATALOG, **motion.CATALOG, **container.CATALOG, **rate.CATALOG, **intra4.CATALOG}
+CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG, **chains.CATALOG, **entropy.CATALOG, **decisions.CATALOG, **motion.CATALOG, **container.CATALOG, **rate.CATALOG, **intra4.CATALOG, **session.CATALOG}
 QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql}
