@@ -480,7 +480,7 @@ def ladder_pick(spark, d):
 
 def ladder_config(spark, d):
     """Ladders from configured widths and heights: paired by place, the shorter list ends it, an empty one gives the default."""
-    c = A.table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("id"))
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     c = c.withColumn("w", F.slice(B.array_of([1280, 960, 640, 320]), 1, (F.col("id") % 5).cast("int"))).withColumn("h", F.slice(B.array_of([720, 540, 360]), 1, (F.col("id") % 4).cast("int")))
     own = F.slice(F.arrays_zip("w", "h"), 1, F.least(F.size("w"), F.size("h")))
     default = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h, _ in T.RESOLUTIONS])
@@ -489,7 +489,7 @@ def ladder_config(spark, d):
 
 
 CONFIG_SQL = f"""SELECT id, CAST(k - 1 AS INT) AS rung, w[k] AS width, h[k] AS height, CAST(h[k] AS VARCHAR) || 'p' AS name FROM (SELECT id, CASE WHEN n = 0 THEN {[r[0] for r in T.RESOLUTIONS]} ELSE [1280, 960, 640, 320] END AS w, CASE WHEN n = 0 THEN {[r[1] for r in T.RESOLUTIONS]} ELSE [720, 540, 360] END AS h, unnest(range(1, CASE WHEN n = 0 THEN 6 ELSE n + 1 END)) AS k FROM (
-  SELECT c_custkey AS id, least(c_custkey % 5, c_custkey % 4) AS n FROM customer WHERE c_custkey <= 100))"""
+  SELECT c_custkey AS id, least(c_custkey % 5, c_custkey % 4) AS n FROM customer))"""
 
 _SCHEDULE = """SELECT stream_id, seq, idr, gop_id, frame_num, CAST((gop_id - 1) % 65536 AS INT) AS idr_pic_id FROM (SELECT *, CAST((row_number() OVER (PARTITION BY stream_id, gop_id ORDER BY seq) - 1) % 16 AS INT) AS frame_num FROM (
   SELECT *, CAST(sum(CASE WHEN idr THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS gop_id FROM (SELECT stream_id, seq, seq = 0 OR fir OR seq % 12 = 0 AS idr FROM {source})))"""
