@@ -72,18 +72,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 6,
     prints = reduce(DataFrame.union, [full.select(F.explode(_kept(F.col("g"), window)).alias("h")), *(whole(n).select("h") for n in lengths)])
     prints = small(written(prints.distinct().withColumn("hit", F.lit(True)), "item-prints"))
 
-    words = docs.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("key"), item_words(F.col(text)).alias("w"))
-    words = words.withColumn("dw", hashed(F.col("w"))).drop("w")
+    named = docs.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
+    words = lambda rows: rows.withColumn("w", item_words(F.col("t"))).drop("t").withColumn("dw", hashed(F.col("w"))).drop("w")
     # A column of its own at each step: an expression inside a lambda runs once an element.
-    kept = words.withColumn("row", F.monotonically_increasing_id()).withColumn("g", _grams(F.col("dw"), k)).withColumn("m", F.concat(_kept(F.col("g"), window), *(_grams(F.col("dw"), n) for n in lengths)))
+    kept = words(named).withColumn("row", F.monotonically_increasing_id()).withColumn("g", _grams(F.col("dw"), k)).withColumn("m", F.concat(_kept(F.col("g"), window), *(_grams(F.col("dw"), n) for n in lengths)))
     kept = kept.select("row", "doc", "key", F.size("dw").cast("long").alias("n_words"), F.explode_outer("m").alias("h"))
     # A row's hashes are all made by one task, so its number need not outlast the scan.
-    seen = kept.join(prints, "h", "left").groupBy("row").agg(F.first("doc").alias("doc"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
+    seen = kept.join(prints, "h", "left").groupBy("row", "doc", "key", "n_words").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
     seen = written(seen.drop("row"), "doc-hits")
 
     near = small(seen.where("hit").groupBy(F.col("key").alias("near")).agg(F.min("doc").alias("one")))
-    again = words.join(near, (F.col("key") == F.col("near")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi").select("key", "dw")
-    again = written(again.groupBy("key").agg(F.first("dw").alias("dw")), "texts-with-hits")  # a text once
+    again = named.join(near, (F.col("key") == F.col("near")) & F.col("doc").eqNullSafe(F.col("one")), "left_semi")
+    again = written(words(again).select("key", "dw"), "texts-with-hits")  # a text once for each row of its smallest id
     at = again.select("key", F.posexplode(_grams(F.col("dw"), k)).alias("i", "h"))
     met = at.join(small(full.select("class", F.posexplode("g").alias("j", "h"))), "h").select("key", "class", (F.col("i") - F.col("j")).alias("diagonal"), "i").distinct()
     diagonal = Window.partitionBy("key", "class", "diagonal").orderBy("i")
