@@ -403,7 +403,7 @@ _INTRA_P_SQL = _INTRA_P.replace("{source}", f"(SELECT p.mb_id, inter_satd, CAST(
 _EFFORT = """SELECT mb_id, effort, consumed, tier, CASE tier WHEN 3 THEN 8 WHEN 2 THEN 16 ELSE 32 END AS seed_range, tier < 1 AS exhaustive, tier < 2 AS second_reference, tier < 3 AND variance >= 64 AS sub_partitions,
   least(CASE tier WHEN 3 THEN 4 WHEN 2 THEN 4 WHEN 1 THEN 8 ELSE 16 END, CASE WHEN searched > greatest(8, 6 {d} 4) THEN 4 ELSE 16 END) AS range_cap FROM (
   SELECT *, CASE WHEN consumed >= budget THEN 3 WHEN consumed >= budget - (budget >> 2) THEN 2 WHEN consumed >= budget >> 1 THEN 1 ELSE 0 END AS tier FROM (
-    SELECT *, coalesce(sum(effort) OVER (PARTITION BY frame_idx ORDER BY mb_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS consumed, count(CASE WHEN variance >= 64 THEN 1 END) OVER (PARTITION BY frame_idx ORDER BY mb_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS searched,
+    SELECT *, CAST(coalesce(sum(effort) OVER (PARTITION BY frame_idx ORDER BY mb_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS consumed, count(CASE WHEN variance >= 64 THEN 1 END) OVER (PARTITION BY frame_idx ORDER BY mb_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS searched,
       greatest(1, 512 * 6 {d} 2) AS budget FROM (SELECT mb_id, frame_idx, mb_idx, variance, variance % 1024 AS effort FROM {source})))"""
 _EFFORT_SPARK, EFFORT_SQL = both(_EFFORT, M.MB_VARIANCE_SQL)
 
@@ -413,7 +413,7 @@ def effort_tiers(spark, d):
     return spark.sql(_EFFORT_SPARK, rows=M.mb_variance(spark, d))
 
 
-_ROWS_EFFORT = "SELECT frame_idx, mb_idx {d} 3 AS row, sum(variance % 1024) AS effort, round(avg(variance), 6) AS mean_variance, max(variance) AS top FROM {source} GROUP BY frame_idx, mb_idx {d} 3"
+_ROWS_EFFORT = "SELECT frame_idx, mb_idx {d} 3 AS row, CAST(sum(variance % 1024) AS BIGINT) AS effort, round(avg(variance), 6) AS mean_variance, max(variance) AS top FROM {source} GROUP BY frame_idx, mb_idx {d} 3"
 _ROWS_SPARK, ROWS_SQL = both(_ROWS_EFFORT, M.MB_VARIANCE_SQL)
 
 

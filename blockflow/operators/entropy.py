@@ -159,17 +159,21 @@ def cavlc_chroma_dc(spark, d):
 
 def level_trace(spark, d):
     """The steps of level coding: each level behind the trailing ones with its code and the suffix length it met."""
-    r = residual(counted(spark, d).withColumn("nc", F.lit(0)), "z", "nc")
-    r = r.withColumn("lv", F.reverse(F.filter("z", lambda v: v != 0)))
-    one = lambda s: F.greatest(s, F.lit(1))
-    grow = lambda s, v: one(s) + F.when((one(s) < 6) & (F.abs(v) > F.call_function("shiftleft", F.lit(3), one(s) - 1)), 1).otherwise(0)
-    first = F.when((F.col("total_coeff") > 10) & (F.col("trailing_ones") < 3), 1).otherwise(0)
-    rest = F.slice("lv", F.col("trailing_ones") + 1, F.greatest(F.col("total_coeff") - F.col("trailing_ones"), F.lit(0)))
-    lengths = F.aggregate(rest, F.array(first), lambda acc, v: F.concat(acc, F.array(grow(F.element_at(acc, -1), v))))
-    r = r.withColumn("rest", rest).withColumn("lengths", lengths)
-    r = r.select("vec_id", "blk", "trailing_ones", "lengths", F.posexplode("rest").alias("step", "level"))
-    code = F.when(F.col("level") > 0, 2 * F.col("level") - 2).otherwise(-2 * F.col("level") - 1) - F.when((F.col("step") == 0) & (F.col("trailing_ones") < 3), 2).otherwise(0)
-    return r.select("vec_id", "blk", "step", "level", code.alias("level_code"), F.get("lengths", F.col("step")).alias("suffix_length"))
+    r = counted(spark, d).select("vec_id", "blk", F.reverse(F.filter("z", lambda v: v != 0)).alias("lv"))
+    big = F.array_min(F.filter(F.transform("lv", lambda v, k: F.when(F.abs(v) != 1, k)), lambda k: k.isNotNull()))
+    r = r.withColumn("ones", F.least(F.lit(3), F.coalesce(big, F.size("lv"))))
+    none = F.expr("cast(array() AS array<struct<level:int,level_code:int,suffix_length:int>>)")
+    start = F.struct(F.when((F.size("lv") > 10) & (F.col("ones") < 3), 1).otherwise(0).alias("sl"), none.alias("out"))
+
+    def step(acc, v):
+        sl, one = acc["sl"], F.greatest(acc["sl"], F.lit(1))
+        code = F.when(v > 0, 2 * v - 2).otherwise(-2 * v - 1) - F.when((F.size(acc["out"]) == 0) & (F.col("ones") < 3), 2).otherwise(0)
+        grown = one + F.when((one < 6) & (F.abs(v) > F.call_function("shiftleft", F.lit(3), one - 1)), 1).otherwise(0)
+        return F.struct(grown.alias("sl"), F.concat(acc["out"], F.array(F.struct(v.alias("level"), code.alias("level_code"), sl.alias("suffix_length")))).alias("out"))
+
+    rest = F.slice("lv", F.col("ones") + 1, F.greatest(F.size("lv") - F.col("ones"), F.lit(0)))
+    r = r.withColumn("steps", F.aggregate(rest, start, step)["out"])
+    return r.select("vec_id", "blk", F.posexplode("steps").alias("step", "s")).select("vec_id", "blk", "step", "s.*")
 
 
 TRACE_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT vec_id, blk, trailing_ones AS t1, total_coeff AS n, list_reverse(list_filter(z, lambda v: v <> 0)) AS lv FROM ({residual_sql(f'SELECT *, 0 AS nc FROM ({COUNTED_SQL})')})),
