@@ -216,7 +216,7 @@ def deblocked(spark, d):
     s = strengths(spark, d).where("in_slice")
     cell = lambda e: F.array_sort(F.collect_list(F.when(F.col("edge") == e, F.struct("row4", "col4", "bs"))))
     s = s.groupBy("frame_idx").agg(cell("left").alias("left"), cell("upper").alias("upper"))  # the edges of one picture
-    q = S._field(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("mb_idx", "qp"))).alias("qps"))
+    q = S._field(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("mb_idx", "qp"))).alias("qps")).where(F.size("qps") == A.MBS_PER_FRAME)  # whole frames
     rows = A.frames(spark, d).join(s, "frame_idx").join(q, "frame_idx")
     chroma, own = np.array([T.chroma_qp(k) for k in range(52)]), tables()
 
