@@ -107,7 +107,9 @@ def rate_step(s: State, f: dict, c: Config) -> dict:
 
 
 def recovery_step(s: State, f: dict, c: Config) -> dict:
-    """Full-intra request over picture loss over scene change; in cooldown the first two ask for refresh."""
+    """Full-intra request over picture loss over scene change; in cooldown the first two ask for refresh. A reset zeroes counters and cooldown first."""
+    if f.get("reset"):
+        s.idr = s.pli = s.fir = s.idr_wait = 0
     force, refresh, reason = False, False, ""
     name = "FIR" if f["fir"] else "PLI" if f["pli"] else ""
     if name == "FIR":
@@ -185,7 +187,7 @@ COMPOSITE = f"{RATE}, max_frame_bytes int, overshoots int, {RECOVERY}, {ADAPTATI
 INPUTS = ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "nacks", "pli", "fir", "estimate_bps", "decode_ms", "scene_change", "encode_ms", "last_bytes")
 PARTS = {
     RATE: (lambda s, f, c: rate_step(s, f, c), ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "nacks", "estimate_bps")),
-    RECOVERY: (lambda s, f, c: recovery_step(s, f, c), ("pli", "fir", "scene_change")),
+    RECOVERY: (lambda s, f, c: recovery_step(s, f, c), ("pli", "fir", "scene_change", "reset")),
     ADAPTATION: (lambda s, f, c: adaptation_step(s, f, c, f.get("encode_ms", 5.0)), ("rtt_ms", "jitter_ms", "loss", "queue_bytes", "decode_ms", "encode_ms")),
     COMPOSITE: (lambda s, f, c: step(s, f, c), INPUTS),
 }
@@ -278,8 +280,8 @@ def qp_sql(source: str, c: Config) -> str:
   SELECT *, (SELECT count(*) FROM range(8) k(i) WHERE {c.initial_bps} >= (2::BIGINT << k.i) * greatest(1, target_bps)) AS h FROM ({source})))"""
 
 
-def recovery_sql(source: str, c: Config) -> str:
-    return f"""WITH RECURSIVE f AS MATERIALIZED ({source}),
+def recovery_sql(source: str, c: Config, reset: str = "false") -> str:
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, {reset} AS zero FROM ({source})),
 r(stream_id, seq, wait, idr, pli, fir, force, refresh, reason) AS (
   SELECT DISTINCT stream_id, CAST(-1 AS BIGINT), 0, 0, 0, 0, false, false, '' FROM f
   UNION ALL
@@ -288,7 +290,8 @@ r(stream_id, seq, wait, idr, pli, fir, force, refresh, reason) AS (
     p.wait <= 0 AND (f.fir OR f.pli OR f.scene_change), p.wait > 0 AND (f.fir OR f.pli),
     CASE WHEN f.fir AND p.wait <= 0 THEN 'FIR_requested' WHEN f.fir THEN 'FIR_cooldown_fallback' WHEN f.pli AND p.wait <= 0 THEN 'PLI_detected' WHEN f.pli THEN 'PLI_cooldown_fallback'
       WHEN f.scene_change AND p.wait <= 0 THEN 'scene_change' ELSE '' END
-  FROM r p JOIN f ON f.stream_id = p.stream_id AND f.seq = p.seq + 1)
+  FROM (SELECT r.stream_id, r.seq, CASE WHEN zero THEN 0 ELSE wait END AS wait, CASE WHEN zero THEN 0 ELSE idr END AS idr, CASE WHEN zero THEN 0 ELSE r.pli END AS pli, CASE WHEN zero THEN 0 ELSE r.fir END AS fir FROM r JOIN f ON f.stream_id = r.stream_id AND f.seq = r.seq + 1) p
+  JOIN f ON f.stream_id = p.stream_id AND f.seq = p.seq + 1)
 SELECT stream_id, CAST(seq AS INT) AS seq, force AS force_idr, refresh AS intra_refresh, reason AS recovery_reason, idr AS idr_count, pli AS pli_count, fir AS fir_count FROM r WHERE seq >= 0"""
 
 
@@ -355,6 +358,11 @@ def recovery(spark, d):
     return decisions(A.feedback(spark, d), SMALL, RECOVERY, arranged=True)
 
 
+def recovery_reset(spark, d):
+    """Recovery whose counters and cooldown are zeroed on every thirtieth row of a stream."""
+    return decisions(A.feedback(spark, d).withColumn("reset", F.col("seq") % 30 == 29), SMALL, RECOVERY, arranged=True)
+
+
 def adaptation(spark, d):
     return decisions(_calm(spark, d), SMALL, ADAPTATION, arranged=True)
 
@@ -376,6 +384,7 @@ CATALOG = {
     "q_bitrate_calm": (bitrate_calm, f"SELECT {_COLS} FROM ({_CALM_RATE})"),
     "q_qp_decision": (qp_decision, f"SELECT stream_id, seq, target_bps, base_qp FROM ({qp_sql(_CALM_RATE, SMALL)})"),
     "q_recovery": (recovery, recovery_sql(A.FEEDBACK_SQL, SMALL)),
+    "q_recovery_reset": (recovery_reset, recovery_sql(A.FEEDBACK_SQL, SMALL, "seq % 30 = 29")),
     "q_adaptation_cascade": (adaptation, f"SELECT * EXCLUDE (slow, fps_used) FROM ({adaptation_sql(CALM_SQL, SMALL)})"),
     "q_composite_decision": (composite, composite_sql(A.FEEDBACK_SQL, SMALL)),
     "q_composite_calm": (composite_calm, composite_sql(CALM_SQL, SMALL)),
