@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import unused
 
 #: Pre-tokens that one generation of a worker's memory holds, and the characters taken at a time: memory bounds, no limits on input.
-CACHE, TAKE = 200_000, 500_000
+CACHE, TAKE = 100_000, 500_000
 _OFFSET = 0x100
 _TO_CHAR = {b: _OFFSET + b for b in range(256)}
 #: Wire numbers of the public sentencepiece model format.
