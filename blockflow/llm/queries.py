@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, quality_cnn, quality_rules, secrets, shard, simhash, toxicity, warc
+from . import bpe, centroids, decontam, divergence, html_extract, packing, quality_cnn, quality_rules, secrets, shard, simhash, toxicity, warc
 from .common import new_folder, written
 
 
@@ -148,6 +148,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 ABLATION_SQL = f"""SELECT r.rule, n_rows, any_bits, count(*) FILTER (WHERE fail_bits & 127 & b <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & 127 = b) AS n_only
 FROM ({OP10_SQL}) o, (SELECT count(*) AS n_rows, bit_or(fail_bits & 127) AS any_bits FROM ({OP10_SQL})), (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('upper_case', 8), ('repeated_lines', 16), ('short_words', 32), ('long_words', 64)) r(rule, b) GROUP BY ALL"""
 
+
+
+def op11_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(_table(spark, sf_dir, "documents"), path, end_id=2)
+    length = (F.octet_length("ids") / 4).cast("long")
+    return rows.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT i, lang, source, unnest(w) AS term FROM d),
+v AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY ALL),
+z AS (SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS p FROM z WINDOW w AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.clusters(_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, centres).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The definition: every round scans all centroids. centres are one row with a list of lists."""
+    square = lambda c: f"list_sum(list_transform(list_zip(v, {c}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"""e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT list(v ORDER BY h, v) AS cs FROM (SELECT v, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM e ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, list_position(d, list_min(d)) AS j, list_min(d) AS m FROM (SELECT vec_id, v, list_transform(cs, lambda c: {square('c')}) AS d FROM e, c{r}))")
+        if r < rounds:
+            parts.append(f"u{r} AS (SELECT j, i, (s - ((s % n) + n) % n) // n AS x FROM (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, i))")
+            parts.append(f"n{r} AS (SELECT j, list(x ORDER BY i) AS c FROM u{r} GROUP BY j)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT list(coalesce(n{r}.c, o.c) ORDER BY o.j) AS cs FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS j FROM c{r}) o LEFT JOIN n{r} USING (j))")
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(j - 1 AS INT) AS cluster, CAST(m AS BIGINT) AS distance, CAST(sum(m) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(m) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(cs[j], ',')) AS centroid_sha256 FROM {last}, c{rounds}"""
+
+
+OP13_SQL = _lloyd_sql()
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -159,6 +220,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
+    "op12_divergence": op12_divergence,
+    "op13_exponion": op13_exponion,
     "rules_ablation": rules_ablation,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_winnowing": OP5_SQL, "op8_sharding": OP8_SQL, "op10_quality_rules": OP10_SQL, "rules_ablation": ABLATION_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_winnowing": OP5_SQL, "op8_sharding": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_divergence": OP12_SQL, "op13_exponion": OP13_SQL, "rules_ablation": ABLATION_SQL}
