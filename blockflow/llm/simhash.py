@@ -25,7 +25,7 @@ round's edges are written to the shared folder. Nothing of document size reaches
 
 Defined results: null and empty texts and texts of white space have fingerprint 0 (in near_copies: no shingles), linked
 like any other; a text of fewer words than a shingle is one shingle; equal rows are one
-group; a null id is ignored when the smallest id of a group is taken; texts of any length count whole; other columns
+group; a null id is ignored when the smallest id of a group is taken, but its row links others; an id that repeats names each of its rows; texts of any length count whole; other columns
 pass by, whatever their names; an empty table gives an empty result.
 """
 
@@ -280,7 +280,7 @@ def _node_edges(bits: int):
 
 
 def links(codes: DataFrame, bits: int = 4) -> DataFrame:
-    """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its id)."""
+    """Edges (u, v), u > v, whose components are those of all links. codes: fp (distinct), rep (its name, a long)."""
     level = codes.select("fp", "rep", F.lit(0).cast("long").alias("up"), F.lit(-1).cast("long").alias("free"))
     out = []
     while True:
@@ -331,12 +331,20 @@ def moved_none(edges: DataFrame, roots: DataFrame) -> bool:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, fp (signed long), component_id (the smallest id reachable)."""
-    fps = written(fingerprints(docs.select(doc_id, text), words, seed, text).select(doc_id, "fp"), "fingerprints")
-    codes = written(fps.groupBy("fp").agg(F.min(doc_id).alias("rep")), "codes")
-    groups = components(links(codes.where("rep is not null"), bits))
-    # Only the codes that a link touches need a look-up; the rest stand for themselves.
-    named = codes.join(groups, codes["rep"] == groups["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    """A row for each row of docs: doc_id, fp (signed long), component_id (the smallest id reachable, null where no row of the group has one)."""
+    return grouped(written(fingerprints(docs.select(doc_id, text), words, seed, text).select(doc_id, "fp"), "fingerprints"), bits, doc_id)
+
+
+def grouped(fps: DataFrame, bits: int = 4, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp) with component_id. The graph's nodes are fingerprints, so rows without an id carry links as others do, and
+    rows that share only an id are not linked by it. fps is read twice."""
+    codes = written(fps.groupBy("fp").agg(F.min(doc_id).alias("first")), "codes")
+    groups = written(components(links(codes.select("fp", F.col("fp").alias("rep")), bits)), "groups")
+    # Only codes that a link touches have a group; the rest stand for themselves.
+    heads = codes.join(groups, codes["fp"] == groups["node"]).groupBy("root").agg(F.min("first").alias("head"))
+    of = groups.join(heads, "root").select(F.col("node").alias("fp"), "head")
+    # A group's head is null only where all its ids are, and then so is the code's own.
+    named = codes.join(of, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"))
     return fps.join(named, "fp").select(doc_id, "fp", "component_id")
 
 

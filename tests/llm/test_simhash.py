@@ -108,6 +108,25 @@ def test_empty_nulls_and_clashes(spark):
     assert sorted(str(r.component_id) for r in S.near_duplicates(df).collect()) == ["3", "3", "3"]
 
 
+def test_rows_without_an_id_carry_links_and_repeated_ids_do_not(spark):
+    r = random.Random(5)
+    fps = [0x0F, 0, 0xF00, *(x - (1 << 64) if x >> 63 else x for x in clusters(6, 60))]
+    given = [(1, fps[0]), (None, fps[1]), (2, fps[2]), (None, fps[1]), (5, fps[20]), (5, fps[21])]
+    given += [(r.choice([None, r.randrange(40)]), f) for f in fps[3:] for _ in range(r.randint(1, 2))]
+    root = list(range(len(given)))
+    for i, (_, a) in enumerate(given):
+        for j, (_, b) in enumerate(given):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    want = []
+    for (i, f), g in zip(given, root):
+        ids = [k for (k, _), x in zip(given, root) if x == g and k is not None]
+        want.append((i, f, min(ids, default=None)))
+    got = [tuple(x) for x in S.grouped(spark.createDataFrame(given, "doc_id long, fp long")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_near_copies_by_checked_links(spark):
     r = random.Random(2)
     texts, group = [], []
