@@ -339,7 +339,8 @@ def grouped(fps: DataFrame, bits: int = 4, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp) with component_id. The graph's nodes are fingerprints, so rows without an id carry links as others do, and
     rows that share only an id are not linked by it. fps is read twice."""
     codes = written(fps.groupBy("fp").agg(F.min(doc_id).alias("first")), "codes")
-    groups = written(components(links(codes.select("fp", F.col("fp").alias("rep")), bits)), "groups")
+    below = components(links(codes.select("fp", F.col("fp").alias("rep")), bits))
+    groups = written(below.union(below.select("root", "root")).distinct(), "groups")
     # Only codes that a link touches have a group; the rest stand for themselves.
     heads = codes.join(groups, codes["fp"] == groups["node"]).groupBy("root").agg(F.min("first").alias("head"))
     of = groups.join(heads, "root").select(F.col("node").alias("fp"), "head")
