@@ -25,31 +25,31 @@ LAMBDA, REACH = 4, 8
 
 
 def pairs(spark, d) -> DataFrame:
-    """frame_idx, cur, ref: a plane (bytes in raster order) and the one before."""
+    """frame_idx, cur, ref, width, height: a plane (bytes in raster order) and the one before."""
     p = A.frames(spark, d)
     return p.join(p.select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("px").alias("ref")), "frame_idx").withColumnRenamed("px", "cur")
 
 
 def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[str], schema: str) -> DataFrame:
-    """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of W x H."""
+    """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of the row's width and height."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
     out = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = [batch.column(n)[k].as_py() for n in names]
-                made = kernel(*(np.frombuffer(v, np.uint8).reshape(H, W) if isinstance(v, bytes | bytearray) else v for v in row))
+                w, h, *row = (batch.column(n)[k].as_py() for n in ("width", "height", *names))
+                made = kernel(*(np.frombuffer(v, np.uint8).reshape(h, w) if isinstance(v, bytes | bytearray) else v for v in row))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
-    return rows.select(*names).mapInArrow(run, schema)
+    return rows.select("width", "height", *names).mapInArrow(run, schema)
 
 
 def _blocks(cur: np.ndarray, ref: np.ndarray, satd: bool = True) -> Iterator[tuple[int, int, K.Block]]:
     p = K.padded(ref)
-    for y in range(0, H, 16):
-        for x in range(0, W, 16):
+    for y in range(0, cur.shape[0], 16):
+        for x in range(0, cur.shape[1], 16):
             yield x // 16, y // 16, K.Block(cur[y : y + 16, x : x + 16], p, x + K.HALO, y + K.HALO, REACH, satd)
 
 
@@ -57,8 +57,9 @@ def quarter_samples(spark, d):
     """Every plane at its sixteen quarter positions."""
 
     def kernel(f, px):
-        q = K.quarter(K.padded(px), K.HALO, K.HALO, W, H)
-        return [(f, fx, fy, y, q[fy, fx, y].tolist()) for fy in range(4) for fx in range(4) for y in range(H)]
+        h, w = px.shape
+        q = K.quarter(K.padded(px), K.HALO, K.HALO, w, h)
+        return [(f, fx, fy, y, q[fy, fx, y].tolist()) for fy in range(4) for fx in range(4) for y in range(h)]
 
     return by_frame(A.frames(spark, d), kernel, ["frame_idx", "px"], "frame_idx long, fx int, fy int, y int, line array<int>")
 
@@ -223,11 +224,12 @@ def deblocked(spark, d):
     def kernel(f, px, left, upper, qps):
         from hashlib import md5
 
-        v, h = (np.zeros((H // 4, W // 4), np.int64) for _ in range(2))
+        rows, cols = px.shape
+        v, h = (np.zeros((rows // 4, cols // 4), np.int64) for _ in range(2))
         for to, cells in ((v, left), (h, upper)):
             for c in cells:
                 to[c["row4"], c["col4"]] = c["bs"]
-        qp = np.array([x["qp"] for x in qps]).reshape(H // 16, W // 16)
+        qp = np.array([x["qp"] for x in qps]).reshape(rows // 16, cols // 16)
         u = (px[::2, ::2].astype(np.int32) + px[::2, 1::2] + px[1::2, ::2] + px[1::2, 1::2] + 2) >> 2
         out = K.filtered((px, u, 255 - u), v, h, qp, chroma[qp], own)
         return [(f, name, int(p.sum()), int((p != before).sum()), md5(p.astype(np.uint8).tobytes()).hexdigest()) for name, p, before in zip("yuv", out, (px, u, 255 - u))]

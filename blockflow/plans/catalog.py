@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from blockflow.operators import bits, blockmath, chains, container, control, decisions, entropy, filters, frames, intra4, motion, rate, session
+from blockflow.operators import bits, blockmath, chains, container, control, decisions, entropy, filters, frames, intra4, media, motion, rate, session
 
-CATALOG = {**blockmath.CATALOG, **control.CATALOG, **bits.CATALOG, **frames.CATALOG, **filters.CATALOG, **chains.CATALOG, **entropy.CATALOG, **decisions.CATALOG, **motion.CATALOG, **container.CATALOG, **rate.CATALOG, **intra4.CATALOG, **session.CATALOG}
+_MODULES = (blockmath, control, bits, frames, filters, chains, entropy, decisions, motion, container, rate, intra4, session, media)
+CATALOG = {name: entry for m in _MODULES for name, entry in m.CATALOG.items()}
 QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql}

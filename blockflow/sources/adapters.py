@@ -86,10 +86,10 @@ PLANE_WIDTH, PLANE_HEIGHT = 48, 32
 
 
 def frames(spark: SparkSession, sf_dir: str, width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> DataFrame:
-    """frame_idx, px: a generated plane (bytes in raster order) for every 24 vectors, whose content moves by (3, 1) a frame."""
+    """frame_idx, px, width, height: a generated plane (bytes in raster order) for every 24 vectors, whose content moves by (3, 1) a frame."""
     f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 24").alias("f")).distinct()
     px = F.expr(f"transform(sequence(0, {width * height - 1}), i -> char(cast({LUMA.format(div='div').replace('x', f'(i % {width})').replace('y', f'(i div {width})')} as int)))")
-    return f.select(F.col("f").alias("frame_idx"), F.encode(F.array_join(px, ""), "ISO-8859-1").alias("px"))
+    return f.select(F.col("f").alias("frame_idx"), F.encode(F.array_join(px, ""), "ISO-8859-1").alias("px"), F.lit(width).alias("width"), F.lit(height).alias("height"))
 
 
 def planes(spark: SparkSession, sf_dir: str, width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> DataFrame:
@@ -101,3 +101,19 @@ def planes(spark: SparkSession, sf_dir: str, width: int = PLANE_WIDTH, height: i
 
 def planes_sql(width: int = PLANE_WIDTH, height: int = PLANE_HEIGHT) -> str:
     return f"SELECT f AS frame_idx, y, x, CAST({LUMA.format(div='//')} AS INT) AS v FROM (SELECT DISTINCT vec_id // 24 AS f FROM embeddings), (SELECT CAST(unnest(range({height})) AS INT) AS y), (SELECT CAST(unnest(range({width})) AS INT) AS x)"
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_idx, width, height, y, u, v: the vectors of six macroblocks as a picture of 48x32; chroma is luma at half size, and its complement."""
+    f = macroblocks(spark, sf_dir).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("mb_idx", "parts"))).alias("m")).where(F.size("m") == MBS_PER_FRAME)
+    place = lambda r, c: f"m[{MB_COLS} * ({r} div 16) + {c} div 16].parts[({r} % 16 div 8) * 2 + {c} % 16 div 8][({r} % 8) * 8 + {c} % 8]"
+    luma = F.expr(f"transform(sequence(0, 1535), i -> {place('(i div 48)', '(i % 48)')})")
+    half = F.expr("transform(sequence(0, 383), i -> (y[(i div 24) * 96 + i % 24 * 2] + y[(i div 24) * 96 + i % 24 * 2 + 1] + y[(i div 24) * 96 + i % 24 * 2 + 48] + y[(i div 24) * 96 + i % 24 * 2 + 49] + 2) div 4)")
+    data = lambda a: F.encode(F.array_join(F.transform(a, lambda v: F.char(v)), ""), "ISO-8859-1")
+    f = f.select("frame_idx", luma.alias("y")).withColumn("u", half)
+    return f.select("frame_idx", F.lit(48).alias("width"), F.lit(32).alias("height"), data(F.col("y")).alias("y"), data(F.col("u")).alias("u"), data(F.transform("u", lambda v: 255 - v)).alias("v"))
+
+
+PICTURES_SQL = f"""SELECT frame_idx, y, u, list_transform(u, lambda v: 255 - v) AS v FROM (SELECT frame_idx, y, list_transform(range(384), lambda i: (y[(i // 24) * 96 + i % 24 * 2 + 1] + y[(i // 24) * 96 + i % 24 * 2 + 2] + y[(i // 24) * 96 + i % 24 * 2 + 49] + y[(i // 24) * 96 + i % 24 * 2 + 50] + 2) // 4) AS u
+  FROM (SELECT frame_idx, list_transform(range(1536), lambda i: m[{MB_COLS} * (i // 48 // 16) + i % 48 // 16 + 1][(i // 48 % 16 // 8 * 2 + i % 48 % 16 // 8) * 64 + (i // 48 % 8) * 8 + i % 48 % 8 + 1]) AS y
+  FROM (SELECT frame_idx, list(px ORDER BY mb_idx) AS m FROM ({MACROBLOCKS_SQL}) GROUP BY frame_idx HAVING count(*) = {MBS_PER_FRAME})))"""
