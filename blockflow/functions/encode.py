@@ -157,14 +157,41 @@ def _context(counts: np.ndarray, r: int, c: int, first: int) -> int:
     return int(max(a, b, 0) if min(a, b) < 0 else (a + b + 1) >> 1)
 
 
-def encoded(planes: tuple[np.ndarray, np.ndarray, np.ndarray], first_row: int, rows: int, qp: int, idr_pic_id: int = 0) -> tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+Chroma = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # prediction, DC levels, AC levels of both planes
+
+
+def chroma_levels(own: np.ndarray, pred: np.ndarray, cqp: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An 8x8 chroma block in one step: prediction, levels of the chained DC and of the AC of its four parts."""
+    c = _CORE @ _blocks(own - pred) @ _CORE.T
+    dc = _quantised(_H2 @ c[..., 0, 0] @ _H2, int(MF[cqp % 6, 0, 0]), 16 + cqp // 6)
+    ac = _quantised(c, MF[cqp % 6], 15 + cqp // 6)
+    ac[..., 0, 0] = 0
+    return pred, dc, ac
+
+
+def chroma_pattern(chroma: Chroma) -> int:
+    return 2 if any(a.any() for _, _, a in chroma) else 1 if any(d.any() for _, d, _ in chroma) else 0
+
+
+def chroma_bits(chroma: Chroma, pattern: int, counts: np.ndarray, my: int, mx: int, first_row: int) -> list[str]:
+    """Codes of the chroma levels of a macroblock; counts (2, rows, columns) of 4x4 blocks are brought up to date."""
+    out = [residual_bits(d.ravel().tolist(), -1, dc=True) for _, d, _ in chroma] if pattern else []
+    for k, (_, _, a) in enumerate(chroma if pattern == 2 else ()):
+        for r, c in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            levels = a[r, c].ravel()[ZIGZAG][1:].tolist()
+            out.append(residual_bits(levels, _context(counts[k], 2 * my + r, 2 * mx + c, 2 * first_row)))
+            counts[k][2 * my + r, 2 * mx + c] = np.count_nonzero(levels)
+    return out
+
+
+def encoded(planes: tuple[np.ndarray, np.ndarray, np.ndarray], first_row: int, rows: int, qp: int, idr_pic_id: int = 0, filter_idc: int = 1) -> tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bits of the slice of macroblock rows [first_row, first_row + rows), trailing bits included, and the decoded planes of those rows."""
     src = [p.astype(np.int64) for p in planes]
     rec = [np.zeros_like(p) for p in src]
     h, w = src[0].shape
     cqp = T.chroma_qp(qp)
     luma_n, chroma_n = np.zeros((h // 4, w // 4), np.int64), np.zeros((2, h // 8, w // 8), np.int64)
-    out = [slice_header(first_row * (w // 16), idr_pic_id, qp - 26)]
+    out = [slice_header(first_row * (w // 16), idr_pic_id, qp - 26, filter_idc)]
     for my in range(first_row, first_row + rows):
         for mx in range(w // 16):
             y, x, top = 16 * my, 16 * mx, my > first_row
@@ -176,28 +203,15 @@ def encoded(planes: tuple[np.ndarray, np.ndarray, np.ndarray], first_row: int, r
             ac = _quantised(coef, MF[qp % 6], 15 + qp // 6)
             ac[..., 0, 0] = 0
             has_ac = bool(ac.any())
-            chroma = []
-            for k in (1, 2):
-                pred = chroma_dc(rec[k], y // 2, x // 2, top)
-                c = _CORE @ _blocks(src[k][y // 2 : y // 2 + 8, x // 2 : x // 2 + 8] - pred) @ _CORE.T
-                cdc = _quantised(_H2 @ c[..., 0, 0] @ _H2, int(MF[cqp % 6, 0, 0]), 16 + cqp // 6)
-                cac = _quantised(c, MF[cqp % 6], 15 + cqp // 6)
-                cac[..., 0, 0] = 0
-                chroma.append((pred, cdc, cac))
-            pattern = 2 if any(a.any() for _, _, a in chroma) else 1 if any(d.any() for _, d, _ in chroma) else 0
+            chroma = [chroma_levels(src[k][y // 2 : y // 2 + 8, x // 2 : x // 2 + 8], chroma_dc(rec[k], y // 2, x // 2, top), cqp) for k in (1, 2)]
+            pattern = chroma_pattern(chroma)
             out += [ue(1 + mode + 4 * pattern + 12 * has_ac), ue(0), se(0)]
             out.append(residual_bits(dc.ravel()[ZIGZAG].tolist(), _context(luma_n, 4 * my, 4 * mx, 4 * first_row)))
             for r, c in CODED if has_ac else ():
                 levels = ac[r, c].ravel()[ZIGZAG][1:].tolist()
                 out.append(residual_bits(levels, _context(luma_n, 4 * my + r, 4 * mx + c, 4 * first_row)))
                 luma_n[4 * my + r, 4 * mx + c] = np.count_nonzero(levels)
-            if pattern:
-                out += [residual_bits(d.ravel().tolist(), -1, dc=True) for _, d, _ in chroma]
-            for k, (_, _, a) in enumerate(chroma if pattern == 2 else ()):
-                for r, c in ((0, 0), (0, 1), (1, 0), (1, 1)):
-                    levels = a[r, c].ravel()[ZIGZAG][1:].tolist()
-                    out.append(residual_bits(levels, _context(chroma_n[k], 2 * my + r, 2 * mx + c, 2 * first_row)))
-                    chroma_n[k][2 * my + r, 2 * mx + c] = np.count_nonzero(levels)
+            out += chroma_bits(chroma, pattern, chroma_n, my, mx, first_row)
             rec[0][y : y + 16, x : x + 16] = luma_rebuilt(modes[mode], dc, ac, qp)
             for k, (pred, d, a) in enumerate(chroma, 1):
                 rec[k][y // 2 : y // 2 + 8, x // 2 : x // 2 + 8] = chroma_rebuilt(pred, d, a if pattern == 2 else a * 0, cqp)

@@ -5,15 +5,24 @@ Slices of a frame share nothing, so each is a row of its own; a session is a fol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockflow.functions import encode as K
+from blockflow.functions import inter
+from blockflow.functions import tables as T
 from blockflow.functions.folds import folded
 from blockflow.operators import control as C
+from blockflow.operators import entropy as E
+from blockflow.operators.media import shared
 from blockflow.operators.motion import by_frame
+from blockflow.operators.motion import tables as filter_tables
 from blockflow.sources import adapters as A
+from blockflow.sources import bytestream
 
 SLICES, QP = 2, 28
 
@@ -81,8 +90,106 @@ def session(spark, d):
     return folded(A.feedback(spark, d), names, schema, dict, one, arranged=True)
 
 
+#: Kinds of macroblocks that a picture counts.
+KINDS = ("intra", "skip", "16x16", "16x8", "8x16", "8x8")
+_GROUP = "stream_id long, frame_idx long, width int, height int, idr boolean, unit binary, sse long, " + ", ".join(f"n_{k} int" for k in KINDS)
+
+
+def _coded(planes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Planes of any even size, extended to whole macroblocks by their last column and row."""
+    h, w = planes[0].shape
+    down, right = -h % 16, -w % 16
+    return tuple(np.pad(p, ((0, down // k), (0, right // k)), mode="edge") for p, k in zip(planes, (1, 2, 2)))
+
+
+def encode_groups(frames: DataFrame, qp: int = QP, slices: int = SLICES, interval: int = 12) -> DataFrame:
+    """Access units of frames (stream_id, frame_idx, width, height, y, u, v): `interval` frames that begin with an intra picture are a
+    group, encoded by one task in order; groups share nothing, so they are dealt out.
+
+    unit: parameter sets (before intra pictures) and slices; sse: of the decoded luma; n_*: macroblocks by kind. Frame numbers of
+    a stream must not repeat; a gap in them, or another size, begins a new group. Odd sizes are an error.
+    """
+    group = F.expr(f"frame_idx div {interval}")
+    rows = frames.select("stream_id", "frame_idx", "width", "height", "y", "u", "v", group.alias("group")).repartition("stream_id", "group").sortWithinPartitions("stream_id", "frame_idx")
+    out = pa.schema([("stream_id", pa.int64()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("idr", pa.bool_()), ("unit", pa.binary()), ("sse", pa.int64()), *((f"n_{k}", pa.int32()) for k in KINDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, now, state = filter_tables(), None, None
+        for batch in batches:
+            made = []
+            for k in range(batch.num_rows):
+                stream, f, w, h, y, u, v, g = (batch.column(n)[k].as_py() for n in ("stream_id", "frame_idx", "width", "height", "y", "u", "v", "group"))
+                if w % 2 or h % 2:
+                    raise ValueError(f"frames of {w} x {h} have no whole chroma planes")
+                if now is None or now[:4] != (stream, g, w, h) or f != now[4] + 1:
+                    state = inter.Group(qp, slices, tables, g % 2)
+                now = stream, g, w, h, f
+                planes = _coded(tuple(np.frombuffer(p, np.uint8).reshape(s).astype(np.int64) for p, s in ((y, (h, w)), (u, (h // 2, w // 2)), (v, (h // 2, w // 2)))))
+                idr = state.reference is None
+                unit, p, rec = state.add(planes)
+                sse = int(((rec[0][:h, :w] - planes[0][:h, :w]) ** 2).sum())
+                made.append((stream, f, w, h, idr, unit, sse, *(p.counts.get(n, 0) for n in KINDS)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), out)], schema=out)
+
+    made = rows.mapInArrow(run, _GROUP).withColumn("id", F.expr(_SIZE))
+    head = parameter_sets(frames.select("width", "height").distinct(), qp)
+    unit = F.when(F.col("idr"), F.concat("head", "unit")).otherwise(F.col("unit"))
+    return made.join(head, "id").withColumn("unit", unit).drop("id", "head")
+
+
+#: A number for a size of pictures.
+_SIZE = "width * 65536L + height"
+
+
+def parameter_sets(sizes: DataFrame, qp: int) -> DataFrame:
+    """(id, head): sequence and picture parameter sets for each (width, height), as bytes of the stream."""
+    level = "CASE " + " ".join(f"WHEN n <= {most} THEN {idc}" for idc, most in T.LEVELS) + " END"
+    fields = sizes.selectExpr("*", "(width + 15) div 16 * 16 AS w", "(height + 15) div 16 * 16 AS h").selectExpr("*", "w * h div 256 AS n")
+    fields = fields.selectExpr(f"{_SIZE} AS id", "w", "h", "width AS dw", "height AS dh", f"{level} AS level", "1 AS refs", f"{qp} AS qp", "false AS constrained", "0 AS recovery")
+    units = E.units(sizes.sparkSession.sql(E._units_sql("SELECT * FROM {rows}", "div"), rows=fields)).where("kind <> 'sei'")
+    both = F.array_sort(F.collect_list(F.struct((F.col("kind") == "pps").alias("second"), "unit")))  # two rows a size
+    return units.groupBy("id").agg(F.unhex(F.array_join(F.transform(both, lambda s: s["unit"]), "")).alias("head"))
+
+
+def _scenes(spark, d) -> DataFrame:
+    """Two streams of frames: planes that move, and pictures of the vectors."""
+    luma = A.frames(spark, d, 64, 48).withColumnRenamed("px", "y")
+    # Chroma of the moving planes: every second line and column, as in the plane itself.
+    side = F.expr("encode(array_join(transform(sequence(0, 767), i -> char(ascii(substring(decode(y, 'ISO-8859-1'), i div 32 * 128 + i % 32 * 2 + 1, 1)))), ''), 'ISO-8859-1')")
+    moving = luma.select(F.lit(0).cast("long").alias("stream_id"), "frame_idx", "width", "height", "y", side.alias("u"), side.alias("v"))
+    return moving.union(A.pictures(spark, d).select(F.lit(1).cast("long"), "frame_idx", "width", "height", "y", "u", "v"))
+
+
+def encode_pictures(spark, d):
+    """Groups of intra and inter pictures: macroblocks by kind, size, error and digest of every access unit."""
+    rows = encode_groups(_scenes(spark, d))
+    return rows.select("stream_id", "frame_idx", "idr", *[f"n_{k}" for k in KINDS], F.octet_length("unit").alias("n_bytes"), "sse", F.md5("unit").alias("digest"))
+
+
+def stream_files(spark, d):
+    """The access units as byte stream files, read back in ranges: units by stream and type, their bytes, and whether each frame has its slices."""
+    path = shared(spark, "h264")
+    bytestream.save_streams(encode_groups(_scenes(spark, d)).select("stream_id", F.col("frame_idx").alias("seq"), "unit"), path)
+    found = spark.read.format("annexb").option("partition_bytes", 1 << 16).load(path)
+    stream = F.regexp_extract("path", r"([0-9]+)\.h264$", 1).cast("long")
+    return found.groupBy(stream.alias("stream_id"), "type", "ref_idc").agg(F.count("*").alias("n_units"), F.sum("length").alias("n_bytes"), F.sum(F.crc32("payload")).alias("crc_sum"))
+
+
+def movie_files(spark, d):
+    """The access units as movie files: size and digest of each file, thirty frames a second."""
+    path = shared(spark, "mp4")
+    rows = encode_groups(_scenes(spark, d)).select("stream_id", F.col("frame_idx").alias("seq"), "unit", (F.col("frame_idx") * 3000).alias("ticks"), "width", "height")
+    bytestream.save_streams(rows, path, "mp4")
+    files = spark.read.format("binaryFile").load(f"{path}/*.mp4")
+    return files.select(F.regexp_extract("path", r"([0-9]+)\.mp4$", 1).cast("long").alias("stream_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 CATALOG = {
     "q_encode_frames": (encode_frames, None),
     "q_record": (record, None),
     "q_session": (session, None),
+    "q_encode_pictures": (encode_pictures, None),
+    "q_stream_files": (stream_files, None),
+    "q_movie_files": (movie_files, None),
 }
