@@ -89,20 +89,24 @@ def _inverse(d: np.ndarray) -> np.ndarray:
     return (one(one(d).swapaxes(-1, -2)).swapaxes(-1, -2) + 32) >> 6
 
 
+def dequantised(levels: np.ndarray, qp: int) -> np.ndarray:
+    """Coefficients of 4x4 levels without a chained DC."""
+    d = levels * 16 * NORM[qp % 6]
+    return d << (qp // 6 - 4) if qp >= 24 else (d + (1 << (3 - qp // 6))) >> (4 - qp // 6)
+
+
 def luma_rebuilt(pred: np.ndarray, dc: np.ndarray, ac: np.ndarray, qp: int) -> np.ndarray:
     """Prediction plus residual: dc (4, 4) levels, ac (4, 4, 4, 4) levels without their first."""
     f = _HAD @ dc @ _HAD
     scale = 16 * int(NORM[qp % 6, 0, 0])
-    d = ac * 16 * NORM[qp % 6]
-    d = d << (qp // 6 - 4) if qp >= 24 else (d + (1 << (3 - qp // 6))) >> (4 - qp // 6)
+    d = dequantised(ac, qp)
     d[..., 0, 0] = (f * scale) << (qp // 6 - 6) if qp >= 36 else (f * scale + (1 << (5 - qp // 6))) >> (6 - qp // 6)
     return np.clip(pred + _joined(_inverse(d)), 0, 255)
 
 
 def chroma_rebuilt(pred: np.ndarray, dc: np.ndarray, ac: np.ndarray, qp: int) -> np.ndarray:
     f = _H2 @ dc @ _H2
-    d = ac * 16 * NORM[qp % 6]
-    d = d << (qp // 6 - 4) if qp >= 24 else (d + (1 << (3 - qp // 6))) >> (4 - qp // 6)
+    d = dequantised(ac, qp)
     d[..., 0, 0] = ((f * 16 * int(NORM[qp % 6, 0, 0])) << (qp // 6)) >> 5
     return np.clip(pred + _joined(_inverse(d)), 0, 255)
 

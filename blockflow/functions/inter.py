@@ -1,4 +1,4 @@
-"""Inter slices: macroblocks predicted from the picture before, with vectors and coefficients coded in the context of their slice.
+"""Slices of groups of pictures: macroblocks predicted from the picture before, with vectors and coefficients coded in the context of their slice.
 
 A picture is encoded slice by slice against one filtered picture; the in-loop filter runs when all slices are there, and its
 result is the reference of the next picture. What a picture needs of the former one is that reference and the vectors found, so a group of
@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from blockflow.functions import encode as E
+from blockflow.functions import intra as A
 from blockflow.functions import motion as K
 from blockflow.functions import tables as T
 from blockflow.functions import vlc as V
@@ -76,14 +77,9 @@ def p_header(first: int, frame_num: int, qp_delta: int) -> str:
     return E.ue(first) + E.ue(5) + E.ue(0) + format(frame_num % 16, "04b") + "00" + "0" + E.se(qp_delta) + E.ue(0) + "11"
 
 
-def _dequantised(levels: np.ndarray, qp: int) -> np.ndarray:
-    d = levels * 16 * E.NORM[qp % 6]
-    return d << (qp // 6 - 4) if qp >= 24 else (d + (1 << (3 - qp // 6))) >> (4 - qp // 6)
-
-
 def luma_rebuilt(pred: np.ndarray, levels: np.ndarray, qp: int) -> np.ndarray:
     """Prediction plus residual of (4, 4, 4, 4) levels without a chained DC."""
-    return np.clip(pred + E._joined(E._inverse(_dequantised(levels, qp))), 0, 255)
+    return np.clip(pred + E._joined(E._inverse(E.dequantised(levels, qp))), 0, 255)
 
 
 @dataclass
@@ -94,13 +90,13 @@ class Picture:
     motion: MotionGrid
     luma: np.ndarray
     chroma: np.ndarray
-    modes: np.ndarray
+    modes: np.ndarray  # of 4x4 blocks; DC where a macroblock is of another kind
     counts: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def new(cls, planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Picture:
         h, w = planes[0].shape
-        return cls([np.zeros(p.shape, np.int64) for p in planes], MotionGrid(h // 4, w // 4), np.zeros((h // 4, w // 4), np.int64), np.zeros((2, h // 8, w // 8), np.int64), np.zeros((h // 16, w // 16), np.int64))
+        return cls([np.zeros(p.shape, np.int64) for p in planes], MotionGrid(h // 4, w // 4), np.zeros((h // 4, w // 4), np.int64), np.zeros((2, h // 8, w // 8), np.int64), np.full((h // 4, w // 4), A.DC))
 
     def seen(self, kind: str) -> None:
         self.counts[kind] = self.counts.get(kind, 0) + 1
@@ -117,30 +113,63 @@ def _luma_bits(levels: np.ndarray, pattern: int, p: Picture, my: int, mx: int, f
     return out
 
 
-def _intra_macroblock(p: Picture, src: list[np.ndarray], my: int, mx: int, first_row: int, qp: int, mode: int, pred: np.ndarray) -> list[str]:
-    """An intra 16x16 macroblock of an inter slice: its types stand behind the five inter ones."""
+def _intra_macroblock(p: Picture, src: list[np.ndarray], my: int, mx: int, first_row: int, qp: int, among: int) -> list[str]:
+    """An intra macroblock. among: how many kinds of macroblock the slice has before the intra ones.
+
+    16x16 where its prediction and those of all 4x4 blocks are exact in an intra slice, where it is the better one in an inter slice.
+    """
     y, x, cqp = 16 * my, 16 * mx, T.chroma_qp(qp)
-    coef = E._CORE @ E._blocks(src[0][y : y + 16, x : x + 16] - pred) @ E._CORE.T
-    dc = E._quantised(E._HAD @ coef[..., 0, 0] @ E._HAD, int(E.MF[qp % 6, 0, 0]), 17 + qp // 6)
-    ac = E._quantised(coef, E.MF[qp % 6], 15 + qp // 6)
-    ac[..., 0, 0] = 0
-    own = slice(y // 2, y // 2 + 8), slice(x // 2, x // 2 + 8)
-    chroma = [E.chroma_levels(src[k][own], E.chroma_dc(p.rec[k], y // 2, x // 2, my > first_row), cqp) for k in (1, 2)]
-    pattern, has_ac = E.chroma_pattern(chroma), bool(ac.any())
-    out = [E.ue(5 + 1 + mode + 4 * pattern + 12 * has_ac), E.ue(0), E.se(0), E.residual_bits(dc.ravel()[E.ZIGZAG].tolist(), E._context(p.luma, 4 * my, 4 * mx, 4 * first_row))]
-    for r, c in E.CODED if has_ac else ():
-        scan = ac[r, c].ravel()[E.ZIGZAG][1:].tolist()
-        out.append(E.residual_bits(scan, E._context(p.luma, 4 * my + r, 4 * mx + c, 4 * first_row)))
-        p.luma[4 * my + r, 4 * mx + c] = np.count_nonzero(scan)
+    own, half = (slice(y, y + 16), slice(x, x + 16)), (slice(y // 2, y // 2 + 8), slice(x // 2, x // 2 + 8))
+    whole = E.luma_modes(p.rec[0], y, x, my > first_row)
+    mode = min((m for m in (2, 0, 1, 3) if m in whole), key=lambda m: np.abs(src[0][own] - whole[m]).sum())
+    sad = int(np.abs(src[0][own] - whole[mode]).sum())
+    chroma = [E.chroma_levels(src[k][half], E.chroma_dc(p.rec[k], y // 2, x // 2, my > first_row), cqp) for k in (1, 2)]
+    pattern = E.chroma_pattern(chroma)
+    levels, codes, sads = A.macroblock(p.rec[0], src[0], p.modes, my, mx, first_row, qp)
+    if sad == 0 == sads if among == 0 else sad <= sads + A.OTHER_BITS * 16 * T.LAMBDA_SAD[qp]:
+        p.modes[4 * my : 4 * my + 4, 4 * mx : 4 * mx + 4] = A.DC
+        coef = E._CORE @ E._blocks(src[0][own] - whole[mode]) @ E._CORE.T
+        dc = E._quantised(E._HAD @ coef[..., 0, 0] @ E._HAD, int(E.MF[qp % 6, 0, 0]), 17 + qp // 6)
+        ac = E._quantised(coef, E.MF[qp % 6], 15 + qp // 6)
+        ac[..., 0, 0] = 0
+        has_ac = bool(ac.any())
+        out = [E.ue(among + 1 + mode + 4 * pattern + 12 * has_ac), E.ue(0), E.se(0), E.residual_bits(dc.ravel()[E.ZIGZAG].tolist(), E._context(p.luma, 4 * my, 4 * mx, 4 * first_row))]
+        for r, c in E.CODED if has_ac else ():
+            scan = ac[r, c].ravel()[E.ZIGZAG][1:].tolist()
+            out.append(E.residual_bits(scan, E._context(p.luma, 4 * my + r, 4 * mx + c, 4 * first_row)))
+            p.luma[4 * my + r, 4 * mx + c] = np.count_nonzero(scan)
+        p.rec[0][own] = E.luma_rebuilt(whole[mode], dc, ac, qp)
+        p.seen("intra16")
+    else:
+        quarters = _quarters(levels)
+        out = [E.ue(among), *codes, E.ue(0), A.pattern_code(quarters + 16 * pattern)]
+        if quarters or pattern:
+            out += [E.se(0), *_luma_bits(levels, quarters, p, my, mx, first_row)]
+        p.seen("intra4")
     out += E.chroma_bits(chroma, pattern, p.chroma, my, mx, first_row)
-    p.rec[0][y : y + 16, x : x + 16] = E.luma_rebuilt(pred, dc, ac, qp)
     for k, (cp, d, a) in enumerate(chroma, 1):
-        p.rec[k][own] = E.chroma_rebuilt(cp, d, a if pattern == 2 else a * 0, cqp)
+        p.rec[k][half] = E.chroma_rebuilt(cp, d, a if pattern == 2 else a * 0, cqp)
     p.motion.commit(4 * my, 4 * mx, "16x16", (0, 0), INTRA)
-    p.seen("intra")
     return out
 
 
+def _quarters(levels: np.ndarray) -> int:
+    """Which 8x8 quarters of a macroblock have levels, as bits."""
+    return sum(1 << k for k in range(4) if levels[2 * (k // 2) : 2 * (k // 2) + 2, 2 * (k % 2) : 2 * (k % 2) + 2].any())
+
+
+def intra_encoded(planes, p: Picture, first_row: int, rows: int, qp: int, idr_pic_id: int) -> str:
+    """Bits of the intra slice of macroblock rows [first_row, first_row + rows), trailing bits included; `p` gets what is decoded."""
+    src = [a.astype(np.int64) for a in planes]
+    n_cols = src[0].shape[1] // 16
+    out = [E.slice_header(first_row * n_cols, idr_pic_id, qp - 26, 0)]
+    for my in range(first_row, first_row + rows):
+        for mx in range(n_cols):
+            out += _intra_macroblock(p, src, my, mx, first_row, qp, 0)
+    bits = "".join(out) + "1"
+    return bits + "0" * (-len(bits) % 8)
+
+
 def encoded(planes, refs, former: MotionGrid | None, p: Picture, first_row: int, rows: int, qp: int, frame_num: int) -> str:
     """Bits of the inter slice of macroblock rows [first_row, first_row + rows), trailing bits included; `p` gets what is decoded.
 
@@ -160,14 +189,14 @@ def encoded(planes, refs, former: MotionGrid | None, p: Picture, first_row: int,
             modes = E.luma_modes(p.rec[0], y, x, my > first_row)
             mode = min((m for m in (2, 0, 1, 3) if m in modes), key=lambda m: np.abs(own - modes[m]).sum())
             if int(np.abs(own - modes[mode]).sum()) + INTRA_BIAS * T.LAMBDA_SAD[qp] < total:
-                out += [E.ue(run), *_intra_macroblock(p, src, my, mx, first_row, qp, mode, modes[mode])]
+                out += [E.ue(run), *_intra_macroblock(p, src, my, mx, first_row, qp, 5)]
                 run = 0
                 continue
             pred = [a.astype(np.int64) for a in K.predicted(refs, x, y, part, vectors)]
             levels = E._quantised(E._CORE @ E._blocks(own - pred[0]) @ E._CORE.T, E.MF[qp % 6], 15 + qp // 6)
             half = slice(y // 2, y // 2 + 8), slice(x // 2, x // 2 + 8)
             chroma = [E.chroma_levels(src[k][half], pred[k], cqp) for k in (1, 2)]
-            quarters = sum(1 << k for k in range(4) if levels[2 * (k // 2) : 2 * (k // 2) + 2, 2 * (k % 2) : 2 * (k % 2) + 2].any())
+            quarters = _quarters(levels)
             pattern = quarters + 16 * E.chroma_pattern(chroma)
             if part == 0 and not pattern and tuple(vectors[0]) == p.motion.skipped(r, c, first):
                 run += 1
@@ -227,12 +256,7 @@ class Group:
         if self.reference is None:
             for a, b in zip(cuts, cuts[1:]):
                 if a < b:
-                    bits, rec = E.encoded(planes, a, b - a, self.qp, self.idr_pic_id, 0)
-                    units.append(E.unit(0x65, bits))
-                    for to, own, size in zip(p.rec, rec, (16, 8, 8)):
-                        to[size * a : size * b] = own
-            p.motion.ref[:] = INTRA
-            p.counts = {"intra": rows * planes[0].shape[1] // 16}
+                    units.append(E.unit(0x65, intra_encoded(planes, p, a, b - a, self.qp, self.idr_pic_id)))
         else:
             refs = K.padded(self.reference[0]), *(K.padded(a, K.HALO // 2) for a in self.reference[1:])
             for a, b in zip(cuts, cuts[1:]):

@@ -91,7 +91,7 @@ def session(spark, d):
 
 
 #: Kinds of macroblocks that a picture counts.
-KINDS = ("intra", "skip", "16x16", "16x8", "8x16", "8x8")
+KINDS = ("intra16", "intra4", "skip", "16x16", "16x8", "8x16", "8x8")
 _GROUP = "stream_id long, frame_idx long, width int, height int, idr boolean, unit binary, sse long, " + ", ".join(f"n_{k} int" for k in KINDS)
 
 

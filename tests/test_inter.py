@@ -11,7 +11,7 @@ from blockflow.functions import motion as K
 from blockflow.functions import tables as T
 from blockflow.functions import vlc as V
 from blockflow.operators import motion as O
-from tests.test_encode import decode, read_block
+from tests.test_encode import read_block
 from tests.test_entropy import Reader
 
 
@@ -35,26 +35,27 @@ class Decoder:
 
     def picture(self, units, qp):
         self.rec = [np.zeros((self.h, self.w), np.int64), *(np.zeros((self.h // 2, self.w // 2), np.int64) for _ in "uv")]
-        self.mv, self.n, self.slice_of, self.kinds = {}, {}, {}, []
+        self.mv, self.n, self.slice_of, self.mode_of, self.kinds = {}, {}, {}, {}, []
         for number, unit in enumerate(units):
             assert unit[:4] == b"\0\0\0\1"
             bits = unescaped(unit)
+            r = Reader(bits)
             if unit[4] == 0x65:
-                rows = self.rows_of(bits, units, number)
-                for to, own, size in zip(self.rec, decode_filtered(bits, self.w, rows[1], qp), (16, 8, 8)):
-                    to[size * rows[0] : size * (rows[0] + rows[1])] = own
-                for y in range(4 * rows[0], 4 * (rows[0] + rows[1])):
-                    for x in range(self.w // 4):
-                        self.mv[y, x] = (-1, (0, 0))
+                self.i_slice(r, number, qp)
             else:
-                self.p_slice(Reader(bits), number, qp)
+                self.p_slice(r, number, qp)
         self.filter(qp)
         return self.ref
 
-    def rows_of(self, bits, units, number):
-        first = Reader(bits).ue() // (self.w // 16)
-        last = Reader(unescaped(units[number + 1])).ue() // (self.w // 16) if number + 1 < len(units) else self.h // 16
-        return first, last - first
+    def i_slice(self, r, number, qp):
+        at = r.ue()
+        assert r.ue() == 7 and r.ue() == 0 and r.u(4) == 0
+        r.ue()
+        assert r.u(2) == 0 and r.se() == qp - 26 and r.ue() == 0 and r.se() == 0 and r.se() == 0
+        while r.at < r.bits.rindex("1"):
+            self.macroblock(at, number, qp, r, 5 + r.ue())
+            at += 1
+        assert r.u(1) == 1 and len(r.bits) - r.at < 8 and at % (self.w // 16) == 0
 
     # Vectors.
     def neighbour(self, y, x, number):
@@ -111,7 +112,9 @@ class Decoder:
         for size, plane in ((4, 0), (2, 1), (2, 2)):
             for k in range(size * size):
                 self.n[plane, size * my + k // size, size * mx + k % size] = 0
-        if kind is not None and kind >= 5:
+        if kind == 5:
+            return self.intra4(my, mx, number, qp, r)
+        if kind is not None and kind > 5:
             return self.intra(my, mx, number, qp, r, kind - 6)
         if kind is None:
             a, b = self.neighbour(y4, x4 - 1, number), self.neighbour(y4 - 1, x4, number)
@@ -203,8 +206,82 @@ class Decoder:
                 levels[k // 2, k % 2] = block.reshape(4, 4)
             self.rec[plane][8 * my : 8 * my + 8, 8 * mx : 8 * mx + 8] = E.chroma_rebuilt(preds[plane - 1], dcs[plane - 1], levels, T.chroma_qp(qp))
 
+    def intra4(self, my, mx, number, qp, r):
+        self.kinds.append("intra4")
+        signs = [None if r.u(1) else r.u(3) for _ in range(16)]
+        assert r.ue() == 0
+        pattern = V.CBP_INTRA[r.ue()]
+        if pattern:
+            assert r.se() == 0
+        done = {}
+        for k in range(16):
+            v, u = 2 * (k // 8) + k % 4 // 2, 2 * (k // 4 % 2) + k % 2
+            y, x = 4 * my + v, 4 * mx + u
+            scan = read_block(r, self.nc(0, y, x, number), 16) if pattern >> k // 4 & 1 else [0] * 16
+            self.n[0, y, x] = int(np.count_nonzero(scan))
+            block = np.zeros(16, np.int64)
+            block[np.array(T.ZIGZAG)] = scan
+            done[k] = block.reshape(4, 4)
+        for k in range(16):
+            v, u = 2 * (k // 8) + k % 4 // 2, 2 * (k // 4 % 2) + k % 2
+            y, x = 4 * my + v, 4 * mx + u
+            there = lambda b, a: 0 <= a < self.w // 4 and self.slice_of.get((b // 4, a // 4)) == number and ((b // 4, a // 4) != (my, mx) or (b, a) in self.mode_of)  # noqa: B023, E731
+            near = [self.mode_of.get(p, 2) if there(*p) else None for p in ((y, x - 1), (y - 1, x))]
+            likely = 2 if None in near else min(near)
+            mode = likely if signs[k] is None else signs[k] + (signs[k] >= likely)
+            self.mode_of[y, x] = mode
+            self.rec[0][4 * y : 4 * y + 4, 4 * x : 4 * x + 4] = np.clip(self.predicted4(y, x, mode, there) + E._inverse(E.dequantised(done[k], qp)), 0, 255)
+        for k in range(16):
+            self.mv[4 * my + k // 4, 4 * mx + k % 4] = (-1, (0, 0))
+        top = self.slice_of.get((my - 1, mx)) == number
+        self.chroma(my, mx, number, qp, r, pattern >> 4, [E.chroma_dc(self.rec[k], 8 * my, 8 * mx, top) for k in (1, 2)])
+
+    def predicted4(self, y, x, mode, there):
+        """The nine modes as the standard writes them: p(x, y) with -1 for the line above and the column to the left."""
+        rec, up, left = self.rec[0], there(y - 1, x), there(y, x - 1)
+        right = up and there(y - 1, x + 1)
+        p = {}
+        for k in range(8):
+            if up:
+                p[k, -1] = int(rec[4 * y - 1, 4 * x + k]) if k < 4 or right else p[3, -1]
+        for k in range(4):
+            if left:
+                p[-1, k] = int(rec[4 * y + k, 4 * x - 1])
+        if up and left:
+            p[-1, -1] = int(rec[4 * y - 1, 4 * x - 1])
+        out = np.zeros((4, 4), np.int64)
+        three = lambda a, b, c: (p[a] + 2 * p[b] + p[c] + 2) >> 2
+        two = lambda a, b: (p[a] + p[b] + 1) >> 1
+        for j in range(4):
+            for i in range(4):
+                if mode == 0:
+                    v = p[i, -1]
+                elif mode == 1:
+                    v = p[-1, j]
+                elif mode == 2:
+                    edge = [p[k, -1] for k in range(4) if up] + [p[-1, k] for k in range(4) if left]
+                    v = (sum(edge) + len(edge) // 2) // len(edge) if edge else 128
+                elif mode == 3:
+                    v = (p[6, -1] + 3 * p[7, -1] + 2) >> 2 if i == j == 3 else three((i + j, -1), (i + j + 1, -1), (i + j + 2, -1))
+                elif mode == 4:
+                    v = three((i - j - 2, -1), (i - j - 1, -1), (i - j, -1)) if i > j else three((-1, j - i - 2), (-1, j - i - 1), (-1, j - i)) if i < j else three((0, -1), (-1, -1), (-1, 0))
+                elif mode == 5:
+                    z, k = 2 * i - j, i - (j >> 1)
+                    v = two((k - 1, -1), (k, -1)) if z >= 0 and z % 2 == 0 else three((k - 2, -1), (k - 1, -1), (k, -1)) if z >= 0 else three((-1, 0), (-1, -1), (0, -1)) if z == -1 else three((-1, j - 1), (-1, j - 2), (-1, j - 3))
+                elif mode == 6:
+                    z, k = 2 * j - i, j - (i >> 1)
+                    v = two((-1, k - 1), (-1, k)) if z >= 0 and z % 2 == 0 else three((-1, k - 2), (-1, k - 1), (-1, k)) if z >= 0 else three((-1, 0), (-1, -1), (0, -1)) if z == -1 else three((i - 1, -1), (i - 2, -1), (i - 3, -1))
+                elif mode == 7:
+                    k = i + (j >> 1)
+                    v = two((k, -1), (k + 1, -1)) if j % 2 == 0 else three((k, -1), (k + 1, -1), (k + 2, -1))
+                else:
+                    z, k = i + 2 * j, j + (i >> 1)
+                    v = p[-1, 3] if z > 5 else (p[-1, 2] + 3 * p[-1, 3] + 2) >> 2 if z == 5 else two((-1, k), (-1, k + 1)) if z % 2 == 0 else three((-1, k), (-1, k + 1), (-1, k + 2))
+                out[j, i] = v
+        return out
+
     def intra(self, my, mx, number, qp, r, kind):
-        self.kinds.append("intra")
+        self.kinds.append("intra16")
         top = self.slice_of.get((my - 1, mx)) == number
         assert r.ue() == 0 and r.se() == 0
         dc = np.zeros(16, np.int64)
@@ -240,17 +317,6 @@ class Decoder:
         self.ref = K.filtered(tuple(self.rec), left, upper, np.full(n, qp), np.full(n, T.chroma_qp(qp)), O.tables())
 
 
-def decode_filtered(bits, w, rows, qp):
-    """An intra slice whose header switches the filter on: the same as one that does not."""
-    r = Reader(bits)
-    r.ue(), r.ue(), r.ue(), r.u(4), r.ue(), r.u(2)
-    assert r.se() == qp - 26
-    at = r.at
-    assert r.ue() == 0 and r.u(2) == 3
-    plain = bits[:at] + E.ue(1) + bits[r.at :].rstrip("0")
-    return decode(plain + "0" * (-len(plain) % 8), w, rows, qp)
-
-
 def scene(f, w, h, seed=0, noise=4):
     """A moving texture with a square that goes another way, and noise."""
     r = np.random.default_rng(100 * seed + f)
@@ -278,7 +344,7 @@ def test_groups_decode_to_the_same_planes(w, h, qp, slices):
             assert np.array_equal(a, b)
             assert ((b - own) ** 2).mean() < max(3.0, 0.5 * 2 ** ((qp - 4) / 3))
         if f:
-            names = {"skip": "skip", 0: "16x16", 1: "16x8", 2: "8x16", 3: "8x8", "intra": "intra"}
+            names = {"skip": "skip", 0: "16x16", 1: "16x8", 2: "8x16", 3: "8x8", "intra4": "intra4", "intra16": "intra16"}
             for k in decoder.kinds:
                 kinds[names[k]] = kinds.get(names[k], 0) + 1
             assert len(decoder.kinds) == w * h // 256 and sum(p.counts.values()) == len(decoder.kinds)
@@ -295,8 +361,8 @@ def test_every_kind_of_macroblock_occurs():
             data, p, filtered = group.add(planes)
             assert all(np.array_equal(a, b) for a, b in zip(decoder.picture(split_units(data), qp), filtered))
             for k, n in p.counts.items():
-                seen[k] = seen.get(k, 0) + n * (group.number > 1)
-    assert {k for k, n in seen.items() if n} == {"skip", "16x16", "16x8", "8x16", "8x8", "intra"}
+                seen[k] = seen.get(k, 0) + n
+    assert {k for k, n in seen.items() if n} == {"skip", "16x16", "16x8", "8x16", "8x8", "intra4", "intra16"}
 
 
 def test_still_pictures_are_skipped():
@@ -307,6 +373,28 @@ def test_still_pictures_are_skipped():
     assert p.counts == {"skip": 6} and len(data) < 24 and (filtered[0] == group.reference[0]).all()
 
 
+def test_exact_prediction_takes_16x16_in_intra_slices():
+    flat = np.full((32, 32), 128), np.full((16, 16), 128), np.full((16, 16), 128)
+    _, p, _ = I.Group(28, 1, O.tables()).add(flat)
+    assert p.counts == {"intra16": 4}
+    flat[0][0, 0] = 129
+    _, p, _ = I.Group(28, 1, O.tables()).add(flat)
+    assert p.counts["intra4"] >= 1
+
+
+def test_all_modes_of_blocks_occur_and_decode():
+    r, seen = np.random.default_rng(3), set()
+    y, x = np.mgrid[0:48, 0:64]
+    for k in range(12):
+        a = k * np.pi / 12
+        luma = np.clip(128 + 90 * np.sin((x * np.cos(a) + y * np.sin(a)) / 2.2) + r.integers(-3, 4, (48, 64)), 0, 255).astype(np.int64)
+        planes = luma, luma[::2, ::2], luma[1::2, 1::2]
+        data, p, filtered = I.Group(18, 2, O.tables()).add(planes)
+        seen |= set(p.modes.ravel().tolist())
+        assert all(np.array_equal(b, c) for b, c in zip(Decoder(64, 48).picture(split_units(data), 18), filtered))
+    assert seen == set(range(9))
+
+
 def test_what_a_partition_sees():
     g = I.MotionGrid(8, 12)
     assert g.predicted(0, 0, "16x16", 0) == (0, 0) == g.skipped(0, 0, 0)
