@@ -147,15 +147,15 @@ def dc_cost(dc: np.ndarray, scale: int, levels: tuple[int, ...], lam: float) ->
     return float(((back - dc) ** 2).sum()) + lam * dc_bits(levels)
 
 
-def dc_refined(dc: np.ndarray, scale: int, levels: tuple[int, ...], lam: float) -> tuple[tuple[int, ...], float]:
-    """Up to three passes over the levels, by two steps then by one, then moves of pairs; only what is strictly better stays."""
-    q, best = list(levels), dc_cost(dc, scale, levels, lam)
+def dc_refined(dc: np.ndarray, scale: int, levels: tuple[int, ...], lam: float, cost_of=dc_cost) -> tuple[tuple[int, ...], float]:
+    """Up to three passes over the levels, by two steps then by one, then moves of pairs; only what is strictly better by `cost_of` stays."""
+    q, best = list(levels), cost_of(dc, scale, levels, lam)
     bound = lambda v: max(LEVEL_MIN, min(LEVEL_MAX, v))
     for reach in (2, 1, 1):
         changed = False
         for i in range(4):
             own = q[i]
-            tries = [(dc_cost(dc, scale, (*q[:i], bound(own + s), *q[i + 1 :]), lam), k, bound(own + s)) for k, s in enumerate(s for s in range(-reach, reach + 1) if s)]
+            tries = [(cost_of(dc, scale, (*q[:i], bound(own + s), *q[i + 1 :]), lam), k, bound(own + s)) for k, s in enumerate(s for s in range(-reach, reach + 1) if s)]
             cost, _, value = min(tries)
             if cost < best:
                 q[i], best, changed = value, cost, True
@@ -164,7 +164,7 @@ def dc_refined(dc: np.ndarray, scale: int, levels: tuple[int, ...], lam: float)
     for (a, b), (da, db) in itertools.product(PAIRS, MOVES):
         t = list(q)
         t[a], t[b] = bound(t[a] + da), bound(t[b] + db)
-        cost = dc_cost(dc, scale, tuple(t), lam)
+        cost = cost_of(dc, scale, tuple(t), lam)
         if cost < best:
             q, best = t, cost
     return tuple(q), best
