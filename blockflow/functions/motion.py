@@ -93,21 +93,26 @@ class Block:
         r = self.cur - windows
         self.sads = sad_atoms(r)
         self.atoms = satd_atoms(r) if satd else self.sads
+        self.costs: dict[str, np.ndarray] = {}
+
+    def of(self, shape: str) -> np.ndarray:
+        """Costs of a shape at all offsets [dy + reach, dx + reach]."""
+        if shape not in self.costs:
+            x, y, w, h = SHAPES[shape]
+            self.costs[shape] = self.atoms[:, :, y // 4 : (y + h) // 4, x // 4 : (x + w) // 4].sum(axis=(2, 3), dtype=np.int64)
+        return self.costs[shape]
 
     def cost(self, shape: str, dx: int, dy: int) -> int:
-        x, y, w, h = SHAPES[shape]
-        return int(self.atoms[dy + self.reach, dx + self.reach, y // 4 : (y + h) // 4, x // 4 : (x + w) // 4].sum())
+        return int(self.of(shape)[dy + self.reach, dx + self.reach])
 
     def full(self, shape: str, around: tuple[int, int], reach: int, lam: int) -> tuple[int, tuple[int, int]]:
         """(plain cost, vector in quarters) of the best whole-sample offset within reach of a centre. The cost is of the offset from the centre."""
-        best = None
-        for dy in range(-reach, reach + 1):
-            for dx in range(-reach, reach + 1):
-                ox, oy = around[0] + dx, around[1] + dy
-                if max(abs(ox), abs(oy)) <= self.reach:
-                    s = self.cost(shape, ox, oy)
-                    key = _key(s + vector_cost(lam, dx, dy), s, (4 * ox, 4 * oy))
-                    best = key if best is None or key < best else best
+        (x0, x1), (y0, y1) = ((max(-self.reach, c - reach), min(self.reach, c + reach) + 1) for c in around)
+        s = self.of(shape)[y0 + self.reach : y1 + self.reach, x0 + self.reach : x1 + self.reach]
+        bits_of = lambda lo, hi, c: _BITS[np.minimum(np.abs(np.arange(lo, hi) - c), 127)]
+        score = s + ((lam * (bits_of(y0, y1, around[1])[:, None] + bits_of(x0, x1, around[0]))) >> 8)
+        low = score.min()
+        best = min(_key(int(low), int(s[j, i]), (4 * (x0 + i), 4 * (y0 + j))) for j, i in np.argwhere(score == low).tolist())
         return best[1], best[3:]
 
     def hexagon(self, around: tuple[int, int], reach: int, lam: int) -> tuple[int, tuple[int, int]]:
@@ -155,6 +160,36 @@ class Block:
         return sad, mv
 
 
+def rings(cur: np.ndarray, ref: np.ndarray, x: int, y: int, reach: int, lam: int, around: tuple[int, int] = (0, 0), ceiling: int | None = None) -> tuple[int, tuple[int, int], int] | None:
+    """(SAD, vector in quarters, offsets scored) of the best offset within reach of a centre, ring by ring of equal |dx| + |dy|.
+
+    A ring's vectors cost no less than that of its corner, which grows with the ring, so the search ends where that alone exceeds the best
+    score; rows whose first half is beyond the best score are not summed further. Equals the search of all offsets. Where
+    `ceiling` is given, only scores below it count, and None says that there is none: what is left of a budget that several shapes share.
+    """
+    h, w = cur.shape
+    best, scored = None, 0
+    for k in range(2 * reach + 1):
+        bound = ceiling - 1 if best is None and ceiling is not None else best[0] if best else None
+        if bound is not None and vector_cost(lam, min(k, reach), max(0, k - reach)) > bound:
+            break
+        ring = np.array([(dx, dy) for dx in range(-min(k, reach), min(k, reach) + 1) for dy in {k - abs(dx), abs(dx) - k} if abs(dy) <= reach])
+        cost = (lam * (_BITS[np.minimum(np.abs(ring[:, 0]), 127)] + _BITS[np.minimum(np.abs(ring[:, 1]), 127)])) >> 8
+        at = ring + around
+        rows = (y + at[:, 1])[:, None, None] + np.arange(h)[:, None]
+        near = ref[rows, (x + at[:, 0])[:, None, None] + np.arange(w)]
+        s = np.abs(cur[: h // 2] - near[:, : h // 2]).sum(axis=(1, 2), dtype=np.int64)
+        open_ = np.flatnonzero(s + cost <= bound) if bound is not None else np.arange(len(ring))
+        s[open_] += np.abs(cur[h // 2 :] - near[open_, h // 2 :]).sum(axis=(1, 2), dtype=np.int64)
+        scored += len(open_)
+        for j in open_.tolist():
+            score = int(s[j] + cost[j])
+            if ceiling is None or score < ceiling:
+                key = _key(score, int(s[j]), (4 * int(at[j, 0]), 4 * int(at[j, 1])))
+                best = key if best is None or key < best else best
+    return (best[1], best[3:], scored) if best else None
+
+
 def search(block: Block, lam: int, reach: int, predictor: tuple[int, int] = (0, 0), temporal: tuple[int, int] | None = None, cap: int = 8, fallback: bool = True, sub: bool = True) -> tuple[int, int, list[tuple[int, int]]]:
     """(partition, total, vectors): the temporal seed, the hexagon search with its exhaustive fallback, then the smaller shapes around it."""
     found = []

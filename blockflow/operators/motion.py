@@ -30,6 +30,12 @@ def pairs(spark, d) -> DataFrame:
     return p.join(p.select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("px").alias("ref")), "frame_idx").withColumnRenamed("px", "cur")
 
 
+def picture_pairs(spark, d) -> DataFrame:
+    """The same of the pictures that the vectors make."""
+    p = A.pictures(spark, d).select("frame_idx", "width", "height", F.col("y").alias("cur"))
+    return p.join(p.select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("cur").alias("ref")), "frame_idx")
+
+
 def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[str], schema: str) -> DataFrame:
     """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of the row's width and height."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
@@ -93,6 +99,59 @@ _COST_SQL = f"(({LAMBDA} * (CAST(round_even(256 * log2(abs(dx) + 1.0::DOUBLE), 0
 FULL_SQL = f"""SELECT frame_idx, br, bc, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, sad, score FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, br, bc ORDER BY score, sad, abs(dx) + abs(dy), dx, dy) AS k FROM (SELECT *, sad + {_COST_SQL} AS score FROM ({_SADS.format(n=16)}))) WHERE k = 1"""
 
 
+#: The range of a full search in whole samples.
+RANGE = 32
+
+
+def motion_rings(spark, d):
+    """Full search by SAD within 32 samples, in rings that end when no vector of a further one can win; and how many of the 4,225 offsets were scored."""
+
+    def kernel(f, cur, ref):
+        halo = RANGE + 16
+        p, out = K.padded(ref, halo), []
+        for y in range(0, cur.shape[0], 16):
+            for x in range(0, cur.shape[1], 16):
+                s, mv, n = K.rings(cur[y : y + 16, x : x + 16].astype(np.int32), p, x + halo, y + halo, RANGE, LAMBDA)
+                out.append((f, y // 16, x // 16, mv[0] // 4, mv[1] // 4, s, n))
+        return out
+
+    return by_frame(pairs(spark, d), kernel, ["frame_idx", "cur", "ref"], "frame_idx long, br int, bc int, dx int, dy int, sad long, scored int")
+
+
+def motion_field(spark, d):
+    """The fast search on pictures of the vectors, with the vector found at the same place of the frame before as temporal candidate. Frames are folded in order within segments of
+    FIELD frames, whose first has no candidate, as a picture that begins a group has none."""
+    from collections import namedtuple
+
+    out = pa.schema([("frame_idx", pa.int64()), ("br", pa.int32()), ("bc", pa.int32()), ("seed_x", pa.int32()), ("seed_y", pa.int32()), ("part", pa.int32()), ("total", pa.int64()), ("vectors", pa.list_(pa.list_(pa.int32())))])
+    Found = namedtuple("Found", out.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, field = None, {}
+        for b in batches:
+            made = []
+            for f, w, h, cur, ref in zip(*(b.column(n).to_pylist() for n in ("frame_idx", "width", "height", "cur", "ref"))):
+                if last is None or f != last + 1 or f % FIELD == 0:
+                    field = {}
+                cur, ref = (np.frombuffer(p, np.uint8).reshape(h, w) for p in (cur, ref))
+                found = {}
+                for bx, by, block in _blocks(cur, ref):
+                    seed = field.get((bx, by), (0, 0))
+                    part, total, vectors = K.search(block, LAMBDA, REACH, temporal=seed)
+                    found[bx, by] = tuple(vectors[0])
+                    made.append(Found(f, by, bx, *seed, part, total, [list(v) for v in vectors]))
+                last, field = f, found
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), out)], schema=out)
+
+    rows = picture_pairs(spark, d).withColumn("segment", F.expr(f"frame_idx div {FIELD}")).repartition("segment").sortWithinPartitions("frame_idx")
+    return rows.select("frame_idx", "width", "height", "cur", "ref").mapInArrow(run, "frame_idx long, br int, bc int, seed_x int, seed_y int, part int, total long, vectors array<array<int>>")
+
+
+#: Frames of a segment of the motion field.
+FIELD = 64
+
+
 def motion_partitions(spark, d):
     """One scan scores the sixteen 4x4 atoms by SATD and sums them into nine shapes; the partition of lowest total wins, ties to the first."""
 
@@ -240,6 +299,8 @@ def deblocked(spark, d):
 CATALOG = {
     "q_quarter_samples": (quarter_samples, QUARTER_SQL),
     "q_motion_full": (motion_full, FULL_SQL),
+    "q_motion_rings": (motion_rings, None),
+    "q_motion_field": (motion_field, None),
     "q_motion_partitions": (motion_partitions, PARTITIONS_SQL),
     "q_motion_search": (motion_search, None),
     "q_motion_search_sad": (motion_search_sad, None),

@@ -1,5 +1,6 @@
 """Search, interpolation and filters against loops that follow the definitions sample by sample."""
 
+import os
 import random
 
 import numpy as np
@@ -162,3 +163,55 @@ def test_picture_filter_by_lines():
                         row = 16 * along + k
                         view[row, c - 4 : c + 4] = line(view[row, c - 4 : c + 4], bs, alpha[q], beta[q], clip[q][min(bs, 3) - 1] if bs else 0)
     assert np.array_equal(got, want) and not np.array_equal(got, y)
+
+
+def test_rings_equal_the_search_of_all_offsets():
+    r = np.random.default_rng(8)
+    for n in range(12):
+        ref = K.padded(r.integers(0, 40 if n % 3 else 256, (32, 48)), 30)
+        x, y = int(r.integers(0, 32)) + 30, int(r.integers(0, 16)) + 30
+        shift = r.integers(-9, 10, 2)
+        cur = ref[y + shift[1] : y + shift[1] + 16, x + shift[0] : x + shift[0] + 16] + r.integers(-2, 3, (16, 16)) * (n % 2)
+        around, lam, reach = (int(r.integers(-3, 4)), int(r.integers(-3, 4))), int(r.choice([1, 4, 40])), 11
+        keys = []
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                ox, oy = dx + around[0], dy + around[1]
+                s = int(np.abs(cur - ref[y + oy : y + oy + 16, x + ox : x + ox + 16]).sum())
+                keys.append(K._key(s + K.vector_cost(lam, dx, dy), s, (4 * ox, 4 * oy)))
+        best = min(keys)
+        s, mv, scored = K.rings(cur, ref, x, y, reach, lam, around)
+        assert (s, mv) == (best[1], best[3:]) and scored <= len(keys)
+        assert K.rings(cur, ref, x, y, reach, lam, around, best[0]) is None
+        assert K.rings(cur, ref, x, y, reach, lam, around, best[0] + 1)[:2] == (s, mv)
+        if s == 0:
+            assert scored < len(keys)
+
+
+DATA = "/root/testdata/sf0.001"
+data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+
+
+@data
+def test_motion_field_seeds_are_the_vectors_before(spark):
+    rows = {(r.frame_idx, r.br, r.bc): r for r in M.motion_field(spark, DATA).collect()}
+    frames = {r.frame_idx: r for r in M.picture_pairs(spark, DATA).collect()}
+    assert len(rows) == 6 * len(frames)
+    seeds = set()
+    for (f, br, bc), r in rows.items():
+        before = rows.get((f - 1, br, bc)) if f % M.FIELD else None
+        assert (r.seed_x, r.seed_y) == (tuple(before.vectors[0]) if before else (0, 0))
+        seeds.add((r.seed_x, r.seed_y))
+        if f < 6:
+            cur, ref = (np.frombuffer(bytes(p), np.uint8).reshape(32, 48) for p in (frames[f].cur, frames[f].ref))
+            block = K.Block(cur[16 * br : 16 * br + 16, 16 * bc : 16 * bc + 16], K.padded(ref), 16 * bc + K.HALO, 16 * br + K.HALO, M.REACH)
+            assert (r.part, r.total, [tuple(v) for v in r.vectors]) == (lambda p, t, v: (p, t, [tuple(x) for x in v]))(*K.search(block, M.LAMBDA, M.REACH, temporal=(r.seed_x, r.seed_y)))
+    assert len(seeds) > 20
+
+
+@data
+def test_rings_of_whole_frames(spark):
+    rows = M.motion_rings(spark, DATA).collect()
+    assert all(r.scored <= 4_225 for r in rows) and sum(r.scored for r in rows) < 4_225 * len(rows) / 3
+    near = {(r.frame_idx, r.br, r.bc): r for r in M.motion_full(spark, DATA).collect()}
+    assert all(r.sad + K.vector_cost(M.LAMBDA, r.dx, r.dy) <= near[r.frame_idx, r.br, r.bc].score for r in rows)
