@@ -170,8 +170,9 @@ def intra_encoded(planes, p: Picture, first_row: int, rows: int, qp: int, idr_pi
     return bits + "0" * (-len(bits) % 8)
 
 
-def encoded(planes, refs, former: MotionGrid | None, p: Picture, first_row: int, rows: int, qp: int, frame_num: int) -> str:
+def encoded(planes, refs, former: MotionGrid | None, p: Picture, first_row: int, rows: int, qp: int, frame_num: int, satd: bool = True, sub: bool = True) -> str:
     """Bits of the inter slice of macroblock rows [first_row, first_row + rows), trailing bits included; `p` gets what is decoded.
+    satd, sub: whether the search ranks by transformed differences, and whether it tries smaller shapes.
 
     refs: the padded planes of the reference. former: the vectors of the picture before, each the seed of the macroblock at its place.
     """
@@ -182,10 +183,10 @@ def encoded(planes, refs, former: MotionGrid | None, p: Picture, first_row: int,
         for mx in range(n_cols):
             y, x, r, c = 16 * my, 16 * mx, 4 * my, 4 * mx
             own = src[0][y : y + 16, x : x + 16]
-            block = K.Block(own, refs[0], x + K.HALO, y + K.HALO, REACH)
+            block = K.Block(own, refs[0], x + K.HALO, y + K.HALO, REACH, satd)
             expected = tuple(max(-4 * REACH, min(4 * REACH, v)) for v in p.motion.predicted(r, c, "16x16", first))
             seed = former.at(r, c, 0) if former else (ABSENT, (0, 0))
-            part, total, vectors = K.search(block, lam, REACH, expected, seed[1] if seed[0] >= 0 else None)
+            part, total, vectors = K.search(block, lam, REACH, expected, seed[1] if seed[0] >= 0 else None, sub=sub)
             modes = E.luma_modes(p.rec[0], y, x, my > first_row)
             mode = min((m for m in (2, 0, 1, 3) if m in modes), key=lambda m: np.abs(own - modes[m]).sum())
             if int(np.abs(own - modes[mode]).sum()) + INTRA_BIAS * T.LAMBDA_SAD[qp] < total:
@@ -249,19 +250,21 @@ class Group:
         self.qp, self.slices, self.tables, self.idr_pic_id = qp, slices, tables, idr_pic_id
         self.number, self.reference, self.motion = 0, None, None
 
-    def add(self, planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[bytes, Picture, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The slices of the picture as units, what it is made of, and its filtered planes."""
-        rows, p, units = planes[0].shape[0] // 16, Picture.new(planes), []
+    def restart(self) -> None:
+        """The next picture is an intra one, numbered anew."""
+        if self.reference is not None:
+            self.number, self.reference, self.motion, self.idr_pic_id = 0, None, None, 1 - self.idr_pic_id
+
+    def add(self, planes: tuple[np.ndarray, np.ndarray, np.ndarray], qp: int | None = None, **search: bool) -> tuple[bytes, Picture, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The slices of the picture as units, what it is made of, and its filtered planes. qp: of this picture; search: as in encoded()."""
+        rows, p, units, qp = planes[0].shape[0] // 16, Picture.new(planes), [], self.qp if qp is None else qp
         cuts = [rows * k // self.slices for k in range(self.slices + 1)]
-        if self.reference is None:
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    units.append(E.unit(0x65, intra_encoded(planes, p, a, b - a, self.qp, self.idr_pic_id)))
-        else:
-            refs = K.padded(self.reference[0]), *(K.padded(a, K.HALO // 2) for a in self.reference[1:])
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    units.append(E.unit(0x41, encoded(planes, refs, self.motion, p, a, b - a, self.qp, self.number)))
-        self.reference, self.motion = filtered(p, self.qp, self.tables), p.motion
+        refs = None if self.reference is None else (K.padded(self.reference[0]), *(K.padded(a, K.HALO // 2) for a in self.reference[1:]))
+        for a, b in ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b):
+            if refs is None:
+                units.append(E.unit(0x65, intra_encoded(planes, p, a, b - a, qp, self.idr_pic_id)))
+            else:
+                units.append(E.unit(0x41, encoded(planes, refs, self.motion, p, a, b - a, qp, self.number, **search)))
+        self.reference, self.motion = filtered(p, qp, self.tables), p.motion
         self.number += 1
         return b"".join(units), p, self.reference

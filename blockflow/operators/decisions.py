@@ -466,6 +466,15 @@ def observed(rows, name: str = "phases"):
     return rows.observe(seen, F.count(F.lit(1)).alias("macroblocks"), one(F.col("use_i16")).alias("intra16"), one(F.col("use_i4")).alias("intra4"), F.avg("inter_rd").alias("mean_inter_rd"), F.avg("intra_rd").alias("mean_intra_rd")), seen
 
 
+
+def phase_counters(spark, d):
+    """What the counters beside the intra decision of inter macroblocks gathered while its rows were computed."""
+    rows, seen = observed(intra_in_inter(spark, d))
+    rows.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(got["macroblocks"], got["intra16"], got["intra4"], round(got["mean_inter_rd"] or 0.0, 3), round(got["mean_intra_rd"] or 0.0, 3))], "macroblocks long, intra16 long, intra4 long, mean_inter_rd double, mean_intra_rd double")
+
+
 # Ladders, budgets and schedules over sessions; customers stand for sessions, feedback rows for frames.
 _LADDER = """SELECT id, bps, least(CASE WHEN bps >= 8000000 THEN 0 WHEN bps >= 5000000 THEN 1 WHEN bps >= 3000000 THEN 2 WHEN bps >= 1500000 THEN 3 ELSE 4 END, rungs - 1) AS rung, CASE WHEN bps >= 4000000 THEN 60 WHEN bps >= 2000000 THEN 30 ELSE 15 END AS fps,
   cast(max_bytes * 2.0 as int) AS idr_budget, encoded > cast(max_bytes * 2.0 as int) AS exceeded FROM {source}"""
@@ -538,6 +547,7 @@ CATALOG = {
     "q_search_range": (search_range, RANGE_SQL),
     "q_mv_bounds": (mv_bounds, BOUNDS_SQL),
     "q_intra_in_inter": (intra_in_inter, _INTRA_P_SQL),
+    "q_phase_counters": (phase_counters, f"SELECT count(*) AS macroblocks, count(*) FILTER (WHERE use_i16) AS intra16, count(*) FILTER (WHERE use_i4) AS intra4, round(avg(inter_rd), 3) AS mean_inter_rd, round(avg(intra_rd), 3) AS mean_intra_rd FROM ({_INTRA_P_SQL})"),
     "q_effort_tiers": (effort_tiers, EFFORT_SQL),
     "q_row_report": (row_report, ROWS_SQL),
     "q_reference_choice": (reference_choice, REFERENCE_SQL),
