@@ -94,6 +94,7 @@ class Block:
         self.sads = sad_atoms(r)
         self.atoms = satd_atoms(r) if satd else self.sads
         self.costs: dict[str, np.ndarray] = {}
+        self.effort = 0  # positions scored so far
 
     def of(self, shape: str) -> np.ndarray:
         """Costs of a shape at all offsets [dy + reach, dx + reach]."""
@@ -110,6 +111,7 @@ class Block:
         (x0, x1), (y0, y1) = ((max(-self.reach, c - reach), min(self.reach, c + reach) + 1) for c in around)
         s = self.of(shape)[y0 + self.reach : y1 + self.reach, x0 + self.reach : x1 + self.reach]
         bits_of = lambda lo, hi, c: _BITS[np.minimum(np.abs(np.arange(lo, hi) - c), 127)]
+        self.effort += s.size
         score = s + ((lam * (bits_of(y0, y1, around[1])[:, None] + bits_of(x0, x1, around[0]))) >> 8)
         low = score.min()
         best = min(_key(int(low), int(s[j, i]), (4 * (x0 + i), 4 * (y0 + j))) for j, i in np.argwhere(score == low).tolist())
@@ -122,6 +124,7 @@ class Block:
             if max(abs(dx), abs(dy)) > reach or max(abs(ox), abs(oy)) > self.reach:
                 return None
             s = self.cost("16x16", ox, oy)
+            self.effort += 1
             return _key(s + vector_cost(lam, 4 * dx, 4 * dy), s, (4 * ox, 4 * oy)), (dx, dy)
 
         at = key(0, 0)
@@ -149,6 +152,7 @@ class Block:
             before = o
             q = quarter(self.ref, self.x + x + o[0], self.y + y + o[1], w, h)
             r = own - q
+            self.effort += 16
             sads = np.abs(r).sum(axis=(-1, -2))
             satds = satd_atoms(r).sum(axis=(-1, -2)) if self.satd else sads
             for fy in range(4):
