@@ -9,12 +9,20 @@ from blockflow.functions import blocks as B
 from blockflow.operators import frames as P
 from blockflow.sources import adapters as A
 
-# Filter thresholds by index 16 to 51 (0 below), and clipping values by index 17 to 51 for strengths 1, 2, 3.
-ALPHA = (4, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255)
-BETA = (2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 6, 6, 7, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, 15, 15, 16, 16, 17, 17, 18, 18)
+# Filter thresholds by index, and clipping values by index for strengths 1, 2, 3.
+ALPHA = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 4, 4, 5, 6, 7, 8, 9, 10, 12, 13,
+    15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255,
+)
+BETA = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4,
+    6, 6, 7, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, 15, 15, 16, 16, 17, 17, 18, 18,
+)
 TC0 = (
-    (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 1, 1), (0, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 2, 3), (1, 2, 3), (2, 2, 3), (2, 2, 4),
-    (2, 3, 4), (2, 3, 4), (3, 3, 5), (3, 4, 6), (3, 4, 6), (4, 5, 7), (4, 5, 8), (4, 6, 9), (5, 7, 10), (6, 8, 11), (6, 8, 13), (7, 10, 14), (8, 11, 16), (9, 12, 18), (10, 13, 20), (11, 15, 23), (13, 17, 25),
+    (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0),
+    (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 1, 1), (0, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1),
+    (1, 1, 1), (1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 2, 3), (1, 2, 3), (2, 2, 3), (2, 2, 4), (2, 3, 4), (2, 3, 4), (3, 3, 5), (3, 4, 6),
+    (3, 4, 6), (4, 5, 7), (4, 5, 8), (4, 6, 9), (5, 7, 10), (6, 8, 11), (6, 8, 13), (7, 10, 14), (8, 11, 16), (9, 12, 18), (10, 13, 20), (11, 15, 23), (13, 17, 25),
 )
 
 
@@ -23,9 +31,9 @@ def _lines(spark, d):
     r = A.blocks(spark, d).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("line"), "px")
     at = lambda k: F.get("px", F.col("line") * 8 + k).alias(("p3", "p2", "p1", "p0", "q0", "q1", "q2", "q3")[k])
     r = r.select("vec_id", "line", ((F.col("vec_id") * 8 + F.col("line")) % 52).cast("int").alias("qp"), ((F.col("vec_id") + F.col("line")) % 4 + 1).cast("int").alias("bs"), *map(at, range(8)))
-    table = lambda t, low: B.array_of([0] * low + list(t))[F.col("qp")]
-    tc0 = F.array(*[table([x[k] for x in TC0], 17) for k in range(3)])
-    return r.withColumn("alpha", table(ALPHA, 16)).withColumn("beta", table(BETA, 16)).withColumn("tc0", F.get(tc0, F.least(F.col("bs"), F.lit(3)) - 1))
+    table = lambda t: B.array_of(t)[F.col("qp")]
+    tc0 = F.array(*[table([x[k] for x in TC0]) for k in range(3)])
+    return r.withColumn("alpha", table(ALPHA)).withColumn("beta", table(BETA)).withColumn("tc0", F.get(tc0, F.least(F.col("bs"), F.lit(3)) - 1))
 
 
 def luma_edge(spark, d):
@@ -50,8 +58,8 @@ def chroma_edge(spark, d):
     return r.selectExpr("vec_id", "line", "CASE WHEN NOT gate THEN p0 WHEN bs < 4 THEN greatest(0, least(255, p0 + delta)) ELSE shiftright(2 * p1 + p0 + q1 + 2, 2) END AS p0n", "CASE WHEN NOT gate THEN q0 WHEN bs < 4 THEN greatest(0, least(255, q0 - delta)) ELSE shiftright(2 * q1 + q0 + p1 + 2, 2) END AS q0n")
 
 
-_T = lambda t, low: f"{[0] * low + list(t)}[qp + 1]"
-LINES_SQL = f"""SELECT *, {_T(ALPHA, 16)} AS alpha, {_T(BETA, 16)} AS beta, [{', '.join(_T([x[k] for x in TC0], 17) for k in range(3))}][least(bs, 3)] AS tc0 FROM (
+_T = lambda t: f"{list(t)}[qp + 1]"
+LINES_SQL = f"""SELECT *, {_T(ALPHA)} AS alpha, {_T(BETA)} AS beta, [{', '.join(_T([x[k] for x in TC0]) for k in range(3))}][least(bs, 3)] AS tc0 FROM (
   SELECT vec_id, CAST(l AS INT) AS line, CAST((vec_id * 8 + l) % 52 AS INT) AS qp, CAST((vec_id + l) % 4 + 1 AS INT) AS bs, {', '.join(f'px[l * 8 + {k + 1}] AS {n}' for k, n in enumerate(('p3', 'p2', 'p1', 'p0', 'q0', 'q1', 'q2', 'q3')))}
   FROM ({A.BLOCKS_SQL}), (SELECT unnest(range(8)) AS l))"""
 _GATE = "abs(p0 - q0) < alpha AND abs(p1 - p0) < beta AND abs(q1 - q0) < beta"

@@ -268,7 +268,7 @@ ACTIVE_SQL = f"SELECT frame_idx, CAST(row4 // 4 AS INT) AS row, CAST(col4 // 4 A
 
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Thresholds alpha and beta by QP, clipping values by QP and strength."""
-    return np.array([0] * 16 + list(P.ALPHA)), np.array([0] * 16 + list(P.BETA)), np.array([(0, 0, 0)] * 17 + list(P.TC0))
+    return np.array(P.ALPHA), np.array(P.BETA), np.array(P.TC0)
 
 
 def deblocked(spark, d):
