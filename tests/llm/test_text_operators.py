@@ -1,6 +1,7 @@
 """Decontamination, shards, secrets and tokens against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -111,11 +112,23 @@ def test_secret_spans(spark):
     assert novel[n + 7] == 1 and novel[n + 8] == 0
 
 
+def whole_word(t, a, b):
+    """Neither a letter before it, unless a hump begins, nor one behind it, unless one begins or a last s stands there."""
+    before, behind = t[:a][-1:], t[b:]
+    if before.isalpha() and not (before.islower() and t[a].isupper()):
+        return False
+    if not behind[:1].isalpha() or t[b - 1].islower() and behind[0].isupper():
+        return True
+    return behind[0] in "sS" and not behind[1:2].isalpha()
+
+
 def brute_novel(t, scanner):
     """Candidates position by position, each held against every base span."""
     token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
     out, end = [], 0
-    for w in secrets._SENSITIVE.finditer(t):
+    for w in re.finditer("|".join(map(re.escape, secrets.SENSITIVE)), t, re.IGNORECASE | re.ASCII):
+        if not whole_word(t, w.start(), w.end()):
+            continue
         at = max(end, w.end())
         while at <= w.end() + secrets.NEAR and "\n" not in t[w.end() : at]:
             stop = at
@@ -141,6 +154,43 @@ def test_novel_spans_at_every_distance():
     assert len(scanner.spans(long)) >= 20_000
 
 
+def test_only_whole_words_are_sensitive():
+    key = "Zx9Kq27LmPw81RtYv04Bn3Hd6"
+    scanner = secrets.Scanner()
+    for word, told in (("author", 0), ("tokenizer", 0), ("secretary", 0), ("unauthorized", 0), ("token", 1), ("tokens", 1), ("authToken", 1), ("tokenValue", 1), ("db_password", 1), ("PWD2", 1), ("myauth", 0), ("Auth", 1)):
+        t = f"the {word} is {key} here"
+        got = [x for x in scanner.spans(t) if x[0] == "novel"]
+        assert len(got) == told == len(brute_novel(t, scanner)), word
+
+
+#: Words that are not in the dictionary.
+FOREIGN = "Wolfgang Montgomery Christopher Donau schifffahrt gesellschaft responsabilidades administrativas gouvernementale thermodynamic quarterly mountain bicycle Kubernetes balancer ledger pharmacy orchestra weather humidity voyage kitchen glacier tuxedo walnut".split()
+
+
+def test_keys_are_told_from_identifiers():
+    r, scanner = random.Random(11), secrets.Scanner()
+    known = [p for w in secrets.IDENTIFIERS.split() if w.replace("_", "").isalpha() for p in w.split("_")]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def name(words):
+        while True:
+            own = [r.choice(words) for _ in range(r.randint(2, 5))]
+            way = r.randrange(5)
+            out = "".join(w.capitalize() for w in own) if way == 0 else own[0].lower() + "".join(w.capitalize() for w in own[1:]) if way == 1 else ("_", "-", "/")[way - 2].join(own)
+            if 16 <= len(out) <= 60:
+                return out
+
+    def key():
+        alphabet = r.choice([letters, letters + "+/", letters[26:], letters[:26] + letters[52:]])
+        return r.choice(["", "sk-", "ghp_"]) + "".join(r.choice(alphabet) for _ in range(r.randint(20, 44)))
+
+    told = lambda make, n: sum(any(k == "novel" for k, *_ in scanner.spans(f"{prose(k, 12)}\nnote that the access key of the service is {make()} as agreed\n{prose(k + 1, 12)}")) for k in range(n)) / n
+    found, names, strange = told(key, 400), told(lambda: name(known), 400), told(lambda: name(known + FOREIGN), 400)
+    assert found >= 0.95 and names <= 0.05 and strange <= 0.05, (found, names, strange)
+    for t in ("author: Christopher_Montgomery_Smith", "authors thank international-collaboration", "authentication DocumentBuilderFactoryImplementation", "token get_user_profile_information_handler", "secret documentation/getting-started/installation", "tokenizer = AutoTokenizerFastImplementation", "the secret is in usr/local/lib/python3/site-packages/requests"):
+        assert not [x for x in scanner.spans(t) if x[0] == "novel"], t
+
+
 def test_scan_of_clashing_columns_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "password=abcdef1", "a"), (1, "password=abcdef1", "a"), (None, None, None)], "doc_id long, text string, spans string")
     out = secrets.scan(df).collect()
