@@ -111,11 +111,10 @@ HALF_SQL = f"""SELECT p.frame_idx, p.y, p.x, CAST(greatest(0, least(255, (sum(t.
 
 def chroma_interp(spark, d):
     """Eighth-sample bilinear interpolation at the fraction (2f + 1, 3f), modulo 8, of each frame, clamped at the edge."""
-    p = A.planes(spark, d)
-    at = lambda dx, dy, n: p.select("frame_idx", F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("v").alias(n))
-    out = p
-    for dx, dy, n in ((1, 0, "b"), (0, 1, "c"), (1, 1, "e")):
-        out = out.withColumn("qx", F.least(F.col("x") + dx, F.lit(W - 1))).withColumn("qy", F.least(F.col("y") + dy, F.lit(H - 1))).join(at(dx, dy, n), ["frame_idx", "qy", "qx"]).drop("qx", "qy")
+    # The next sample of a line, then of a column; the last one stands for what is beyond. Windows of one line, so no table of samples is held.
+    line, column = Window.partitionBy("frame_idx", "y").orderBy("x"), Window.partitionBy("frame_idx", "x").orderBy("y")
+    after = lambda c, w: F.coalesce(F.lead(c).over(w), F.col(c))
+    out = A.planes(spark, d).withColumn("b", after("v", line)).withColumns({"c": after("v", column), "e": after("b", column)})
     fx, fy = "cast((2 * frame_idx + 1) % 8 as int)", "cast((3 * frame_idx) % 8 as int)"
     return out.select("frame_idx", "y", "x", F.expr(f"shiftright((8 - {fx}) * (8 - {fy}) * v + {fx} * (8 - {fy}) * b + (8 - {fx}) * {fy} * c + {fx} * {fy} * e + 32, 6)").alias("s"))
 
