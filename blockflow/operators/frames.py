@@ -1,6 +1,6 @@
 """Plane operators: padding, cropping, colour conversion, interpolation, intra 4x4 prediction.
 
-Stencils are equi-joins on (frame, y, x) or windows along a line; argmins are min_by over a total order.
+Stencils are windows along a line, samples that repeat are exploded; argmins are min_by over a total order.
 """
 
 from __future__ import annotations
@@ -14,31 +14,28 @@ from blockflow.sources import adapters as A
 W, H = A.PLANE_WIDTH, A.PLANE_HEIGHT
 
 
-def _grid(p, w, h, x0=0, y0=0):
-    """Places of each frame of p in a rectangle."""
-    f = p.select("frame_idx").distinct()
-    return f.select("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("i")).selectExpr("frame_idx", f"cast(i div {w} as int) + {y0} AS y", f"cast(i % {w} as int) + {x0} AS x")
-
-
 def _grid_sql(w, h, x0=0, y0=0):
     return f"(SELECT DISTINCT vec_id // 24 AS frame_idx FROM embeddings), (SELECT CAST(unnest(range({y0}, {y0 + h})) AS INT) AS y), (SELECT CAST(unnest(range({x0}, {x0 + w})) AS INT) AS x)"
 
 
-def _looked_up(spark, d, w, h, *grid):
-    p = A.planes(spark, d, w, h)
-    src = p.select("frame_idx", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    at = _grid(p, *grid).withColumn("sx", B.clamp(F.col("x"), 0, w - 1)).withColumn("sy", B.clamp(F.col("y"), 0, h - 1))
-    return at.join(src, ["frame_idx", "sy", "sx"]).select("frame_idx", "y", "x", "v")
+def _spread(spark, d, w, h, to_w, to_h, x0=0, y0=0):
+    """Planes as rectangles of to_w x to_h from (x0, y0) on: a sample goes to its own place, one at the edge also to those beyond. No join."""
+    def places(c, n, first, last):
+        start, stop = F.when(F.col(c) == 0, first).otherwise(F.col(c)), F.when(F.col(c) == n - 1, last).otherwise(F.col(c))
+        return F.explode(F.sequence(start, stop)).alias(c)
+
+    rows = A.planes(spark, d, w, h).select("frame_idx", places("y", h, y0, y0 + to_h - 1), "x", "v")
+    return rows.select("frame_idx", "y", places("x", w, x0, x0 + to_w - 1), "v")
 
 
 def pad_extend(spark, d):
     """20x12 planes to the next multiples of 16: last column and last row repeated."""
-    return _looked_up(spark, d, 20, 12, 32, 16)
+    return _spread(spark, d, 20, 12, 32, 16)
 
 
 def halo(spark, d):
     """A border of 8 on all sides, clamped to the edge."""
-    return _looked_up(spark, d, 20, 12, 20 + 16, 12 + 16, -8, -8)
+    return _spread(spark, d, 20, 12, 20 + 16, 12 + 16, -8, -8)
 
 
 def _pad_sql(w, h, grid):
