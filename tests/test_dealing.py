@@ -28,3 +28,17 @@ def test_samples_are_not_joined(spark, name):
 def test_every_frame_comes_once(spark):
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.expr("vec_id div 24")).distinct().count()
     assert [r.f for r in A.frame_numbers(spark, DATA).orderBy("f").collect()] == list(range(n))
+
+
+def test_streams_of_feedback_are_dealt(spark):
+    assert tasks(A.feedback(spark, DATA)) > 4
+    assert tasks(catalog.QUERIES["q_session"](spark, DATA)) > 4
+
+
+def test_a_generated_macroblock_is_encoded_once():
+    from blockflow.operators import session as Q
+
+    Q._frame_bytes.cache_clear()
+    sizes = [[Q._frame_bytes(k, qp, k % 2) for k in range(6) for qp in (20, 40)] for _ in range(3)]
+    assert sizes[0] == sizes[1] == sizes[2] == [Q._frame_bytes.__wrapped__(k, qp, k % 2) for k in range(6) for qp in (20, 40)]
+    assert Q._frame_bytes.cache_info().misses == 12 and len(set(sizes[0])) > 1
