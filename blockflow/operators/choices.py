@@ -20,6 +20,7 @@ from blockflow.functions import inter as I
 from blockflow.functions import intra as N
 from blockflow.functions import motion as K
 from blockflow.functions import tables as T
+from blockflow.functions.folds import dealt
 from blockflow.sources import adapters as A
 
 #: QP of all pictures, effort that a macroblock may cost, widest window that is searched here, samples around a reference, pictures of a segment.
@@ -213,7 +214,7 @@ def choices(spark, d) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), _ARROW)], schema=_ARROW)
 
-    rows = A.pictures(spark, d).withColumn("segment", F.expr(f"frame_idx div {SEGMENT}")).repartition("segment").sortWithinPartitions("frame_idx")
+    rows = dealt(A.pictures(spark, d).withColumn("segment", F.expr(f"frame_idx div {SEGMENT}")), "segment").sortWithinPartitions("frame_idx")
     return rows.select("frame_idx", "width", "height", "y", "u", "v").mapInArrow(run, SCHEMA)
 
 

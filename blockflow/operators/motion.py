@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from blockflow.functions import motion as K
 from blockflow.functions import tables as T
+from blockflow.functions.folds import dealt
 from blockflow.operators import bits as S
 from blockflow.operators import entropy as E
 from blockflow.operators import filters as P
@@ -37,7 +38,8 @@ def picture_pairs(spark, d) -> DataFrame:
 
 
 def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[str], schema: str) -> DataFrame:
-    """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of the row's width and height."""
+    """Rows that the kernel makes of each row's columns `names`; binary columns reach it as planes of the row's width and height. Rows are dealt
+    by the first of `names`: a frame is few bytes and much work."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
     out = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
@@ -49,7 +51,7 @@ def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[st
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
-    return rows.select("width", "height", *names).mapInArrow(run, schema)
+    return dealt(rows.select("width", "height", *names), names[0]).mapInArrow(run, schema)
 
 
 def _blocks(cur: np.ndarray, ref: np.ndarray, satd: bool = True) -> Iterator[tuple[int, int, K.Block]]:
@@ -144,7 +146,8 @@ def motion_field(spark, d):
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), out)], schema=out)
 
-    rows = picture_pairs(spark, d).withColumn("segment", F.expr(f"frame_idx div {FIELD}")).repartition("segment").sortWithinPartitions("frame_idx")
+    rows = picture_pairs(spark, d).withColumn("segment", F.expr(f"frame_idx div {FIELD}"))
+    rows = dealt(rows, "segment").sortWithinPartitions("frame_idx")
     return rows.select("frame_idx", "width", "height", "cur", "ref").mapInArrow(run, "frame_idx long, br int, bc int, seed_x int, seed_y int, part int, total long, vectors array<array<int>>")
 
 

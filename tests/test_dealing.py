@@ -42,3 +42,12 @@ def test_a_generated_macroblock_is_encoded_once():
     sizes = [[Q._frame_bytes(k, qp, k % 2) for k in range(6) for qp in (20, 40)] for _ in range(3)]
     assert sizes[0] == sizes[1] == sizes[2] == [Q._frame_bytes.__wrapped__(k, qp, k % 2) for k in range(6) for qp in (20, 40)]
     assert Q._frame_bytes.cache_info().misses == 12 and len(set(sizes[0])) > 1
+
+
+#: Queries whose rows are frames (by_frame).
+BY_FRAME = ["q_motion_rings"]
+
+
+@pytest.mark.parametrize("name", BY_FRAME)
+def test_frames_are_dealt(spark, name):
+    assert tasks(catalog.QUERIES[name](spark, DATA)) > 4
