@@ -51,3 +51,11 @@ BY_FRAME = ["q_motion_rings", "q_inter_recon"]
 @pytest.mark.parametrize("name", BY_FRAME)
 def test_frames_are_dealt(spark, name):
     assert tasks(catalog.QUERIES[name](spark, DATA)) > 4
+
+
+def test_groups_of_pictures_are_dealt(spark):
+    """What q_encode_pictures, q_stream_files and q_movie_files encode: two streams of two groups here, which were one task's."""
+    from blockflow.operators import session as Q
+
+    rows = Q.encode_groups(Q._scenes(spark, DATA)).select("stream_id", F.expr("frame_idx div 12").alias("group"), F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(rows) == len({(r.stream_id, r.group) for r in rows}) and len({r.task for r in rows}) > 1
