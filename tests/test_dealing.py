@@ -45,7 +45,7 @@ def test_a_generated_macroblock_is_encoded_once():
 
 
 #: Queries whose rows are frames (by_frame).
-BY_FRAME = ["q_motion_rings", "q_inter_recon"]
+BY_FRAME = ["q_motion_rings", "q_inter_recon", "q_motion_search"]
 
 
 @pytest.mark.parametrize("name", BY_FRAME)
