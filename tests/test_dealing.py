@@ -45,7 +45,7 @@ def test_a_generated_macroblock_is_encoded_once():
 
 
 #: Queries whose rows are frames (by_frame).
-BY_FRAME = ["q_motion_rings", "q_inter_recon", "q_motion_search"]
+BY_FRAME = ["q_motion_rings", "q_inter_recon", "q_motion_search", "q_intra4_frame"]
 
 
 @pytest.mark.parametrize("name", BY_FRAME)
