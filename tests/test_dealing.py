@@ -59,3 +59,11 @@ def test_groups_of_pictures_are_dealt(spark):
 
     rows = Q.encode_groups(Q._scenes(spark, DATA)).select("stream_id", F.expr("frame_idx div 12").alias("group"), F.spark_partition_id().alias("task")).distinct().collect()
     assert len(rows) == len({(r.stream_id, r.group) for r in rows}) and len({r.task for r in rows}) > 1
+
+
+def test_intra_estimates_rest_on_dealt_frames(spark):
+    """Their kernel runs in as many tasks as the query says, not in one."""
+    rows = catalog.QUERIES["q_intra4_estimate"](spark, DATA)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan
