@@ -13,8 +13,9 @@ share, and runs of groups form larger ones; a pair of groups is dropped as soon
 the differences accumulated on their common masks exceed `bits`, and only the rest is
 compared code by code. A node gives the forest of its links, not its pairs.
 
-Near copies (near_copies) have an index of their own: nodes are the values of BANDS bands of ROWS
-minima over shingles, each by a permutation of its own. First every text of a node is compared with one of them,
+Near copies (near_copies) take candidates from the same index: a node is a group of fingerprints, here of the set of shingles,
+that links at `bits` bits join. As texts of similarity 0.8 may differ in more bits than an index of 64 can search, further nodes add what the
+fingerprints miss: the values of BANDS bands of ROWS minima over shingles, each by a permutation of its own. First every text of a node is compared with one of them,
 the node's hub. In nodes whose texts are not all joined by that, sketches mark the texts that may have a partner in
 another part; only those get their whole sets of shingles, and the node decides every pair of parts by them, exactly.
 What leaves a node is marks, then the forest of its links, never its pairs. A node of more than NODE texts, or WEIGHT shingles,
@@ -67,6 +68,11 @@ def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
     stops = ends[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops))
+    return voted(h)
+
+
+def voted(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # bounded memory for any length
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -408,16 +414,25 @@ def _exact_links(least: float):
     return _by_node(of, ("node", "part", "code", "block", "other", "shingles"), ["u", "v"])
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_nodes(codes: DataFrame, bits: int = 4) -> DataFrame:
+    """(code, size, node) of codes (code, size, fp) whose fingerprint the Gray-order index links with that of another code, or that share theirs: a node is a group of linked fingerprints."""
+    prints = written(codes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "prints")
+    below = components(links(prints.select("fp", F.col("fp").alias("rep")), bits))
+    groups = written(below.union(below.select("root", "root")).distinct(), "print-groups")
+    of = prints.join(groups, prints["fp"] == groups["node"], "left").where("root is not null or n > 1").select("fp", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("node"))
+    return codes.select("code", "size", "fp").join(of, "fp").select("code", "size", "node")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
     """A row for each row of docs: doc_id, text_key (MD5 of the text), component_id (the smallest id reachable, null where no row
     of the group has one), stays (whether the row is the one of its group that has the smallest id, then the smallest key).
 
-    Texts that share a node are candidates: of pairs of similarity 0.8, three in a million share none (24 bands of
-    4 minima). Sketches drop pairs over 0.18 below `least` (a pair at 0.8 deviates by 0.04), and the exact Jaccard
+    Texts that share a node are candidates: all pairs whose fingerprints differ in `bits` bits or fewer, and by 24 bands of 4 minima all
+    but three in a million of the pairs of similarity 0.8. Sketches drop pairs over 0.18 below `least` (a pair at 0.8 deviates by 0.04), and the exact Jaccard
     similarity of all `words`-word shingles decides. Rows that repeat id and text stay or go together.
     """
 
-    @F.pandas_udf("code long, nodes array<long>, sketch binary, size int")
+    @F.pandas_udf("code long, nodes array<long>, sketch binary, size int, fp long")
     def index(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
@@ -425,15 +440,15 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str
                 h = shingles_of(t, words)
                 m = minima_of(h)
                 bands = [xxhash.xxh64_intdigest(m[at : at + ROWS].tobytes(), at) for at in range(0, BINS, ROWS)]
-                out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m), len(h)))
-            yield pd.DataFrame(out, columns=["code", "nodes", "sketch", "size"])
+                out.append((_code(h), np.array(bands, np.uint64).view(np.int64), _bytes_of(m), len(h), _signed(voted(h))))
+            yield pd.DataFrame(out, columns=["code", "nodes", "sketch", "size", "fp"])
 
     with small_batches(docs.sparkSession):
         rows = written(docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), index(F.col(text)).alias("b")).select("id", "key", "b.*"), "sketches")
     # Texts with the same shingles are one code; its first row has the smallest id, null ids last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    codes = written(rows.groupBy("code").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "codes")
-    members = codes.select("code", "size", F.explode("nodes").alias("node"))
+    codes = written(rows.groupBy("code").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("fp").alias("fp")), "codes")
+    members = codes.select("code", "size", F.explode("nodes").alias("node")).union(near_nodes(codes, bits))
     hubs = members.groupBy("node").agg(F.min("code").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
     members = written(members.drop("size").join(hubs, "node"), "members")
     # Whole sets of shingles, only of codes that share a node with another.

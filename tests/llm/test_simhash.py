@@ -238,3 +238,30 @@ def test_stage_on_repeated_rows_and_ids(spark):
     out = C.near_duplicates(spark, df, "")
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (2, prose(302, 90)), (None, prose(303, 70)), (3, None)], key=str)
+
+
+def test_near_nodes_are_groups_of_linked_fingerprints(spark):
+    given = [(1, 10, 0x0F), (2, 10, 0), (3, 10, 0xF00), (4, 10, 0xFF << 40), (5, 10, 0xFF << 40), (6, 10, 0xFFFF << 20)]
+    out = S.near_nodes(spark.createDataFrame(given, "code long, size int, fp long")).collect()
+    groups = {}
+    for x in out:
+        groups.setdefault(x.node, set()).add(x.code)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]] and {x.size for x in out} == {10}
+
+
+def test_near_copies_take_candidates_from_the_fingerprint_index(spark, monkeypatch):
+    """With one band of all minima only the fingerprints find copies of similarity 0.95."""
+    monkeypatch.setattr(S, "ROWS", S.BINS)
+    r, base, found = random.Random(5), prose(77, 400).split(), []
+    code = lambda t: S.voted(S.shingles_of(t))
+    own = S.minima_of(S.shingles_of(" ".join(base)))
+    while len(found) < 6:
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(len(w))] = f"edit{r.randrange(999)}"
+        t = " ".join(w)
+        if (code(t) ^ code(" ".join(base))).bit_count() <= 4 and not np.array_equal(S.minima_of(S.shingles_of(t)), own):
+            found.append(t)
+    texts = [" ".join(base), *found, prose(78, 400)]
+    out = {x.doc_id: x.component_id for x in S.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert out == {**dict.fromkeys(range(7), 0), 7: 7}
