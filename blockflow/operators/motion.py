@@ -54,11 +54,13 @@ def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[st
     return dealt(rows.select("width", "height", *names), names[0]).mapInArrow(run, schema)
 
 
-def _blocks(cur: np.ndarray, ref: np.ndarray, satd: bool = True) -> Iterator[tuple[int, int, K.Block]]:
+def _blocks(cur: np.ndarray, ref: np.ndarray, satd: bool = True, quarters: bool = True) -> Iterator[tuple[int, int, K.Block]]:
+    """Every macroblock with its place. quarters: the reference is interpolated once for all of them; else only where one asks."""
     p = K.padded(ref)
+    q = K.quarters(p) if quarters else None
     for y in range(0, cur.shape[0], 16):
         for x in range(0, cur.shape[1], 16):
-            yield x // 16, y // 16, K.Block(cur[y : y + 16, x : x + 16], p, x + K.HALO, y + K.HALO, REACH, satd)
+            yield x // 16, y // 16, K.Block(cur[y : y + 16, x : x + 16], p, x + K.HALO, y + K.HALO, REACH, satd, q)
 
 
 def quarter_samples(spark, d):
@@ -89,7 +91,7 @@ def motion_full(spark, d):
     """Full search by SAD within 4 samples: smallest score (SAD and vector cost), then SAD, then |x| + |y|, x, y."""
 
     def kernel(f, cur, ref):
-        found = [(bx, by, b.full("16x16", (0, 0), 4, LAMBDA)) for bx, by, b in _blocks(cur, ref, satd=False)]
+        found = [(bx, by, b.full("16x16", (0, 0), 4, LAMBDA)) for bx, by, b in _blocks(cur, ref, satd=False, quarters=False)]
         return [(f, by, bx, mv[0] // 4, mv[1] // 4, s, s + K.vector_cost(LAMBDA, mv[0] // 4, mv[1] // 4)) for bx, by, (s, mv) in found]
 
     return by_frame(pairs(spark, d), kernel, ["frame_idx", "cur", "ref"], "frame_idx long, br int, bc int, dx int, dy int, sad long, score long")
@@ -160,7 +162,7 @@ def motion_partitions(spark, d):
 
     def kernel(f, cur, ref):
         out = []
-        for bx, by, b in _blocks(cur, ref):
+        for bx, by, b in _blocks(cur, ref, quarters=False):
             totals = [sum(b.full(s, (0, 0), 2, LAMBDA)[0] for s in shapes) for shapes in K.PARTS]
             part = int(np.argmin(totals))
             out.append((f, by, bx, part, totals[part]))
@@ -214,7 +216,7 @@ def inter_recon(spark, d):
         out = []
         for bx, by, b in _blocks(cur, ref):
             part, _, vectors = K.search(b, LAMBDA, REACH)
-            y, pu, pv = K.predicted(planes, 16 * bx, 16 * by, part, vectors)
+            y, pu, pv = K.predicted(planes, 16 * bx, 16 * by, part, vectors, quarters=b.quarters)
             own = cu[8 * by : 8 * by + 8, 8 * bx : 8 * bx + 8]
             out.append((f, by, bx, part, int(y.sum()), int(((b.cur - y) ** 2).sum()), int(((own - pu) ** 2).sum() + ((255 - own - pv) ** 2).sum())))
         return out

@@ -94,6 +94,38 @@ def test_refinement_finds_a_moved_quarter():
     assert (part, total, vectors) == (0, 0, [(5, -7)])
 
 
+def test_transformed_sums_are_exact_at_the_extremes():
+    r = np.random.default_rng(12)
+    for shape in ((4, 4), (3, 8, 16), (2, 5, 16, 16)):
+        d = np.where(r.integers(0, 2, shape) > 0, 255, -255)
+        q = d.reshape(*shape[:-2], shape[-2] // 4, 4, shape[-1] // 4, 4).swapaxes(-3, -2)
+        assert np.array_equal(K.satd_atoms(d), (np.abs(K._HADAMARD @ q @ K._HADAMARD.T).sum(axis=(-1, -2)) + 1) >> 1)
+
+
+@pytest.mark.parametrize("satd", [True, False])
+def test_a_search_is_the_same_on_quarters_of_the_whole_reference(satd):
+    for seed in range(8):
+        cur, ref = plane(seed).astype(np.uint8), plane(seed + (seed % 2)).astype(np.uint8)
+        each = [[K.search(b, M.LAMBDA, M.REACH, temporal=(12, 4)) for *_, b in M._blocks(cur, ref, satd, quarters)] for quarters in (True, False)]
+        assert each[0] == each[1]
+
+
+def kernel_of(query, monkeypatch):
+    """What a query does to one frame."""
+    monkeypatch.setattr(M, "by_frame", lambda rows, kernel, *_: kernel)
+    monkeypatch.setattr(M, "pairs", lambda *_: None)
+    return query(None, None)
+
+
+@pytest.mark.parametrize("query", [M.inter_recon])
+def test_a_reference_is_interpolated_once(query, monkeypatch):
+    """It was interpolated for every block that was refined, again for each shape, and again for what the shapes predict."""
+    kernel, quarter, calls = kernel_of(query, monkeypatch), K.quarter, []
+    monkeypatch.setattr(K, "quarter", lambda *a: calls.append(a) or quarter(*a))
+    assert len(kernel(1, plane(1).astype(np.uint8), plane(2).astype(np.uint8))) == 6
+    assert len(calls) == 1
+
+
 def test_partitions_win_only_by_less():
     same = K.Block(plane(4)[0:16, 0:16], K.padded(plane(4)), K.HALO, K.HALO, 8)
     assert K.search(same, 4, 8) == (0, 0, [(0, 0)])
