@@ -117,7 +117,7 @@ def kernel_of(query, monkeypatch):
     return query(None, None)
 
 
-@pytest.mark.parametrize("query", [M.inter_recon])
+@pytest.mark.parametrize("query", [M.inter_recon, M.motion_search, M.motion_search_sad])
 def test_a_reference_is_interpolated_once(query, monkeypatch):
     """It was interpolated for every block that was refined, again for each shape, and again for what the shapes predict."""
     kernel, quarter, calls = kernel_of(query, monkeypatch), K.quarter, []
