@@ -5,6 +5,9 @@ A row is a frame; its blocks are predicted from the source samples around them.
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,24 +58,37 @@ def allowed(mode: int, row4: int, col4: int) -> bool:
     return mode == 2 or above_mb or not (r == 1 and c <= 1)
 
 
-def predictions(px: np.ndarray, row4: int, col4: int, weights: tuple[np.ndarray, np.ndarray]) -> dict[int, np.ndarray]:
-    """mode -> 4x4 prediction for every allowed mode."""
-    y, x = 4 * row4, 4 * col4
-    s = np.zeros(13, np.int64)
-    if y:
-        s[1:5] = px[y - 1, x : x + 4]
-        s[5:9] = px[y - 1, x + 4 : x + 8] if right_above(row4, col4) else s[4]
-        s[0] = px[y - 1, x - 1] if x else s[1]
-    if x:
-        s[9:13] = px[y : y + 4, x - 1]
-    n = 4 * (y > 0) + 4 * (x > 0)
-    dc = (int(s[1:5].sum() * (y > 0) + s[9:13].sum()) + n // 2) // n if n else 128
-    out = {}
-    for m in range(9):
-        if allowed(m, row4, col4):
-            w, k = weights[0][m], weights[1][m]
-            out[m] = np.full((4, 4), dc) if m == 2 else ((w @ s + ((1 << k) >> 1)) >> k).reshape(4, 4)
-    return out
+@cache
+def _layout() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a frame in raster order: where each of the 13 neighbours lies in the plane (behind its end where there is none), how many samples
+    DC has, and row, column and mode of every allowed mode."""
+    near, count, modes = [], [], []
+    for row4 in range(H // 4):
+        for col4 in range(W // 4):
+            at = lambda dx, dy: (4 * row4 + dy) * W + 4 * col4 + dx  # noqa: E731, B023
+            none, far = W * H, right_above(row4, col4)
+            above = [at(k, -1) if k < 4 or far else at(3, -1) for k in range(8)] if row4 else [none] * 8
+            corner = (at(-1, -1) if col4 else above[0]) if row4 else none
+            near.append([corner, *above, *(at(-1, k) if col4 else none for k in range(4))])
+            count.append(4 * (row4 > 0) + 4 * (col4 > 0))
+            modes += [(row4, col4, m) for m in range(9) if allowed(m, row4, col4)]
+    return np.array(near), np.array(count), *np.array(modes).T
+
+
+def frame_modes(px: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row4, col4, mode, SAD and SATD of the allowed modes of all blocks of a frame."""
+    near, count, row4, col4, mode = _layout()
+    px = px.astype(np.int32)
+    s = np.append(px, 0)[near]
+    # Sums of samples by small weights are exact in single precision.
+    taps = (s.astype(np.float32) @ weights[0].reshape(144, 13).T.astype(np.float32)).astype(np.int32)
+    shifts = weights[1].ravel()
+    found = ((taps + ((1 << shifts) >> 1)) >> shifts).reshape(-1, 9, 16)
+    found[:, 2] = np.where(count, (s[:, 1:5].sum(axis=1) + s[:, 9:].sum(axis=1) + count // 2) // np.maximum(count, 1), 128)[:, None]
+    own = px.reshape(H // 4, 4, W // 4, 4).swapaxes(1, 2).reshape(-1, 16)
+    block = row4 * (W // 4) + col4
+    r = (own[block] - found[block, mode]).reshape(-1, 4, 4)
+    return row4, col4, mode, np.abs(r).sum(axis=(1, 2)), K.satd_atoms(r)[:, 0, 0]
 
 
 def intra4_frame(spark, d):
@@ -80,13 +96,7 @@ def intra4_frame(spark, d):
     weights = _weights()
 
     def kernel(f, px):
-        px, out = px.astype(np.int64), []
-        for row4 in range(H // 4):
-            for col4 in range(W // 4):
-                src = px[4 * row4 : 4 * row4 + 4, 4 * col4 : 4 * col4 + 4]
-                for m, p in predictions(px, row4, col4, weights).items():
-                    out.append((f, row4, col4, m, int(np.abs(src - p).sum()), int(K.satd_atoms((src - p).astype(np.int32))[0, 0])))
-        return out
+        return list(zip(repeat(f), *(c.tolist() for c in frame_modes(px, weights))))
 
     return by_frame(A.frames(spark, d), kernel, ["frame_idx", "px"], "frame_idx long, row4 int, col4 int, mode int, sad int, satd int")
 
