@@ -56,3 +56,19 @@ def test_blocks_of_a_frame_are_scored_together(monkeypatch):
     monkeypatch.setattr(K, "satd_atoms", lambda r: calls.append(r.shape) or satd_atoms(r))
     assert len(kernel(7, planes()[0])) == 630
     assert len(calls) == 1
+
+
+def test_estimates_score_the_blocks_of_a_frame_together(spark, monkeypatch):
+    """The least of each block by loops, summed by macroblock; the frame is transformed in one piece."""
+    satd_atoms, calls, px = K.satd_atoms, [], planes()[0]
+    monkeypatch.setattr(K, "satd_atoms", lambda r: calls.append(r.shape) or satd_atoms(r))
+    monkeypatch.setattr(I.A, "frames", lambda *_: None)
+    monkeypatch.setattr(I, "by_frame", lambda rows, kernel, names, schema: spark.createDataFrame(kernel(7, px), schema))
+    got = {(r.row, r.col): (r.satd, r.exact) for r in I.intra4_estimate(spark, None).collect()}
+    assert len(calls) == 1
+    least = {}
+    for _, row4, col4, _, sad, satd in by_loops(px):
+        a, b = least.get((row4, col4), (satd, sad))
+        least[row4, col4] = min(a, satd), min(b, sad)
+    of = lambda row, col, k: sum(v[k] for (r, c), v in least.items() if (r // 4, c // 4) == (row, col))
+    assert got == {(row, col): (of(row, col, 0), of(row, col, 1) == 0) for row in range(I.H // 16) for col in range(I.W // 16)}
