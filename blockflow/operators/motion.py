@@ -23,12 +23,18 @@ from blockflow.sources import adapters as A
 
 W, H = A.PLANE_WIDTH, A.PLANE_HEIGHT
 LAMBDA, REACH = 4, 8
+#: Rows that the kernels gather before they go back to Spark; a frame's own rows may be more.
+ROWS = 4096
 
 
 def pairs(spark, d) -> DataFrame:
-    """frame_idx, cur, ref, width, height: a plane (bytes in raster order) and the one before."""
-    p = A.frames(spark, d)
-    return p.join(p.select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("px").alias("ref")), "frame_idx").withColumnRenamed("px", "cur")
+    """frame_idx, cur, ref, width, height: a plane (bytes in raster order) and the one before. A plane is made once and goes to both frames that read it."""
+    none = F.lit(None).cast("binary")
+    own = F.struct("frame_idx", F.col("px").alias("cur"), none.alias("ref"))
+    next_ = F.struct((F.col("frame_idx") + 1).alias("frame_idx"), none.alias("cur"), F.col("px").alias("ref"))
+    p = A.frames(spark, d).select("width", "height", F.explode(F.array(own, next_)).alias("p")).select("p.*", "width", "height")
+    p = dealt(p, "frame_idx").groupBy("frame_idx").agg(*(F.max(c).alias(c) for c in ("cur", "ref", "width", "height")))
+    return p.where("cur IS NOT NULL AND ref IS NOT NULL")
 
 
 def picture_pairs(spark, d) -> DataFrame:
@@ -43,13 +49,19 @@ def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[st
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
     out = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
+    gathered = lambda made: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = []
         for batch in batches:
             for k in range(batch.num_rows):
                 w, h, *row = (batch.column(n)[k].as_py() for n in ("width", "height", *names))
-                made = kernel(*(np.frombuffer(v, np.uint8).reshape(h, w) if isinstance(v, bytes | bytearray) else v for v in row))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+                made += kernel(*(np.frombuffer(v, np.uint8).reshape(h, w) if isinstance(v, bytes | bytearray) else v for v in row))
+                if len(made) >= ROWS:
+                    yield gathered(made)
+                    made = []
+        if made:
+            yield gathered(made)
 
     return dealt(rows.select("width", "height", *names), names[0]).mapInArrow(run, schema)
 

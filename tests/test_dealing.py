@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from blockflow.operators import motion as M
 from blockflow.plans import catalog
 from blockflow.sources import adapters as A
 
@@ -67,3 +70,40 @@ def test_intra_estimates_rest_on_dealt_frames(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_plane_is_made_once_for_both_frames_that_read_it(spark):
+    """It was made twice, for the frame and for the one behind it, and the two were joined."""
+    rows = M.pairs(spark, DATA)
+    planes = {r.frame_idx: bytes(r.px) for r in A.frames(spark, DATA).collect()}
+    got = {r.frame_idx: (bytes(r.cur), bytes(r.ref), r.width, r.height) for r in rows.collect()}
+    assert got == {f: (px, planes[f - 1], A.PLANE_WIDTH, A.PLANE_HEIGHT) for f, px in planes.items() if f - 1 in planes}
+    assert rows.count() == len(got)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("missing", [[], [3], [0, 4, 5]])
+def test_frames_without_the_one_before_have_no_pair(spark, monkeypatch, missing):
+    numbers = [f for f in range(8) if f not in missing]
+    monkeypatch.setattr(A, "frame_numbers", lambda spark, d: spark.createDataFrame([(f,) for f in numbers], "f long"))
+    assert sorted(r.frame_idx for r in M.pairs(spark, None).collect()) == [f for f in numbers if f - 1 in numbers]
+
+
+def test_rows_of_many_frames_go_back_together(monkeypatch):
+    """Every frame's rows, six of a search, were a batch of their own."""
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(M, "dealt", lambda rows, *_: rows)
+    plane = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    run = M.by_frame(Rows(), lambda f, px: [(f, int(px[2, 3]) + k) for k in range(f % 7)], ["frame_idx", "px"], "frame_idx long, v int")
+    batch = lambda fs: pa.RecordBatch.from_pydict({"width": [4] * len(fs), "height": [3] * len(fs), "frame_idx": fs, "px": [plane.tobytes()] * len(fs)})
+    made = list(run(iter([batch(list(range(900))), batch(list(range(900, 2000))), batch([])])))
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == [(f, 11 + k) for f in range(2000) for k in range(f % 7)]
+    assert len(made) == 2 and all(b.num_rows < M.ROWS + 7 for b in made)
+    assert not list(run(iter([batch([0, 7])])))
