@@ -91,6 +91,14 @@ def frame_modes(px: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> tuple
     return row4, col4, mode, np.abs(r).sum(axis=(1, 2)), K.satd_atoms(r)[:, 0, 0]
 
 
+def least_modes(px: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row4, col4, and the least SAD and SATD of all blocks of a frame, whichever modes give them."""
+    row4, col4, mode, sad, satd = frame_modes(px, weights)
+    # The modes of a block follow each other.
+    first = np.flatnonzero(np.diff(row4 * (W // 4) + col4, prepend=-1))
+    return row4[first], col4[first], np.minimum.reduceat(sad, first), np.minimum.reduceat(satd, first)
+
+
 def intra4_frame(spark, d):
     """SAD and SATD of the allowed modes of each 4x4 block of the frames."""
     weights = _weights()
@@ -128,7 +136,12 @@ FROM (SELECT *, list_transform(range(16), lambda i: src[i + 1] - pred[i + 1]) AS
 
 def intra4_estimate(spark, d):
     """What intra 4x4 would cost a macroblock: the least SATD of each block, summed; and whether all could be predicted without error."""
-    b = intra4_frame(spark, d).groupBy("frame_idx", "row4", "col4").agg(F.min("satd").alias("satd"), F.min("sad").alias("sad"))
+    weights = _weights()
+
+    def kernel(f, px):
+        return list(zip(repeat(f), *(c.tolist() for c in least_modes(px, weights))))
+
+    b = by_frame(A.frames(spark, d), kernel, ["frame_idx", "px"], "frame_idx long, row4 int, col4 int, sad int, satd int")
     g = b.groupBy("frame_idx", F.expr("cast(row4 div 4 as int)").alias("row"), F.expr("cast(col4 div 4 as int)").alias("col"))
     return g.agg(F.sum("satd").alias("satd"), (F.sum("sad") == 0).alias("exact"))
 

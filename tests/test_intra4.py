@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from blockflow.functions import motion as K
 from blockflow.operators import frames as R
 from blockflow.operators import intra4 as I
 
+DATA = "/root/testdata/sf0.001"
+
 
 def by_loops(px):
     out = []
@@ -72,3 +78,36 @@ def test_estimates_score_the_blocks_of_a_frame_together(spark, monkeypatch):
         least[row4, col4] = min(a, satd), min(b, sad)
     of = lambda row, col, k: sum(v[k] for (r, c), v in least.items() if (r // 4, c // 4) == (row, col))
     assert got == {(row, col): (of(row, col, 0), of(row, col, 1) == 0) for row in range(I.H // 16) for col in range(I.W // 16)}
+
+
+def test_least_of_each_block_by_loops():
+    for px in planes():
+        least = {}
+        for _, row4, col4, _, sad, satd in by_loops(px):
+            a, b = least.get((row4, col4), (sad, satd))
+            least[row4, col4] = min(a, sad), min(b, satd)
+        assert list(zip(*(c.tolist() for c in I.least_modes(px, I._weights())))) == [(*at, *v) for at, v in least.items()]
+
+
+def test_estimates_take_a_row_a_block(monkeypatch):
+    """A row of every mode, 630 a frame, went to Spark and through a shuffle of its own."""
+    class Taken(Exception):
+        pass
+
+    def taken(rows, kernel, *_):
+        assert len(kernel(7, planes()[0])) == I.H // 4 * (I.W // 4)
+        raise Taken
+
+    monkeypatch.setattr(I, "by_frame", taken)
+    monkeypatch.setattr(I.A, "frames", lambda *_: None)
+    with pytest.raises(Taken):
+        I.intra4_estimate(None, None)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_estimates_are_those_of_the_modes(spark):
+    b = I.intra4_frame(spark, DATA).groupBy("frame_idx", "row4", "col4").agg(F.min("satd").alias("satd"), F.min("sad").alias("sad"))
+    want = b.groupBy("frame_idx", F.expr("row4 div 4").alias("row"), F.expr("col4 div 4").alias("col")).agg(F.sum("satd"), F.sum("sad") == 0)
+    got = I.intra4_estimate(spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.schema.simpleString() == "struct<frame_idx:bigint,row:int,col:int,satd:bigint,exact:boolean>"
