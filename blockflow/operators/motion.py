@@ -23,8 +23,8 @@ from blockflow.sources import adapters as A
 
 W, H = A.PLANE_WIDTH, A.PLANE_HEIGHT
 LAMBDA, REACH = 4, 8
-#: Rows that the kernels gather before they go back to Spark; a frame's own rows may be more.
-ROWS = 4096
+#: Rows that the kernels gather, and samples of the frames they are of, before they go back to Spark; a frame's own may be more.
+ROWS, SAMPLES = 4096, 1 << 20
 
 
 def pairs(spark, d) -> DataFrame:
@@ -52,14 +52,15 @@ def by_frame(rows: DataFrame, kernel: Callable[..., list[tuple]], names: list[st
     gathered = lambda made: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = []
+        made, samples = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 w, h, *row = (batch.column(n)[k].as_py() for n in ("width", "height", *names))
                 made += kernel(*(np.frombuffer(v, np.uint8).reshape(h, w) if isinstance(v, bytes | bytearray) else v for v in row))
-                if len(made) >= ROWS:
+                samples += w * h
+                if made and (len(made) >= ROWS or samples >= SAMPLES):
                     yield gathered(made)
-                    made = []
+                    made, samples = [], 0
         if made:
             yield gathered(made)
 

@@ -106,4 +106,6 @@ def test_rows_of_many_frames_go_back_together(monkeypatch):
     made = list(run(iter([batch(list(range(900))), batch(list(range(900, 2000))), batch([])])))
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == [(f, 11 + k) for f in range(2000) for k in range(f % 7)]
     assert len(made) == 2 and all(b.num_rows < M.ROWS + 7 for b in made)
+    monkeypatch.setattr(M, "SAMPLES", 12)  # a frame of that many samples, whose rows may hold all of them, goes back by itself
+    assert [b.num_rows for b in run(iter([batch([1, 2, 7, 3])]))] == [1, 2, 3]
     assert not list(run(iter([batch([0, 7])])))
