@@ -12,6 +12,7 @@ size in force by taking the nearest sample.
 from __future__ import annotations
 
 import json
+import struct
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockflow.functions import inter
 from blockflow.functions.folds import dealt
@@ -66,6 +68,11 @@ def pictured_once(group: inter.Group, planes: tuple[np.ndarray, np.ndarray, np.n
     return made
 
 
+def scaled(source: tuple[np.ndarray, np.ndarray, np.ndarray], w: int, h: int) -> tuple[np.ndarray, ...]:
+    """Planes of a source frame at the size in force: the nearest samples."""
+    return tuple(p[np.arange(b) * p.shape[0] // b][:, np.arange(a) * p.shape[1] // a].astype(np.int64) for p, (a, b) in zip(source, ((w, h), (w // 2, h // 2), (w // 2, h // 2))))
+
+
 def at_once(decision: dict, rung: int) -> bool:
     """The policy that takes every recommended size."""
     return True
@@ -91,20 +98,24 @@ class Session:
         self.state = self.state or C.State(bps=self.config.initial_bps)
         self.group = self.group or inter.Group(self.config.base_qp, 1, tables())
 
-    def step(self, feedback: dict, source: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
-        """The columns of OUTPUT for one frame."""
+    def decide(self, feedback: dict) -> tuple[dict, bool, bool]:
+        """The decision for a frame, whether another size is recommended, and whether a new encoder starts."""
         rung, decision = self.rung, C.step(self.state, feedback | {"last_bytes": self.bytes}, self.config)
         if self.recovery:
             decision |= self.recovery(self.state, feedback, self.config)
-        recommended = self.state.rung != rung
+        recommended, anew = self.state.rung != rung, bool(decision["force_idr"])
         if recommended and self.resize(decision, rung):
-            self.rung = self.state.rung
-            self.group.restart()
+            self.rung, anew = self.state.rung, True
         self.state.rung = self.rung  # what is in force, not what was recommended
-        if decision["force_idr"]:
+        return decision, recommended, anew
+
+    def step(self, feedback: dict, source: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
+        """The columns of OUTPUT for one frame."""
+        decision, recommended, anew = self.decide(feedback)
+        if anew:
             self.group.restart()
         w, h = self.sizes[self.rung]
-        planes = tuple(p[np.arange(b) * p.shape[0] // b][:, np.arange(a) * p.shape[1] // a].astype(np.int64) for p, (a, b) in zip(source, ((w, h), (w // 2, h // 2), (w // 2, h // 2))))
+        planes = scaled(source, w, h)
         qp, number, idr = max(0, min(51, decision["base_qp"])), self.group.number, self.group.reference is None
         self.bytes, digest, sse = (pictured_once if self.share else pictured)(self.group, planes, qp, decision["speed"] < 3, decision["speed"] < 2)
         return w, h, recommended, decision["fps"], decision["speed"], qp, decision["target_bps"], idr, decision["intra_refresh"], number % 16, self.bytes, sse, digest
@@ -159,6 +170,109 @@ def encoded(rows: DataFrame, new: Callable[[], Session]) -> DataFrame:
     return arranged.mapInArrow(run, f"stream_id long, seq long, {OUTPUT}")
 
 
+#: What a frame shows before it is encoded, and what it takes to encode its picture. A picture is named by all that it follows from: `base` by the one
+#: before it (parent), its source and its settings; `node` by that and, where it is an intra picture, by the number that its unit bears.
+_DECIDED = "stream_id long, seq long, width int, height int, recommended boolean, fps int, speed int, qp int, target_bps long, idr boolean, intra_refresh boolean, frame_num int, node binary, helper boolean"
+_MADE = "branch binary, base binary, parent binary, depth int, picture long, satd boolean, sub boolean, idr_pic_id int"
+_CODES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+#: Pictures behind this one of a group are a task's together (a branch), which encodes those before it (helpers) for itself.
+SPLIT = 2
+#: Names that a task of decisions remembers, so that it tells once what a picture takes.
+TOLD = 1 << 17
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(n, _CODES[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+
+def _decided(rows: DataFrame, new: Callable[[], Session]) -> DataFrame:
+    """_DECIDED and, once a task for each picture, _MADE; helper: a row that is no frame but a picture that a branch needs."""
+    names, out = (*INPUTS, "picture"), _arrow(f"{_DECIDED}, {_MADE}")
+    untold, no_frame = (None,) * len(_MADE.split(", ")), (None,) * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, session, told = object(), None, set()
+        for batch in batches:
+            made = []
+            for i, q, *values, picture in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "seq", *names))):
+                if i != stream:
+                    stream, session, base, idr_pic_id = i, new(), None, 0
+                decision, recommended, anew = session.decide(dict(zip(INPUTS, values)))
+                if base is None or anew:
+                    idr_pic_id, depth, parent = 0 if base is None else 1 - idr_pic_id, 0, b""
+                else:
+                    depth, parent = depth + 1, base
+                (w, h), speed, qp = session.sizes[session.rung], decision["speed"], max(0, min(51, decision["base_qp"]))
+                satd, sub = (speed < 3, speed < 2) if depth else (False, False)  # an intra picture does not search
+                base = md5(parent + struct.pack("<qiiibb", picture, w, h, qp, satd, sub)).digest()
+                node = base if depth else base + bytes((idr_pic_id,))
+                if depth <= SPLIT:
+                    before, branch = before[:depth] if depth else [], base
+                    before.append((w, h, qp, base, (base, parent, depth, picture, satd, sub, idr_pic_id)))
+                tell = untold
+                if node not in told:
+                    if len(told) >= TOLD:
+                        told.clear()
+                    told.add(node)
+                    tell = branch, base, parent, depth, picture, satd, sub, idr_pic_id
+                    for pw, ph, pqp, name, rest in before[:-1] if depth <= SPLIT else ():
+                        made.append((None, None, pw, ph, None, None, None, pqp, *no_frame, name, True, branch, *rest))
+                made.append((i, q, w, h, recommended, decision["fps"], speed, qp, decision["target_bps"], not depth, decision["intra_refresh"], depth % 16, node, False, *tell))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+
+    return rows.select("stream_id", F.col("seq").cast("long").alias("seq"), *names).mapInArrow(run, f"{_DECIDED}, {_MADE}")
+
+
+def _encoded_nodes(rows: DataFrame, base_qp: int) -> DataFrame:
+    """(node, n_bytes, sse, digest) for rows (branch, depth, width, height, FRAME, nodes), the pictures of a branch at one place of its groups."""
+    out = _arrow("node binary, n_bytes int, sse long, digest string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, states = None, {}
+        for b in batches:
+            for k in range(b.num_rows):
+                branch, depth, w, h, nodes, *frame = (b.column(n)[k].as_py() for n in ("branch", "depth", "width", "height", "nodes", *FRAME))
+                if branch != now:
+                    now, states = branch, {}
+                planes, kept, made = scaled(_source(*frame), w, h), {}, []
+                for x in sorted(nodes, key=lambda x: (x["parent"], x["node"])):
+                    group = inter.Group(base_qp, 1, tables(), x["idr_pic_id"])
+                    if depth:
+                        group.number, (group.reference, group.motion) = depth, states[x["parent"]]
+                    n_bytes, digest, sse = (pictured_once if depth <= SPLIT else pictured)(group, planes, x["qp"], x["satd"], x["sub"])
+                    kept[x["base"]] = group.reference, group.motion
+                    if not x["helper"]:
+                        made.append((x["node"], n_bytes, sse, digest))
+                states = kept
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+
+    return rows.mapInArrow(run, "node binary, n_bytes int, sse long, digest string")
+
+
+def encoded_once(rows: DataFrame, pictures: DataFrame, new: Callable[[], Session], path: str) -> DataFrame:
+    """As `encoded`, for sessions whose decisions do not read what was encoded: each different picture is encoded once for all streams.
+
+    rows: (stream_id, seq, INPUTS, picture), together by stream and in order of seq; pictures: (picture, FRAME), one of each number that rows name; path: a
+    new folder that driver and executors share, for the decisions, which are both what is to be encoded and what the results are joined to.
+    """
+    session = new()
+    if session.recovery is not None or session.resize is not at_once:
+        raise ValueError("a policy may read what was encoded, so its streams are encoded one by one")
+    spark = rows.sparkSession
+    _decided(rows, new).write.parquet(path)
+    decided = spark.read.parquet(path)
+    nodes = decided.where("branch IS NOT NULL").select("node", "width", "height", "qp", "helper", *(x.split()[0] for x in _MADE.split(", "))).dropDuplicates(["branch", "node", "helper"])
+    node = F.struct("node", "base", "parent", "qp", "satd", "sub", "idr_pic_id", "helper")
+    places = nodes.groupBy("branch", "depth", "width", "height", "picture").agg(F.collect_list(node).alias("nodes"))
+    places = dealt(places.join(pictures, "picture").select("branch", "depth", "width", "height", "nodes", *FRAME), "branch").sortWithinPartitions("branch", "depth")
+    done = _encoded_nodes(places, session.config.base_qp)
+    frames = decided.where("NOT helper").join(done, "node", "left")
+    lost = F.when(F.col("n_bytes").isNull(), F.raise_error(F.lit("a frame has no picture")).cast("int")).otherwise(F.col("n_bytes")).alias("n_bytes")
+    return frames.select("stream_id", "seq", *(lost if n == "n_bytes" else n for n in _NAMES))
+
+
 def stream_encoded(rows: DataFrame, new: Callable[[], Session]) -> DataFrame:
     """The same over a streaming table. Rows of a micro-batch are taken by seq; a row behind one that is encoded already is ignored."""
     from pyspark.sql.streaming.state import GroupStateTimeout
