@@ -235,11 +235,14 @@ def _encoded_nodes(rows: DataFrame, base_qp: int) -> DataFrame:
                 branch, depth, w, h, nodes, *frame = (b.column(n)[k].as_py() for n in ("branch", "depth", "width", "height", "nodes", *FRAME))
                 if branch != now:
                     now, states = branch, {}
-                planes, kept, made = scaled(_source(*frame), w, h), {}, []
+                planes, kept, made, parent = scaled(_source(*frame), w, h), {}, [], None
                 for x in sorted(nodes, key=lambda x: (x["parent"], x["node"])):
                     group = inter.Group(base_qp, 1, tables(), x["idr_pic_id"])
                     if depth:
                         group.number, (group.reference, group.motion) = depth, states[x["parent"]]
+                        if x["parent"] != parent:
+                            parent, known = x["parent"], {}
+                        group.known = known
                     n_bytes, digest, sse = (pictured_once if depth <= SPLIT else pictured)(group, planes, x["qp"], x["satd"], x["sub"])
                     kept[x["base"]] = group.reference, group.motion
                     if not x["helper"]:

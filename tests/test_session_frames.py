@@ -142,3 +142,73 @@ def test_a_stream_in_the_state_of_another_takes_its_picture(monkeypatch):
     s.step(feedback(0), planes(5))
     s.step(feedback(1), planes(1))
     assert len(calls) == 2 * n + 2
+
+
+def once(spark, rows, path, partitions=3):
+    """What encoded_once makes of a table of feedback and frames, whose pictures go by seq."""
+    from pyspark.sql import functions as F
+
+    pictures = rows.select(F.col("seq").alias("picture"), *S.FRAME).dropDuplicates(["picture"])
+    given = rows.select("stream_id", "seq", *S.INPUTS, F.col("seq").alias("picture")).repartition(partitions, "stream_id").sortWithinPartitions("stream_id", "seq")
+    return S.encoded_once(given, pictures, lambda: S.Session(CONFIG), str(path))
+
+
+def by_key(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def test_pictures_encoded_once_are_those_of_each_stream_by_itself(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "TOLD", 4)  # forgotten again and again: told twice, encoded once
+    rows = table(spark, (1, 9), 30)
+    nameless = rows.where("stream_id = 1").withColumn("stream_id", F.lit(None).cast("long"))
+    got = once(spark, rows.union(nameless), tmp_path / "a").collect()
+    want = S.encoded(rows.union(nameless), lambda: S.Session(CONFIG)).collect()
+    assert by_key(got) == by_key(want) and len(got) == 90 and list(got[0].asDict()) == ["stream_id", "seq", *S._NAMES]
+    assert once(spark, rows.limit(0), tmp_path / "b").collect() == []
+
+
+def test_a_picture_of_many_streams_is_encoded_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, inner = [], S._encoded_nodes
+    monkeypatch.setattr(S, "_encoded_nodes", lambda places, qp: seen.append(places) or inner(places, qp))
+    one = table(spark, (0,), 24)
+    many = one.withColumn("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))  # streams of six tasks
+    got = once(spark, many, tmp_path / "a", 6)
+    encoded = [r for p in seen for r in p.select(F.explode("nodes").alias("n")).select("n.*").where("NOT helper").collect()]
+    assert len(encoded) == len({r.node for r in encoded}) == 24
+    assert by_key(got.collect()) == [(i, k, *r) for i in range(12) for k, r in enumerate(looped(24))]
+
+
+def test_policies_that_may_read_what_was_encoded_are_no_shared_ones(spark, tmp_path):
+    with pytest.raises(ValueError, match="policy"):
+        S.encoded_once(table(spark, (0,), 2), None, lambda: S.Session(CONFIG, resize=lambda decision, rung: False), str(tmp_path / "a"))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_query_equals_the_fold_of_every_stream(spark):
+    want = S.encoded(Q.session_input(spark, DATA), lambda: S.Session(C.SMALL)).collect()
+    assert by_key(Q.session_frames(spark, DATA).collect()) == by_key(want)
+
+
+def test_groups_that_go_on_from_one_picture_share_what_does_not_depend_on_settings():
+    from blockflow.functions import inter, motion
+    from blockflow.operators.motion import tables
+
+    def after(known, qp, **search):
+        g = inter.Group(30, 1, tables())
+        g.add(tuple(p.astype(np.int64) for p in planes(0)))
+        g.known = known
+        unit, _, rec = g.add(tuple(p.astype(np.int64) for p in planes(1)), qp, **search)
+        return unit, [p.tolist() for p in rec]
+
+    known = {}
+    for how in ((24, {}), (40, {}), (33, {"satd": False}), (33, {"satd": False, "sub": False}), (24, {})):
+        assert after(known, how[0], **how[1]) == after(None, how[0], **how[1])
+    assert len([k for k in known if isinstance(k, tuple)]) == 12  # six macroblocks, two ways to rank
+    own, ref = planes(1)[0].astype(np.int64)[:16, :16], motion.padded(planes(0)[0])
+    costs = motion.Block(own, ref, motion.HALO, motion.HALO, 8, False).of("q10")
+    plain = lambda dx, dy: int(np.abs(own[:8, 8:] - ref[24 + dy : 32 + dy, 32 + dx : 40 + dx]).sum())
+    assert [[int(costs[dy + 8, dx + 8]) for dx in range(-8, 9)] for dy in range(-8, 9)] == [[plain(dx, dy) for dx in range(-8, 9)] for dy in range(-8, 9)]
